@@ -87,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_simhash, op4_toxicity, op5_url_filter, op6_secret_scan, op7_near_embeddings, op8_warc, op9_decontamination, op10_html_text, pipeline)}
 
 _BASE32 = " || ".join(
-    f"array_to_string(list_transform(range(7, -1, -1), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 10 * k}, 10))::BIGINT >> (5 * i)) & 31)::INT, 1)), '')" for k in range(4)
+    f"array_to_string(list_transform(range(7, -1, -1), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 10 * k}, 10))::BIGINT >> (5 * i)) & 31)::INT, 1)), '')" for k in range(4)
 )
 
 ORACLE = {
