@@ -25,10 +25,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts
+from .common import cut, slices
 
 WINDOW, END_ID = 4096, 2
 
@@ -38,16 +39,18 @@ class PackingConfig:
     tokenizer_path: str
     window: int = WINDOW
     end_id: int = END_ID
-    remembered: int = 600_000  # chunks kept by a worker
+    remembered: int = 1_000_000  # chunks kept by a worker
     shard_pieces: int = 50_000
 
 
 class ChunkTokenizer:
-    """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
+    """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
+
+    A chunk's code is its place in a table of (offset, length) into one flat array of ids.
+    """
 
     #: Letters that lower-case to one letter of their own wherever they stand, then plain punctuation.
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'<|>\u0080-\U0010ffff]*)")
-    SEGMENT = 1 << 20
 
     def __init__(self, path: str, remembered: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -55,106 +58,98 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.closes = np.zeros(size, dtype=bool)
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.closes[i] = token.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, np.ndarray] = {}  # lower-cased words and punctuation runs
         self.codes: dict[str, int] = {"": 0}
         self.flat = np.zeros(1 << 20, dtype="<u4")
-        self.off, self.len = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
-        self.used = 0
-
-    def _store(self, code: int, ids: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), dtype="<u4")])
-        if code >= len(self.off):
+        self.off, self.len = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+        self.used, self.known = 0, 1
+
+    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        """Keep the ids of new chunks, one after the other; their codes."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.known + len(lengths) > len(self.off):
             self.off, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len))
+        new = range(self.known, self.known + len(lengths))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.off[code], self.len[code] = self.used, len(ids)
-        self.used += len(ids)
+        self.off[new.start : new.stop] = self.used + np.cumsum(lengths) - lengths
+        self.len[new.start : new.stop] = lengths
+        self.used, self.known = self.used + len(ids), new.stop
+        return new
+
+    def _gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks in a row, and how many each has."""
+        n = self.len[code]
+        end = np.cumsum(n)
+        at = np.repeat(self.off[code] - (end - n), n)
+        at += np.arange(len(at))
+        return self.flat[at], n
 
-    def _encode(self, chunk: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4")
+    def _encode(self, chunks: list[str]) -> None:
+        found = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        self.codes.update(zip(chunks, self._store(np.concatenate(found), np.array([len(x) for x in found])), strict=True))
 
     def _learn(self, chunks: list[str]) -> None:
-        """Store the ids of chunks that were given codes."""
-        parts = {c: m.groups() for c in chunks if (m := self.PLAIN.fullmatch(c))}
-        new = list({w: None for word, _ in parts.values() if (w := word.lower()) not in self.words})
-        if new:
+        codes, plain, other, words, tails = self.codes, [], [], {}, {}
+        for c in chunks:
+            if m := self.PLAIN.fullmatch(c):
+                word, tail = m.groups()
+                word = word.lower()
+                plain.append((c, word, tail))
+                if word not in codes:
+                    words[word] = None
+                if tail and tail not in codes:
+                    tails[tail] = None
+            else:
+                other.append(c)
+        if words:
             # A word's last token closes it, so the ids of a joined list of words can be told apart.
+            new = list(words)
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(new):
-                self.words.update(zip(new, np.split(ids, ends[:-1]), strict=True))
+                codes.update(zip(new, self._store(ids, np.diff(ends, prepend=0)), strict=True))
             else:  # a vocabulary without marked word ends
-                self.words.update((w, self._encode(w)) for w in new)
-        for c in chunks:
-            if c in parts:
-                word, tail = parts[c]
-                ids = self.words[word.lower()]
-                if tail:
-                    if tail not in self.words:
-                        self.words[tail] = self._encode(tail)
-                    ids = np.concatenate([ids, self.words[tail]])
-            else:
-                ids = self._encode(c)
-            self._store(self.codes[c], ids)
-
-    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many each chunk has."""
-        codes = self.codes
-        if missing := [c for c in dict.fromkeys(chunks) if c not in codes]:
-            if len(codes) + len(missing) > self.remembered:
+                self._encode(new)
+        if other or tails:
+            self._encode(other + [t for t in tails if t not in codes])
+        joined = [p for p in plain if p[2]]
+        if joined:
+            pairs = np.array([(codes[w], codes[t]) for _, w, t in joined])
+            ids, n = self._gather(pairs.ravel())
+            codes.update(zip([c for c, _, _ in joined], self._store(ids, n.reshape(-1, 2).sum(axis=1)), strict=True))
+        codes.update((c, codes[w]) for c, w, t in plain if not t)
+
+    def encode_many(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a string column; a null text has none."""
+        chunks = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
+        counted = chunks.flatten().dictionary_encode()
+        distinct = counted.dictionary.to_pylist()
+        found = list(map(self.codes.get, distinct))
+        if missing := [c for c, code in zip(distinct, found, strict=True) if code is None]:
+            if self.known + len(missing) > self.remembered:
                 self.forget()
-                codes = self.codes
-                missing = [c for c in dict.fromkeys(chunks) if c]
-            codes.update(zip(missing, range(len(codes), len(codes) + len(missing)), strict=True))
+                missing = [c for c in distinct if c]
+                found = [None] * len(distinct)
             self._learn(missing)
-        code = np.fromiter(map(codes.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        n = self.len[code].astype(np.int64)
-        end = np.cumsum(n)
-        at = np.repeat(self.off[code] - (end - n), n) + np.arange(end[-1] if len(end) else 0)
-        return self.flat[at], n
-
-    def encode_many(self, batch: list[str]) -> Iterator[np.ndarray]:
-        """Ids of each text; long texts pass in segments that end at white space."""
-        waiting: list[tuple[list[str], bool]] = []  # chunks, last of its text
-        room = self.SEGMENT
-        carry: list[np.ndarray] = []
-
-        def flush() -> Iterator[np.ndarray]:
-            ids, n = self._ids([c for chunks, _ in waiting for c in chunks])
-            done = np.concatenate([[0], np.cumsum(n)])
-            at = 0
-            for chunks, last in waiting:
-                carry.append(ids[done[at] : done[at + len(chunks)]])
-                at += len(chunks)
-                if last:
-                    yield carry[0] if len(carry) == 1 else np.concatenate(carry)
-                    carry.clear()
-            waiting.clear()
-
-        for text in batch:
-            text, at = text.replace("\n", " "), 0
-            while True:
-                end = len(text) if len(text) - at <= self.SEGMENT else text.rfind(" ", at, at + self.SEGMENT)
-                if end < at:  # no space for so long
-                    end = text.find(" ", at + self.SEGMENT)
-                    end = len(text) if end < 0 else end
-                waiting.append((text[at:end].split(" "), end == len(text)))
-                room -= end - at + 1
-                if room <= 0:
-                    yield from flush()
-                    room = self.SEGMENT
-                if end == len(text):
-                    break
-                at = end + 1
-        if waiting:
-            yield from flush()
+            found = [self.codes[c] if code is None else code for c, code in zip(distinct, found, strict=True)]
+        code = np.array(found, dtype=np.int64)
+        bounds = chunks.offsets.to_numpy()
+        code = code[counted.indices.to_numpy()]
+        # A bounded number of chunks at a time, so that indices into the ids stay small.
+        first = 0
+        while first < len(chunks):
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + (1 << 20), side="right")) - 1)
+            ids, n = self._gather(code[bounds[first] - bounds[0] : bounds[last] - bounds[0]])
+            done = np.concatenate([[0], np.cumsum(n)])[bounds[first : last + 1] - bounds[first]]
+            for i in range(last - first):
+                yield ids[done[i] : done[i + 1]]
+            first = last
 
 
 @lru_cache(maxsize=2)
@@ -168,9 +163,9 @@ def document_pieces(docs: DataFrame, cfg: PackingConfig, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = _tokenizer(cfg.tokenizer_path, cfg.remembered), np.array([cfg.end_id], dtype="<u4")
-        for batch in slices(batches, text, 16 << 20):
+        for batch in slices(batches, text, 12 << 20):
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode_many(texts(batch, text)), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode_many(batch.column(1)), strict=True):
                 ids = np.concatenate([ids, end])
                 rows += [(doc, at, len(p := ids[at : at + cfg.window]), zlib.crc32(p.tobytes()), len(ids)) for at in range(0, len(ids), cfg.window)]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
