@@ -184,7 +184,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, cfg: WarcConfig
             yield head
             yield from rows
 
-        with store.open_output_stream(posixpath.join(path, name)) as out:
+        with store.open_output_stream(posixpath.join(path, name), compression=None) as out:
             n = write_file(again(), out, dictionary.value, cfg)
         yield pa.RecordBatch.from_arrays([pa.array([posixpath.join(folder, name)]), pa.array([n], pa.int64())], ["path", "records"])
 
@@ -204,7 +204,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
             for path in paths.column(0).to_pylist():
                 store, at = open_store(path)
                 rows, held = [], 0
-                with store.open_input_stream(at) as stream:
+                with store.open_input_stream(at, compression=None) as stream:
                     for raw in read_file(stream):
                         page_id, url, kind, refers, body, size, digest = parse_record(raw)
                         rows.append((page_id, url, kind, refers, size, digest, *[body] * payloads))
