@@ -93,18 +93,18 @@ def fingerprint_links(distinct: DataFrame, pair_limit: int = 64) -> DataFrame:
 
 
 def fingerprint_components(rows: DataFrame, pair_limit: int = 64) -> DataFrame:
-    """(fp, component_id): smallest doc_id reachable from each fingerprint of ``rows`` (doc_id, fp)."""
+    """(fp, root, component_id): a name of each fingerprint's component, and its smallest doc_id; ``rows``: (doc_id, fp)."""
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(fingerprint_links(distinct.select("fp"), pair_limit))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return linked.join(ids, "root").select("fp", "component_id")
+    return linked.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id): one row for each of ``docs``."""
+    """(doc_id, text_hash, fp, root, component_id): one row for each of ``docs``."""
     rows = cut(with_fingerprint(docs, key, text, words))
-    return rows.join(fingerprint_components(rows), "fp").select("doc_id", "text_hash", "fp", "component_id")
+    return rows.join(fingerprint_components(rows), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -113,10 +113,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     Texts are shuffled once, by id, so a huge component does not meet in one task.
     """
     found = near_duplicates(docs, key, text, words)
-    # Components of documents without any id are told apart by their smallest fingerprint.
-    group = F.coalesce(F.col("component_id"), F.col("fp"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")
-    kept = found.groupBy(group.alias("g"), F.col("component_id").isNull().alias("g_null")).agg(best).select(F.col("best.doc_id").alias("__id"), F.col("best.text_hash").alias("__hash"))
+    kept = found.groupBy("root").agg(best).select(F.col("best.doc_id").alias("__id"), F.col("best.text_hash").alias("__hash"))
     keyed = docs.withColumn("__h", F.xxhash64(F.col(text)))
     same = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))
     return keyed.join(kept.distinct(), same, "left_semi").dropDuplicates([key, "__h"]).drop("__h").select(*docs.columns)
