@@ -160,7 +160,7 @@ def read_header(stream, binary: bool) -> Header:
 
 def open_header(path: str) -> Header:
     store, at = store_of(path)
-    with store.open_input_stream(at) as stream:
+    with store.open_input_stream(at, compression=None) as stream:
         return read_header(stream, path.endswith(".blow5"))
 
 
@@ -318,7 +318,7 @@ class SignalReader(DataSourceReader):
     def rows(self, part: Range) -> Iterator[tuple]:
         store, at = store_of(part.path)
         if part.path.endswith(".blow5"):
-            with store.open_input_stream(at, buffer_size=1 << 20) as stream:
+            with store.open_input_stream(at, compression=None, buffer_size=1 << 20) as stream:
                 h = read_header(stream, True)
                 for _, data in binary_records(stream, h):
                     if (row := decode_binary(data, h, self.wanted)) is not None:
@@ -414,7 +414,7 @@ class SignalWriter(DataSourceArrowWriter):
         store.create_dir(at, recursive=True)
         name = f"part-{uuid.uuid4().hex}.{'blow5' if self.binary else 'slow5'}"
         n = 0
-        with store.open_output_stream(posixpath.join(at, name)) as out:
+        with store.open_output_stream(posixpath.join(at, name), compression=None) as out:
             out.write(self.header.to_bytes())
             for batch in iterator:
                 for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -483,7 +483,7 @@ def record_index(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for p in batch.column(0).to_pylist():
                 store, at = store_of(p)
-                with store.open_input_stream(at, buffer_size=1 << 20) as stream:
+                with store.open_input_stream(at, compression=None, buffer_size=1 << 20) as stream:
                     h = read_header(stream, True)
                     rows = []
                     for offset, data in binary_records(stream, h):
