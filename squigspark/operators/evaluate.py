@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,23 +15,52 @@ class EvalOptions:
     threshold: int = 100  # of the nearer end's distance
 
 
-def classify(truth: DataFrame, test: DataFrame, opt: EvalOptions = EvalOptions()) -> DataFrame:
-    """Every test row with ``outcome``: correct, incorrect or only_in_test.  Repeated rows count each.
+def _near(truth: DataFrame, keys: list[str], position: str, width: int) -> DataFrame:
+    """For every stretch of ``width`` positions: whether a truth row lies in it, the last one in the
+    stretch before and the first one in the stretch after.
 
-    Truth rows are folded to one array for each read before the join, so the join can't multiply test
-    rows and needs no regrouping afterwards; a read's truth rows are a handful.
+    Two positions of one stretch are nearer than ``width``, and of the neighbouring stretches only the
+    nearest position matters, so this table answers "is any truth row near" exactly, in one row.
     """
-    places = truth.filter("rid is not null").groupBy(F.col("rid").alias("t_rid")).agg(F.collect_set(F.struct("tid", "strand", "target_start", "target_end", "tp")).alias("places"))
+    at = F.floor(F.col(position) / width)
+    least = truth.filter(F.col(position).isNotNull()).groupBy(*keys, at.alias("at")).agg(F.min(position).alias("low"), F.max(position).alias("high"))
+    none = F.lit(None).cast(dict(truth.dtypes)[position])
+    row = lambda step, here, before, after: F.struct((F.col("at") + step).alias("at"), F.lit(here).alias("here"), before.alias("before"), after.alias("after"))
+    served = F.explode(F.array(row(-1, False, none, F.col("low")), row(0, True, none, none), row(1, False, F.col("high"), none)))
+    spread = least.select(*keys, served.alias("s")).select(*keys, "s.*")
+    return spread.groupBy(*keys, "at").agg(F.bool_or("here").alias("here"), F.max("before").alias("before"), F.min("after").alias("after"))
+
 
-    def fits(p: Column) -> Column:
-        near = F.least(F.abs(p["target_start"] - F.col("target_start")), F.abs(p["target_end"] - F.col("target_end"))) < opt.threshold
-        ok = (p["tid"] == F.col("tid")) & (p["strand"] == F.col("strand"))
-        ok = ok if opt.tid_only else ok & near
-        return F.coalesce(ok if opt.secondary else ok & (p["tp"] == F.col("tp")), F.lit(False))
+def classify(truth: DataFrame, test: DataFrame, opt: EvalOptions = EvalOptions()) -> DataFrame:
+    """Every test row with ``outcome``: correct, incorrect or only_in_test.  Repeated rows count each.
 
-    joined = test.join(places, F.col("rid") == F.col("t_rid"), "left")
-    outcome = F.when(F.col("places").isNull(), "only_in_test").when(F.exists("places", fits), "correct").otherwise("incorrect")
-    return joined.withColumn("outcome", outcome).drop("places", "t_rid")
+    Truth is aggregated to unique keys before each join, so no join multiplies test rows, and a read
+    that very many rows share is neither gathered nor paired with itself.  A null read id, target,
+    strand or position matches nothing.
+    """
+    keys = ["rid", "tid", "strand"] + ([] if opt.secondary else ["tp"])
+    known = truth.filter("rid is not null").select(F.col("rid").alias("__rid")).distinct().withColumn("__known", F.lit(True))
+    out = test.join(known, F.col("rid") == F.col("__rid"), "left").drop("__rid")
+    hits = []
+    if opt.tid_only:
+        places = truth.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct().withColumn("__hit", F.lit(True))
+        out = out.join(places, [F.col(k) == F.col(f"__{k}") for k in keys], "left").drop(*[f"__{k}" for k in keys])
+        hits.append("__hit")
+    elif opt.threshold > 0:
+        for position in ("target_start", "target_end"):
+            names = {c: f"__{position}_{c}" for c in (*keys, "at", "here", "before", "after")}
+            near = _near(truth, keys, position, opt.threshold).select(*[F.col(c).alias(n) for c, n in names.items()])
+            on = [F.col(k) == F.col(names[k]) for k in keys] + [F.floor(F.col(position) / opt.threshold) == F.col(names["at"])]
+            out = out.join(near, on, "left")
+            x = F.col(position)
+            hit = F.col(names["here"]) | (F.col(names["before"]) > x - opt.threshold) | (F.col(names["after"]) < x + opt.threshold)
+            out = out.withColumn(f"__hit_{position}", hit).drop(*names.values())
+            hits.append(f"__hit_{position}")
+    any_hit = F.lit(False)
+    for h in hits:
+        any_hit = any_hit | F.coalesce(F.col(h), F.lit(False))
+    outcome = F.when(F.col("__known").isNull(), "only_in_test").when(any_hit, "correct").otherwise("incorrect")
+    return out.withColumn("outcome", outcome).drop("__known", *hits)
 
 
 def summary(truth: DataFrame, test: DataFrame, opt: EvalOptions = EvalOptions()) -> DataFrame:

@@ -129,6 +129,20 @@ def test_evaluation(spark):
     assert evaluate.summary(truth, empty).first().correct_pct is None
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_evaluation_against_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    row = lambda n: [(f"r{rng.integers(3)}", f"t{rng.integers(2)}", "+-"[rng.integers(2)], int(a), int(a + rng.integers(50, 400)), "PS"[rng.integers(2)], i) for i, a in enumerate(rng.integers(-300, 5000, n))]
+    kind = "rid string, tid string, strand string, target_start int, target_end int, tp string, n int"
+    a, b = row(120), [*row(120), ("r9", "t0", "+", 0, 1, "P", 500), (None, "t0", "+", 0, 1, "P", 501), ("r0", "t0", "+", None, None, "P", 502)]
+    for opt in (evaluate.EvalOptions(), evaluate.EvalOptions(secondary=False, threshold=37), evaluate.EvalOptions(tid_only=True), evaluate.EvalOptions(threshold=0)):
+        got = {r.n: r.outcome for r in evaluate.classify(spark.createDataFrame(a, kind), spark.createDataFrame(b, kind), opt).collect()}
+        for r in b:
+            same = [t for t in a if t[0] == r[0]]
+            ok = [t for t in same if t[1:3] == r[1:3] and (opt.secondary or t[5] == r[5]) and (opt.tid_only or r[3] is not None and min(abs(t[3] - r[3]), abs(t[4] - r[4])) < opt.threshold)]
+            assert got[r[6]] == ("correct" if ok else "incorrect" if same else "only_in_test")
+
+
 def planted(spark, k=5):
     """Contigs from a fixed pattern, and reads that follow their levels."""
     rng = np.random.default_rng(3)
