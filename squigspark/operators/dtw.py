@@ -1,10 +1,10 @@
 """Dynamic time warping of query events against reference levels.
 
-``score_rows`` fills the cost matrix row by row for many reference columns at once and keeps two rows
-only.  Beside each cell's cost it carries where the best path to it began, by the same tie order as
-backtracking (diagonal, then the column before, then the row before), so no matrix is kept to find
-the start of a match.  The dependence on the column before is inherent to a row; the anti-diagonals
-have none, so the kernel walks those, and several queries of one length share the walk.
+``last_row`` keeps three anti-diagonals of the cost matrix only.  The cells of an anti-diagonal don't
+depend on each other, so each is a handful of array operations, which several queries of one length
+share.  With ``starts`` each cell also carries where the best path to it began, by the same tie order
+as backtracking (diagonal, then the column before, then the row before); that costs as much again as
+the costs do, so the mapper asks for it only where the best hit lies.
 """
 
 from __future__ import annotations
@@ -12,40 +12,43 @@ from __future__ import annotations
 import numpy as np
 
 
-def last_row(queries: np.ndarray, y: np.ndarray, subsequence: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def last_row(queries: np.ndarray, y: np.ndarray, subsequence: bool = True, starts: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
     """Costs of the last matrix row, and the start column of each cell's path; queries: (reads, n)."""
     queries = np.atleast_2d(queries).astype(np.float32)
-    y = y.astype(np.float32)
+    backwards = y.astype(np.float32)[::-1]
     r, n = queries.shape
     m = len(y)
-    inf = np.float32(np.inf)
-    # Cells of an anti-diagonal are indexed by query row; slot 0 is a border row above the matrix.
-    before, last = np.full((r, n + 1), inf, np.float32), np.full((r, n + 1), inf, np.float32)
-    before_start, last_start = np.zeros((r, n + 1), np.int32), np.zeros((r, n + 1), np.int32)
-    out, start = np.empty((r, m), np.float32), np.empty((r, m), np.int32)
-    rows = np.arange(n)
+    # Cells of an anti-diagonal are indexed by query row; slot 0 is a border above the matrix.  What an
+    # anti-diagonal reads of the two before it was written by them, or is still infinite.
+    before, last, fresh = (np.full((r, n + 1), np.inf, np.float32) for _ in range(3))
+    from_before, from_last, from_fresh = (np.zeros((r, n + 1) if starts else (0, 0), np.int32) for _ in range(3))
+    out, began = np.empty((r, m), np.float32), np.empty((r, m), np.int32) if starts else None
+    scratch = np.empty((r, n), np.float32)
     for d in range(n + m - 1):
         lo, hi = max(0, d - m + 1), min(n - 1, d)
-        i = rows[lo : hi + 1]
-        cost = np.abs(queries[:, lo : hi + 1] - y[d - i])
         diag, left, up = before[:, lo : hi + 1], last[:, lo + 1 : hi + 2], last[:, lo : hi + 1]
-        best = np.minimum(np.minimum(diag, left), up)
-        came = np.where(diag == best, before_start[:, lo : hi + 1], np.where(left == best, last_start[:, lo + 1 : hi + 2], last_start[:, lo : hi + 1]))
-        total = cost + best
-        if lo == 0:  # the first query row
-            if subsequence:
-                total[:, 0], came[:, 0] = cost[:, 0], d
-            else:
-                total[:, 0], came[:, 0] = (cost[:, 0] + left[:, 0]) if d else cost[:, 0], 0
-        if hi == d:  # the first reference column
-            total[:, -1] = cost[:, -1] + (up[:, -1] if d else 0)
-            came[:, -1] = 0
-        fresh, fresh_start = np.full((r, n + 1), inf, np.float32), np.zeros((r, n + 1), np.int32)
-        fresh[:, lo + 1 : hi + 2], fresh_start[:, lo + 1 : hi + 2] = total, came
+        total, cost = fresh[:, lo + 1 : hi + 2], scratch[:, : hi - lo + 1]
+        np.subtract(queries[:, lo : hi + 1], backwards[m - 1 - d + lo : m - d + hi], out=cost)
+        np.abs(cost, out=cost)
+        np.minimum(diag, left, out=total)
+        np.minimum(total, up, out=total)
+        if starts:
+            came = np.where(diag == total, from_before[:, lo : hi + 1], np.where(left == total, from_last[:, lo + 1 : hi + 2], from_last[:, lo : hi + 1]))
+            if lo == 0:
+                came[:, 0] = d if subsequence else 0
+            if hi == d:
+                came[:, -1] = 0
+            from_fresh[:, lo + 1 : hi + 2] = came
+        if lo == 0:  # the first query row: a free start, or sums along it
+            total[:, 0] = 0 if subsequence or not d else left[:, 0]
+        np.add(total, cost, out=total)
         if hi == n - 1:
-            out[:, d - n + 1], start[:, d - n + 1] = total[:, -1], came[:, -1]
-        before, before_start, last, last_start = last, last_start, fresh, fresh_start
-    return out, start
+            out[:, d - n + 1] = total[:, -1]
+            if starts:
+                began[:, d - n + 1] = came[:, -1]
+        before, last, fresh = last, fresh, before
+        from_before, from_last, from_fresh = from_last, from_fresh, from_before
+    return out, began
 
 
 def cost_matrix(x: np.ndarray, y: np.ndarray, subsequence: bool = True) -> np.ndarray:

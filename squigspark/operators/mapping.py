@@ -102,7 +102,10 @@ def reference_blocks(refs: DataFrame, most_bytes: int) -> list[list[dict]]:
 
 
 def align(queries: list[np.ndarray], refs: list[dict], opt: MapOptions) -> list[list[dict]]:
-    """Best candidates of each query; queries of one length share the walk over a reference."""
+    """Best candidates of each query; queries of one length share the walk over a reference.
+
+    Only the best one has its start, which takes a second walk over that reference alone.
+    """
     out: list[list[dict]] = [[] for _ in queries]
     by_length: dict[int, list[int]] = {}
     for i, q in enumerate(queries):
@@ -110,20 +113,35 @@ def align(queries: list[np.ndarray], refs: list[dict], opt: MapOptions) -> list[
             by_length.setdefault(len(q), []).append(i)
     for n, members in by_length.items():
         for ref in refs:
-            # At most some 16 MB of rows at once.
-            step = max(1, (1 << 21) // max(1, len(ref["levels"])))
-            for at in range(0, len(members), step):
-                part = members[at : at + step]
-                rows, starts = dtw.last_row(np.stack([queries[i] for i in part]), ref["levels"], not opt.standard)
-                for i, row, start in zip(part, rows, starts, strict=True):
+            for part in _parts(members, len(ref["levels"])):
+                rows, _ = dtw.last_row(np.stack([queries[i] for i in part]), ref["levels"], not opt.standard, starts=False)
+                for i, row in zip(part, rows, strict=True):
                     ends = np.array([len(row) - 1]) if opt.standard else dtw.chunk_minima(row, n)
-                    for c, e in enumerate(ends.tolist()):
-                        hit = {k: ref[k] for k in ("ref_idx", "strand", "name", "ref_len", "seq_len", "st_offset")}
-                        out[i].append(hit | {"score": float(row[e]), "seq": (ref["seq"] << 32) + c, "pos_st": int(start[e]), "pos_end": e})
-                    out[i] = best(out[i], opt.candidates)
+                    hits = [{"score": float(row[e]), "seq": (ref["seq"] << 32) + c, "pos_st": None, "pos_end": e} for c, e in enumerate(ends.tolist())]
+                    out[i] = best(out[i] + [h | {k: ref[k] for k in _OF_REFERENCE} for h in best(hits, opt.candidates)], opt.candidates)
+        winners: dict[int, list[int]] = {}
+        for i in members:
+            if out[i]:
+                winners.setdefault(out[i][0]["seq"] >> 32, []).append(i)
+        by_number = {ref["seq"]: ref["levels"] for ref in refs}
+        for number, won in winners.items():
+            for part in _parts(won, len(by_number[number])):
+                levels = by_number[number][: max(out[i][0]["pos_end"] for i in part) + 1]
+                _, starts = dtw.last_row(np.stack([queries[i] for i in part]), levels, not opt.standard)
+                for i, start in zip(part, starts, strict=True):
+                    out[i][0]["pos_st"] = int(start[out[i][0]["pos_end"]])
     return out
 
 
+_OF_REFERENCE = ("ref_idx", "strand", "name", "ref_len", "seq_len", "st_offset")
+
+
+def _parts(members: list[int], columns: int) -> list[list[int]]:
+    """Members in parts whose last rows take some 8 MB at most."""
+    step = max(1, (1 << 21) // max(1, columns))
+    return [members[at : at + step] for at in range(0, len(members), step)]
+
+
 def best(candidates: list[dict], k: int) -> list[dict]:
     """The k of least score; of equals the later one is better."""
     return sorted(candidates, key=lambda c: (c["score"], -c["seq"]))[:k]
