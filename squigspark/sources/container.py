@@ -1,6 +1,6 @@
 """The signal container as a Spark data source: ``spark.read.format("signal")`` and ``df.write.format("signal")``.
 
-Text (``.slow5``) and binary (``.blow5``) files of one data set may lie in one folder.  The schema is
+Text and binary files of one data set may lie in one folder.  The schema is
 the fixed columns of a read, then the auxiliary columns that the first file declares.  Text files are
 cut into byte ranges at planning; binary ones are one partition each unless an index table
 (``record_index``) is used, which turns any set of records into evenly dealt byte ranges.
@@ -30,6 +30,7 @@ from ..schemas import READ, READ_GROUP, RECORD_INDEX
 from .codecs import RECORD_CODECS, SIGNAL_CODECS, codec_number, compress, decompress
 
 #: Fixed values of the format.
+TEXT_FILE, BINARY_FILE = ".slow5", ".blow5"
 MAGIC, END_MARK, TEXT_SIZE_AT = b"BLOW5\1", b"5WOLB", 64
 TEXT_HEAD = "#slow5_version\t{}\n#num_read_groups\t{}\n"
 FIXED_TYPES = "#char*\tuint32_t\tdouble\tdouble\tdouble\tdouble\tuint64_t\tint16_t*"
@@ -161,7 +162,7 @@ def read_header(stream, binary: bool) -> Header:
 def open_header(path: str) -> Header:
     store, at = store_of(path)
     with store.open_input_stream(at, compression=None) as stream:
-        return read_header(stream, path.endswith(".blow5"))
+        return read_header(stream, path.endswith(BINARY_FILE))
 
 
 def list_files(path: str) -> list[tuple[str, int]]:
@@ -171,7 +172,7 @@ def list_files(path: str) -> list[tuple[str, int]]:
     if info.type == fs.FileType.Directory:
         found = store.get_file_info(fs.FileSelector(at, recursive=True))
         prefix = path.rstrip("/")
-        return sorted((posixpath.join(prefix, posixpath.relpath(f.path, at)), f.size) for f in found if f.path.endswith((".slow5", ".blow5")))
+        return sorted((posixpath.join(prefix, posixpath.relpath(f.path, at)), f.size) for f in found if f.path.endswith((TEXT_FILE, BINARY_FILE)))
     return [(path, info.size)]
 
 
@@ -309,7 +310,7 @@ class SignalReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         out = []
         for path, size in list_files(self.path):
-            if path.endswith(".blow5"):
+            if path.endswith(BINARY_FILE):
                 out.append(Range(path, 0, size))
             else:
                 out += [Range(path, at, min(size, at + self.split)) for at in range(0, size, self.split)]
@@ -317,7 +318,7 @@ class SignalReader(DataSourceReader):
 
     def rows(self, part: Range) -> Iterator[tuple]:
         store, at = store_of(part.path)
-        if part.path.endswith(".blow5"):
+        if part.path.endswith(BINARY_FILE):
             with store.open_input_stream(at, compression=None, buffer_size=1 << 20) as stream:
                 h = read_header(stream, True)
                 for _, data in binary_records(stream, h):
@@ -412,7 +413,7 @@ class SignalWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, at = store_of(self.path)
         store.create_dir(at, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.{'blow5' if self.binary else 'slow5'}"
+        name = f"part-{uuid.uuid4().hex}{BINARY_FILE if self.binary else TEXT_FILE}"
         n = 0
         with store.open_output_stream(posixpath.join(at, name), compression=None) as out:
             out.write(self.header.to_bytes())
@@ -429,7 +430,7 @@ class SignalWriter(DataSourceArrowWriter):
         kept = {m.path for m in messages if m}
         if self.overwrite:
             for f in store.get_file_info(fs.FileSelector(at)):
-                if f.base_name not in kept and f.base_name.endswith((".slow5", ".blow5")):
+                if f.base_name not in kept and f.base_name.endswith((TEXT_FILE, BINARY_FILE)):
                     store.delete_file(f.path)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -477,7 +478,7 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
 
 def record_index(spark: SparkSession, path: str) -> DataFrame:
     """Where each record of the binary containers at ``path`` lies; keep it as a table beside them."""
-    files = spark.createDataFrame([(p,) for p, _ in list_files(path) if p.endswith(".blow5")], "path string")
+    files = spark.createDataFrame([(p,) for p, _ in list_files(path) if p.endswith(BINARY_FILE)], "path string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

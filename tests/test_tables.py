@@ -54,9 +54,9 @@ def test_container_round_trip(spark, tmp_path, options):
 
 def test_text_container_by_hand(spark, tmp_path):
     container.register(spark)
-    p = tmp_path / "x.slow5"
+    p = tmp_path / f"x{container.TEXT_FILE}"
     p.write_text(
-        "#slow5_version\t0.2.0\n#num_read_groups\t1\n@experiment_type\trna\n@sequencing_kit\tsqk-rna004\n" + container.FIXED_TYPES + "\tenum{A,B}\tuint8_t\n" + container.FIXED_NAMES + "\te\tu\n"
+        container.TEXT_HEAD.format("0.2.0", 1) + "@experiment_type\trna\n@sequencing_kit\tsqk-rna004\n" + container.FIXED_TYPES + "\tenum{A,B}\tuint8_t\n" + container.FIXED_NAMES + "\te\tu\n"
         "r0\t0\t8192\t6\t1467.61\t4000\t4\t430,472,463,467\t1\t255\n"
     )
     row = spark.read.format("signal").load(str(p)).first()
@@ -71,7 +71,7 @@ def test_text_container_by_hand(spark, tmp_path):
 def test_cut_off_binary(spark, tmp_path):
     container.register(spark)
     reads(spark).coalesce(1).write.format("signal").mode("append").save(str(tmp_path / "o"))
-    f = next((tmp_path / "o").glob("*.blow5"))
+    f = next((tmp_path / "o").glob("*" + container.BINARY_FILE))
     f.write_bytes(f.read_bytes()[:-5])
     with pytest.raises(Exception, match="cut off"):
         spark.read.format("signal").load(str(f)).collect()
