@@ -8,15 +8,16 @@ are ordered by id and stand in blocks; each term keeps its largest contribution
 Query: every whole document is cut into half-overlapping passages, twice as long as the longest
 item, so an item's words lie within one passage.  The block maxima of a passage's terms bound the
 score of all items of a block.  Only where a bound reaches the threshold does a block-max WAND
-traversal of the passage's postings follow: it aligns cursors at the pivot, the first item whose
-terms' maxima could reach the threshold, skips blocks that cannot, and scores what remains.  Every
-item at or above the threshold is retrieved; there is no top-k cut.
+traversal of the block's postings follow: it aligns cursors at the pivot, the first item whose
+terms' maxima could reach the threshold, and scores what remains.  Every item at or above the
+threshold is retrieved; there is no top-k cut.  The bounds are sums over arrays: first over half
+passages, where a term in both halves counts twice, then over the terms of the passages left.
 
 Verification: items are split into question and answer (the last sentence; the last quarter of the
 words if there is one sentence only).  Both must share at least ``overlap`` of their distinct
 five-word shingles with the passage (all words in order for fewer than five).
 
-Terms are words between white space, lower-cased, without the punctuation at their ends.
+Terms are words between ASCII white space, lower-cased, without the punctuation at their ends.
 
 The index goes to the executors as a broadcast of bounded size: items are dealt to as many shards as
 keep each below ``shard_chars`` characters, and each shard is one pass over the documents.
@@ -31,16 +32,17 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import heapify
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices
 
+SPACE = re.compile(r"[ \t\n\v\f\r]+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -51,13 +53,14 @@ class DecontaminationConfig:
     shingle: int = 5
     k1: float = 1.2
     b: float = 0.75
-    block_items: int = 8
-    shard_chars: int = 4 << 20
+    block_items: int = 4  # at least; larger where a shard would have more than most_blocks
+    most_blocks: int = 256
+    shard_chars: int = 1 << 20
     remembered: int = 500_000  # chunks of text whose terms a worker keeps
 
 
 def words_of(text: str) -> list[str]:
-    return [w for chunk in text.split() if (w := EDGES.sub("", chunk).lower())]
+    return [w for chunk in SPACE.split(text) if (w := EDGES.sub("", chunk).lower())]
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
@@ -111,58 +114,47 @@ class Index:
             whole = sum(own.values())
             for w, x in own.items():
                 self.postings[self.terms[w]].append((item, x / whole))
-        blocks = max(1, -(-len(kept) // cfg.block_items))
-        self.block_max = np.zeros((len(self.terms), blocks), dtype=np.float32)
+        size = max(cfg.block_items, -(-len(kept) // cfg.most_blocks))
+        self.block_max = np.zeros((len(self.terms), max(1, -(-len(kept) // size))), dtype=np.float32)
+        self.in_block: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
         for t, posting in enumerate(self.postings):
             for item, x in posting:
-                b = item // cfg.block_items
+                b = item // size
                 self.block_max[t, b] = max(self.block_max[t, b], x * (1 + 1e-6))
-        self.term_max = self.block_max.max(axis=1) if len(self.terms) else np.zeros(0, np.float32)
+                self.in_block[t, b].append((item, x))
+        self.in_block = dict(self.in_block)
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
-        """All (item, score) at or above the threshold, by block-max WAND over the distinct terms."""
+        """All (item, score) at or above the threshold, over the distinct terms."""
         need = self.cfg.threshold - 1e-9
-        size = self.cfg.block_items
-        cursors = [[self.postings[t][0][0], t, 0] for t in terms if self.postings[t]]  # item, term, place
-        heapify(cursors)
         out = []
-
-        def advance(cursor: list[int], to: int) -> None:
-            posting, i = self.postings[cursor[1]], cursor[2]
-            while i < len(posting) and posting[i][0] < to:
-                i += 1
-            cursor[2] = i
-            cursor[0] = posting[i][0] if i < len(posting) else 1 << 60
-
-        while cursors and cursors[0][0] < 1 << 60:
-            order = sorted(cursors)
-            bound, pivot = 0.0, None
-            for c in order:
-                if c[0] >= 1 << 60:
-                    break
-                bound += self.term_max[c[1]]
-                if bound >= need:
-                    pivot = c[0]
+        for b in np.flatnonzero(self.block_max[terms].sum(axis=0) >= need - 1e-5).tolist():
+            # A cursor: item, place in the block's posting, the term's block maximum, the posting.
+            cursors = [[p[0][0], 0, float(self.block_max[t, b]), p] for t in terms if (p := self.in_block.get((t, b)))]
+            while cursors:
+                cursors.sort(key=lambda c: c[0])
+                bound, pivot = 0.0, None
+                for c in cursors:
+                    bound += c[2]
+                    if bound >= need:
+                        pivot = c[0]
+                        break
+                if pivot is None:
                     break
-            if pivot is None:
-                break
-            block = pivot // size
-            within = [c for c in order if c[0] <= pivot]
-            if float(sum(self.block_max[c[1], block] for c in within)) < need:
-                # No item of this block at or after the pivot can do it with these terms alone, so
-                # move to the next block or to the next term's item, whichever is first.
-                later = min((c[0] for c in order if c[0] > pivot), default=1 << 60)
-                to = max(pivot + 1, min((block + 1) * size, later))
-            else:
-                for c in within:
-                    advance(c, pivot)
-                score = sum(self.postings[c[1]][c[2]][1] for c in within if c[0] == pivot)
+                score = 0.0
+                for c in cursors:
+                    if c[0] > pivot:
+                        break
+                    posting, i = c[3], c[1]
+                    while i < len(posting) and posting[i][0] < pivot:
+                        i += 1
+                    if i < len(posting) and posting[i][0] == pivot:
+                        score += posting[i][1]
+                        i += 1
+                    c[0], c[1] = (posting[i][0], i) if i < len(posting) else (-1, i)
                 if score >= need:
                     out.append((pivot, score))
-                to = pivot + 1
-            for c in within:
-                advance(c, to)
-            heapify(cursors)
+                cursors = [c for c in cursors if c[0] >= 0]
         return out
 
 
@@ -174,42 +166,44 @@ class Matcher:
         self.known: dict[str, int] = {}
 
     def terms(self, chunks: list[str]) -> np.ndarray:
+        """Number of each chunk's term; -1 for words that no item holds, -2 for chunks without a word."""
         known, terms = self.known, self.index.terms
         if len(known) > self.index.cfg.remembered:
             known.clear()
-        for c in dict.fromkeys(chunks):
-            if c not in known:
-                w = EDGES.sub("", c).lower()
-                known[c] = terms.get(w, -1) if w else -2
-        return np.fromiter(map(known.__getitem__, chunks), dtype=np.int32, count=len(chunks))
-
-    def match(self, texts_: list[str]) -> list[list[tuple[int, float, float, float, int]]]:
+        found = list(map(known.get, chunks))
+        for i, x in enumerate(found):
+            if x is None:
+                w = EDGES.sub("", chunks[i]).lower()
+                found[i] = known[chunks[i]] = terms.get(w, -1) if w else -2
+        return np.array(found, dtype=np.int32)
+
+    def match(self, column: pa.Array) -> list[list[tuple[int, float, float, float, int]]]:
         """For each text: (item's place, score, question overlap, answer overlap, first word of the passage)."""
         index, step = self.index, self.index.longest
-        out: list[list[tuple[int, float, float, float, int]]] = [[] for _ in texts_]
+        out: list[list[tuple[int, float, float, float, int]]] = [[] for _ in range(len(column))]
         if not index.ids:
             return out
-        split = [t.split() for t in texts_]
-        term = self.terms([c for chunks in split for c in chunks])
-        doc = np.repeat(np.arange(len(split)), [len(c) for c in split])
-        word = np.flatnonzero(term != -2)  # chunks of punctuation only are no words
+        split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        counted = split.flatten().dictionary_encode()
+        distinct = counted.dictionary.to_pylist()
+        chunk = counted.indices.to_numpy()
+        term = self.terms(distinct)[chunk]
+        doc = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
+        word = np.flatnonzero(term != -2)
         term, doc = term[word], doc[word]
-        if not len(term):
+        if not (term >= 0).any():
             return out
         first = np.searchsorted(doc, np.arange(len(split)))  # each text's first word
-        chunk_at = np.concatenate([[0], np.cumsum([len(c) for c in split])])
         half = (np.arange(len(doc)) - first[doc]) // step  # half passages, numbered within the text
-        base = np.concatenate([[0], np.cumsum([h + 2 for h in np.bincount(doc, minlength=len(split)) // step])])
+        base = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(split)) // step + 2)])
         slot = base[doc] + half  # a free slot after each text: passages never reach into the next one
         hit = np.flatnonzero(term >= 0)
-        if not len(hit):
-            return out
         pair = np.unique(slot[hit] * len(index.terms) + term[hit])
         at, t = pair // len(index.terms), pair % len(index.terms)
         bounds = np.zeros((int(base[-1]) + 1, index.block_max.shape[1]), dtype=np.float32)
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         bounds[at[starts]] = np.add.reduceat(index.block_max[t], starts, axis=0)
-        reach = (bounds[:-1] + bounds[1:]).max(axis=1) >= index.cfg.threshold - 1e-6
+        reach = (bounds[:-1] + bounds[1:]).max(axis=1) >= index.cfg.threshold - 1e-4
         for s in np.flatnonzero(reach).tolist():
             lo, hi = np.searchsorted(at, [s, s + 2])
             found = index.search(np.unique(t[lo:hi]).tolist())
@@ -218,8 +212,7 @@ class Matcher:
             d = int(np.searchsorted(base, s, side="right")) - 1
             begin = int(first[d]) + (s - int(base[d])) * step
             end = min(begin + 2 * step, int(np.searchsorted(doc, d, side="right")))
-            chunks, offset = split[d], int(chunk_at[d])
-            passage = [EDGES.sub("", chunks[w - offset]).lower() for w in word[begin:end].tolist()]
+            passage = [EDGES.sub("", distinct[c]).lower() for c in chunk[word[begin:end]].tolist()]
             for item, score in found:
                 q = held_share(index.question[item], passage, index.cfg.shingle)
                 a = held_share(index.answer[item], passage, index.cfg.shingle)
@@ -256,9 +249,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = Matcher(shared.value)
-            for batch in slices(batches, text, 1 << 20):
+            for batch in slices(batches, text, 4 << 20):
                 ids = batch.column(0).to_pylist()
-                rows = [(d, m.index.ids[i], *rest) for d, found in zip(ids, m.match(texts(batch, text)), strict=True) for i, *rest in found]
+                rows = [(d, m.index.ids[i], *rest) for d, found in zip(ids, m.match(batch.column(batch.schema.get_field_index(text))), strict=True) for i, *rest in found]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
@@ -274,8 +267,8 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationC
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = Matcher(shared.value)
-            for batch in slices(batches, text, 1 << 20):
-                yield batch.filter(pa.array([not found for found in m.match(texts(batch, text))], pa.bool_()))
+            for batch in slices(batches, text, 4 << 20):
+                yield batch.filter(pa.array([not found for found in m.match(batch.column(batch.schema.get_field_index(text)))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
