@@ -49,3 +49,15 @@ def eval_job(spark: SparkSession, truth: str, test: str, opt: EvalOptions = Eval
     """The accuracy report of two mapping files, as ordered lines."""
     a, b = read_paf(spark, truth), read_paf(spark, test)
     return report_lines(summary(a, b, opt), mapq_histogram(a, b, opt)).select("value")
+
+
+def convert_job(spark: SparkSession, source: str, out: str, kind: str = "binary", **options: str) -> None:
+    """Containers from one form or compression to another, records and header attributes alike."""
+    register(spark)
+    groups = read_groups(spark, source).orderBy("read_group").collect()
+    attrs: dict[str, list[str]] = {}
+    for g in groups:
+        for name, value in g["attrs"].items():
+            attrs.setdefault(name, []).append(value)
+    named = {f"attr.{name}": "\t".join(values) for name, values in attrs.items()}
+    spark.read.format("signal").load(source).write.format("signal").mode("append").options(container=kind, **options, **named).save(out)

@@ -196,6 +196,10 @@ def window_zscore(spark, d):
     return windows.with_zscore(samples(spark, d), "raw").withColumn("z", F.round("z", 6))
 
 
+def global_zscore(spark, d):
+    return windows.global_zscore(samples(spark, d), "raw").withColumn("z", F.round("z", 6))
+
+
 def chunk_argmin(spark, d):
     return windows.chunk_argmin(samples(spark, d), 10, ["read"], "i", "raw")
 
@@ -388,7 +392,7 @@ def map_paf(spark, d):
 
 FUNCTIONS = [
     paf_eval_summary, paf_eval_tid_only, paf_eval_primary_only, paf_eval_mapq_hist, paf_eval_only_in_test, paf_eval_outcomes, truth_dup_reads, batch_lookup, raw_to_pa, clamp_outliers, array_stats, array_prefix_sums,
-    array_zscore, number_texts, mapping_qualities, prefix_sums, rolling_mean, tstat_short, tstat_long, window_zscore, chunk_argmin, top_hits, event_stats, contig_complements, kmer_ranks, ref_levels, ref_zscore,
+    array_zscore, number_texts, mapping_qualities, prefix_sums, rolling_mean, tstat_short, tstat_long, window_zscore, global_zscore, chunk_argmin, top_hits, event_stats, contig_complements, kmer_ranks, ref_levels, ref_zscore,
     rna_segment, query_window_start, query_window_end, read_status_counts, dtw_cost_sub, dtw_cost_std, dtw_chunk_minima, dtw_best_hit, paf_format, sam_format, paf_roundtrip, events_detect, adaptor_segments,
     band_segments, codec_roundtrip, container_binary, container_text, map_paf,
 ]
@@ -469,6 +473,7 @@ CASE WHEN event_id % 2 = 0 THEN CAST(event_id // 2 AS VARCHAR) ELSE CAST(event_i
     "tstat_long": _tstat_sql(6),
     "window_zscore": f"""WITH {SAMPLES}, s AS (SELECT *, count(*) OVER w AS n, sum(raw) OVER w AS s, sum(raw * raw) OVER w AS q FROM samples WINDOW w AS (PARTITION BY read)),
 v AS (SELECT *, (q * n - s * s)::DOUBLE / (n * n)::DOUBLE AS var FROM s) SELECT read, i, raw, CASE WHEN var > 0 THEN round((raw - s::DOUBLE / n) / sqrt(var), 6) END AS z FROM v""",
+    "global_zscore": f"WITH {SAMPLES} SELECT read, i, raw, round((raw - avg(raw) OVER ()) / stddev_pop(raw) OVER (), 6) AS z FROM samples",
     "chunk_argmin": f"WITH {SAMPLES} SELECT read, CAST(i // 10 AS INT) AS chunk, min(raw) AS raw, arg_min(i, raw * 10000 + i) AS i FROM samples GROUP BY read, i // 10",
     "top_hits": f"WITH {SAMPLES} SELECT * FROM (SELECT read, i, raw, CAST(row_number() OVER (PARTITION BY read ORDER BY raw, i DESC) AS INT) AS rank FROM samples) WHERE rank <= 5",
     "event_stats": f"""WITH {SAMPLES}, j AS (SELECT *, i = 0 OR abs(raw - lag(raw) OVER (PARTITION BY read ORDER BY i)) > 5000 AS cut FROM samples),

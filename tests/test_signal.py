@@ -101,3 +101,15 @@ def test_self_distance_is_zero():
     x = np.random.default_rng(1).normal(size=30)
     rows, starts = dtw.last_row(x[None], x)
     assert rows[0][-1] == 0 and starts[0][-1] == 0
+
+
+def test_query_start_after_adaptor_and_tail():
+    rng = np.random.default_rng(0)
+    parts = [(500, 100), (3000, 50), (600, 80), (4000, 100)]
+    x = np.concatenate([rng.normal(v, 1, n) for n, v in parts]).astype(np.float32)
+    opt = segments.PlateauOptions(scale=0.5, seg_dist=50, window=100, most=10000, least=1000)
+    starts = np.arange(0, len(x), 20)
+    at = segments.query_start(x, x, starts, opt)
+    assert 4050 <= starts[at] <= 4300
+    assert segments.query_start(x[:50], x[:50], starts, opt) == -1
+    assert segments.query_start(x[:3600], x[:3600], starts[:180], opt) == -1  # the tail has no end

@@ -172,6 +172,29 @@ def test_planted_reads_map_home(spark):
             assert r.mapq > 0
 
 
+@pytest.mark.parametrize("options", [{}, {"standard": True}, {"invert": True}, {"full_ref": True}, {"from_end": True}])
+def test_rna(spark, options):
+    """RNA passes the pore from its 3' end, so its signal is the reference's levels backwards."""
+    k, n = 5, 60
+    rng = np.random.default_rng(4)
+    contigs = spark.createDataFrame([(i, f"c{i}", "".join(rng.choice(list("ACGU"), 300))) for i in range(4)], "ref_idx int, name string, seq string")
+    model = reference.model_from_rule(spark, k)
+    opt = MapOptions(rna=True, prefix=0, query=n, rna_letters=True, **options)
+    make = lambda **o: reference.synthetic_references(contigs, model, k, rna=True, rna_letters=True, **o)
+    refs = make(full=opt.full_ref, query_size=n, from_end=opt.from_end, invert=opt.invert)
+    rows = []
+    for r in make(full=True, normalise="none").collect():
+        levels = r.levels[:70] if opt.from_end else r.levels[-70:]
+        x = np.repeat(np.array(levels[::-1]), 20) * 10
+        rows.append((r.name, 0, 1.0, 0.0, 0.1, 4000.0, len(x), [int(v) for v in x]))
+    got = mapping.map_reads(spark.createDataFrame(rows, READ), refs, opt).collect()
+    assert len(got) == 4 and all(r.strand == "+" for r in got)
+    if not opt.standard:
+        assert all(r.tid == r.rid for r in got)
+    if not options:
+        assert all(r.target_end >= 280 and r.target_start >= 200 for r in got)
+
+
 def test_blocks_give_the_same(spark):
     reads_, refs, _ = planted(spark)
     a, b = (sorted(map(tuple, mapping.map_reads(reads_, refs, MapOptions(prefix=5, query=60, reference_bytes=n)).collect())) for n in (1, 1 << 28))
@@ -214,3 +237,13 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("acc").agg(F.sum("count")).first()[0] == 6
+
+
+def test_convert(spark, tmp_path):
+    from squigspark.plans.jobs import convert_job
+
+    container.register(spark)
+    reads(spark).coalesce(1).write.format("signal").mode("append").option("container", "text").option("attr.run", "a").save(str(tmp_path / "t"))
+    convert_job(spark, str(tmp_path / "t"), str(tmp_path / "b"), record_press="zstd")
+    a, b = (sorted(map(tuple, spark.read.format("signal").load(str(tmp_path / x)).collect()), key=lambda r: r[0]) for x in "tb")
+    assert a == b and container.read_groups(spark, str(tmp_path / "b")).first().attrs == {"run": "a"}
