@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, htmltext, langid, packing, secrets, simhash, toxicity, urlfilter, warc
-from .common import id_bucket, table
+from .common import id_bucket, spread, table
 
 LANG_FOLDS, LANG_HELD = 4, 2
 TOXIC_FOLDS, TOXIC_HELD = 5, 0
@@ -26,23 +26,23 @@ def langid_model(docs: DataFrame) -> langid.LangIdModel:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     held = F.coalesce(id_bucket("doc_id", LANG_FOLDS) == LANG_HELD, F.lit(False))
     scored = langid.with_language(docs.select("doc_id", "text", held.alias("held_out")), langid_model(docs))
     return scored.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), packing_config())
+    return packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), packing_config())
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = simhash.near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return found.select("doc_id", simhash.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.fit_toxicity(docs, labels, id_bucket("doc_id", TOXIC_FOLDS) != TOXIC_HELD)
     held = F.coalesce(id_bucket("doc_id", TOXIC_FOLDS) == TOXIC_HELD, F.lit(False))
@@ -57,7 +57,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secrets.digests(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op7_near_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +71,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmltext.page_texts(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return htmltext.page_texts(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
