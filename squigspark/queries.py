@@ -270,7 +270,8 @@ DTW_COLUMNS, DTW_CHUNK = 40, 12
 def _dtw(spark, d, subsequence: bool) -> DataFrame:
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("long"))
     y = F.transform(F.sequence(F.lit(0), F.lit(DTW_COLUMNS - 1)), lambda j: ((j * 37) % 101 * 5 - 250).cast("long"))
-    return table(spark, d, "embeddings").select("vec_id", arrays.dtw_last_row(x, y, subsequence).alias("row"))
+    vectors = table(spark, d, "embeddings").repartition(spark.sparkContext.defaultParallelism)  # few rows, much work for each
+    return vectors.select("vec_id", arrays.dtw_last_row(x, y, subsequence).alias("row"))
 
 
 def dtw_cost_sub(spark, d):
