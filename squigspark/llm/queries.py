@@ -71,7 +71,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.matches(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("score", F.round("score", 6))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,4 +107,28 @@ ORACLE = {
              c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
              n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
         SELECT c.a AS vec_id, coalesce(n.n, 0) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n ON n.a = c.a""",
+    "op9_decontamination": r"""
+        WITH raw_words AS (SELECT 'd' AS kind, doc_id AS id, 0 AS part, string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+') AS c FROM documents),
+             item_parts AS (SELECT item_id, unnest(p) AS s, generate_subscripts(p, 1) AS part
+                            FROM (SELECT item_id, string_split(regexp_replace(regexp_replace(trim(text), '([.?!:])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) AS p FROM benchmark)),
+             pieces AS (SELECT * FROM raw_words UNION ALL SELECT 'i', item_id, part, string_split_regex(s, '[ \t\n\v\f\r]+') FROM item_parts),
+             chunks AS (SELECT kind, id, part, unnest(c) AS c, generate_subscripts(c, 1) AS k FROM pieces),
+             terms AS (SELECT kind, id, part, k, lower(regexp_replace(regexp_replace(c, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', '')) AS t FROM chunks),
+             words AS (SELECT kind, id, part, t, row_number() OVER (PARTITION BY kind, id ORDER BY part, k) - 1 AS i FROM terms WHERE t <> ''),
+             item_words AS (SELECT id AS item_id, t, i, count(*) OVER (PARTITION BY id) AS n, max(part) OVER (PARTITION BY id) AS last, min(part) OVER (PARTITION BY id) AS first, part FROM words WHERE kind = 'i'),
+             sides AS (SELECT item_id, t, i, n, CASE WHEN first < last THEN part = last WHEN n > 1 THEN i >= n - greatest(1, n // 4) ELSE false END AS answer FROM item_words),
+             sizes AS (SELECT count(*) AS items, avg(n) AS mean, max(n) AS longest FROM (SELECT item_id, max(n) AS n FROM item_words GROUP BY item_id)),
+             tf AS (SELECT item_id, t, any_value(n) AS n, count(*) AS tf FROM item_words GROUP BY item_id, t),
+             df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+             own AS (SELECT item_id, t, ln(1 + (items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) AS x FROM tf JOIN df USING (t), sizes),
+             weights AS (SELECT item_id, t, x / sum(x) OVER (PARTITION BY item_id) AS x FROM own),
+             placed AS (SELECT id AS doc_id, t, i, i // longest - b AS p FROM words, sizes, (VALUES (0), (1)) AS v(b) WHERE kind = 'd' AND i // longest - b >= 0),
+             scores AS (SELECT doc_id, p, item_id, sum(x) AS score FROM (SELECT DISTINCT doc_id, p, t FROM placed) JOIN weights USING (t) GROUP BY doc_id, p, item_id HAVING sum(x) >= 0.6::DOUBLE - 1e-9::DOUBLE),
+             texts AS (SELECT doc_id, p, ' ' || string_agg(t, ' ' ORDER BY i) || ' ' AS s FROM placed SEMI JOIN scores USING (doc_id, p) GROUP BY doc_id, p),
+             wanted AS (SELECT item_id, answer, list(t ORDER BY i) AS ts FROM sides GROUP BY item_id, answer),
+             shingled AS (SELECT item_id, answer, CASE WHEN len(ts) >= 5 THEN list_distinct(list_transform(range(1, len(ts) - 3), lambda j: array_to_string(ts[j:j + 4], ' '))) ELSE [array_to_string(ts, ' ')] END AS g FROM wanted),
+             held AS (SELECT doc_id, p, item_id, answer, len(list_filter(g, lambda q: contains(s, ' ' || q || ' ')))::DOUBLE / len(g) AS share FROM scores JOIN texts USING (doc_id, p) JOIN shingled USING (item_id)),
+             judged AS (SELECT doc_id, p, item_id, score, coalesce(max(share) FILTER (NOT answer), 1) AS q, coalesce(max(share) FILTER (answer), 1) AS a FROM scores LEFT JOIN held USING (doc_id, p, item_id) GROUP BY ALL),
+             ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(score, 9) DESC, q DESC, a DESC, p) AS r FROM judged WHERE q >= 0.8 AND a >= 0.8)
+        SELECT doc_id, item_id, round(score, 6) AS score, q AS question_overlap, a AS answer_overlap, p * longest AS passage_start FROM ranked, sizes WHERE r = 1""",
 }
