@@ -57,9 +57,20 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+#: ASCII letters stand for themselves; digits, punctuation and controls count as a space.
+_ASCII = np.array([i if chr(i).isalpha() else 32 for i in range(128)], dtype="<u4")
+
+
 def ngram_counts(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the text's character 1-, 2- and 3-grams, and how often each occurs."""
+    """Buckets of the text's character 1-, 2- and 3-grams, and how often each occurs.
+
+    Runs of ASCII characters that aren't letters count as one space: numbers, addresses and markup
+    tell nothing about the language.
+    """
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    c = np.where(c < 128, _ASCII[np.minimum(c, 127)], c)
+    if len(c):
+        c = c[~((c == 32) & (np.concatenate([c[:1] * 0, c[:-1]]) == 32))]
     shift = np.uint32(32 - bits)
     one = c * np.uint32(0x9E3779B1)
     grams = [one]
