@@ -46,11 +46,13 @@ class PackingConfig:
 class ChunkTokenizer:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    A chunk's code is its place in a table of (offset, length) into one flat array of ids.
+    Known chunks stand in one Arrow column (some 15 bytes each, where a dictionary takes 200); each has
+    a code, its place in a table of (offset, length) into one flat array of ids.
     """
 
     #: Letters that lower-case to one letter of their own wherever they stand, then plain punctuation.
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'<|>\u0080-\U0010ffff]*)")
+    GATHERED = 1 << 18  # chunks whose ids are copied at once
 
     def __init__(self, path: str, remembered: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,87 +66,100 @@ class ChunkTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.codes: dict[str, int] = {"": 0}
+        self.known, self.code = pa.array([""], pa.string()), np.zeros(1, dtype=np.int32)
         self.flat = np.zeros(1 << 20, dtype="<u4")
-        self.off, self.len = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
-        self.used, self.known = 0, 1
+        self.off, self.len = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32)
+        self.used, self.stored = 0, 1
 
-    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+    def _store(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Keep the ids of new chunks, one after the other; their codes."""
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.known + len(lengths) > len(self.off):
+        while self.stored + len(lengths) > len(self.off):
             self.off, self.len = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.len))
-        new = range(self.known, self.known + len(lengths))
+        new = slice(self.stored, self.stored + len(lengths))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.off[new.start : new.stop] = self.used + np.cumsum(lengths) - lengths
-        self.len[new.start : new.stop] = lengths
-        self.used, self.known = self.used + len(ids), new.stop
-        return new
+        self.off[new] = self.used + np.cumsum(lengths) - lengths
+        self.len[new] = lengths
+        self.used, self.stored = self.used + len(ids), new.stop
+        return np.arange(new.start, new.stop, dtype=np.int32)
 
     def _gather(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks in a row, and how many each has."""
         n = self.len[code]
-        end = np.cumsum(n)
+        end = np.cumsum(n, dtype=np.int64)
         at = np.repeat(self.off[code] - (end - n), n)
         at += np.arange(len(at))
         return self.flat[at], n
 
-    def _encode(self, chunks: list[str]) -> None:
-        found = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        self.codes.update(zip(chunks, self._store(np.concatenate(found), np.array([len(x) for x in found])), strict=True))
+    def _look_up(self, chunks: pa.Array) -> np.ndarray:
+        """Codes; -1 for unknown chunks."""
+        at = pc.fill_null(pc.index_in(chunks, value_set=self.known), -1).to_numpy()
+        return np.where(at < 0, np.int32(-1), self.code[at])
 
-    def _learn(self, chunks: list[str]) -> None:
-        codes, plain, other, words, tails = self.codes, [], [], {}, {}
-        for c in chunks:
+    def _encode(self, chunks: list[str]) -> np.ndarray:
+        found = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return self._store(np.concatenate(found), np.array([len(x) for x in found]))
+
+    def _encode_words(self, words: list[str]) -> np.ndarray:
+        # A word's last token closes it, so the ids of a joined list of words can be told apart.
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return self._store(ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._encode(words)
+
+    def _learn(self, chunks: pa.Array) -> np.ndarray:
+        """Codes of unknown chunks, which are known from now on."""
+        code = np.full(len(chunks), -1, dtype=np.int32)
+        place, words, tails, other, joined = {}, [], [], [], []  # place: of each distinct word and tail
+        word_of = np.full(len(chunks), -1, dtype=np.int32)
+        names = chunks.to_pylist()
+        for i, c in enumerate(names):
             if m := self.PLAIN.fullmatch(c):
                 word, tail = m.groups()
-                word = word.lower()
-                plain.append((c, word, tail))
-                if word not in codes:
-                    words[word] = None
-                if tail and tail not in codes:
-                    tails[tail] = None
+                word_of[i] = place.setdefault(word.lower(), len(place))
+                if tail:
+                    joined.append(i)
+                    tails.append(tail)
             else:
-                other.append(c)
-        if words:
-            # A word's last token closes it, so the ids of a joined list of words can be told apart.
-            new = list(words)
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(new):
-                codes.update(zip(new, self._store(ids, np.diff(ends, prepend=0)), strict=True))
-            else:  # a vocabulary without marked word ends
-                self._encode(new)
-        if other or tails:
-            self._encode(other + [t for t in tails if t not in codes])
-        joined = [p for p in plain if p[2]]
+                other.append(i)
+        words = pa.array(place, pa.string())
+        words_code = self._look_up(words)
+        fresh = np.flatnonzero(words_code < 0)
+        if len(fresh):
+            words_code[fresh] = self._encode_words(words.take(pa.array(fresh)).to_pylist())
+        plain = word_of >= 0
+        code[plain] = words_code[word_of[plain]]
+        if other:
+            code[other] = self._encode([names[i] for i in other])
         if joined:
-            pairs = np.array([(codes[w], codes[t]) for _, w, t in joined])
-            ids, n = self._gather(pairs.ravel())
-            codes.update(zip([c for c, _, _ in joined], self._store(ids, n.reshape(-1, 2).sum(axis=1)), strict=True))
-        codes.update((c, codes[w]) for c, w, t in plain if not t)
+            kinds = list(dict.fromkeys(tails))
+            tail_code = dict(zip(kinds, self._encode(kinds).tolist(), strict=True))
+            ids, n = self._gather(np.stack([code[joined], [tail_code[t] for t in tails]], axis=1).ravel())
+            code[joined] = self._store(ids, n.reshape(-1, 2).sum(axis=1))
+        # Words stand for their other forms too; those that are chunks of this batch are listed already.
+        more = words.take(pa.array(fresh))
+        apart = pc.invert(pc.is_in(more, value_set=chunks))
+        self.known = pa.concat_arrays([self.known, chunks, more.filter(apart)])
+        self.code = np.concatenate([self.code, code, words_code[fresh][apart.to_numpy(zero_copy_only=False)]])
+        return code
 
     def encode_many(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text of a string column; a null text has none."""
         chunks = pc.split_pattern(pc.replace_substring(pc.fill_null(column, ""), "\n", " "), " ")
         counted = chunks.flatten().dictionary_encode()
-        distinct = counted.dictionary.to_pylist()
-        found = list(map(self.codes.get, distinct))
-        if missing := [c for c, code in zip(distinct, found, strict=True) if code is None]:
-            if self.known + len(missing) > self.remembered:
+        code = self._look_up(counted.dictionary)
+        unknown = code < 0
+        if unknown.any():
+            if len(self.known) + int(unknown.sum()) > self.remembered:
                 self.forget()
-                missing = [c for c in distinct if c]
-                found = [None] * len(distinct)
-            self._learn(missing)
-            found = [self.codes[c] if code is None else code for c, code in zip(distinct, found, strict=True)]
-        code = np.array(found, dtype=np.int64)
+                unknown = self._look_up(counted.dictionary) < 0
+                code = np.zeros(len(code), dtype=np.int32)
+            code[unknown] = self._learn(counted.dictionary.filter(pa.array(unknown)))
         bounds = chunks.offsets.to_numpy()
         code = code[counted.indices.to_numpy()]
-        # A bounded number of chunks at a time, so that indices into the ids stay small.
         first = 0
         while first < len(chunks):
-            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + (1 << 20), side="right")) - 1)
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + self.GATHERED, side="right")) - 1)
             ids, n = self._gather(code[bounds[first] - bounds[0] : bounds[last] - bounds[0]])
             done = np.concatenate([[0], np.cumsum(n)])[bounds[first : last + 1] - bounds[first]]
             for i in range(last - first):
@@ -163,7 +178,7 @@ def document_pieces(docs: DataFrame, cfg: PackingConfig, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = _tokenizer(cfg.tokenizer_path, cfg.remembered), np.array([cfg.end_id], dtype="<u4")
-        for batch in slices(batches, text, 12 << 20):
+        for batch in slices(batches, text, 8 << 20):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode_many(batch.column(1)), strict=True):
                 ids = np.concatenate([ids, end])
