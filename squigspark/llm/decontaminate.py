@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 SPACE = re.compile(r"[ \t\n\v\f\r]+")
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 
 
 @dataclass(frozen=True)
@@ -56,11 +56,15 @@ class DecontaminationConfig:
     block_items: int = 4  # at least; larger where a shard would have more than most_blocks
     most_blocks: int = 256
     shard_chars: int = 1 << 20
-    remembered: int = 500_000  # chunks of text whose terms a worker keeps
+
+
+def normal_forms(chunks: pa.Array) -> pa.Array:
+    """The term of each chunk; empty for chunks without a letter or digit."""
+    return pc.replace_substring_regex(pc.utf8_lower(chunks), EDGES, "")
 
 
 def words_of(text: str) -> list[str]:
-    return [w for chunk in SPACE.split(text) if (w := EDGES.sub("", chunk).lower())]
+    return [w for w in normal_forms(pa.array(SPACE.split(text), pa.string())).to_pylist() if w]
 
 
 def split_item(text: str) -> tuple[list[str], list[str]]:
@@ -159,23 +163,11 @@ class Index:
 
 
 class Matcher:
-    """Matches of whole texts; remembers the terms of the chunks that it has met."""
+    """Matches of whole texts."""
 
     def __init__(self, index: Index):
         self.index = index
-        self.known: dict[str, int] = {}
-
-    def terms(self, chunks: list[str]) -> np.ndarray:
-        """Number of each chunk's term; -1 for words that no item holds, -2 for chunks without a word."""
-        known, terms = self.known, self.index.terms
-        if len(known) > self.index.cfg.remembered:
-            known.clear()
-        found = list(map(known.get, chunks))
-        for i, x in enumerate(found):
-            if x is None:
-                w = EDGES.sub("", chunks[i]).lower()
-                found[i] = known[chunks[i]] = terms.get(w, -1) if w else -2
-        return np.array(found, dtype=np.int32)
+        self.vocabulary = pa.array(index.terms, pa.string())
 
     def match(self, column: pa.Array) -> list[list[tuple[int, float, float, float, int]]]:
         """For each text: (item's place, score, question overlap, answer overlap, first word of the passage)."""
@@ -185,9 +177,12 @@ class Matcher:
             return out
         split = pc.ascii_split_whitespace(pc.fill_null(column, ""))
         counted = split.flatten().dictionary_encode()
-        distinct = counted.dictionary.to_pylist()
+        distinct = normal_forms(counted.dictionary)
+        # Number of each chunk's term; -1 for words that no item holds, -2 for chunks without a word.
+        known = pc.fill_null(pc.index_in(distinct, value_set=self.vocabulary), -1).to_numpy()
+        known = np.where(pc.equal(distinct, "").to_numpy(zero_copy_only=False), -2, known)
         chunk = counted.indices.to_numpy()
-        term = self.terms(distinct)[chunk]
+        term = known[chunk]
         doc = np.repeat(np.arange(len(split)), np.diff(split.offsets.to_numpy()))
         word = np.flatnonzero(term != -2)
         term, doc = term[word], doc[word]
@@ -212,12 +207,12 @@ class Matcher:
             d = int(np.searchsorted(base, s, side="right")) - 1
             begin = int(first[d]) + (s - int(base[d])) * step
             end = min(begin + 2 * step, int(np.searchsorted(doc, d, side="right")))
-            passage = [EDGES.sub("", distinct[c]).lower() for c in chunk[word[begin:end]].tolist()]
+            passage = distinct.take(pa.array(chunk[word[begin:end]])).to_pylist()
             for item, score in found:
                 q = held_share(index.question[item], passage, index.cfg.shingle)
                 a = held_share(index.answer[item], passage, index.cfg.shingle)
                 if q >= index.cfg.overlap and a >= index.cfg.overlap:
-                    out[d].append((item, score, q, a, begin - int(first[d])))
+                    out[d].append((item, round(score, 9), q, a, begin - int(first[d])))
         return [best_of(m) for m in out]
 
 
@@ -249,7 +244,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = Matcher(shared.value)
-            for batch in slices(batches, text, 4 << 20):
+            for batch in slices(batches, text, 2 << 20):
                 ids = batch.column(0).to_pylist()
                 rows = [(d, m.index.ids[i], *rest) for d, found in zip(ids, m.match(batch.column(batch.schema.get_field_index(text))), strict=True) for i, *rest in found]
                 if rows:
@@ -267,7 +262,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationC
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = Matcher(shared.value)
-            for batch in slices(batches, text, 4 << 20):
+            for batch in slices(batches, text, 2 << 20):
                 yield batch.filter(pa.array([not found for found in m.match(batch.column(batch.schema.get_field_index(text)))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
