@@ -34,10 +34,18 @@ def kmer_rank(kmer: Column | str) -> Column:
 
 
 def kmer_ranks(seq: Column | str, k: int) -> Column:
-    """Ranks of all k-mers of a sequence; empty for sequences shorter than k."""
-    digits = rank_digits(seq)
-    starts = F.sequence(F.lit(1), F.length(digits) - (k - 1))
-    return F.when(F.length(digits) >= k, F.transform(starts, lambda i: F.conv(F.substring(digits, i, F.lit(k)), 4, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    """Ranks of all k-mers of a sequence; empty for sequences shorter than k.
+
+    Linear in the sequence: its digits are an array, read by place.
+    """
+    digits = F.transform(F.regexp_extract_all(rank_digits(seq), F.lit("([0-3])"), F.lit(1)), lambda d: d.cast("int"))
+
+    def ranks(d: Column) -> Column:
+        rank = lambda i: sum((F.get(d, i + j) * 4 ** (k - 1 - j) for j in range(1, k)), F.get(d, i) * 4 ** (k - 1))
+        starts = F.sequence(F.lit(0), F.size(d) - k)
+        return F.when(F.size(d) >= k, F.transform(starts, lambda i: rank(i).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+    return F.get(F.transform(F.array(digits), ranks), F.lit(0))
 
 
 def complement(seq: Column | str) -> Column:

@@ -48,16 +48,16 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SIGNALS = SAMPLES + ", signals AS (SELECT read, list(raw ORDER BY i) AS x FROM samples GROUP BY read)"
-CONTIG_BASES, K = 200, 5
+K = 5
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    seq = F.substring(F.regexp_replace(F.upper("text"), "[^ACGT]", ""), 1, CONTIG_BASES)
+    seq = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
     return d.select(F.col("doc_id").cast("int").alias("ref_idx"), F.concat(F.lit("c"), F.col("doc_id")).alias("name"), seq.alias("seq"))
 
 
-CONTIGS = f"contigs AS (SELECT CAST(doc_id AS INT) AS ref_idx, 'c' || doc_id AS name, substr(regexp_replace(upper(text), '[^ACGT]', '', 'g'), 1, {CONTIG_BASES}) AS seq FROM documents)"
+CONTIGS = "contigs AS (SELECT CAST(doc_id AS INT) AS ref_idx, 'c' || doc_id AS name, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM documents)"
 
 
 def truth_paf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -383,7 +383,7 @@ def map_paf(spark, d):
     model = reference.model_from_rule(spark, K)
     items = table(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("ref_idx"), F.concat(F.lit("b"), F.col("item_id")).alias("name"), letters("text").alias("seq"))
     refs = reference.synthetic_references(items, model, K)
-    docs = table(spark, d, "documents").select(F.col("doc_id"), F.substring(letters("text"), 1, CONTIG_BASES).alias("seq"))
+    docs = table(spark, d, "documents").select(F.col("doc_id"), letters("text").alias("seq"))
     kmers = reference.kmer_rows(docs, F.col("seq"), K, ["doc_id"])
     levels = reference.level_rows(kmers, model).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "level"))).alias("l"))
     steady = F.flatten(F.transform("l", lambda p: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (p["level"] * 5 + (j * 7) % 5 - 2).cast("smallint"))))
