@@ -1,8 +1,8 @@
 """Dynamic time warping of query events against reference levels.
 
 ``last_row`` keeps three anti-diagonals of the cost matrix only.  The cells of an anti-diagonal don't
-depend on each other, so each is a handful of array operations, which several queries of one length
-share.  With ``starts`` each cell also carries where the best path to it began, by the same tie order
+depend on each other, so each is a handful of array operations, which many queries share: shorter ones
+are padded, as no row depends on those below it.  With ``starts`` each cell also carries where the best path to it began, by the same tie order
 as backtracking (diagonal, then the column before, then the row before); that costs as much again as
 the costs do, so the mapper asks for it only where the best hit lies.
 """
@@ -12,8 +12,11 @@ from __future__ import annotations
 import numpy as np
 
 
-def last_row(queries: np.ndarray, y: np.ndarray, subsequence: bool = True, starts: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-    """Costs of the last matrix row, and the start column of each cell's path; queries: (reads, n)."""
+def last_row(queries: np.ndarray, y: np.ndarray, subsequence: bool = True, starts: bool = True, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Costs of each query's last matrix row, and the start column of each cell's path.
+
+    queries: (reads, n), padded at the end where ``lengths`` says that they are shorter.
+    """
     queries = np.atleast_2d(queries).astype(np.float32)
     backwards = y.astype(np.float32)[::-1]
     r, n = queries.shape
@@ -24,6 +27,8 @@ def last_row(queries: np.ndarray, y: np.ndarray, subsequence: bool = True, start
     from_before, from_last, from_fresh = (np.zeros((r, n + 1) if starts else (0, 0), np.int32) for _ in range(3))
     out, began = np.empty((r, m), np.float32), np.empty((r, m), np.int32) if starts else None
     scratch = np.empty((r, n), np.float32)
+    last_of = np.full(r, n - 1) if lengths is None else np.asarray(lengths) - 1
+    each, mixed = np.arange(r), bool(r) and int(last_of.min()) < n - 1
     for d in range(n + m - 1):
         lo, hi = max(0, d - m + 1), min(n - 1, d)
         diag, left, up = before[:, lo : hi + 1], last[:, lo + 1 : hi + 2], last[:, lo : hi + 1]
@@ -42,7 +47,13 @@ def last_row(queries: np.ndarray, y: np.ndarray, subsequence: bool = True, start
         if lo == 0:  # the first query row: a free start, or sums along it
             total[:, 0] = 0 if subsequence or not d else left[:, 0]
         np.add(total, cost, out=total)
-        if hi == n - 1:
+        if mixed:
+            ends = each[(last_of >= lo) & (last_of <= hi)]
+            at = last_of[ends]
+            out[ends, d - at] = fresh[ends, at + 1]
+            if starts:
+                began[ends, d - at] = from_fresh[ends, at + 1]
+        elif hi == n - 1:
             out[:, d - n + 1] = total[:, -1]
             if starts:
                 began[:, d - n + 1] = came[:, -1]
@@ -88,12 +99,11 @@ def warp_path(cost: np.ndarray, column: int, subsequence: bool = True) -> list[t
     return out[::-1]
 
 
-def chunk_minima(row: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the first minimum of each ``width`` consecutive cells; chunks of infinities have none."""
-    starts = np.arange(0, len(row), width)
-    least = np.minimum.reduceat(row, starts)
-    at = np.array([s + int(np.argmin(row[s : s + width])) for s in starts])
-    return at[np.isfinite(least)]
+def chunk_minima(rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First minimum of each ``width`` consecutive cells of every row: values and positions."""
+    starts = np.arange(0, rows.shape[1], width)
+    at = np.stack([s + rows[:, s : s + width].argmin(axis=1) for s in starts.tolist()], axis=1)
+    return np.take_along_axis(rows, at, axis=1), at
 
 
 def base_map(path: list[tuple[int, int]]) -> list[tuple[int, int]]:

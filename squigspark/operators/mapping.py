@@ -102,37 +102,62 @@ def reference_blocks(refs: DataFrame, most_bytes: int) -> list[list[dict]]:
 
 
 def align(queries: list[np.ndarray], refs: list[dict], opt: MapOptions) -> list[list[dict]]:
-    """Best candidates of each query; queries of one length share the walk over a reference.
+    """Best candidates of each query; many queries share the walk over a reference.
 
     Only the best one has its start, which takes a second walk over that reference alone.
     """
     out: list[list[dict]] = [[] for _ in queries]
-    by_length: dict[int, list[int]] = {}
-    for i, q in enumerate(queries):
-        if len(q) and np.isfinite(q).all():
-            by_length.setdefault(len(q), []).append(i)
-    for n, members in by_length.items():
-        for ref in refs:
-            for part in _parts(members, len(ref["levels"])):
-                rows, _ = dtw.last_row(np.stack([queries[i] for i in part]), ref["levels"], not opt.standard, starts=False)
-                for i, row in zip(part, rows, strict=True):
-                    ends = np.array([len(row) - 1]) if opt.standard else dtw.chunk_minima(row, n)
-                    hits = [{"score": float(row[e]), "seq": (ref["seq"] << 32) + c, "pos_st": None, "pos_end": e} for c, e in enumerate(ends.tolist())]
-                    out[i] = best(out[i] + [h | {k: ref[k] for k in _OF_REFERENCE} for h in best(hits, opt.candidates)], opt.candidates)
-        winners: dict[int, list[int]] = {}
-        for i in members:
-            if out[i]:
-                winners.setdefault(out[i][0]["seq"] >> 32, []).append(i)
-        by_number = {ref["seq"]: ref["levels"] for ref in refs}
-        for number, won in winners.items():
-            for part in _parts(won, len(by_number[number])):
-                levels = by_number[number][: max(out[i][0]["pos_end"] for i in part) + 1]
-                _, starts = dtw.last_row(np.stack([queries[i] for i in part]), levels, not opt.standard)
-                for i, start in zip(part, starts, strict=True):
-                    out[i][0]["pos_st"] = int(start[out[i][0]["pos_end"]])
+    by_number = {ref["seq"]: ref for ref in refs}
+    usable = [i for i, q in enumerate(queries) if len(q) and np.isfinite(q).all()]
+    usable.sort(key=lambda i: len(queries[i]))  # little padding
+    longest = max((len(ref["levels"]) for ref in refs), default=1)
+    winners: dict[int, list[int]] = {}
+    for part in _parts(usable, longest):
+        for i, hits in zip(part, _best_chunks(*_padded([queries[i] for i in part]), refs, opt), strict=True):
+            out[i] = [{k: by_number[s >> 32][k] for k in _OF_REFERENCE} | {"score": score, "seq": s, "pos_st": None, "pos_end": e} for score, s, e in hits]
+            if hits:
+                winners.setdefault(hits[0][1] >> 32, []).append(i)
+    for number, won in winners.items():
+        for part in _parts(won, len(by_number[number]["levels"])):
+            levels = by_number[number]["levels"][: max(out[i][0]["pos_end"] for i in part) + 1]
+            table, lengths = _padded([queries[i] for i in part])
+            _, starts = dtw.last_row(table, levels, not opt.standard, lengths=lengths)
+            for i, start in zip(part, starts, strict=True):
+                out[i][0]["pos_st"] = int(start[out[i][0]["pos_end"]])
     return out
 
 
+def _padded(queries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(q) for q in queries])
+    table = np.zeros((len(queries), int(lengths.max())), np.float32)
+    for row, q in zip(table, queries, strict=True):
+        row[: len(q)] = q
+    return table, lengths
+
+
+def _best_chunks(queries: np.ndarray, lengths: np.ndarray, refs: list[dict], opt: MapOptions) -> list[list[tuple[float, int, int]]]:
+    """(score, number, end) of each query's best candidates: least score first, of equals the later one.
+
+    A chunk is as wide as the query is long.
+    """
+    k = opt.candidates
+    score, number, end = (np.full((len(queries), k), v, t) for v, t in ((np.inf, np.float32), (-1, np.int64), (-1, np.int64)))
+    groups = [(int(n), np.flatnonzero(lengths == n)) for n in np.unique(lengths)]
+    for ref in refs:
+        rows, _ = dtw.last_row(queries, ref["levels"], not opt.standard, starts=False, lengths=lengths)
+        for n, own in groups:
+            if opt.standard:
+                least, at = rows[own, -1:], np.full((len(own), 1), rows.shape[1] - 1)
+            else:
+                least, at = dtw.chunk_minima(rows[own], n)
+            # References and chunks come in order, so what is later stands first and the sort keeps that.
+            chunk = np.broadcast_to((ref["seq"] << 32) + np.arange(least.shape[1], dtype=np.int64), least.shape)
+            both = [np.concatenate([new[:, ::-1], old[own]], axis=1) for new, old in ((least, score), (chunk, number), (at, end))]
+            order = np.argsort(both[0], axis=1, kind="stable")[:, :k]
+            score[own], number[own], end[own] = (np.take_along_axis(x, order, axis=1) for x in both)
+    return [[(s, c, e) for s, c, e in zip(*row, strict=True) if np.isfinite(s)] for row in zip(score.tolist(), number.tolist(), end.tolist(), strict=True)]
+
+
 _OF_REFERENCE = ("ref_idx", "strand", "name", "ref_len", "seq_len", "st_offset")
 
 

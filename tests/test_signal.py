@@ -3,7 +3,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from squigspark.operators import dtw, events, segments
+from squigspark.operators import dtw, events, mapping, segments
+from squigspark.options import MapOptions
 
 
 def plateaus():
@@ -113,3 +114,27 @@ def test_query_start_after_adaptor_and_tail():
     assert 4050 <= starts[at] <= 4300
     assert segments.query_start(x[:50], x[:50], starts, opt) == -1
     assert segments.query_start(x[:3600], x[:3600], starts[:180], opt) == -1  # the tail has no end
+
+
+def test_chunk_minima_and_ties():
+    row = np.array([[8, 4, 2.5, 1.5, 3.5, 3.5, 1, 1, 0, 2]], dtype=np.float32)
+    least, at = dtw.chunk_minima(row, 4)
+    assert least.tolist() == [[1.5, 1, 0]] and at.tolist() == [[3, 6, 8]]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2).map(float), min_size=2, max_size=6), min_size=1, max_size=4), st.lists(st.lists(st.integers(0, 2).map(float), min_size=1, max_size=14), min_size=1, max_size=4))
+def test_best_candidates_against_sorting(queries, refs):
+    """Of equal scores the later reference and chunk rank first."""
+    made = [{"levels": np.array(y, np.float32), "seq": 2 * i, "ref_idx": i, "strand": "+", "name": str(i), "ref_len": len(y), "seq_len": len(y), "st_offset": 0} for i, y in enumerate(refs)]
+    for x, got in zip(queries, mapping.align([np.array(q) for q in queries], made, MapOptions()), strict=True):
+        want = []
+        for r in made:
+            row = sequential(x, r["levels"], True)[-1]
+            n = len(x)
+            for c in range(0, len(row), n):
+                want.append((float(row[c : c + n].min()), -((r["seq"] << 32) + c // n), c + int(row[c : c + n].argmin())))
+        want = sorted(want)[:5]
+        assert [(h["score"], -h["seq"], h["pos_end"]) for h in got] == want
+        cost = sequential(x, made[got[0]["ref_idx"]]["levels"], True)
+        assert got[0]["pos_st"] == dtw.warp_path(cost, got[0]["pos_end"])[0][1]
