@@ -15,9 +15,12 @@ counted only in the first table in which it meets, which either side can tell fr
 so nothing is emitted for each pair.  Buckets over ``block`` rows are cut into blocks and pairs of
 blocks go to different tasks.  Equal vectors are merged first and weigh as many as they are.
 
-Defined results: vectors that are null, empty, zero, of another dimension than the first (least)
-one, or that hold null or non-finite components link with nothing.  Equal vectors link.  Repeated
-rows count as vectors of their own, rows with a null id too (they are never a component's name).
+Vectors of every dimension are compared with those of the same dimension: the dimension is part of
+a bucket's name, and each has rotations, k and a number of tables of its own.
+
+Defined results: vectors that are null, empty, zero, or that hold null or non-finite components link
+with nothing, and vectors of different dimensions don't link.  Equal vectors link.  Repeated rows
+count as vectors of their own, rows with a null id too (they are never a component's name).
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from math import ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -116,51 +120,52 @@ def near_vectors(vectors: DataFrame, cfg: NearVectorsConfig = NearVectorsConfig(
     """(vec_id, n_links, component_id): one row for each row of ``vectors``."""
     kind = "array<float>" if dict(vectors.dtypes)[vector] == "array<float>" else "array<double>"
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("v"))
-    dim = rows.filter(usable("v")).agg(F.min(F.size("v"))).first()[0]
-    if dim is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    good = usable("v") & (F.size("v") == dim)
+    good = usable("v")
     # -0.0 and 0.0 are one value.
     positive = F.transform("v", lambda x: x + F.lit(0.0)).cast(kind)
     clean = rows.filter(good).withColumn("v", positive)
     distinct = cut(clean.groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("v")))
-    k, tables = tables_for(distinct.count(), cfg)
-    turn = rotations(dim, dim, cfg.seed)
-    hash_turn = rotations(dim, k * tables, cfg.seed + 1)[:, : k * tables]
-    shared = vectors.sparkSession.sparkContext.broadcast((turn, hash_turn))  # dim x (dim + k x tables) numbers
+    # A dimension with one distinct vector has nothing to compare.
+    counted = distinct.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).filter("n > 1").collect()
+    plan = {r["dim"]: tables_for(r["n"], cfg) for r in counted}
+    shared = {}  # of each dimension: dim x (dim + k x tables) numbers
+    for dim, (k, tables) in plan.items():
+        shared[dim] = vectors.sparkSession.sparkContext.broadcast((rotations(dim, dim, cfg.seed), rotations(dim, k * tables, cfg.seed + 1)[:, : k * tables]))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power = 1 << np.arange(k, dtype=np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, dim)
-            signs = (unit(x) @ shared.value[1] >= 0).reshape(len(x), tables, k)
-            keys = pa.FixedSizeListArray.from_arrays(pa.array((signs * power).sum(axis=2).ravel()), tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), keys.cast(pa.list_(pa.int64()))], ["node", "v", "copies", "keys"])
-
-    placed = distinct.select("node", "v", "copies").mapInArrow(place, f"node long, v {kind}, copies long, keys array<long>")
+            size = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(size).tolist():
+                part = batch.take(pa.array(np.flatnonzero(size == dim)))
+                k, tables = plan[dim]
+                x = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(-1, dim)
+                signs = (unit(x) @ shared[dim].value[1] >= 0).reshape(len(x), tables, k)
+                keys = pa.FixedSizeListArray.from_arrays(pa.array((signs * (1 << np.arange(k, dtype=np.int64))).sum(axis=2).ravel()), tables)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), keys.cast(pa.list_(pa.int64()))], ["node", "v", "copies", "keys"])
+
+    several = distinct.filter(F.size("v").isin(list(plan))).select("node", "v", "copies")
+    placed = several.mapInArrow(place, f"node long, v {kind}, copies long, keys array<long>")
     placed = cut(placed)
     # Which buckets matter is found from narrow rows first; vectors follow only where they can meet another.
-    slim = placed.select("node", F.posexplode("keys").alias("table", "bits"))
-    sizes = slim.groupBy("table", "bits").agg(F.count("*").alias("n")).filter("n > 1")
+    slim = placed.select("node", F.size("v").alias("dim"), F.posexplode("keys").alias("table", "bits"))
+    sizes = slim.groupBy("dim", "table", "bits").agg(F.count("*").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / cfg.block).cast("int")
-    full = placed.select("node", "v", "copies", "keys", F.posexplode("keys").alias("table", "bits")).join(sizes, ["table", "bits"])
+    full = placed.select("node", "v", "copies", "keys", F.size("v").alias("dim"), F.posexplode("keys").alias("table", "bits")).join(sizes, ["dim", "table", "bits"])
     own = full.withColumn("of", blocks).withColumn("block", F.pmod(F.xxhash64("node", "table"), F.col("of")).cast("int"))
     # Every pair of blocks (i <= j) of a bucket is one group of two blocks at most.
-    meets = own.select("*", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")).select("node", "v", "copies", "keys", "table", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    meets = own.select("*", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other")).select("node", "v", "copies", "keys", "dim", "table", "bits", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def compare(key_: tuple, group: pa.Table) -> pa.Table:
-        table, _, i, j = (x.as_py() for x in key_)
+        dim, table, _, i, j = (x.as_py() for x in key_)
         x = unit(np.asarray(group["v"].combine_chunks().flatten(), dtype=np.float64).reshape(-1, dim))
-        keys = np.asarray(group["keys"].combine_chunks().flatten()).reshape(-1, tables)
+        keys = np.asarray(group["keys"].combine_chunks().flatten()).reshape(-1, plan[dim][1])
         node, copies, block = (group[c].to_numpy() for c in ("node", "copies", "block"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         links, edges = np.zeros(len(node), dtype=np.int64), []
         for at in range(0, len(left), cfg.step):
             for to in range(at if i == j else 0, len(right), cfg.step):
                 p, q = left[at : at + cfg.step], right[to : to + cfg.step]
-                a, b = count_links(x[p], x[q], keys[p], keys[q], table, i == j and at == to, shared.value[0], cfg)
+                a, b = count_links(x[p], x[q], keys[p], keys[q], table, i == j and at == to, shared[dim].value[0], cfg)
                 np.add.at(links, p[a], copies[q[b]])
                 np.add.at(links, q[b], copies[p[a]])
                 edges += [(p[u], q[v]) for u, v in spanning(a, b + len(p), len(p) + len(q)) for v in [v - len(p)]]
@@ -169,7 +174,7 @@ def near_vectors(vectors: DataFrame, cfg: NearVectorsConfig = NearVectorsConfig(
         none = pa.nulls(len(hit), pa.int64())
         return pa.table({"node": np.concatenate([node[hit], node[a]]), "links": pa.chunked_array([pa.array(links[hit]), pa.array(np.zeros(len(a), dtype=np.int64))]), "other": pa.chunked_array([none, pa.array(node[b])])})
 
-    met = cut(meets.groupBy("table", "bits", "i", "j").applyInArrow(compare, "node long, links long, other long"))
+    met = cut(meets.groupBy("dim", "table", "bits", "i", "j").applyInArrow(compare, "node long, links long, other long"))
     counts = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(met.filter(F.col("other").isNotNull()).select(F.col("node").alias("a"), F.col("other").alias("b")))
     state = distinct.select("node", "least", "copies").join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

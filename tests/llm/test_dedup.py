@@ -170,3 +170,16 @@ def test_estimates_are_unbiased():
         code = np.where(t >= 0, 1, -1) / np.sqrt(d)
         errors.append((q @ embeddings.rotations(d, d, s)) @ code / (code @ t) - q @ v)
     assert abs(np.mean(errors)) < 4 * np.std(errors) / np.sqrt(200)
+
+
+def test_vectors_of_every_dimension_link(spark):
+    x, y = vectors(1, 16, 90), vectors(2, 5, 60)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, v.tolist()) for i, v in enumerate(y)]
+    rows += [(2000, [1.0, 2.0, 3.0]), (2001, x[0].tolist()), (2002, [4.0]), (2003, [9.0])]
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), embeddings.NearVectorsConfig(miss=1e-9)).collect()}
+    assert len(got) == len(rows)
+    for first, part in ((0, np.concatenate([x, x[:1]])), (1000, y)):
+        links = brute(part).sum(axis=1)
+        ids = [first + i if i < 90 else 2001 for i in range(len(part))]
+        assert [got[i].n_links for i in ids] == links.tolist() and links.sum() > 0
+    assert got[2000].n_links == 0 and got[2001].component_id == 0 and got[2003].component_id == 2002
