@@ -20,7 +20,9 @@ five-word shingles with the passage (all words in order for fewer than five).
 Terms are words between ASCII white space, lower-cased, without the punctuation at their ends.
 
 The index goes to the executors as a broadcast of bounded size: items are dealt to as many shards as
-keep each below ``shard_chars`` characters, and each shard is one pass over the documents.
+keep each below ``shard_chars`` characters, and each shard is one pass over the documents.  Item
+count, mean length, longest item and document frequencies are those of all items in every shard, so
+results do not depend on the number of shards.
 
 Defined results: null and empty texts, and items without a word, match nothing.  Repeated rows match
 each on their own; null ids are carried through.  Empty tables give no match.
@@ -33,6 +35,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut, slices
 
 SPACE = re.compile(r"[ \t\n\v\f\r]+")
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -90,10 +93,22 @@ def held_share(wanted: list[str], passage: list[str], k: int) -> float:
     return len(want & have) / len(want) if want else 1.0
 
 
+class Statistics(NamedTuple):
+    """Of all items with a word, whatever shard they are in."""
+
+    items: int
+    mean: float
+    longest: int
+    df: dict[str, int]  # of a shard's terms at least
+
+
 class Index:
-    """Inverted index of test items with block maxima.  Items without a word are left out."""
+    """Inverted index of test items with block maxima.  Items without a word are left out.
+
+    Without ``stats`` the items are taken as all there are.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], cfg: DecontaminationConfig):
+    def __init__(self, items: list[tuple[int, str]], cfg: DecontaminationConfig, stats: Statistics | None = None):
         self.cfg = cfg
         kept = [(i, q, a) for i, t in sorted(items, key=lambda x: (x[0], x[1])) for q, a in [split_item(t or "")] if q or a]
         self.ids = [i for i, _, _ in kept]
@@ -105,16 +120,17 @@ class Index:
                 bag[w] += 1
             bags.append(bag)
         lengths = [len(q) + len(a) for _, q, a in kept]
-        self.longest = max(lengths, default=1)
-        mean = sum(lengths) / max(1, len(lengths))
-        df: dict[str, int] = defaultdict(int)
+        own_df: dict[str, int] = defaultdict(int)
         for bag in bags:
             for w in bag:
-                df[w] += 1
-        self.terms = {w: i for i, w in enumerate(sorted(df))}
+                own_df[w] += 1
+        if stats is None:
+            stats = Statistics(len(kept), sum(lengths) / max(1, len(lengths)), max(lengths, default=1), own_df)
+        total, mean, self.longest, df = stats
+        self.terms = {w: i for i, w in enumerate(sorted(own_df))}
         self.postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for item, (bag, n) in enumerate(zip(bags, lengths, strict=True)):
-            own = {w: log(1 + (len(kept) - df[w] + 0.5) / (df[w] + 0.5)) * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * n / mean)) for w, tf in bag.items()}
+            own = {w: log(1 + (total - df[w] + 0.5) / (df[w] + 0.5)) * tf * (cfg.k1 + 1) / (tf + cfg.k1 * (1 - cfg.b + cfg.b * n / mean)) for w, tf in bag.items()}
             whole = sum(own.values())
             for w, x in own.items():
                 self.postings[self.terms[w]].append((item, x / whole))
@@ -225,13 +241,34 @@ def best_of(matches: list[tuple[int, float, float, float, int]]) -> list[tuple[i
     return [best[i] for i in sorted(best)]
 
 
-def index_shards(benchmark: DataFrame, cfg: DecontaminationConfig, item: str = "item_id", text: str = "text") -> list[Index]:
+def with_terms(rows: DataFrame) -> DataFrame:
+    """(i, t, n, terms): words and distinct terms of each row of (i, t) that has a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "t"):
+            words = [[w for side in split_item(t) for w in side] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], ["i", "t", "n", "terms"])
+
+    return rows.mapInArrow(run, "i long, t string, n long, terms array<string>").filter("n > 0")
+
+
+def index_shards(benchmark: DataFrame, cfg: DecontaminationConfig, item: str = "item_id", text: str = "text") -> Iterator[Index]:
     """Indexes of at most about ``shard_chars`` characters each; read one shard at a time."""
     rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).filter("t is not null")
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = max(1, -(-total // cfg.shard_chars))
-    deal = F.pmod(F.xxhash64("i", "t"), F.lit(shards))
-    return [Index([(r.i if r.i is not None else -1, r.t) for r in rows.filter(deal == s).collect()], cfg) for s in range(shards)]
+    listed = lambda part: [(r.i if r.i is not None else -1, r.t) for r in part.select("i", "t").collect()]
+    if shards == 1:
+        yield Index(listed(rows), cfg)
+        return
+    parsed = cut(with_terms(rows).withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards))))
+    items, words, longest = parsed.agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    term = parsed.select("shard", F.explode("terms").alias("term"))
+    df = cut(term.groupBy("term").agg(F.count("*").alias("n")))
+    for s in range(shards):
+        own = df.join(term.filter(F.col("shard") == s), "term", "left_semi")  # only the shard's terms come to the driver
+        stats = Statistics(items, (words or 0) / max(1, items), longest or 1, {r["term"]: r["n"] for r in own.collect()})
+        yield Index(listed(parsed.filter(F.col("shard") == s)), cfg, stats)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig(), key: str = "doc_id", text: str = "text") -> DataFrame:

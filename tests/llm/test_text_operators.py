@@ -229,6 +229,16 @@ def test_matches_against_brute_force(spark, seed):
     assert {d for d, _ in want} >= {i for i in range(60) if i % 3 == 0}
 
 
+def test_shards_change_nothing(spark):
+    items, docs = items_and_docs(7)
+    items += [(100, "xylophone " * 40 + "end."), (101, None), (102, "...")]
+    docs += [(100, " ".join(w for _, t in items[:4] for w in t.split()))]
+    tables = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, decontaminate.matches(*tables, decontaminate.DecontaminationConfig(shard_chars=n)).collect())) for n in (1 << 20, 700))
+    assert len(one) > 20 and one == many
+    assert len(list(decontaminate.index_shards(tables[1], decontaminate.DecontaminationConfig(shard_chars=700)))) > 2
+
+
 def test_decontamination_of_odd_rows(spark):
     items = spark.createDataFrame([(1, "The quick brown fox jumps over a lazy dog today. Yes indeed."), (2, None), (3, "..."), (1, "The quick brown fox jumps over a lazy dog today. Yes indeed.")], "item_id long, text string")
     leak = 'He said "the QUICK brown fox, jumps over a lazy dog today" -- yes indeed!'
