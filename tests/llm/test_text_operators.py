@@ -114,6 +114,25 @@ def test_literals(text, want):
     assert [text[f.start : f.end] for f in secrets.find_secrets(text) if f.kind == "literal"] == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('see https://a.b/c db_pwd = "Xk29sdfQ8812zz"', ["Xk29sdfQ8812zz"]),
+        ('ftp://host/x;y then http://b.c/d#e, auth_key = "a8F3kP0zQ1xW"', ["a8F3kP0zQ1xW"]),
+        ('rm /tmp/* ; db_pwd = "Xk29sdfQ8812zz" ; ls /var/*/x', ["Xk29sdfQ8812zz"]),
+        ('rm src/* ; db_pwd = "Xk29sdfQ8812zz" ; ls */x', ["Xk29sdfQ8812zz"]),
+        ('x = 1 // db_pwd = "Xk29sdfQ8812zz"', ["Xk29sdfQ8812zz"]),
+        ('/* old\n * private_key = "Zk39Qm1PxL8vT2"\n */ y = 2', ["Zk39Qm1PxL8vT2"]),
+        ('KEY = "a8F3kP0zQ1xW" // KEY = "none of it"\nconfig.apiSecret = KEY', ["a8F3kP0zQ1xW"]),
+        ('db_pwd = /* was shorter */ "Xk29sdfQ8812zz"', ["Xk29sdfQ8812zz"]),
+        ("// see https://a.b/c and nothing else", []),
+        ("//" * 40_000 + ' a // db_pwd = "Xk29sdfQ8812zz"' + "/a" * 40_000 + "+b" * 40_000, ["Xk29sdfQ8812zz"]),
+    ],
+)
+def test_urls_paths_and_comments(text, want):
+    assert [text[f.start : f.end] for f in secrets.find_secrets(text) if f.kind == "literal"] == want
+
+
 def test_secrets_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "é token = abcdef1"), (3, "é token = abcdef1"), (None, "x"), (4, "a" * 300_000 + ' my_password="Xk29fPq8Lm2z"')]
     docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, spans string, n_hex int")
