@@ -47,8 +47,10 @@ def id_bucket(doc_id: str | Column, buckets: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % buckets
 
 
-def keep_share(key: Column, share: float, seed: str) -> Column:
+def keep_share(key: Column, share: float | Column, seed: str) -> Column:
     """True for the rows whose hashed key falls in the lowest ``share`` of the hash range."""
+    if isinstance(share, Column):
+        return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) < (share * (1 << 40)).cast("long")
     if share >= 1:
         return F.lit(True)
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) < int(share * (1 << 40))

@@ -3,7 +3,9 @@
 Features are hashed character 1- to 3-grams of the lower-cased whole text.  Document frequencies
 cover every row that may be learned from; the regression itself is fitted with FTRL and an
 elastic-net penalty on a sample of at most about ``per_class`` documents of each language, and a
-quarter of that sample is set aside for the temperature that calibrates the probabilities.
+quarter of that sample is set aside for the temperature that calibrates the probabilities.  Every
+label that occurs is learned.  Only buckets that occur in the sample have weights while fitting, and
+the model keeps those that the penalty leaves: one row of weights for each bucket that has any.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.  If there is
 nothing to learn from (empty table, no labels), every text is ``und``.  Repeated rows each get
@@ -31,7 +33,6 @@ UNDETERMINED = "und"
 class LangIdConfig:
     bits: int = 16
     per_class: int = 500  # bound of the fitting sample: expected documents of each language
-    max_languages: int = 64  # the most frequent labels are learned
     ftrl: FtrlConfig = field(default_factory=FtrlConfig)
 
 
@@ -39,6 +40,7 @@ class LangIdConfig:
 class LangIdModel:
     languages: list[str]
     idf: np.ndarray
+    rows: np.ndarray  # of each bucket in weights; the last row, of zeros, for those without
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
@@ -48,7 +50,7 @@ class LangIdModel:
         if not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0
         at, x = tfidf(*ngram_counts(text, self.bits), self.idf)
-        p = softmax((x @ self.weights[at] + self.bias) / self.temperature)
+        p = softmax((x @ self.weights[self.rows[at]] + self.bias) / self.temperature)
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
@@ -111,16 +113,15 @@ def document_frequencies(docs: DataFrame, text: str, bits: int) -> tuple[int, np
 def fit_langid(docs: DataFrame, learn: Column, cfg: LangIdConfig = LangIdConfig(), text: str = "text", lang: str = "lang", key: str = "doc_id") -> LangIdModel:
     """Fit on the rows of ``docs`` for which ``learn`` holds; ``key`` only deals rows into the sample."""
     known = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = known.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(cfg.max_languages).collect()
+    sizes = known.groupBy(lang).agg(F.count("*").alias("n")).collect()
     languages = sorted(r[lang] for r in sizes)
     if not languages:
-        return LangIdModel([], np.zeros(1 << cfg.bits), np.zeros((1 << cfg.bits, 0)), np.zeros(0), 1.0, cfg.bits)
+        return LangIdModel([], np.zeros(1 << cfg.bits), np.zeros(1 << cfg.bits, dtype=np.int32), np.zeros((1, 0)), np.zeros(0), 1.0, cfg.bits)
     rows, df = document_frequencies(known, text, cfg.bits)
     idf = np.log((1 + rows) / (1 + df)) + 1
 
-    chosen = F.lit(False)
-    for r in sizes:
-        chosen = chosen | ((F.col(lang) == r[lang]) & keep_share(F.col(key), cfg.per_class / r["n"], "langid"))
+    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r[lang], min(1.0, cfg.per_class / r["n"]))])
+    chosen = keep_share(F.col(key), F.element_at(shares, F.col(lang)), "langid")
     bits = cfg.bits
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,15 +142,21 @@ def fit_langid(docs: DataFrame, learn: Column, cfg: LangIdConfig = LangIdConfig(
     y = y[[i for i, a in enumerate(at) if len(a.values)]]
     aside = np.arange(len(x)) % 4 == 3
     fit = np.flatnonzero(~aside)
-    w, b = fit_ftrl([x[i] for i in fit], y[fit], 1 << bits, len(languages), cfg.ftrl)
+    used = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[a for a, _ in x]]))
+    x = [(np.searchsorted(used, a), v) for a, v in x]
+    w, b = fit_ftrl([x[i] for i in fit], y[fit], len(used), len(languages), cfg.ftrl)
     held = np.flatnonzero(aside)
     logits = np.array([x[i][1] @ w[x[i][0]] + b for i in held]).reshape(len(held), len(languages))
-    return LangIdModel(languages, idf.astype(np.float32), w.astype(np.float32), b, fit_temperature(logits, y[held]), bits)
+    some = np.flatnonzero((w != 0).any(axis=1))
+    place = np.full(1 << bits, len(some), dtype=np.int32)
+    place[used[some]] = np.arange(len(some))
+    weights = np.concatenate([w[some], np.zeros((1, len(languages)))]).astype(np.float32)
+    return LangIdModel(languages, idf.astype(np.float32), place, weights, b, fit_temperature(logits, y[held]), bits)
 
 
 def with_language(docs: DataFrame, model: LangIdModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its calibrated probability as two more columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits x languages floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most (2^bits + 1) x languages floats
     kinds = docs.select(F.lit("").alias(pred), F.lit(0.0).alias(score)).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -61,6 +61,16 @@ def test_language_of_odd_rows(spark):
     assert langid.with_language(docs.limit(0), model).count() == 0
 
 
+def test_every_label_is_learned(spark):
+    rng = np.random.default_rng(4)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 140)]
+    rows = [(i, " ".join("".join(rng.choice(letters[2 * (i % 70) : 2 * (i % 70) + 2], 3)) for _ in range(12)), f"l{i % 70:02}") for i in range(70 * 12)]
+    rows += [(10_000 + i, t, lang) for i, (_, t, lang) in enumerate(rows) if int(lang[1:]) < 64]  # the last six are the rarer ones
+    model = langid.fit_langid(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == [f"l{i:02}" for i in range(70)]
+    assert np.mean([model.predict(t)[0] == lang for _, t, lang in rows if int(lang[1:]) >= 64]) > 0.9
+
+
 def toxic_corpus(n=400):
     rng = np.random.default_rng(2)
     rows = []
