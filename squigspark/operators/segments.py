@@ -1,6 +1,6 @@
 """Segmentation of raw signals: adaptor and poly-A stretches, and where the query begins.
 
-Like the peak detector, the run-length rules are sequential; the statistics around them are not.
+Rules are over runs of samples (below a level, within a band), which are found by array operations.
 """
 
 from __future__ import annotations
@@ -91,35 +91,52 @@ def low_plateau(signal: np.ndarray, opt: PlateauOptions = ADAPTOR_R9) -> tuple[i
     return 0, 0
 
 
+def refunds(length: int, width: int, n: int, window: int) -> int:
+    """Outliers that a stretch of ``n`` samples within the band buys back.
+
+    One for each sample at which the run's length, ``window`` at least, is a multiple of the correction
+    width.  Both grow by one with each sample, so the width has to divide what the length is ahead by.
+    """
+    ahead = length - width
+    if ahead < 0:
+        return 0
+    if not ahead:
+        return max(0, n - max(0, window - length - 1))
+    return sum(ahead % w == 0 and w + ahead >= window for w in range(width + 1, min(width + n, ahead) + 1))
+
+
 def band_segments(signal: np.ndarray, bottom: float, top: float, opt: BandOptions = POLYA) -> list[tuple[int, int]]:
     """Runs of samples within (bottom, top) that put up with a few outliers.
 
-    The run's length buys outliers back: one whenever it is a multiple of the correction width, which
-    grows with every sample in the band and is never reset.  A run that is open at the end is dropped.
+    Stretches within the band are joined over the gaps between them for as long as there are outliers
+    left to spend.  The run's length buys outliers back: one whenever it is a multiple of the correction
+    width, which grows with every sample in the band and is never reset.  A run that is open at the end
+    is dropped.
     """
+    inside = (signal > bottom) & (signal < top)
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False)).tolist()
     out: list[tuple[int, int]] = []
-    start, length, outliers, trailing, correction = -1, 0, 0, 0, opt.corrector
-    for i, inside in enumerate(((signal > bottom) & (signal < top)).tolist()):
-        if inside:
-            start = i if start < 0 else start
-            correction += 1
-            trailing = 0
-        elif start < 0:
-            continue
-        elif outliers < opt.error:
-            outliers += 1
-            trailing += 1
-        else:
-            if length >= opt.window or (not out and length >= opt.window * opt.stall_len):
-                if out and start - out[-1][1] < opt.seg_dist:
-                    out[-1] = (out[-1][0], i - trailing)
-                else:
-                    out.append((start, i - trailing))
-            start, length, outliers, trailing = -1, 0, 0, 0
+    start, length, spent, width = -1, 0, 0, opt.corrector
+    for begin, end, after in zip(edges[::2], edges[1::2], [*edges[2::2], len(inside)], strict=False):
+        if start < 0:
+            start, length, spent = begin, 0, 0
+        n = end - begin
+        spent -= refunds(length, width, n, opt.window)
+        length, width = length + n, width + n
+        gap, bridged = after - end, 0
+        if length + gap < width:  # no refund in the gap
+            bridged = min(gap, max(0, opt.error - spent))
+            length, spent = length + bridged, spent + bridged
+        while bridged < gap and spent < opt.error:
+            bridged, length, spent = bridged + 1, length + 1, spent + 1
+            spent -= length >= max(opt.window, width) and length % width == 0
+        if bridged == gap:
             continue
-        length += 1
-        if length >= max(opt.window, correction) and length % correction == 0:
-            outliers -= 1
+        if length >= opt.window or not out and length >= opt.window * opt.stall_len:
+            if out and start - out[-1][1] < opt.seg_dist:
+                start = out.pop()[0]
+            out.append((start, end))
+        start = -1
     return out
 
 
