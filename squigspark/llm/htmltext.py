@@ -1,15 +1,23 @@
 """HTML to text as a browser would lay it out.
 
-A tokenizer reads tags, text, comments and raw-text elements; the tree builder supplies the end tags
-that HTML lets authors leave out (a new ``<li>`` ends the last one, a block ends an open ``<p>``, a
-row ends cells, ...) and ignores stray ones.  The renderer then walks the tree: invisible elements
-(by tag, ``hidden``, ``aria-hidden`` or an inline ``display:none`` / ``visibility:hidden``) give nothing,
-white space collapses as in a browser except inside ``<pre>``, blocks stand on lines of their own with
-a blank line around paragraphs and headings, list items get bullets or numbers and are indented by
-depth, and the cells of a table's rows are padded to common column widths.
+A tokenizer reads tags, text, comments and raw-text elements in one pass over the page; the tree builder
+supplies the end tags that HTML lets authors leave out (a new ``<li>`` ends the last one, a block ends an
+open ``<p>``, a row ends cells, ...) and ignores stray ones.  The renderer then walks the tree: invisible
+elements (by tag, ``hidden``, or an inline ``display:none`` / ``visibility:hidden``) give nothing; white
+space collapses as in a browser except inside ``<pre>``; blocks stand on lines of their own with a blank
+line around paragraphs and headings; list items get bullets or numbers and are indented by depth; the
+cells of a table's rows are padded to common column widths.  Text areas, drop-downs (the option that is
+chosen), the values of text boxes and buttons, open dialogs and the text of drawings are visible, and so
+is what ``aria-hidden`` keeps from screen readers only.  ``<details>`` count as opened.
+
+Padding and indentation are bounded, the text is not: cells longer than ``MOST_PADDED`` don't widen their
+column, indentation ends at ``MOST_INDENT``, and rows that would take the page's padding beyond
+``PADDING_FACTOR`` times its own length have their cells below each other instead.
 
 Defined results: a null or empty page, or one without visible text, gives an empty text.  Broken
-markup never fails.  Nesting deeper than ``MAX_DEPTH`` is flattened: its text stays.
+markup never fails; a tag that is still open at the page's end is dropped, as browsers do.  Nesting
+deeper than ``MAX_DEPTH`` is flattened: its text stays.  Columns of the input that are named as a result
+is are replaced by it; all others are carried through, repeated rows and null ids too.
 """
 
 from __future__ import annotations
@@ -23,14 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import slices, texts, without
 
 MAX_DEPTH = 200
+MOST_PADDED, MOST_INDENT, PADDING_FACTOR = 40, 40, 16
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-INVISIBLE = frozenset("head script style template noscript title meta link object iframe noembed noframes svg canvas audio video select datalist textarea dialog".split())
-BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table ul tr caption thead tbody tfoot menu".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure article section menu".split())
+INVISIBLE = frozenset("head script style template noscript title meta link object iframe noembed noframes canvas audio video datalist".split())
+#: Parts of drawings that are not drawn.
+UNDRAWN = frozenset("desc metadata defs".split())
+#: Kinds of input that show their value.
+SHOWN_INPUT = frozenset("text search email url tel number submit button reset".split())
+BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table ul tr caption thead tbody tfoot menu dialog xmp plaintext".split())
+SPACED = frozenset("xmp plaintext p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure article section menu".split())
 #: A start tag of the first ends an open element of the second, unless one of the third is nearer.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -40,54 +53,115 @@ IMPLIED = {
 #: End tags reach no further up than these.
 SCOPE = frozenset({"table", "td", "th", "caption", "html"})
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
-HIDDEN = re.compile(r"(?i)(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*(?:display\s*:\s*none|visibility\s*:\s*hidden)))")
-START = re.compile(r"(?i)(?:^|\s)start\s*=\s*[\"']?(-?\d{1,9})")
+#: One attribute: its name, and what stands before an equals sign's value.
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(\s*=\s*)?")
+BARE_VALUE = re.compile(r"[^\s>]*")
+TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+TAG_END = re.compile(r"[\s/]*>")
+UNSEEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
+WHOLE = re.compile(r"\s*([+-]?\d{1,9})")
+NUMBERED = re.compile(r"&#(?:[xX]0*([0-9a-fA-F]+)|0*([0-9]+))")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
     __slots__ = ("tag", "attrs", "children")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs = tag, attrs
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
+        self.tag, self.attrs = tag, attrs or {}
         self.children: list[Node | str] = []
 
 
-def build_tree(page: str) -> Node:
-    root = Node("html")
+def unescape(s: str) -> str:
+    """Character references resolved; numbers that are too long for any character give U+FFFD."""
+    if "&" not in s:
+        return s
+    if "&#" in s:
+        s = NUMBERED.sub(lambda m: "\ufffd" if len(m[1] or m[2]) > 7 else m[0], s)
+    return html.unescape(s)
+
+
+def read_attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes (the first of a name counts) and the place after the tag; -1 if the tag doesn't end."""
+    attrs: dict[str, str] = {}
+    while True:
+        if m := TAG_END.match(page, at):
+            return attrs, m.end()
+        m = ATTRIBUTE.match(page, at)
+        if m is None:
+            return attrs, -1
+        at, value = m.end(), ""
+        if m[2]:
+            quote = page[at : at + 1]
+            if quote in ("'", '"') and quote:
+                end = page.find(quote, at + 1)
+                if end < 0:
+                    return attrs, -1
+                value, at = page[at + 1 : end], end + 1
+            else:
+                m_value = BARE_VALUE.match(page, at)
+                value, at = m_value[0], m_value.end()
+        attrs.setdefault(m[1].lower(), unescape(value))
+
+
+def build_tree(page: str) -> tuple[Node, str]:
+    """The tree, and the text of the first title."""
+    root, title = Node("html"), None
     stack = [root]
     at, n = 0, len(page)
+    ends: dict[str, re.Pattern] = {}
     while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            s = m[0]
-            if s[0] != "<" or len(s) == 1:
-                stack[-1].children.append(html.unescape(s))
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = end if end >= 0 else n
+            stack[-1].children.append(unescape(page[at:end]))
+            at = end
+            continue
+        closing = page.startswith("/", at + 1)
+        name = TAG_NAME.match(page, at + 1 + closing)
+        if name is None:
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 2)
+                at = end + 3 if end >= 0 else n
+            elif closing or page.startswith(("!", "?"), at + 1):
+                end = page.find(">", at + 1)
+                at = end + 1 if end >= 0 else n
+            else:
+                stack[-1].children.append("<")
+                at += 1
             continue
-        tag = tag.lower()
-        if m[1]:
+        tag = name[0].lower()
+        attrs, at = read_attributes(page, name.end())
+        if at < 0:
+            break
+        if closing:
             close_tag(stack, tag)
             continue
-        attrs = m[3]
         if tag == "html":
             continue
         imply_ends(stack, tag)
         node = Node(tag, attrs)
+        if tag in UNDRAWN and any(x.tag == "svg" for x in stack):
+            node.attrs = {"hidden": ""}
         stack[-1].children.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE).search(page, at) if tag != "plaintext" else None
-            inner = page[at : end.start() if end else n]
-            node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
-            at = end.end() if end else n
+            stop = None
+            if tag != "plaintext":
+                if tag not in ends:
+                    ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.IGNORECASE)
+                stop = ends[tag].search(page, at)
+            inner = page[at : stop.start() if stop else n]
+            inner = unescape(inner) if tag in ("textarea", "title") else inner
+            node.children.append(inner)
+            if tag == "title" and title is None and all(x.tag != "svg" for x in stack):
+                title = SPACE.sub(" ", inner).strip()
+            at = stop.end() if stop else n
             continue
         if len(stack) < MAX_DEPTH:
             stack.append(node)
-    return root
+    return root, title or ""
 
 
 def imply_ends(stack: list[Node], tag: str) -> None:
@@ -125,7 +199,8 @@ def close_tag(stack: list[Node], tag: str) -> None:
 class Renderer:
     """Lines of text; blank lines between blocks are at most one."""
 
-    def __init__(self) -> None:
+    def __init__(self, padding: list[int]) -> None:
+        self.padding = padding  # blanks that the page's tables may still take: one number, shared by all its renderers
         self.lines: list[str] = []
         self.current: list[str] = []
         self.space = False  # a collapsed space waits
@@ -178,13 +253,31 @@ class Renderer:
 
 
 def invisible(node: Node) -> bool:
-    return node.tag in INVISIBLE or bool(node.attrs) and HIDDEN.search(node.attrs) is not None
+    if node.tag in INVISIBLE or "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs:
+        return True
+    return "style" in node.attrs and UNSEEN.search(node.attrs["style"]) is not None
+
+
+def shown_options(select: Node) -> list[Node]:
+    """All options of a list box; of a drop-down the chosen one, else the first."""
+    options, todo = [], list(reversed(select.children))
+    while todo:
+        child = todo.pop()
+        if isinstance(child, Node) and not invisible(child):
+            if child.tag == "option":
+                options.append(child)
+            else:
+                todo += reversed(child.children)
+    size = WHOLE.match(select.attrs.get("size", ""))
+    if "multiple" in select.attrs or size and int(size[1]) > 1 or not options:
+        return options
+    return [o for o in options if "selected" in o.attrs][-1:] or options[:1]
 
 
 def walk(node: Node, out: Renderer, pre: bool, depth: int) -> None:
     number = None
     if node.tag == "ol":
-        number = int(m[1]) if (m := START.search(node.attrs)) else 1
+        number = int(m[1]) if (m := WHOLE.match(node.attrs.get("start", ""))) else 1
     for child in node.children:
         if isinstance(child, str):
             out.text(child, pre)
@@ -199,11 +292,17 @@ def walk(node: Node, out: Renderer, pre: bool, depth: int) -> None:
                 out.end_line(keep=True)
         elif tag == "hr":
             out.block_edge(True)
-        elif tag == "img":
-            pass
+        elif tag == "input":
+            if child.attrs.get("type", "text").lower() in SHOWN_INPUT:
+                out.text(child.attrs.get("value", ""), False)
+        elif tag == "select":
+            for option in shown_options(child):
+                if "multiple" in child.attrs or "size" in child.attrs:
+                    out.block_edge(False)
+                walk(option, out, False, depth + 1)
         elif tag == "table":
             out.block_edge(True)
-            for line in table_lines(child, depth):
+            for line in table_lines(child, out.padding, depth):
                 out.put(line)
                 out.end_line()
             out.block_edge(True)
@@ -214,7 +313,7 @@ def walk(node: Node, out: Renderer, pre: bool, depth: int) -> None:
                 mark = f"{number}. "
                 number += 1
             old = out.indent
-            out.indent, out.marker = old + " " * len(mark), mark
+            out.indent, out.marker = (old + " " * len(mark))[:MOST_INDENT], mark
             walk(child, out, pre, depth + 1)
             out.block_edge(False)
             out.indent, out.marker = old, ""
@@ -224,12 +323,12 @@ def walk(node: Node, out: Renderer, pre: bool, depth: int) -> None:
             out.block_edge(spaced)
             old = out.indent
             if tag in ("dd", "blockquote"):
-                out.indent += "  "
-            walk(child, out, pre or tag == "pre", depth + 1)
+                out.indent = (old + "  ")[:MOST_INDENT]
+            walk(child, out, pre or tag in ("pre", "xmp", "plaintext"), depth + 1)
             out.block_edge(spaced)
             out.indent = old
         else:
-            walk(child, out, pre, depth + 1)
+            walk(child, out, pre or tag == "textarea", depth + 1)
 
 
 def rows_of(node: Node) -> Iterator[Node]:
@@ -253,7 +352,7 @@ def rows_of(node: Node) -> Iterator[Node]:
             yield row
 
 
-def table_lines(table: Node, depth: int) -> list[str]:
+def table_lines(table: Node, padding: list[int], depth: int) -> list[str]:
     grid: list[list[list[str]]] = []
     for row in rows_of(table):
         cells = []
@@ -267,7 +366,7 @@ def table_lines(table: Node, depth: int) -> list[str]:
                 continue
             else:
                 cell = child
-            inner = Renderer()
+            inner = Renderer(padding)
             walk(cell if cell.tag in ("td", "th", "caption") else wrapped(cell), inner, False, depth + 1)
             cells.append(inner.result().split("\n"))
         if any(any(line for line in c) for c in cells):
@@ -276,15 +375,21 @@ def table_lines(table: Node, depth: int) -> list[str]:
     for cells in grid:
         if len(cells) > 1:  # a lone cell spans the table
             for i, c in enumerate(cells):
-                width = max(map(len, c))
+                width = max((len(x) for x in c if len(x) <= MOST_PADDED), default=0)
                 if i == len(widths):
                     widths.append(width)
                 else:
                     widths[i] = max(widths[i], width)
     lines = []
     for cells in grid:
-        for k in range(max(map(len, cells))):
-            parts = [(c[k] if k < len(c) else "").ljust(widths[i]) if len(cells) > 1 else (c[k] if k < len(c) else "") for i, c in enumerate(cells)]
+        height = max(map(len, cells))
+        blanks = height * sum(w + 2 for w in widths[: len(cells)]) if len(cells) > 1 else 0
+        if blanks > padding[0]:
+            lines += [line for c in cells for line in c if line]
+            continue
+        padding[0] -= blanks
+        for k in range(height):
+            parts = [(c[k] if k < len(c) else "").ljust(widths[i] if len(cells) > 1 else 0) for i, c in enumerate(cells)]
             lines.append("  ".join(parts).rstrip())
     return lines
 
@@ -297,29 +402,32 @@ def wrapped(node: Node) -> Node:
 
 def render(page: str | None) -> str:
     """All visible text of a page."""
-    if not page:
-        return ""
-    out = Renderer()
-    walk(build_tree(page), out, False, 0)
-    return out.result()
+    return render_page(page)[0]
 
 
-def title_of(page: str | None) -> str:
-    m = re.search(r"(?is)<title[^>]*>(.*?)(?:</title|\Z)", page or "")
-    return SPACE.sub(" ", html.unescape(m[1])).strip() if m else ""
+def render_page(page: str | None) -> tuple[str, str]:
+    """All visible text of a page, and its title."""
+    if not page:
+        return "", ""
+    tree, title = build_tree(page)
+    out = Renderer([PADDING_FACTOR * len(page)])
+    walk(tree, out, False, 0)
+    return out.result(), title
 
 
 def extract(pages: DataFrame, column: str = "html", text: str = "text", title: str = "title") -> DataFrame:
     """``pages`` without the markup, with the visible text and the title as two more columns."""
-    kept = [f for f in pages.schema.fields if f.name != column]
+    source = pages.select(F.col(column), *[F.col(f"`{c}`") for c in without(pages, column, text, title).columns])
+    rest = source.schema.fields[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, column):
-            raw = texts(batch, column)
-            rest = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(map(render, raw), pa.string()), pa.array(map(title_of, raw), pa.string())], [*[f.name for f in kept], text, title])
+        for batch in slices(batches, batch_column):
+            got = [render_page(page) for page in texts(batch, batch_column)]
+            found = [pa.array([g[i] for g in got], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *found], [*[f.name for f in rest], text, title])
 
-    return pages.mapInArrow(run, T.StructType([*kept, T.StructField(text, T.StringType()), T.StructField(title, T.StringType())]))
+    batch_column = source.columns[0]
+    return source.mapInArrow(run, T.StructType([*rest, T.StructField(text, T.StringType()), T.StructField(title, T.StringType())]))
 
 
 def page_texts(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
