@@ -2,15 +2,16 @@
 
 Features are hashed character 1- to 3-grams of the lower-cased whole text.  Document frequencies
 cover every row that may be learned from; the regression itself is fitted with FTRL and an
-elastic-net penalty on a sample of at most about ``per_class`` documents of each language, and a
+elastic-net penalty on a sample of at most ``per_class`` documents of each language, and a
 quarter of that sample is set aside for the temperature that calibrates the probabilities.  Every
 label that occurs is learned.  Only buckets that occur in the sample have weights while fitting, and
 the model keeps those that the penalty leaves: one row of weights for each bucket that has any.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.  If there is
 nothing to learn from (empty table, no labels), every text is ``und``.  Repeated rows each get
-their own result, a null id is scored like any other (it is neither learned from nor held out),
-and other columns of the input are ignored.
+their own result, a null id is scored like any other (it is neither learned from nor held out).
+Rows that repeat id and text count once in the sample.  Columns of the input that are named as a
+result is are replaced by it; all others are carried through.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_share, slices, texts
+from .common import sample_of_each, slices, texts, without
 from .ftrl import FtrlConfig, fit_ftrl, fit_temperature, softmax
 
 UNDETERMINED = "und"
@@ -32,7 +33,7 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class LangIdConfig:
     bits: int = 16
-    per_class: int = 500  # bound of the fitting sample: expected documents of each language
+    per_class: int = 500  # bound of the fitting sample: documents of each language
     ftrl: FtrlConfig = field(default_factory=FtrlConfig)
 
 
@@ -120,8 +121,7 @@ def fit_langid(docs: DataFrame, learn: Column, cfg: LangIdConfig = LangIdConfig(
     rows, df = document_frequencies(known, text, cfg.bits)
     idf = np.log((1 + rows) / (1 + df)) + 1
 
-    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r[lang], min(1.0, cfg.per_class / r["n"]))])
-    chosen = keep_share(F.col(key), F.element_at(shares, F.col(lang)), "langid")
+    chosen = sample_of_each(known.select(lang, text, key), lang, [key, text], {r[lang]: r["n"] for r in sizes}, cfg.per_class, "langid")
     bits = cfg.bits
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def fit_langid(docs: DataFrame, learn: Column, cfg: LangIdConfig = LangIdConfig(
 
     # In a fixed order, so that the fit does not depend on which task ended first.
     deal = F.xxhash64(F.lit("order"), F.col(key), F.col(text))
-    sample = known.filter(chosen).select(F.col(lang).alias("lang"), F.col(text), deal.alias("deal")).mapInArrow(extract, "lang string, at array<int>, count array<int>, deal long").toArrow().sort_by("deal")
+    sample = chosen.select(F.col(lang).alias("lang"), F.col(text), deal.alias("deal")).mapInArrow(extract, "lang string, at array<int>, count array<int>, deal long").toArrow().sort_by("deal")
     row = {x: i for i, x in enumerate(languages)}
     y = np.array([row[x] for x in sample.column("lang").to_pylist()])
     at, count = (sample.column(k).combine_chunks() for k in ("at", "count"))
@@ -156,6 +156,7 @@ def fit_langid(docs: DataFrame, learn: Column, cfg: LangIdConfig = LangIdConfig(
 
 def with_language(docs: DataFrame, model: LangIdModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its calibrated probability as two more columns."""
+    docs = without(docs, pred, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most (2^bits + 1) x languages floats
     kinds = docs.select(F.lit("").alias(pred), F.lit(0.0).alias(score)).schema
 

@@ -2,16 +2,17 @@
 
 Presence of hashed character 3- to 5-grams of the lower-cased whole text; each feature is scaled
 by the logarithm of the ratio of its smoothed shares among toxic and other training texts, and a
-logistic regression is fitted on the scaled features (Wang & Manning 2012).  Only the features whose
-ratios stand out most from chance are kept.
+logistic regression is fitted on the scaled features (Wang & Manning 2012).  Features whose ratio is
+within ``significance`` standard errors of none take no part; there is no bound on how many do.
 
-The classifier is fitted on a sample of at most about ``per_class`` labelled documents of each
+The classifier is fitted on a sample of at most ``per_class`` labelled documents of each
 class; the intercept is moved back to the class shares among all labelled rows.
 
 Defined results: null and empty texts have no features and get the intercept's score.  Without
 usable labels of both classes every score is the share of toxic labels (0 if there are none).
 Labels with a null id or value are not used; an id labelled more than once is toxic if any row
-says so.  Repeated documents each get their own result.
+says so.  Repeated documents each get their own result, and count once in the sample.  A column of the
+input that is named as the result is is replaced by it; all others are carried through.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, keep_share, slices, texts
+from .common import cut, sample_of_each, slices, texts, without
 from .ftrl import FtrlConfig, fit_ftrl
 
 
@@ -33,9 +34,8 @@ from .ftrl import FtrlConfig, fit_ftrl
 class ToxicityConfig:
     bits: int = 20
     orders: tuple[int, ...] = (3, 4, 5)
-    per_class: int = 2000  # bound of the fitting sample: expected labelled documents of each class
-    min_documents: int = 3  # of the sample, that a feature must occur in
-    max_features: int = 1024  # those whose ratios are largest against their standard errors are kept
+    per_class: int = 2000  # bound of the fitting sample: labelled documents of each class
+    significance: float = 3.0  # standard errors that a feature's ratio must be away from 0
     smoothing: float = 1.0
     ftrl: FtrlConfig = field(default_factory=lambda: FtrlConfig(alpha=0.1, l1=1.0, l2=0.1, epochs=10))
 
@@ -83,10 +83,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, cfg: Toxicit
     empty = ToxicityModel(np.zeros(1 << cfg.bits, dtype=np.float32), prior, cfg.bits, cfg.orders)
     if len(sizes) < 2:
         return empty
-    chosen = F.lit(False)
-    for y, n in sizes.items():
-        chosen = chosen | ((F.col("y") == y) & keep_share(F.col(key), cfg.per_class / n, "toxicity"))
-    picked = known.filter(chosen)  # bounded by per_class, whatever the labels table holds
+    picked = sample_of_each(known, "y", [key], sizes, cfg.per_class, "toxicity")  # bounded, whatever the labels table holds
+    labelled = docs.select(key, text).join(F.broadcast(picked), key)
+    n_rows = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n_rows) < 2:
+        return empty
+    # An id may stand for very many documents.
+    labelled = sample_of_each(labelled, "y", [key, text], n_rows, cfg.per_class, "documents")
     bits, orders = cfg.bits, cfg.orders
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,9 +98,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, cfg: Toxicit
             got = [ngrams(t, bits, orders, seen).astype(np.int32) for t in texts(batch, text)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.int32()))], ["deal", "y", "at"])
 
-    sample = cut(
-        docs.select(key, text).join(F.broadcast(picked), key).select(F.xxhash64(F.lit("order"), F.col(key), F.col(text)).alias("deal"), "y", text).mapInArrow(extract, "deal long, y int, at array<int>")
-    )
+    deal = F.xxhash64(F.lit("order"), F.col(key), F.col(text)).alias("deal")
+    sample = cut(labelled.select(deal, "y", text).mapInArrow(extract, "deal long, y int, at array<int>"))
     n = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return empty
@@ -107,9 +109,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, cfg: Toxicit
     ratio = F.log((F.col("toxic") + a) / (n[1] + 2 * a)) - F.log((F.col("other") + a) / (n[0] + 2 * a))
     error = F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("other") + a))
     counts = sample.select("y", F.explode("at").alias("bucket")).groupBy("bucket").agg(toxic.alias("toxic"), other.alias("other"))
-    kept = counts.filter(F.col("toxic") + F.col("other") >= cfg.min_documents).withColumn("ratio", ratio).orderBy(F.desc(F.abs("ratio") / error), "bucket").limit(cfg.max_features).toPandas()
-    ratios, place = np.zeros(1 << bits, dtype=np.float32), np.full(1 << bits, -1, dtype=np.int32)
-    ratios[kept["bucket"].to_numpy()] = kept["ratio"].to_numpy()
+    kept = counts.withColumn("ratio", ratio).filter(F.abs("ratio") >= cfg.significance * error).orderBy("bucket").toPandas()  # 2^bits rows at most
+    place = np.full(1 << bits, -1, dtype=np.int32)
     place[kept["bucket"].to_numpy()] = np.arange(len(kept))
     shared = spark.sparkContext.broadcast(place)
 
@@ -130,6 +131,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, cfg: Toxicit
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the probability of the toxic label as one more column."""
+    docs = without(docs, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits floats
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
