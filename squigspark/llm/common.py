@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +27,14 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests in one
-    process) a temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset a temporary folder is taken
+    in local mode (tests); on a cluster executors would not see it, so that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or sc.getCheckpointDir()
 
@@ -42,20 +45,59 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less the columns that a result of these names replaces, whatever their case."""
+    gone = {n.lower() for n in names}
+    kept = [c for c in df.columns if c.lower() not in gone]
+    return df if len(kept) == len(df.columns) else df.select(*[F.col(f"`{c}`") for c in kept])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def join_skewed(large: DataFrame, small: DataFrame, key: str, weight: str, deal: str, most: int = 50_000) -> DataFrame:
+    """``large`` left-joined with ``small``, whose ``key`` is unique and whose ``weight`` is the rows of ``large`` with it.
+
+    Keys that hold more than one in ``most`` of all rows (so fewer than ``most`` of them) are broadcast;
+    their rows, and those with a null key, are dealt over all partitions of the join for the other keys
+    by a hash of ``deal``, so no task has all rows of one key.  ``small`` should be cut, as it is read three times.
+    """
+    total = small.agg(F.sum(weight)).first()[0] or 0
+    limit = max(1000, total // most)
+    rest = [c for c in small.columns if c not in (key, weight)]
+    value = F.struct(*rest).alias("__value")
+    hot = small.filter(F.col(weight) > limit).select(key, value.alias("__hot"))
+    cold = small.filter(F.col(weight) <= limit).select(key, F.lit(0).alias("__deal"), value.alias("__cold"))
+    found = large.join(F.broadcast(hot), key, "left")
+    found = found.withColumn("__deal", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), 0).otherwise(1 + F.pmod(F.xxhash64(deal), F.lit(1 << 16))).cast("int"))
+    both = found.join(cold, [key, "__deal"], "left").withColumn("__value", F.coalesce("__hot", "__cold"))
+    return both.select(*large.columns, *[F.col(f"__value.{c}").alias(c) for c in rest])
+
+
+def sample_of_each(rows: DataFrame, label: str, keys: list[str], sizes: dict, most: int, seed: str) -> DataFrame:
+    """At most ``most`` rows of each label, chosen by the hash of ``keys``; rows that repeat all keys count once.
+
+    ``sizes`` says how many rows each label has.  A share by hash comes first, so that only about twice
+    ``most`` rows are ranked.
+    """
+    shares = F.create_map(*[F.lit(x) for v, n in sizes.items() for x in (v, min(1.0, 2.0 * most / n))])
+    name = F.xxhash64(F.lit(seed), *keys)
+    picked = rows.withColumn("__name", name).filter(F.pmod("__name", F.lit(1 << 40)) < (F.element_at(shares, F.col(label)) * (1 << 40)).cast("long"))
+    once = picked.dropDuplicates([label, "__name"])
+    ranked = once.withColumn("__rank", F.row_number().over(Window.partitionBy(label).orderBy("__name")))
+    return ranked.filter(F.col("__rank") <= most).drop("__name", "__rank")
+
+
 def id_bucket(doc_id: str | Column, buckets: int) -> Column:
     """crc32 of the id's decimal text, modulo ``buckets``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % buckets
 
 
-def keep_share(key: Column, share: float | Column, seed: str) -> Column:
-    """True for the rows whose hashed key falls in the lowest ``share`` of the hash range."""
-    if isinstance(share, Column):
-        return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) < (share * (1 << 40)).cast("long")
-    if share >= 1:
-        return F.lit(True)
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) < int(share * (1 << 40))
-
-
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A string column of a batch as Python strings; null becomes empty."""
     return ["" if x is None else x for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]

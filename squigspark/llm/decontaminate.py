@@ -20,9 +20,10 @@ five-word shingles with the passage (all words in order for fewer than five).
 Terms are words between ASCII white space, lower-cased, without the punctuation at their ends.
 
 The index goes to the executors as a broadcast of bounded size: items are dealt to as many shards as
-keep each below ``shard_chars`` characters, and each shard is one pass over the documents.  Item
-count, mean length, longest item and document frequencies are those of all items in every shard, so
-results do not depend on the number of shards.
+keep each below ``shard_chars`` characters, and each shard is one pass over the documents.  Where
+documents are filtered, at most ``shards_held`` passes are chained before a checkpoint, so a worker never
+holds more indexes than that.  Item count, mean length, longest item and document frequencies are those
+of all items in every shard, so results do not depend on the number of shards.
 
 Defined results: null and empty texts, and items without a word, match nothing.  Repeated rows match
 each on their own; null ids are carried through.  Empty tables give no match.
@@ -59,6 +60,7 @@ class DecontaminationConfig:
     block_items: int = 4  # at least; larger where a shard would have more than most_blocks
     most_blocks: int = 256
     shard_chars: int = 1 << 20
+    shards_held: int = 8
 
 
 def normal_forms(chunks: pa.Array) -> pa.Array:
@@ -108,9 +110,9 @@ class Index:
     Without ``stats`` the items are taken as all there are.
     """
 
-    def __init__(self, items: list[tuple[int, str]], cfg: DecontaminationConfig, stats: Statistics | None = None):
+    def __init__(self, items: list[tuple[int | None, str]], cfg: DecontaminationConfig, stats: Statistics | None = None):
         self.cfg = cfg
-        kept = [(i, q, a) for i, t in sorted(items, key=lambda x: (x[0], x[1])) for q, a in [split_item(t or "")] if q or a]
+        kept = [(i, q, a) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1])) for q, a in [split_item(t or "")] if q or a]
         self.ids = [i for i, _, _ in kept]
         self.question, self.answer = [q for _, q, _ in kept], [a for _, _, a in kept]
         bags = []
@@ -257,7 +259,7 @@ def index_shards(benchmark: DataFrame, cfg: DecontaminationConfig, item: str = "
     rows = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).filter("t is not null")
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     shards = max(1, -(-total // cfg.shard_chars))
-    listed = lambda part: [(r.i if r.i is not None else -1, r.t) for r in part.select("i", "t").collect()]
+    listed = lambda part: [(r.i, r.t) for r in part.select("i", "t").collect()]
     if shards == 1:
         yield Index(listed(rows), cfg)
         return
@@ -294,7 +296,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig =
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig(), text: str = "text") -> DataFrame:
     """The rows of ``docs`` without a verified match, unchanged; no shuffle."""
-    for index in index_shards(benchmark, cfg):
+    for number, index in enumerate(index_shards(benchmark, cfg)):
+        if number and number % cfg.shards_held == 0:
+            docs = cut(docs)
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts
+from .common import cut, fresh, join_skewed, slices, texts
 from .components import connected_components
 
 BITS, RADIUS, SEED = 64, 2, 42
@@ -93,18 +93,22 @@ def fingerprint_links(distinct: DataFrame, pair_limit: int = 64) -> DataFrame:
 
 
 def fingerprint_components(rows: DataFrame, pair_limit: int = 64) -> DataFrame:
-    """(fp, root, component_id): a name of each fingerprint's component, and its smallest doc_id; ``rows``: (doc_id, fp)."""
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """(fp, n, root, component_id): of each fingerprint its rows, a name of its component, and that one's smallest doc_id.
+
+    ``rows``: (doc_id, fp).
+    """
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = connected_components(fingerprint_links(distinct.select("fp"), pair_limit))
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return linked.join(ids, "root").select("fp", "root", "component_id")
+    linked = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    ids = cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    return join_skewed(linked.select("fp", "n", "root"), ids, "root", "members", "fp")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id): one row for each of ``docs``."""
     rows = cut(with_fingerprint(docs, key, text, words))
-    return rows.join(fingerprint_components(rows), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    found = join_skewed(rows, cut(fingerprint_components(rows)), "fp", "n", "text_hash")
+    return found.select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -114,7 +118,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """
     found = near_duplicates(docs, key, text, words)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")
-    kept = found.groupBy("root").agg(best).select(F.col("best.doc_id").alias("__id"), F.col("best.text_hash").alias("__hash"))
-    keyed = docs.withColumn("__h", F.xxhash64(F.col(text)))
-    same = F.col(key).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))
-    return keyed.join(kept.distinct(), same, "left_semi").dropDuplicates([key, "__h"]).drop("__h").select(*docs.columns)
+    h, own, name = fresh(docs, "h"), fresh(docs, "kept_id"), fresh(docs, "kept_hash")
+    kept = found.groupBy("root").agg(best).select(F.col("best.doc_id").alias(own), F.col("best.text_hash").alias(name))
+    keyed = docs.withColumn(h, F.xxhash64(F.col(text)))
+    same = F.col(key).eqNullSafe(F.col(own)) & (F.col(h) == F.col(name))
+    return keyed.join(kept.distinct(), same, "left_semi").dropDuplicates([key, h]).select(*docs.columns)

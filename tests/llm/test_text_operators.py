@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -133,6 +134,61 @@ def test_urls_paths_and_comments(text, want):
     assert [text[f.start : f.end] for f in secrets.find_secrets(text) if f.kind == "literal"] == want
 
 
+HOSTILE_SOURCE = {
+    "escaped": "secret " + '\\"' * 500_000, "opened": "secret " + '"' + '\\"' * 500_000, "comments": "secret " + "/*" * 500_000, "quotes": "secret " + '"' * 500_001 + "'" * 500_001,
+    "commented": "secret " + '/* a */ x="aaaaaaaa1"\n' * 40_000, "doubled": 'token0 = "abcdefgh12"\n' + "".join(f"token{i + 1} = token{i} + token{i}\n" for i in range(20_000)), "grown": 'token = "abcdefgh12"\n' + 'token = token + "a1B2c3d4"\n' * 30_000,
+    "segments": "secret " + "a/b" * 300_000, "blanks": "password" + " " * 900_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE_SOURCE))
+def test_lexing_is_linear_in_the_text(name):
+    began = time.process_time()
+    secrets.find_secrets(HOSTILE_SOURCE[name])
+    assert time.process_time() - began < 12
+
+
+def test_constants_that_grow_stay_bounded():
+    text = 'a0 = "Zk39Qm1PxL8vT2"\n' + "".join(f'a{i + 1} = a{i} + a{i} + "z{i}"\n' for i in range(40)) + 'my_token = a2\nits_token = a40 + "Xk29fPq8Lm2z"\n'
+    found = {text[f.start : f.end]: f.name for f in secrets.find_secrets(text) if f.kind == "literal"}
+    assert found["Zk39Qm1PxL8vT2"] == found["z0"] == "my_token" and found["Xk29fPq8Lm2z"] == "its_token"
+
+
+def test_literals_against_construction():
+    """Random sources whose secrets are known as they are made."""
+    rng = np.random.default_rng(1)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    fresh = lambda: "a1B2" + "".join(rng.choice(letters, 16))
+    for _ in range(200):
+        text, want, constants = "", set(), []
+        for n in range(12):
+            value, kind, quote = fresh(), int(rng.integers(0, 7)), str(rng.choice(["'", '"']))
+            if kind == 0:  # harmless
+                text += f"colour_{n} = {quote}{value}{quote}\n"
+            elif kind == 1:
+                want.add(len(text) + len(f"db_pwd{n}: ") + 1)
+                text += f"db_pwd{n}: {quote}{value}{quote},\n"
+            elif kind == 2:  # a constant, maybe used later
+                constants.append((f"part{n}x", len(text) + len(f"part{n}x = ") + 1))
+                text += f"part{n}x = {quote}{value}{quote};\n"
+            elif kind == 3 and constants:
+                name, at = constants[int(rng.integers(0, len(constants)))]
+                want.add(at)
+                text += f"conf.privateKey = {name}\n"
+            elif kind == 4 and constants:
+                name, at = constants[int(rng.integers(0, len(constants)))]
+                start = f"authKey{n} := {name} + "
+                want |= {at, len(text) + len(start) + 1}
+                text += f"{start}{quote}{value}{quote}\n"
+            elif kind == 5:
+                text += f"see https://h.example/{value} and /usr/{value}/* there\n"
+            else:
+                want.add(len(text) + len(f"// pwd{n}=") + 1)
+                text += f"// pwd{n}={quote}{value}{quote}\n"
+        got = {f.start for f in secrets.find_secrets(text) if f.kind == "literal"}
+        assert got == want, text
+
+
 def test_secrets_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "é token = abcdef1"), (3, "é token = abcdef1"), (None, "x"), (4, "a" * 300_000 + ' my_password="Xk29fPq8Lm2z"')]
     docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, spans string, n_hex int")
@@ -191,7 +247,7 @@ def test_a_cut_archive_is_an_error(tmp_path):
     import io
 
     out = io.BytesIO()
-    warc.write_file(iter([(1, "u", "text " * 99, None)]), out, b"", warc.WarcConfig())
+    warc.write_file(iter([warc.Page(1, "u", b"text " * 99, None, False, None)]), out, b"", warc.WarcConfig())
     with pytest.raises(EOFError):
         list(warc.read_file(io.BytesIO(out.getvalue()[:-3])))
 
@@ -282,7 +338,7 @@ def test_decontamination_of_odd_rows(spark):
         ("<table><tr><th>name<th>n<tr><td>long cell<td>7</table>", "name       n\nlong cell  7"),
         ("a<br>b<hr>c", "a\nb\n\nc"),
         ("<head><title>t</title><style>x</style></head><body>v<script>if (a<b) '</p>'</script>w", "vw"),
-        ("x<div hidden>no</div><span style='display: none'>no</span><i style=\"color:red\">yes</i><p aria-hidden=true>no", "xyes"),
+        ("x<div hidden>no</div><span style='display: none'>no</span><i style=\"color:red\">yes</i><p aria-hidden=true>no", "xyes\n\nno"),
         ("<pre>a\n  b</pre>c", "a\n  b\n\nc"),
         ("&lt;tag&gt; &amp; &eacute;&nbsp;z", "<tag> & é\xa0z"),
         ("<!-- c --><p>a</p></p></div>b<!-- open", "a\n\nb"),
@@ -294,6 +350,17 @@ def test_decontamination_of_odd_rows(spark):
         ("<div>" * 3000 + "deep", "deep"),
         ("<table>" * 300 + "t", "t"),
         ("<a href='x>y'>in</a>", "in"),
+        ('<p title="a hidden gem">visible</p><div class="flex hidden md">x</div>', "visible\n\nx"),
+        ('<p data-x="style=display:none" style="color:red">seen<p style="a:b; display : none">not', "seen"),
+        ("<dialog open>a</dialog><dialog>b</dialog><p HIDDEN=''>c", "a"),
+        ("<textarea>a\n b</textarea>", "a\n b"),
+        ("<select><option>a<option selected>b<option>c</select>", "b"),
+        ("<select multiple><optgroup><option>a<option>b</select>", "a\nb"),
+        ("<input value=typed><input type=hidden value=x><input type=submit value=Go>", "typedGo"),
+        ("<svg><title>t</title><desc>d</desc><text>drawn</text></svg>", "drawn"),
+        ("<table><tr><td>a<td>b<tr><td>" + "w" * 50 + "<td>c</table>", "a  b\n" + "w" * 50 + "  c"),
+        ("&#" + "9" * 5000 + "; &#0000000065;", "\ufffd; A"),
+        ("a<b", "a"),
     ],
 )
 def test_rendering(page, want):
@@ -314,6 +381,52 @@ def test_all_visible_words_stay():
         assert sorted(got) == sorted(want)
 
 
+HOSTILE = {
+    "tags": "<a " * 330_000, "quotes": '<a b="' * 160_000, "comments": "<!--" * 250_000, "titles": "<title " * 140_000, "amps": "&" * 1_000_000, "lists": "<ul><li>" * 300 + "x<br>" * 200_000, "styles": '<p style="' + ";" * 900_000 + '">x',
+    "cells": "<table><tr>" + "<td>" * 3000 + "<td>" + "x<br>" * 3000, "wide": "<table>" + "<tr><td>a<td>b" * 20_000 + "<tr><td>" + "w" * 500_000 + "<td>x</table>", "less": "<" * 500_000, "blanks": "<a" + " =" * 500_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_rendering_is_linear_in_the_page(name):
+    page, began = HOSTILE[name], time.process_time()
+    out = htmltext.render(page)
+    assert time.process_time() - began < 10 and len(out) <= 20 * len(page)
+
+
+def laid_out(rng, depth=0):
+    """A random page and its layout, made together: (markup, lines, is a paragraph-like block)."""
+    kind = rng.integers(0, 4 if depth < 3 else 2)
+    word = "".join(rng.choice(list("abcdef"), 4))
+    if kind == 0:
+        return f"<p>{word}\n <i>{word}</i>", [f"{word} {word}"], True
+    if kind == 1:
+        rows = [["".join(rng.choice(list("xyz"), int(rng.integers(1, 9)))) for _ in range(3)] for _ in range(3)]
+        wide = [max(len(r[i]) for r in rows) for i in range(3)]
+        markup = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>"
+        return markup, ["  ".join(c.ljust(w) for c, w in zip(r, wide, strict=True)).rstrip() for r in rows], True
+    inner = [laid_out(rng, depth + 1) for _ in range(2)]
+    markup, lines = "".join(m for m, _, _ in inner), joined(inner)
+    if kind == 2:
+        return f"<div>{markup}</div>", lines, None if inner else False
+    return f"<blockquote>{markup}</blockquote>", ["  " + x if x else x for x in lines], True
+
+
+def joined(parts):
+    """Paragraph-like blocks, and whatever a plain block begins and ends with, have a blank line around them."""
+    out = []
+    for _, lines, _ in parts:
+        out += [""] * bool(out) + lines
+    return out
+
+
+def test_layout_against_construction():
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        parts = [laid_out(rng) for _ in range(3)]
+        assert htmltext.render("".join(m for m, _, _ in parts)) == "\n".join(joined(parts))
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "<p>a"), (3, "<p>a"), (None, "<title>T &amp; U</title>b"), (4, "<p>" + "word " * 100_000)]
     df = spark.createDataFrame([(*r, "t", 0) for r in rows], "page_id long, html string, text string, n_chars int")
