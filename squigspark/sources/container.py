@@ -2,12 +2,16 @@
 
 Text and binary files of one data set may lie in one folder.  The schema is
 the fixed columns of a read, then the auxiliary columns that the first file declares.  Text files are
-cut into byte ranges at planning; binary ones are one partition each unless an index table
-(``record_index``) is used, which turns any set of records into evenly dealt byte ranges.
-Only the columns that a query names are decoded (option ``columns``); equality and IN filters on
-``read_id`` skip the decoding of all other records.
-
-Writers give one file for each task, named in the commit message; an aborted task's file is removed.
+cut into byte ranges at planning, and so are binary ones that have an index file beside them
+(``write_index_files``); a binary file without one is one partition.  An index table (``record_index``)
+turns any set of binary records into evenly dealt byte ranges.
+With the option ``columns`` only the named columns are decoded; equality and IN filters on ``read_id``
+skip the decoding of all other records.
+
+Writers give one file for each task, in a folder of the job that readers don't see.  The commit moves the
+files that its messages name and drops the folder, so what lost attempts, twins of slow tasks and aborted
+jobs have left is never read.  A null signal is written as an empty one, a null read group as 0 and other
+null numbers as not-a-number; a null read id is an error.
 """
 
 from __future__ import annotations
@@ -172,7 +176,8 @@ def list_files(path: str) -> list[tuple[str, int]]:
     if info.type == fs.FileType.Directory:
         found = store.get_file_info(fs.FileSelector(at, recursive=True))
         prefix = path.rstrip("/")
-        return sorted((posixpath.join(prefix, posixpath.relpath(f.path, at)), f.size) for f in found if f.path.endswith((TEXT_FILE, BINARY_FILE)))
+        named = [(posixpath.relpath(f.path, at), f.size) for f in found if f.path.endswith((TEXT_FILE, BINARY_FILE))]
+        return sorted((posixpath.join(prefix, name), size) for name, size in named if not any(part.startswith(("_", ".")) for part in name.split("/")))
     return [(path, info.size)]
 
 
@@ -180,15 +185,21 @@ def _missing(kind: str, v):
     return None if v is None or (v != v if kind in ("float", "double") else v == AUX[kind][2]) else v
 
 
-def decode_text(line: str, h: Header) -> tuple:
+def decode_text(line: str, h: Header, columns: frozenset[str] | None = None) -> tuple:
+    """The row of a line; columns that aren't asked for are left null."""
     f = line.rstrip("\n").split("\t")
     if len(f) != 8 + len(h.aux):
         raise ValueError(f"a record has {len(f)} fields")
-    signal = np.array(f[7].split(","), dtype=np.int16) if f[7] not in ("", ".") else np.zeros(0, np.int16)
-    if len(signal) != int(f[6]):
-        raise ValueError(f"{f[0]}: the signal is not as long as it says")
-    row = [f[0], int(f[1]), *map(float, f[2:6]), len(signal), signal]
+    signal = None
+    if columns is None or "raw_signal" in columns:
+        signal = np.array(f[7].split(","), dtype=np.int16) if f[7] not in ("", ".") else np.zeros(0, np.int16)
+        if len(signal) != int(f[6]):
+            raise ValueError(f"{f[0]}: the signal is not as long as it says")
+    row = [f[0], int(f[1]), *map(float, f[2:6]), int(f[6]), signal]
     for a, s in zip(h.aux, f[8:], strict=True):
+        if columns is not None and a.name not in columns:
+            row.append(None)
+            continue
         number = float if a.kind in ("float", "double") else int
         if s == ".":
             row.append(None)
@@ -199,8 +210,11 @@ def decode_text(line: str, h: Header) -> tuple:
     return tuple(row)
 
 
-def decode_binary(data: bytes, h: Header, wanted: set[str] | None = None) -> tuple | None:
-    """The row of a record; None if its id isn't wanted (then nothing but the id is decoded)."""
+def decode_binary(data: bytes, h: Header, wanted: set[str] | None = None, columns: frozenset[str] | None = None) -> tuple | None:
+    """The row of a record; None if its id isn't wanted (then nothing but the id is decoded).
+
+    Columns that aren't asked for are stepped over and left null.
+    """
     data = decompress(data, h.record_codec)
     (n,) = struct.unpack_from("<H", data)
     read_id = data[2 : 2 + n].decode()
@@ -208,15 +222,21 @@ def decode_binary(data: bytes, h: Header, wanted: set[str] | None = None) -> tup
         return None
     group, *cal, size = struct.unpack_from("<IddddQ", data, 2 + n)
     at = 2 + n + 44
+    skipped = columns is not None and not columns & {"raw_signal", "len_raw_signal"}
     if h.signal_codec == "none":
         signal = np.frombuffer(data, "<i2", int(size), at)
         at += 2 * size
     else:
-        signal = np.frombuffer(decompress(data[at : at + size], h.signal_codec), "<i2")
+        signal = None if skipped else np.frombuffer(decompress(data[at : at + size], h.signal_codec), "<i2")
         at += size
-    row = [read_id, group, *cal, len(signal), signal]
+    row = [read_id, group, *cal, None if signal is None else len(signal), signal]
     for a in h.aux:
         code = AUX[a.kind][1]
+        if columns is not None and a.name not in columns:
+            width = struct.calcsize(code)
+            at += 8 + width * struct.unpack_from("<Q", data, at)[0] if a.array else width
+            row.append(None)
+            continue
         if not a.array:
             (v,) = struct.unpack_from("<" + code, data, at)
             at += struct.calcsize(code)
@@ -235,10 +255,21 @@ def decode_binary(data: bytes, h: Header, wanted: set[str] | None = None) -> tup
 
 
 def number_text(x: float) -> str:
+    if x != x:
+        return "nan"
     s = f"{x:.6f}".rstrip("0").rstrip(".")
     return "0" if s in ("-0", "") else s
 
 
+def without_nulls(row: tuple) -> tuple:
+    """Fixed columns that the format can hold."""
+    read_id, group, *numbers, _, signal = row[:8]
+    if read_id is None:
+        raise ValueError("a read has no id")
+    numbers = [float("nan") if x is None else x for x in numbers]
+    return read_id, group or 0, *numbers, len(signal or []), signal or [], *row[8:]
+
+
 def encode_text(row: tuple, h: Header) -> bytes:
     signal = ",".join(map(str, row[7]))
     out = [row[0], str(row[1]), *map(number_text, row[2:6]), str(len(row[7])), signal]
@@ -267,12 +298,12 @@ def encode_binary(row: tuple, h: Header) -> bytes:
     return struct.pack("<Q", len(data)) + data
 
 
-def binary_records(stream, h: Header) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of each record; the end mark must close the file."""
-    at = h.data_at
+def binary_records(stream, h: Header, at: int | None = None, last: bool = True) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of each record from the place ``at`` on; the end mark must close a file's ``last`` range."""
+    at = h.data_at if at is None else at
     while True:
         head = stream.read(8)
-        if head[:5] == END_MARK and len(head) == 5:
+        if head[:5] == END_MARK and len(head) == 5 or not head and not last:
             return
         if len(head) < 8:
             raise EOFError("the file is cut off: it has no end mark")
@@ -284,6 +315,46 @@ def binary_records(stream, h: Header) -> Iterator[tuple[int, bytes]]:
         at += 8 + size
 
 
+#: Fixed values of the index file: each record's id, place and size, between two marks.
+INDEX_FILE, INDEX_MAGIC, INDEX_END, INDEX_FROM = ".idx", b"SLOW5IDX\1", b"XDI5WOLS", 64
+
+
+def index_bytes(version: tuple[int, int, int], records: list[tuple[str, int, int]]) -> bytes:
+    """An index file's contents, from (read_id, offset, size) of each record."""
+    out = [(INDEX_MAGIC + bytes(version)).ljust(INDEX_FROM, b"\0")]
+    for read_id, offset, size in records:
+        raw = read_id.encode()
+        out += [struct.pack("<H", len(raw)), raw, struct.pack("<QQ", offset, size)]
+    return b"".join([*out, INDEX_END])
+
+
+def read_index_file(path: str) -> list[tuple[str, int, int]] | None:
+    """(read_id, offset, size) of each record of a container, in the order of the file; None without an index file."""
+    store, at = store_of(path + INDEX_FILE)
+    if store.get_file_info(at).type != fs.FileType.File:
+        return None
+    with store.open_input_stream(at, compression=None) as stream:
+        data = stream.read()
+    if data[: len(INDEX_MAGIC)] != INDEX_MAGIC or not data.endswith(INDEX_END):
+        raise ValueError(f"{path}{INDEX_FILE} is no index, or is cut off")
+    out, place = [], INDEX_FROM
+    while place < len(data) - len(INDEX_END):
+        (n,) = struct.unpack_from("<H", data, place)
+        out.append((data[place + 2 : place + 2 + n].decode(), *struct.unpack_from("<QQ", data, place + 2 + n)))
+        place += 18 + n
+    return sorted(out, key=lambda r: r[1])
+
+
+def binary_ranges(path: str, size: int, split: int) -> list[tuple[int, int]]:
+    """Byte ranges of about ``split`` bytes that begin at records, if an index says where those are; else the whole file."""
+    cuts, reached = [0], split
+    for _, offset, _ in read_index_file(path) or []:
+        if offset >= reached:
+            cuts.append(offset)
+            reached = offset + split
+    return list(zip(cuts, [*cuts[1:], size], strict=True))
+
+
 @dataclass
 class Range(InputPartition):
     path: str
@@ -297,6 +368,7 @@ class SignalReader(DataSourceReader):
         self.split = int(options.get("split_bytes", 64 << 20))
         self.schema = schema
         self.names = schema.names
+        self.columns = frozenset(schema.names)
         self.wanted: set[str] | None = None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -311,7 +383,7 @@ class SignalReader(DataSourceReader):
         out = []
         for path, size in list_files(self.path):
             if path.endswith(BINARY_FILE):
-                out.append(Range(path, 0, size))
+                out += [Range(path, *r) for r in binary_ranges(path, size, self.split)]
             else:
                 out += [Range(path, at, min(size, at + self.split)) for at in range(0, size, self.split)]
         return out
@@ -321,9 +393,13 @@ class SignalReader(DataSourceReader):
         if part.path.endswith(BINARY_FILE):
             with store.open_input_stream(at, compression=None, buffer_size=1 << 20) as stream:
                 h = read_header(stream, True)
-                for _, data in binary_records(stream, h):
-                    if (row := decode_binary(data, h, self.wanted)) is not None:
-                        yield self.ordered(row, h)
+            with store.open_input_file(at) as file:
+                begin, last = max(part.start, h.data_at), part.end >= file.size()
+                whole = file.get_stream(begin, (file.size() if last else part.end) - begin)
+                with pa.BufferedInputStream(whole, 1 << 20) as stream:
+                    for _, data in binary_records(stream, h, begin, last):
+                        if (row := decode_binary(data, h, self.wanted, self.columns)) is not None:
+                            yield self.ordered(row, h)
             return
         with store.open_input_file(at) as file:
             h = read_header(file, False)
@@ -352,7 +428,7 @@ class SignalReader(DataSourceReader):
                 if line_at >= part.end:
                     return
                 if line and (self.wanted is None or line.split(b"\t", 1)[0].decode() in self.wanted):
-                    yield self.ordered(decode_text(line.decode(), h), h)
+                    yield self.ordered(decode_text(line.decode(), h, self.columns), h)
 
     def ordered(self, row: tuple, h: Header) -> tuple:
         have = dict(zip([*READ.names, *[a.name for a in h.aux]], row, strict=True))
@@ -407,18 +483,20 @@ class SignalWriter(DataSourceArrowWriter):
         groups = max([1, *map(len, attrs.values())])
         self.header = Header(VERSION, groups, attrs, aux, self.binary, options.get("record_press", "zlib") if self.binary else "none", options.get("signal_press", "svb-zd") if self.binary else "none")
         self.names = schema.names
+        self.job = f"_signal-{uuid.uuid4().hex}"  # made on the driver, the same for all tasks
         if self.names[: len(READ.names)] != READ.names:
             raise ValueError(f"the first columns must be {READ.names}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, at = store_of(self.path)
-        store.create_dir(at, recursive=True)
+        folder = posixpath.join(at, self.job)
+        store.create_dir(folder, recursive=True)
         name = f"part-{uuid.uuid4().hex}{BINARY_FILE if self.binary else TEXT_FILE}"
         n = 0
-        with store.open_output_stream(posixpath.join(at, name), compression=None) as out:
+        with store.open_output_stream(posixpath.join(folder, name), compression=None) as out:
             out.write(self.header.to_bytes())
             for batch in iterator:
-                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for row in map(without_nulls, zip(*(c.to_pylist() for c in batch.columns), strict=True)):
                     out.write(encode_binary(row, self.header) if self.binary else encode_text(row, self.header))
                     n += 1
             if self.binary:
@@ -428,16 +506,20 @@ class SignalWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, at = store_of(self.path)
         kept = {m.path for m in messages if m}
-        if self.overwrite:
+        if self.overwrite and store.get_file_info(at).type == fs.FileType.Directory:
             for f in store.get_file_info(fs.FileSelector(at)):
-                if f.base_name not in kept and f.base_name.endswith((TEXT_FILE, BINARY_FILE)):
+                if f.base_name.removesuffix(INDEX_FILE).endswith((TEXT_FILE, BINARY_FILE)):
                     store.delete_file(f.path)
+        for name in sorted(kept):
+            store.move(posixpath.join(at, self.job, name), posixpath.join(at, name))
+        self.abort(messages)
 
     def abort(self, messages: list[Written | None]) -> None:
+        """Drop the job's folder with all that is left in it."""
         store, at = store_of(self.path)
-        for m in messages:
-            if m:
-                store.delete_file(posixpath.join(at, m.path))
+        folder = posixpath.join(at, self.job)
+        if store.get_file_info(folder).type == fs.FileType.Directory:
+            store.delete_dir(folder)
 
 
 class SignalSource(DataSource):
@@ -513,14 +595,12 @@ def fetch(index: DataFrame, schema: T.StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            headers: dict[str, Header] = {}
+            opened, file, h = None, None, None
             for path, offset, size in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if path not in headers:
-                    headers[path] = open_header(path)
-                h = headers[path]
-                store, at = store_of(path)
-                with store.open_input_file(at) as file:
-                    row = decode_binary(file.read_at(size, offset)[8:], h)
+                if path != opened:  # rows are in the order of files
+                    store, at = store_of(path)
+                    opened, file, h = path, store.open_input_file(at), open_header(path)
+                row = decode_binary(file.read_at(size, offset)[8:], h, None, frozenset(schema.names))
                 have = dict(zip([*READ.names, *[a.name for a in h.aux]], row, strict=True))
                 rows.append(tuple(have.get(n) for n in schema.names))
             if rows:
@@ -529,6 +609,35 @@ def fetch(index: DataFrame, schema: T.StructType) -> DataFrame:
     return index.sort("path", "offset").select("path", "offset", "size").mapInArrow(run, schema)
 
 
+def write_index_files(spark: SparkSession, path: str) -> DataFrame:
+    """Write an index file beside each binary container; (path, records), one row for each.
+
+    A container is read by one task, which holds its ids and places.
+    """
+    files = spark.createDataFrame([(p,) for p, _ in list_files(path) if p.endswith(BINARY_FILE)], "path string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for p in batch.column(0).to_pylist():
+                store, at = store_of(p)
+                with store.open_input_stream(at, compression=None, buffer_size=1 << 20) as stream:
+                    h = read_header(stream, True)
+                    records = []
+                    for offset, data in binary_records(stream, h):
+                        raw = decompress(data, h.record_codec)
+                        (n,) = struct.unpack_from("<H", raw)
+                        records.append((raw[2 : 2 + n].decode(), offset, 8 + len(data)))
+                hidden = posixpath.join(posixpath.dirname(at), f"_{uuid.uuid4().hex}{INDEX_FILE}")
+                with store.open_output_stream(hidden, compression=None) as out:
+                    out.write(index_bytes(h.version, records))
+                store.move(hidden, at + INDEX_FILE)
+                counts.append(len(records))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["path", "records"])
+
+    return files.repartition(max(1, len(list_files(path)))).mapInArrow(run, "path string, records long")
+
+
 def duplicate_ids(index: DataFrame) -> DataFrame:
     """Read ids that occur more than once, which an index must not hold."""
     return index.groupBy("read_id").agg(F.count("*").alias("n")).filter("n > 1")
