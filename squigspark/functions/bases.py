@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The rank of a base is its place here; whatever else stands in a sequence ranks 0.
 BASES = "ACGT"
@@ -15,7 +20,7 @@ def _col(x: Column | str) -> Column:
 
 
 def base_rank(base: Column | str) -> Column:
-    return F.greatest(F.instr(F.lit(BASES), F.upper(_col(base))) - 1, F.lit(0))
+    return F.greatest(F.instr(F.lit(BASES), F.translate(_col(base), "acgt", BASES)) - 1, F.lit(0))
 
 
 def u_to_t(seq: Column | str) -> Column:
@@ -25,7 +30,7 @@ def u_to_t(seq: Column | str) -> Column:
 
 def rank_digits(seq: Column | str) -> Column:
     """The sequence as digits 0-3, unknown letters as 0."""
-    return F.regexp_replace(F.translate(F.upper(_col(seq)), BASES, "0123"), "[^0-3]", "0")
+    return F.regexp_replace(F.translate(F.regexp_replace(_col(seq), "[0-9]", "A"), BASES + BASES.lower(), "01230123"), "[^0-3]", "0")
 
 
 def kmer_rank(kmer: Column | str) -> Column:
@@ -34,9 +39,10 @@ def kmer_rank(kmer: Column | str) -> Column:
 
 
 def kmer_ranks(seq: Column | str, k: int) -> Column:
-    """Ranks of all k-mers of a sequence; empty for sequences shorter than k.
+    """Ranks of all k-mers of a sequence, as an expression; empty for sequences shorter than k.
 
-    Linear in the sequence: its digits are an array, read by place.
+    Linear in the sequence: its digits are an array, read by place.  ``with_kmer_ranks`` does the same
+    for whole contigs in Arrow batches, and far quicker.
     """
     digits = F.transform(F.regexp_extract_all(rank_digits(seq), F.lit("([0-3])"), F.lit(1)), lambda d: d.cast("int"))
 
@@ -48,9 +54,42 @@ def kmer_ranks(seq: Column | str, k: int) -> Column:
     return F.get(F.transform(F.array(digits), ranks), F.lit(0))
 
 
+#: Digit of every byte: 0-3 for the bases in either case, 0 for whatever else there is.
+_DIGIT = np.zeros(256, dtype=np.int64)
+for _i, _b in enumerate(BASES):
+    _DIGIT[[ord(_b), ord(_b.lower())]] = _i
+
+
+def rank_lists(seq: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and ranks of all k-mers of each sequence: those of sequences shorter than k, and of null, are empty.
+
+    A letter that is no base counts 0, and one place, whatever its bytes.
+    """
+    offsets, ranks = [0], []
+    for s in seq.to_pylist():
+        d = _DIGIT[np.frombuffer((s or "").encode("ascii", "replace"), dtype=np.uint8)]
+        n = max(0, len(d) - k + 1)
+        if n:
+            ranks.append(sum(d[j : j + n] << 2 * (k - 1 - j) for j in range(k)))
+        offsets.append(offsets[-1] + n)
+    return np.array(offsets), np.concatenate([np.zeros(0, dtype=np.int64), *ranks])
+
+
+def with_kmer_ranks(rows: DataFrame, seq: str, k: int, out: str = "ranks") -> DataFrame:
+    """``rows`` with the ranks of all k-mers of a sequence, in Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, ranks = rank_lists(batch.column(batch.schema.get_field_index(seq)), k)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ranks, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, out])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
+
+
 def complement(seq: Column | str) -> Column:
     """Upper-case complement; every letter but A, C, G and T gives T."""
-    return F.translate(F.regexp_replace(F.upper(_col(seq)), "[^ACGT]", "A"), "ACGT", "TGCA")
+    return F.translate(F.regexp_replace(F.translate(_col(seq), "acgt", BASES), "[^ACGT]", "A"), BASES, "TGCA")
 
 
 def reverse_complement(seq: Column | str) -> Column:

@@ -2,14 +2,19 @@
 
 ``last_row`` keeps three anti-diagonals of the cost matrix only.  The cells of an anti-diagonal don't
 depend on each other, so each is a handful of array operations, which many queries share: shorter ones
-are padded, as no row depends on those below it.  With ``starts`` each cell also carries where the best path to it began, by the same tie order
-as backtracking (diagonal, then the column before, then the row before); that costs as much again as
+are padded, as no row depends on those below it.  With ``starts`` each cell also carries where the best
+path to it began, by the same tie order as backtracking (diagonal, then the column before, then the row before); that costs as much again as
 the costs do, so the mapper asks for it only where the best hit lies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def last_row(queries: np.ndarray, y: np.ndarray, subsequence: bool = True, starts: bool = True, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -147,3 +152,44 @@ def signal_string(bases: list[tuple[int, int]], start: np.ndarray, length: np.nd
         out.append(f"{hi - lo},")
         at, begun = hi, True
     return "".join(out)
+
+
+def with_last_row(rows: DataFrame, query: str, levels: list[float], subsequence: bool = True, out: str = "row", step: int = 512) -> DataFrame:
+    """``rows`` with the last row of the cost matrix of each query (an array) against one reference, ``step`` queries at a time."""
+    y = np.array(levels, dtype=np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                x = [np.asarray(q or [], dtype=np.float32) for q in batch.column(batch.schema.get_field_index(query)).to_pylist()]
+                lengths = np.array([len(q) for q in x])
+                used = np.flatnonzero(lengths)
+                found: list[np.ndarray | None] = [None] * len(x)
+                if len(used):
+                    table = np.zeros((len(used), int(lengths.max())), dtype=np.float32)
+                    for row, i in zip(table, used, strict=True):
+                        row[: lengths[i]] = x[i]
+                    for i, row in zip(used, last_row(table, y, subsequence, starts=False, lengths=lengths[used])[0], strict=True):
+                        found[i] = row
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float32()))], [*batch.schema.names, out])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
+
+
+def with_path(rows: DataFrame, query: str, levels: list[float], subsequence: bool = True, out: str = "path") -> DataFrame:
+    """``rows`` with the cells (i, j) of the warp path that ends where the last row is least (first of equals)."""
+    y = np.array(levels, dtype=np.float32)
+    cell = pa.struct([("i", pa.int32()), ("j", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for q in batch.column(batch.schema.get_field_index(query)).to_pylist():
+                cost = cost_matrix(np.array(q, dtype=np.float32), y, subsequence) if q else None
+                end = None if cost is None else int(cost[-1].argmin()) if subsequence else len(y) - 1
+                found.append([{"i": i, "j": j} for i, j in warp_path(cost, end, subsequence)] if q else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(cell))], [*batch.schema.names, out])
+
+    kind = T.ArrayType(T.StructType().add("i", "integer").add("j", "integer"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, kind)]))

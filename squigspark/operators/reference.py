@@ -1,34 +1,44 @@
 """Synthetic references: the current level that each k-mer of a contig should give.
 
-Contigs are cut into k-mers and joined with the model as rows (the model is a table of at most 4^9
-rows, broadcast after that check), then put together again by position.  Levels are z-scored for each
-contig and strand.
+The model is a table of at most 4^9 rows, broadcast after that check; k-mers are ranked and looked up in
+Arrow batches, so contigs never shuffle.  Levels are z-scored for each contig and strand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.arrays import zscore
-from ..functions.bases import MOST_KMERS, kmer_ranks, reverse_complement, u_to_t
+from ..functions.bases import MOST_KMERS, rank_lists, reverse_complement, u_to_t
 
 
-def bounded_model(model: DataFrame) -> DataFrame:
-    """The model's levels by rank, for a broadcast; an error for more rows than a model may have."""
-    rows = model.limit(MOST_KMERS + 1).count()
-    if rows > MOST_KMERS:
+def model_levels(model: DataFrame) -> np.ndarray:
+    """The model's levels by rank; an error for more rows than a model may have, or for a gap."""
+    rows = model.select("rank", F.col("level_mean").cast("float").alias("level")).limit(MOST_KMERS + 1).toArrow().sort_by("rank")
+    if rows.num_rows > MOST_KMERS:
         raise ValueError(f"a k-mer model has at most {MOST_KMERS} rows")
-    return F.broadcast(model.select(F.col("rank").alias("kmer_rank"), F.col("level_mean").cast("float").alias("level")))
+    if rows["rank"].to_pylist() != list(range(rows.num_rows)):
+        raise ValueError("a k-mer model has one row for each rank")
+    return rows["level"].to_numpy()
 
 
-def kmer_rows(contigs: DataFrame, seq: Column, k: int, keys: list[str]) -> DataFrame:
-    """keys, i, kmer_rank: one row for each k-mer."""
-    return contigs.select(*keys, F.posexplode(kmer_ranks(seq, k)).alias("i", "kmer_rank"))
+def with_levels(rows: DataFrame, model: DataFrame, k: int, letters: str = "letters", out: str = "levels") -> DataFrame:
+    """``rows`` with the model's level of every k-mer of a sequence.  Narrow: the model, 4^9 numbers at most, goes to the tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(model_levels(model))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ranks = rank_lists(batch.column(batch.schema.get_field_index(letters)), k)
+            levels = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(shared.value[ranks], pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, levels], [*batch.schema.names, out])
 
-def level_rows(kmers: DataFrame, model: DataFrame) -> DataFrame:
-    return kmers.join(bounded_model(model), "kmer_rank").drop("kmer_rank")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
 
 
 def rna_part(length: Column, k: int, query_size: int, from_end: bool) -> tuple[Column, Column, Column]:
@@ -55,10 +65,7 @@ def synthetic_references(
     strand = lambda s, x: F.struct(F.lit(s).alias("strand"), x.alias("letters"))
     strands = [strand("+", F.col("part"))] + ([] if rna else [strand("-", reverse_complement("part"))])
     rows = known.select("ref_idx", "name", "ref_len", "seq_len", "st_offset", F.explode(F.array(*strands)).alias("s")).select("*", "s.strand", "s.letters").drop("s")
-    keys = ["ref_idx", "name", "ref_len", "seq_len", "st_offset", "strand"]
-    levels = level_rows(kmer_rows(rows, F.col("letters"), k, keys), model)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("i", "level"))), lambda p: p["level"])
-    out = levels.groupBy(*keys).agg(ordered.alias("levels"))
+    out = with_levels(rows, model, k).drop("part", "letters")
     if invert:
         out = out.withColumn("levels", F.reverse("levels"))
     return out.withColumn("levels", zscore("levels")) if normalise == "strand" else out

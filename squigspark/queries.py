@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import arrays, bases, text
-from .operators import evaluate, events, mapping, reference, segments, windows
+from .operators import dtw, evaluate, events, mapping, reference, segments, windows
 from .options import MapOptions
 from .schemas import READ
 from .sources import codecs, container
@@ -222,7 +222,7 @@ def contig_complements(spark, d):
 
 
 def kmer_ranks(spark, d):
-    return contigs(spark, d).select("ref_idx", F.posexplode(bases.kmer_ranks("seq", K)).alias("i", "rank"))
+    return bases.with_kmer_ranks(contigs(spark, d), "seq", K).select("ref_idx", F.posexplode("ranks").alias("i", "rank"))
 
 
 def _levels(spark, d, **options) -> DataFrame:
@@ -265,13 +265,14 @@ def read_status_counts(spark, d):
 # Alignment
 
 DTW_COLUMNS, DTW_CHUNK = 40, 12
+DTW_LEVELS = [(j * 37) % 101 * 5 - 250 for j in range(DTW_COLUMNS)]
 
 
 def _dtw(spark, d, subsequence: bool) -> DataFrame:
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("long"))
-    y = F.transform(F.sequence(F.lit(0), F.lit(DTW_COLUMNS - 1)), lambda j: ((j * 37) % 101 * 5 - 250).cast("long"))
-    vectors = table(spark, d, "embeddings").repartition(spark.sparkContext.defaultParallelism)  # few rows, much work for each
-    return vectors.select("vec_id", arrays.dtw_last_row(x, y, subsequence).alias("row"))
+    vectors = table(spark, d, "embeddings").select("vec_id", x.alias("x")).repartition(spark.sparkContext.defaultParallelism)  # few rows, much work for each
+    rows = dtw.with_last_row(vectors, "x", DTW_LEVELS, subsequence)
+    return rows.select("vec_id", F.transform("row", lambda c: c.cast("long")).alias("row"))  # whole numbers below 2^24: exact
 
 
 def dtw_cost_sub(spark, d):
@@ -326,7 +327,8 @@ def _reads(spark, d) -> DataFrame:
 
 def events_detect(spark, d):
     e = events.with_events(mapping.with_signal(_reads(spark, d)))
-    return e.select("read_id", F.explode("events").alias("e")).select("read_id", "e.start", "e.length", "e.mean", "e.stdv")
+    rows = e.select("read_id", F.explode("events").alias("e"))
+    return rows.select("read_id", "e.start", *[F.col(f"e.{c}").cast("double").alias(c) for c in ("length", "mean", "stdv")])
 
 
 def adaptor_segments(spark, d):
@@ -347,7 +349,7 @@ def codec_roundtrip(spark, d):
             ok = []
             for x in batch.column(1):
                 raw = x.values.to_numpy().astype("<i2")
-                ok.append(all(codecs.decompress(codecs.compress(raw.tobytes(), c), c) == raw.tobytes() for c in ("none", "zlib", "svb-zd")) and bool(np.array_equal(codecs.unpack_signal(codecs.pack_signal(raw)), raw)))
+                ok.append(all(codecs.decompress(codecs.compress(raw.tobytes(), c), c) == raw.tobytes() for c in ("none", "zlib", "zstd", "svb-zd")) and bool(np.array_equal(codecs.unpack_signal(codecs.pack_signal(raw)), raw)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ok, pa.bool_())], ["read_id", "raw_signal", "ok"])
 
     done = _reads(spark, d).select("read_id", "raw_signal").mapInArrow(run, "read_id string, raw_signal array<smallint>, ok boolean")
@@ -357,6 +359,8 @@ def codec_roundtrip(spark, d):
 
 def _scratch(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return posixpath.join(shared or tempfile.mkdtemp(prefix="spark-signals-"), f"signals-{uuid.uuid4().hex}")
 
 
@@ -383,10 +387,9 @@ def map_paf(spark, d):
     model = reference.model_from_rule(spark, K)
     items = table(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("ref_idx"), F.concat(F.lit("b"), F.col("item_id")).alias("name"), letters("text").alias("seq"))
     refs = reference.synthetic_references(items, model, K)
-    docs = table(spark, d, "documents").select(F.col("doc_id"), letters("text").alias("seq"))
-    kmers = reference.kmer_rows(docs, F.col("seq"), K, ["doc_id"])
-    levels = reference.level_rows(kmers, model).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "level"))).alias("l"))
-    steady = F.flatten(F.transform("l", lambda p: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (p["level"] * 5 + (j * 7) % 5 - 2).cast("smallint"))))
+    docs = table(spark, d, "documents").select(F.col("doc_id"), letters("text").alias("seq")).repartition(spark.sparkContext.defaultParallelism)
+    levels = reference.with_levels(docs, model, K, "seq", "l").filter(F.size("l") > 0)
+    steady = F.flatten(F.transform("l", lambda p: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (p * 5 + (j * 7) % 5 - 2).cast("smallint"))))
     reads = levels.select(F.concat(F.lit("d"), F.col("doc_id")).alias("read_id"), F.lit(1.0).alias("digitisation"), F.lit(0.0).alias("offset"), F.lit(0.2).alias("range"), steady.alias("raw_signal"))
     return mapping.map_reads(reads, refs, MapOptions(prefix=0, query=60)).drop("n_events")
 

@@ -290,7 +290,7 @@ def encode_binary(row: tuple, h: Header) -> bytes:
             raw = (v or "").encode()
             out.append(struct.pack("<Q", len(raw)) + raw if a.array else raw[:1] or missing)
         elif a.array:
-            values = [missing if x is None else x for x in (v if v is not None else [])]
+            values = [missing if x is None else int(x) if code == "Q" else x for x in (v if v is not None else [])]
             out.append(struct.pack(f"<Q{len(values)}{code}", len(values), *values))
         else:
             out.append(struct.pack("<" + code, missing if v is None else int(v) if code == "Q" else v))

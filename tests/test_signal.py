@@ -26,6 +26,51 @@ def test_events_of_little():
     assert events.detect(np.ones(3))["length"].tolist() == [3]
 
 
+def stepwise_peaks(short, long, opt):
+    """Both detectors by their rules, one sample at a time, in single precision."""
+    inf, rise = np.float32(np.inf), np.float32(opt.peak_height)
+    level, width = [np.float32(opt.short_threshold), np.float32(opt.long_threshold)], [opt.short_width, opt.long_width]
+    value, state, quiet, out = [short, long], [(-1, inf, False)] * 2, 0, []
+    for i in range(1, len(short)):
+        for which in (0, 1):
+            if which and i <= quiet:
+                continue
+            v, (top, peak, fallen) = value[which][i], state[which]
+            if top < 0:
+                state[which] = (-1, v, False) if v < peak else (i, v, False) if v - peak > rise else state[which]
+                continue
+            top, peak = (i, v) if v > peak else (top, peak)
+            clear = peak > level[which]
+            if clear and not which:
+                quiet, state[1] = top + width[0], (-1, inf, False)
+            fallen = fallen or clear and peak - v > rise
+            state[which] = (top, peak, fallen)
+            if fallen and i - top > width[which] // 2:
+                out.append(top)
+                state[which] = (-1, v, False)
+    return out
+
+
+@pytest.mark.parametrize("opt", [events.DNA, events.RNA])
+def test_boundaries_against_single_steps(opt):
+    rng = np.random.default_rng(4)
+    many = 0
+    for _ in range(600):
+        n, kind = int(rng.integers(0, 120)), int(rng.integers(0, 4))
+        if kind == 0:
+            short, long = rng.integers(0, 4, n) * 0.7, rng.integers(0, 4, n) * 4.0
+        elif kind == 1:
+            short, long = np.abs(rng.normal(1, 1, n)), np.abs(rng.normal(8, 4, n))
+        else:
+            short, long = np.abs(np.cumsum(rng.normal(0, 0.4, n))), np.abs(np.cumsum(rng.normal(0, 3, n)))
+            short, long = (short, long) if kind == 2 else (np.round(short, 1), np.round(long))
+        short, long = short.astype(np.float32), long.astype(np.float32)
+        want = stepwise_peaks(short, long, opt)
+        assert events.find_boundaries(short, long, opt) == want
+        many += len(want)
+    assert many > 1000
+
+
 def test_statistic_against_a_loop():
     x = np.random.default_rng(0).normal(100, 10, 60).astype(np.float32)
     total = np.concatenate([[0], np.cumsum(x, dtype=np.float64)])
@@ -58,6 +103,36 @@ def test_band_segments():
     assert segments.band_segments(np.zeros(0), 1, 9, opt) == []
 
 
+def stepwise_band(inside, opt):
+    """Runs sample by sample."""
+    out, start, length, spent, last_out, width = [], None, 0, 0, 0, opt.corrector
+    for i, ok in enumerate(inside):
+        width += ok
+        if start is None and not ok:
+            continue
+        if start is None:
+            start, length, spent = i, 0, 0
+        if not ok and spent >= opt.error:
+            end = i - last_out
+            if length >= opt.window or not out and length >= opt.window * opt.stall_len:
+                out = [*out[:-1], (out[-1][0], end)] if out and start - out[-1][1] < opt.seg_dist else [*out, (start, end)]
+            start, last_out = None, 0
+            continue
+        length, spent, last_out = length + 1, spent + (not ok), 0 if ok else last_out + 1
+        spent -= length >= max(opt.window, width) and length % width == 0
+    return out
+
+
+def test_band_segments_against_single_steps():
+    rng = np.random.default_rng(2)
+    for _ in range(2000):
+        n = int(rng.integers(0, 150))
+        inside = rng.random(n) < rng.random()
+        inside = np.repeat(inside, rng.integers(1, 9, n)) if n % 2 else inside
+        opt = segments.BandOptions(int(rng.integers(1, 12)), int(rng.integers(0, 9)), int(rng.integers(1, 12)), float(rng.choice([0.25, 0.5, 1.0])), int(rng.integers(0, 25)))
+        assert segments.band_segments(inside * 5.0, 1, 9, opt) == stepwise_band(inside.tolist(), opt)
+
+
 def sequential(x, y, subsequence):
     n, m = len(x), len(y)
     c = np.zeros((n, m), np.float32)

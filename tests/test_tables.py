@@ -52,6 +52,72 @@ def test_container_round_trip(spark, tmp_path, options):
         assert [tuple(r)[:8] for r in found] == [want[0][:8]]
 
 
+def test_only_committed_files_are_read(spark, tmp_path):
+    """Twins and lost attempts write files of their own; an aborted job leaves nothing."""
+    container.register(spark)
+    path = str(tmp_path / "out")
+    df = reads(spark).coalesce(1)
+    batch = df.toArrow().to_batches()
+    for kind in ("text", "binary"):
+        writer = container.SignalWriter({"path": f"{path}-{kind}", "container": kind}, df.schema, False)
+        first, twin = writer.write(iter(batch)), writer.write(iter(batch))
+        with pytest.raises(RuntimeError):
+            writer.write(lost(batch))
+        writer.commit([first])
+        late = writer.write(iter(batch))  # a slow twin that ends after the commit
+        assert first.rows == twin.rows == late.rows == 3
+        assert sorted(r.read_id for r in spark.read.format("signal").load(f"{path}-{kind}").collect()) == ["a", "b", "c"]
+        failed = container.SignalWriter({"path": f"{path}-{kind}", "container": kind}, df.schema, False)
+        failed.abort([failed.write(iter(batch)), None])
+        assert spark.read.format("signal").load(f"{path}-{kind}").count() == 3
+
+
+def lost(batches):
+    yield from batches
+    raise RuntimeError("the executor is gone")
+
+
+@pytest.mark.parametrize("kind", ["text", "binary"])
+def test_nulls_are_written(spark, tmp_path, kind):
+    container.register(spark)
+    rows = [("a", None, None, None, 1.0, None, None, None), ("b", 1, 1.0, 0.0, 1.0, 1.0, 2, [1, 2])]
+    df = spark.createDataFrame(rows, READ)
+    df.write.format("signal").mode("append").option("container", kind).save(str(tmp_path / "o"))
+    got = {r.read_id: r for r in spark.read.format("signal").load(str(tmp_path / "o")).collect()}
+    assert got["a"].raw_signal == [] and got["a"].len_raw_signal == 0 and got["a"].read_group == 0
+    assert np.isnan(got["a"].digitisation) and got["a"].range == 1.0 and got["b"].raw_signal == [1, 2]
+    with pytest.raises(Exception, match="no id"):
+        df.withColumn("read_id", F.lit(None).cast("string")).write.format("signal").mode("append").option("container", kind).save(str(tmp_path / "p"))
+
+
+@pytest.mark.parametrize("options", [{"signal_press": "none"}, {"signal_press": "svb-zd", "record_press": "zstd"}])
+def test_index_files_cut_binary_containers(spark, tmp_path, options):
+    container.register(spark)
+    path = str(tmp_path / "o")
+    many = spark.range(500).select(F.concat(F.lit("r"), "id").alias("read_id"), F.lit(0).cast("long").alias("read_group"), *[F.lit(1.0).alias(c) for c in READ.names[2:6]], F.lit(2).cast("long").alias("len_raw_signal"), F.array(F.lit(1).cast("smallint"), (F.col("id") % 99).cast("smallint")).alias("raw_signal"), F.array("id").alias("ids"))
+    many.coalesce(2).write.format("signal").mode("append").options(**options).save(path)
+    assert spark.read.format("signal").option("split_bytes", "3000").load(path).rdd.getNumPartitions() == 2
+    assert sum(r.records for r in container.write_index_files(spark, path).collect()) == 500
+    back = spark.read.format("signal").option("split_bytes", "3000").load(path)
+    assert back.rdd.getNumPartitions() > 6
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, many.collect()))
+    one = container.list_files(path)[0][0]
+    assert [r[0] for r in container.read_index_file(one)] == [r.read_id for r in container.record_index(spark, one).orderBy("offset").collect()]
+    with open(one + container.INDEX_FILE, "r+b") as f:
+        f.truncate(100)
+    with pytest.raises(ValueError, match="cut off"):
+        container.read_index_file(one)
+
+
+def test_columns_that_are_not_asked_for_are_not_decoded(spark, tmp_path, monkeypatch):
+    h = container.Header(aux=container.parse_aux("\t" * 8 + "int32_t*\tchar*\tdouble", "\t" * 8 + "l\ts\tf"), binary=True, signal_codec="svb-zd")
+    data = container.encode_binary(("a", 0, 1.0, 2.0, 3.0, 4.0, 3, [1, 2, 3], [7, 8], "text", 2.5), h)[8:]
+    row = container.decode_binary(data, h)
+    assert row[7].tolist() == [1, 2, 3] and row[8:] == ([7, 8], "text", 2.5)
+    monkeypatch.setattr(container, "decompress", lambda d, codec: d if codec == "none" else pytest.fail("the signal was unpacked"))
+    assert container.decode_binary(data, h, None, frozenset(["read_id", "f"])) == ("a", 0, 1.0, 2.0, 3.0, 4.0, None, None, None, None, 2.5)
+
+
 def test_text_container_by_hand(spark, tmp_path):
     container.register(spark)
     p = tmp_path / f"x{container.TEXT_FILE}"
