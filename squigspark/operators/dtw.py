@@ -23,48 +23,50 @@ def last_row(queries: np.ndarray, y: np.ndarray, subsequence: bool = True, start
     queries: (reads, n), padded at the end where ``lengths`` says that they are shorter.
     """
     queries = np.atleast_2d(queries).astype(np.float32)
-    backwards = y.astype(np.float32)[::-1]
+    backwards = y.astype(np.float32)[::-1, None]
     r, n = queries.shape
     m = len(y)
+    # Reads lie side by side in memory, so what an operation covers of an anti-diagonal is one piece.
+    x = np.ascontiguousarray(queries.T)
     # Cells of an anti-diagonal are indexed by query row; slot 0 is a border above the matrix.  What an
     # anti-diagonal reads of the two before it was written by them, or is still infinite.
-    before, last, fresh = (np.full((r, n + 1), np.inf, np.float32) for _ in range(3))
-    from_before, from_last, from_fresh = (np.zeros((r, n + 1) if starts else (0, 0), np.int32) for _ in range(3))
-    out, began = np.empty((r, m), np.float32), np.empty((r, m), np.int32) if starts else None
-    scratch = np.empty((r, n), np.float32)
+    before, last, fresh = (np.full((n + 1, r), np.inf, np.float32) for _ in range(3))
+    from_before, from_last, from_fresh = (np.zeros((n + 1, r) if starts else (0, 0), np.int32) for _ in range(3))
+    out, began = np.empty((m, r), np.float32), np.empty((m, r), np.int32) if starts else None
+    scratch = np.empty((n, r), np.float32)
     last_of = np.full(r, n - 1) if lengths is None else np.asarray(lengths) - 1
     each, mixed = np.arange(r), bool(r) and int(last_of.min()) < n - 1
     for d in range(n + m - 1):
         lo, hi = max(0, d - m + 1), min(n - 1, d)
-        diag, left, up = before[:, lo : hi + 1], last[:, lo + 1 : hi + 2], last[:, lo : hi + 1]
-        total, cost = fresh[:, lo + 1 : hi + 2], scratch[:, : hi - lo + 1]
-        np.subtract(queries[:, lo : hi + 1], backwards[m - 1 - d + lo : m - d + hi], out=cost)
+        diag, left, up = before[lo : hi + 1], last[lo + 1 : hi + 2], last[lo : hi + 1]
+        total, cost = fresh[lo + 1 : hi + 2], scratch[: hi - lo + 1]
+        np.subtract(x[lo : hi + 1], backwards[m - 1 - d + lo : m - d + hi], out=cost)
         np.abs(cost, out=cost)
         np.minimum(diag, left, out=total)
         np.minimum(total, up, out=total)
         if starts:
-            came = np.where(diag == total, from_before[:, lo : hi + 1], np.where(left == total, from_last[:, lo + 1 : hi + 2], from_last[:, lo : hi + 1]))
+            came = np.where(diag == total, from_before[lo : hi + 1], np.where(left == total, from_last[lo + 1 : hi + 2], from_last[lo : hi + 1]))
             if lo == 0:
-                came[:, 0] = d if subsequence else 0
+                came[0] = d if subsequence else 0
             if hi == d:
-                came[:, -1] = 0
-            from_fresh[:, lo + 1 : hi + 2] = came
+                came[-1] = 0
+            from_fresh[lo + 1 : hi + 2] = came
         if lo == 0:  # the first query row: a free start, or sums along it
-            total[:, 0] = 0 if subsequence or not d else left[:, 0]
+            total[0] = 0 if subsequence or not d else left[0]
         np.add(total, cost, out=total)
         if mixed:
             ends = each[(last_of >= lo) & (last_of <= hi)]
             at = last_of[ends]
-            out[ends, d - at] = fresh[ends, at + 1]
+            out[d - at, ends] = fresh[at + 1, ends]
             if starts:
-                began[ends, d - at] = from_fresh[ends, at + 1]
+                began[d - at, ends] = from_fresh[at + 1, ends]
         elif hi == n - 1:
-            out[:, d - n + 1] = total[:, -1]
+            out[d - n + 1] = total[-1]
             if starts:
-                began[:, d - n + 1] = came[:, -1]
+                began[d - n + 1] = came[-1]
         before, last, fresh = last, fresh, before
         from_before, from_last, from_fresh = from_last, from_fresh, from_before
-    return out, began
+    return out.T, None if began is None else began.T
 
 
 def cost_matrix(x: np.ndarray, y: np.ndarray, subsequence: bool = True) -> np.ndarray:

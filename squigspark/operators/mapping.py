@@ -1,14 +1,16 @@
 """Mapping of reads: events, query window, alignment to all references, best hits.
 
 Reads stay where they were scanned: every step is a narrow projection or an Arrow-batched pass, and
-the references go to the tasks.  References above ``reference_bytes`` are split into blocks, one pass
-over the reads for each, and the candidates of a read are merged as the passes go: no shuffle, and no
-broadcast above a checked size.
+the references go to the tasks.  Samples end at the event detection, events where the query is taken from
+them.  References above ``reference_bytes`` are split into blocks, one pass over the queries for each, and
+the candidates of a read are merged as the passes go: no shuffle, and no broadcast above a checked size.
+At most ``BLOCKS_HELD`` passes are chained before a checkpoint, so a task never holds more blocks, and the
+driver holds one at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,10 +83,10 @@ def with_query(reads: DataFrame, opt: MapOptions) -> DataFrame:
     return framed.withColumn("query", F.when(usable, query))
 
 
-def reference_blocks(refs: DataFrame, most_bytes: int) -> list[list[dict]]:
+def reference_blocks(refs: DataFrame, most_bytes: int) -> Iterator[list[dict]]:
     """The references in their order (contig, then strand), in blocks of at most ``most_bytes`` of levels.
 
-    Sizes are looked at before any levels are read; a block is fetched on its own.
+    Sizes are looked at before any levels are read; a block is fetched when it is asked for.
     """
     sizes = refs.select("ref_idx", "ref_len").groupBy("ref_idx").agg(F.sum("ref_len").alias("n")).orderBy("ref_idx").collect()
     bounds, held = [], 0
@@ -94,11 +96,29 @@ def reference_blocks(refs: DataFrame, most_bytes: int) -> list[list[dict]]:
             held = 0
         bounds[-1][1] = r["ref_idx"]
         held += 4 * r["n"]
-    out = []
     for lo, hi in bounds:
-        rows = refs.filter(F.col("ref_idx").between(lo, hi)).orderBy("ref_idx", "strand").collect()
-        out.append([r.asDict() | {"levels": np.array(r["levels"], dtype=np.float32), "seq": 2 * r["ref_idx"] + (r["strand"] == "-")} for r in rows])
-    return out
+        rows = refs.filter(F.col("ref_idx").between(lo, hi)).toArrow().sort_by([("ref_idx", "ascending"), ("strand", "ascending")])
+        levels = [np.asarray(x.values, dtype=np.float32) for x in rows["levels"]]
+        plain = rows.drop_columns(["levels"]).to_pylist()
+        yield [r | {"levels": x, "seq": 2 * r["ref_idx"] + (r["strand"] == "-")} for r, x in zip(plain, levels, strict=True)]
+
+
+#: Reference blocks whose passes are chained without a checkpoint.
+BLOCKS_HELD = 4
+
+
+def _passes(rows: DataFrame, refs: DataFrame, opt: MapOptions, one: Callable[[DataFrame, list[dict]], DataFrame]) -> DataFrame:
+    """``one`` pass over the rows for each block of the references."""
+    for number, block in enumerate(reference_blocks(refs, opt.reference_bytes)):
+        if number and number % BLOCKS_HELD == 0:
+            if rows.isStreaming:
+                raise ValueError("streams are mapped to references of few blocks only: raise reference_bytes")
+            sc = rows.sparkSession.sparkContext
+            if sc.getCheckpointDir() is None:
+                sc.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir"))
+            rows = rows.checkpoint(eager=True)
+        rows = one(rows, block)
+    return rows
 
 
 def align(queries: list[np.ndarray], refs: list[dict], opt: MapOptions) -> list[list[dict]]:
@@ -174,31 +194,39 @@ def best(candidates: list[dict], k: int) -> list[dict]:
 
 def with_candidates(queries: DataFrame, refs: DataFrame, opt: MapOptions) -> DataFrame:
     """Reads with ``candidates``, best first."""
-    out = queries.withColumn("candidates", F.array().cast(f"array<{CANDIDATE}>"))
-    for block in reference_blocks(refs, opt.reference_bytes):
-        shared = queries.sparkSession.sparkContext.broadcast(block)
+    def one(rows: DataFrame, block: list[dict]) -> DataFrame:
+        shared = rows.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = align([_array(q, np.float32) for q in _column(batch, "query")], shared.value, opt)
                 at = batch.schema.get_field_index("candidates")
                 merged = [best((old or []) + new, opt.candidates) for old, new in zip(batch.column(at).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(merged, pa.list_(_ITEM)) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+        return rows.mapInArrow(run, rows.schema)
+
+    return _passes(queries.withColumn("candidates", F.array().cast(f"array<{CANDIDATE}>")), refs, opt, one)
+
+
+def with_span(queries: DataFrame) -> DataFrame:
+    """Reads with the samples that the query's events span, as ``query_start`` and ``query_end``."""
+    first, last = F.get("events", F.col("q0")), F.get("events", F.col("q1") - 1)
+    return queries.withColumns({"query_start": first["start"].cast("int"), "query_end": (last["start"] + last["length"].cast("long")).cast("int")})
 
 
 def mapped_rows(found: DataFrame) -> DataFrame:
-    """PAF rows from candidates: strand lift-over, offsets, quality.  Reads without a query give none."""
+    """PAF rows from candidates: strand lift-over, offsets, quality.  Reads without a query give none.
+
+    ``found`` has the samples' number, ``qlen``, and the query's span.
+    """
     hit, rival = F.get("candidates", F.lit(0)), F.get("candidates", F.lit(1))
     rows = found.filter(F.size("candidates") > 0).withColumns({"hit": hit, "score2": rival["score"]})
     minus = F.col("hit.strand") == "-"
     st = F.when(minus, F.col("hit.ref_len") - F.col("hit.pos_end")).otherwise(F.col("hit.pos_st")) + F.col("hit.st_offset")
     end = F.when(minus, F.col("hit.ref_len") - F.col("hit.pos_st")).otherwise(F.col("hit.pos_end")) + F.col("hit.st_offset")
-    last = F.get("events", F.col("q1") - 1)
     placed = rows.withColumns({
-        "rid": F.col("read_id"), "qlen": F.size("raw_signal"), "query_start": F.get("events", F.col("q0"))["start"].cast("int"), "query_end": (last["start"] + last["length"].cast("long")).cast("int"),
+        "rid": F.col("read_id"),
         "strand": F.col("hit.strand"), "tid": F.col("hit.name"), "tlen": F.col("hit.seq_len"), "target_start": st.cast("int"), "target_end": end.cast("int"),
         "mapq": mapping_quality(F.col("hit.score").cast("double"), F.col("score2").cast("double")), "tp": F.lit("P"), "d1": F.col("hit.score"), "d2": F.col("score2"), "n_events": F.col("q1") - F.col("q0"),
     })
@@ -211,11 +239,10 @@ PAF_COLUMNS = ["rid", "qlen", "query_start", "query_end", "strand", "tid", "tlen
 
 def with_signal_string(rows: DataFrame, refs: DataFrame, opt: MapOptions) -> DataFrame:
     """Mapped rows with ``ss``: how the signal maps to the bases.  Only the winning pair's matrix is made."""
-    out = rows.withColumn("ss", F.lit(None).cast("string"))
-    for block in reference_blocks(refs, opt.reference_bytes):
+    def one(rows: DataFrame, block: list[dict]) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast({(r["ref_idx"], r["strand"]): r["levels"] for r in block})
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.schema.get_field_index("ss")
                 texts = batch.column(at).to_pylist()
@@ -230,16 +257,21 @@ def with_signal_string(rows: DataFrame, refs: DataFrame, opt: MapOptions) -> Dat
                     texts[i] = dtw.signal_string(bases, events.field("start").to_numpy(), events.field("length").to_numpy(), q0, opt.rna and not opt.invert)
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+        return rows.mapInArrow(run, rows.schema)
+
+    return _passes(rows.withColumn("ss", F.lit(None).cast("string")), refs, opt, one)
 
 
 def map_reads(reads: DataFrame, refs: DataFrame, opt: MapOptions = MapOptions()) -> DataFrame:
     """PAF rows (and ``ss`` for SAM) of ``reads`` against synthetic references."""
-    staged = with_events(with_signal(reads), opt=RNA if opt.rna else DNA)
-    if opt.prefix < 0:
+    fields = ["read_id", "digitisation", "offset", "range", "raw_signal"]
+    detector, search = RNA if opt.rna else DNA, opt.prefix < 0
+    signals = with_signal(reads.select(*fields)).withColumn("qlen", F.size("raw_signal"))
+    staged = with_events(signals, opt=detector, drop=() if search else ("raw_signal", "pa"))
+    if search:
         staged = with_found_start(staged, opt)
-    rows = mapped_rows(with_candidates(with_query(staged, opt), refs, opt))
+    queries = with_span(with_query(staged, opt)).select("read_id", "qlen", "q0", "q1", "query", "query_start", "query_end", *["events"] * opt.sam)
+    rows = mapped_rows(with_candidates(queries, refs, opt))
     if opt.sam:
         return with_signal_string(rows, refs, opt).select(*PAF_COLUMNS, "n_events", "ss")
     return rows.select(*PAF_COLUMNS, "n_events")
