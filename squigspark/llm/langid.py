@@ -33,7 +33,7 @@ UNDETERMINED = "und"
 @dataclass(frozen=True)
 class LangIdConfig:
     bits: int = 16
-    per_class: int = 500  # bound of the fitting sample: documents of each language
+    per_class: int = 1000  # bound of the fitting sample: documents of each language
     ftrl: FtrlConfig = field(default_factory=FtrlConfig)
 
 
