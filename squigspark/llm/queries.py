@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, htmltext, langid, packing, secrets, simhash, toxicity, urlfilter, warc
+from . import decontaminate, embeddings, htmltext, langid, packing, runindex, secrets, simhash, toxicity, urlfilter, warc
 from .common import id_bucket, spread, table
 
 LANG_FOLDS, LANG_HELD = 4, 2
@@ -79,13 +79,17 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.page_texts(spread(table(spark, sf_dir, "pages").select("page_id", "html")))
 
 
+def op12_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.digests(runindex.without_repeats(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_simhash, op4_toxicity, op5_url_filter, op6_secret_scan, op7_near_embeddings, op8_warc, op9_decontamination, op10_html_text, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_simhash, op4_toxicity, op5_url_filter, op6_secret_scan, op7_near_embeddings, op8_warc, op9_decontamination, op10_html_text, op12_run_index, pipeline)}
 
 _BASE32 = " || ".join(
     f"array_to_string(list_transform(range(7, -1, -1), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {1 + 10 * k}, 10))::BIGINT >> (5 * i)) & 31)::INT, 1)), '')" for k in range(4)
@@ -131,4 +135,15 @@ ORACLE = {
              judged AS (SELECT doc_id, p, item_id, score, coalesce(max(share) FILTER (NOT answer), 1) AS q, coalesce(max(share) FILTER (answer), 1) AS a FROM scores LEFT JOIN held USING (doc_id, p, item_id) GROUP BY ALL),
              ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY round(score, 9) DESC, q DESC, a DESC, p) AS r FROM judged WHERE q >= 0.8 AND a >= 0.8)
         SELECT doc_id, item_id, round(score, 6) AS score, q AS question_overlap, a AS answer_overlap, p * longest AS passage_start FROM ranked, sizes WHERE r = 1""",
+    "op12_run_index": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)),
+             f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+             hits AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE first < doc_id),
+             edges AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true)::INT AS e FROM hits),
+             runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(e) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM edges) GROUP BY doc_id, k),
+             gone AS (SELECT doc_id, sum(b - a)::BIGINT AS n, count(*) AS k, list(a ORDER BY a) AS xs, list(b ORDER BY a) AS ys FROM runs GROUP BY doc_id)
+        SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(k, 0) AS n_spans,
+               sha256(unhex(CASE WHEN k IS NULL THEN h ELSE array_to_string(list_transform(range(0, k + 1), lambda j: substr(h, 2 * coalesce(ys[j], 0) + 1, 2 * (coalesce(xs[j + 1], len(h) // 2) - coalesce(ys[j], 0)))), '') END)) AS kept_sha256
+        FROM d LEFT JOIN gone USING (doc_id)""",
 }
