@@ -49,9 +49,9 @@ class PassageConfig:
     window: int = 50
     gram: int = 16  # bytes of an anchor
     chunk_bytes: int = 4 << 20
-    shard_bytes: int = 4 << 20  # text for which there is one shard, and a quarter of what there is one table of anchors for
+    shard_bytes: int = 1 << 20  # text for which there is one shard; a table of anchors has sixteen times as much
     leader_bytes: int = 2048
-    region_windows: int = 1024  # longer regions are cut; the parts overlap by a window less one byte
+    region_windows: int = 512  # longer regions are cut; the parts overlap by a window less one byte
     crowded: int = 65_536  # occurrences, counted up to 255 in a chunk
 
     def __post_init__(self) -> None:
@@ -59,6 +59,11 @@ class PassageConfig:
             raise ValueError("an anchor has 8 to 24 bytes and fits a window")
 
 
+def words_at_bytes(raw: bytes) -> np.ndarray:
+    """The eight bytes from each place on, first byte lowest."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
 class RunIndex:
     """Run-length Burrows-Wheeler index of texts; the end of each text is a letter of its own, earlier texts first.
 
@@ -68,7 +73,8 @@ class RunIndex:
     def __init__(self, texts: list[bytes], owners: np.ndarray, window: int):
         self.window = window
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.data = np.frombuffer(b"\0".join([*texts, b"\0" * 64]), np.uint8)
+        raw = b"\0".join([*texts, bytes(self.window + 16)])
+        self.data, self.words = np.frombuffer(raw, np.uint8), words_at_bytes(raw)
         n = int(sizes.sum()) + len(texts)
         ends = np.cumsum(sizes + 1) - 1
         text_of = np.repeat(np.arange(len(texts)), sizes + 1)
@@ -78,7 +84,7 @@ class RunIndex:
         order, same = self._sorted(n, text_of, before)
         before = before[order]
         heads = np.flatnonzero(np.r_[True, before[1:] != before[:-1]])
-        self.starts, self.letters = heads, before[heads]
+        self.letters = before[heads]
         lengths = np.diff(np.r_[heads, n])
         self.ends = heads + lengths - 1
         self.first, self.last = order[heads], order[self.ends]
@@ -86,35 +92,45 @@ class RunIndex:
         passed = np.empty(len(heads), np.int64)
         passed[by] = np.cumsum(lengths[by]) - lengths[by]  # with all smaller letters: where the first row of the run leads to
         # Rows that begin with a text's end come first: as many as rows that nothing stands before.
-        self.leads = passed
+        self.starts, self.shift = heads, passed - heads
+        self.run_of = np.repeat(np.arange(len(heads), dtype=np.int32), lengths)
         self.by_letter = self.letters[by] * len(heads) + by
         classes = np.flatnonzero(~same)
         least = np.minimum.reduceat(np.where(self.left[order] >= window, owners[text_of[order]], NO_ID), classes)
         change = np.r_[True, least[1:] != least[:-1]]
-        self.tag_rows, self.tags = classes[change], least[change]
+        self.tags = least[change]
+        self.tag_of = np.repeat(np.arange(len(self.tags), dtype=np.int32), np.diff(np.r_[classes[change], n]))
 
     def _sorted(self, n: int, text_of: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes in order, by doubling; and which rows agree with the row before in ``window`` bytes.
 
         Only the first ``window`` bytes or more are sorted.  A step from any row of a class of equal beginnings
         ends in the right class, and matches count up to ``window``, so what follows doesn't matter; there
-        the letter before decides, which makes runs longer.
+        the letter before decides if it fits the key, which makes runs longer.
         """
-        symbols = np.r_[self.data[:n].astype(np.int64) + 1, np.zeros(8, np.int64)]
-        key, depth = np.zeros(n, np.int64), 7
-        for j in range(depth):
-            key *= 257
-            key += np.where(self.left > j, symbols[j : j + n], 0)
+        present = np.zeros(257, np.int64)
+        present[1 + np.flatnonzero(np.bincount(self.data[:n], minlength=256))] = 1
+        codes, base = np.cumsum(present), int(present.sum()) + 1
+        symbols = np.r_[codes[1:][self.data[:n]], np.zeros(64, np.int64)]
+        key, depth = np.zeros(n, np.int64), 0
+        while depth < 7 and base ** (depth + 1) * n < 1 << 63:
+            key *= base
+            key += np.where(self.left > depth, symbols[depth : depth + n], 0)
+            depth += 1
         ranks: dict[int, np.ndarray] = {}
 
-        def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            order = np.argsort(key)
-            sorted_key = key[order]
+        def ranked(key: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+            """Order and ranks of keys below ``most``.  Where key and place fit one number, plain numbers are sorted, which is much faster."""
+            if most * n < 1 << 63:
+                sorted_key, order = np.divmod(np.sort(key * n + np.arange(n)), n)
+            else:
+                order = np.argsort(key)
+                sorted_key = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
             return order, rank
 
-        order, rank = ranked(key)
+        order, rank = ranked(key, base**depth)
         if depth <= self.window:
             ranks[depth] = rank
         done = False
@@ -124,8 +140,11 @@ class RunIndex:
             second[inside] = text_of[-1] + 1 + rank[inside + depth]
             depth *= 2
             done = depth > self.window
-            key = rank * (int(second.max()) + 1) + second
-            order, rank = ranked(key * 257 + before if done else key)
+            most = int(second.max()) + 1
+            key, most = rank * most + second, (int(rank.max()) + 1) * most
+            if done and most * 257 * n < 1 << 63:
+                key, most = key * 257 + before, most * 257
+            order, rank = ranked(key, most)
             if not done:
                 ranks[depth] = rank
         return order, self._same(order, ranks)
@@ -146,17 +165,17 @@ class RunIndex:
         out[at + 1] = True
         return out
 
-    def _common(self, places: np.ndarray, data: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Bytes, up to ``most``, that the index's text has at ``places`` as ``data`` has ``at``."""
-        most = np.minimum(most, self.left[places])
-        found = np.zeros(len(places), np.int64)
-        live = np.flatnonzero(most > 0)
-        while len(live):
-            f = found[live]
-            live = live[self.data[places[live] + f] == data[at[live] + f]]
-            found[live] += 1
-            live = live[found[live] < most[live]]
-        return found
+    def _common(self, places: np.ndarray, words: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Bytes, up to ``most``, that the index's text has at ``places`` as the texts whose ``words`` are given have ``at``.
+
+        Eight bytes are compared at a time, all stretches together.
+        """
+        steps = 8 * np.arange(-(-self.window // 8))
+        differ = self.words[places[:, None] + steps] ^ words[at[:, None] + steps]
+        first = np.argmax(differ != 0, axis=1)
+        d = differ[np.arange(len(places)), first]
+        lowest = np.where(d == 0, 8 * len(steps), 8 * first + np.log2((d & (~d + np.uint64(1))).astype(np.float64), where=d != 0, out=np.zeros(len(d))).astype(np.int64) // 8)
+        return np.minimum(lowest, np.minimum(most, self.left[places]))
 
     def matches(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Matching statistics of all texts, streamed from their ends.
@@ -166,7 +185,8 @@ class RunIndex:
         """
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         by = np.argsort(-sizes, kind="stable")
-        data = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
+        raw = b"".join([*texts, bytes(self.window + 16)])
+        data, words = np.frombuffer(raw, np.uint8), words_at_bytes(raw)
         ends = np.cumsum(sizes)[by]
         sizes = sizes[by]
         row, length = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
@@ -176,11 +196,11 @@ class RunIndex:
             row, length = row[:n], length[:n]
             at = ends[:n] - step
             letter = data[at].astype(np.int64) + 1
-            run = np.searchsorted(self.starts, row, "right") - 1
+            run = self.run_of[row]
             other = np.flatnonzero(self.letters[run] != letter)
             length = np.minimum(length + 1, self.window)
             if len(other):
-                want, here = letter[other], run[other]
+                want, here = letter[other], run[other].astype(np.int64)
                 place = np.searchsorted(self.by_letter, want * runs + here)
                 best, target = np.full(len(other), -1), np.zeros(len(other), np.int64)
                 for step_to, sample in ((-1, self.last), (0, self.first)):
@@ -188,7 +208,7 @@ class RunIndex:
                     found = self.by_letter[np.clip(spot, 0, runs - 1)]
                     ok = np.flatnonzero((spot >= 0) & (spot < runs) & (found // runs == want))
                     there = found[ok] % runs
-                    l = self._common(sample[there], data, at[other[ok]] + 1, length[other[ok]] - 1)  # noqa: E741
+                    l = self._common(sample[there], words, at[other[ok]] + 1, length[other[ok]] - 1)  # noqa: E741
                     ok_better = l > best[ok]
                     better = ok[ok_better]
                     best[better] = l[ok_better]
@@ -199,12 +219,13 @@ class RunIndex:
                 run[other] = to
                 row[other] = np.where(up, self.ends[to], self.starts[to])
                 length[other] = best + 1
-            lost = length == 0
-            row = np.where(lost, 0, self.leads[run] + row - self.starts[run])
+            row = row + self.shift[run]
+            if len(other):
+                row[length == 0] = 0  # a letter that the index doesn't have
             yield step, by[:n], length, row
 
     def least(self, row: np.ndarray) -> np.ndarray:
-        return self.tags[np.searchsorted(self.tag_rows, row, "right") - 1]
+        return self.tags[self.tag_of[row]]
 
 
 def earlier_windows(texts: list[bytes], owners: np.ndarray, window: int) -> list[np.ndarray]:
@@ -481,7 +502,7 @@ def without_repeats(docs: DataFrame, cfg: PassageConfig | None = None, key: str
     spark = docs.sparkSession
     total = docs.select(F.octet_length(F.col(text).cast("string")).alias("n")).agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // cfg.shard_bytes))
-    tables = max(1, -(-total // (4 * cfg.shard_bytes)))
+    tables = max(1, -(-total // (16 * cfg.shard_bytes)))
     path = posixpath.join(shared_dir(spark), f"chunks-{uuid.uuid4().hex}")
     write_chunks(docs, cfg, key, text, path)
     chunks = spark.read.schema("chunk long, ids array<long>, sizes array<long>, blob binary").parquet(path)
