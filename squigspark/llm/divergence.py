@@ -53,6 +53,7 @@ class DivergenceConfig:
     band_groups: int = 128
     held_terms: int = 400_000  # entries of a task's dictionaries
     piece_bytes: int = 1 << 20  # of a long text at a time
+    broadcast_groups: int = 100_000  # some ten MB
 
 
 def pieces(data: bytes, most: int) -> Iterator[bytes]:
@@ -174,19 +175,23 @@ def source_divergence(docs: DataFrame, cfg: DivergenceConfig | None = None, text
     kept = cut(held.filter((F.col("docs") >= cfg.least_documents) | (F.col("term") == "")).select("lang", "source", "term", "n", "total"))
 
     groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("own"))
-    numbered = cut(groups.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - F.lit(1)).select("lang", "source", "own", F.col("i").cast("long").alias("i")))
-    langs = numbered.groupBy("lang").agg(F.sum("own").alias("kept_n"), F.count("*").alias("groups"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - F.lit(1)
+    langs = groups.groupBy("lang").agg(F.sum("own").alias("kept_n"), F.count("*").alias("groups"))
     terms = kept.filter("term <> ''").groupBy("lang", "term").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("kept"))
-    sized = langs.join(terms, "lang", "left").select("lang", "kept_n", "groups", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"))
-    sized = cut(sized.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("kept") / cfg.block_terms))).withColumn("bands", F.ceil(F.col("groups") / cfg.band_groups)))
+    sized = langs.join(terms, "lang", "left").select("lang", "kept_n", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), F.ceil(F.col("groups") / cfg.band_groups).alias("bands"))
+    sized = sized.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("kept") / cfg.block_terms)))
+    numbered = cut(groups.withColumn("i", place.cast("long")).join(sized, "lang"))
 
+    # Rows of a hot source stay where they are, unless there are so many sources that none has a large share.
+    known = numbered.select("lang", "source", "i", "blocks", "bands")
+    known = F.broadcast(known) if numbered.count() <= cfg.broadcast_groups else known
     block = F.pmod(F.xxhash64("term"), F.col("blocks")).cast("long").alias("block")
-    placed = kept.filter("term <> ''").join(sized.select("lang", "blocks"), "lang").select("lang", "source", "term", "n", "total", block)
+    placed = kept.filter("term <> ''").join(known, ["lang", "source"]).select("lang", "i", "bands", "term", "n", "total", block)
     in_blocks = placed.groupBy("lang", "block", "term").agg(F.lit(1).alias("one")).groupBy("lang", "block").agg(F.count("*").alias("block_terms"))
-    heads = numbered.join(sized, "lang").select("lang", "i", "own", "kept", "kept_n", "bands", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    heads = numbered.select("lang", "i", "own", "kept", "kept_n", "bands", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     heads = heads.join(in_blocks, ["lang", "block"], "left").select("lang", "block", "i", F.lit("").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"), "own", "kept", "kept_n", F.coalesce("block_terms", F.lit(0)).cast("long").alias("block_terms"), "bands")
     none = [F.lit(0).cast("long").alias(c) for c in ("own", "kept", "kept_n", "block_terms")]
-    body = placed.join(numbered.select("lang", "source", "i"), ["lang", "source"]).join(sized.select("lang", "bands"), "lang").select("lang", "block", "i", "term", "n", "total", *none, "bands")
+    body = placed.select("lang", "block", "i", "term", "n", "total", *none, "bands")
     band = F.floor(F.col("i") / cfg.band_groups)
     both = heads.unionByName(body).withColumn("band", band).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bands") - 1)))
     dealt = both.select("lang", "block", F.least("band", "other").alias("first"), F.greatest("band", "other").alias("second"), "i", "term", "n", "total", "own", "kept", "kept_n", "block_terms")
@@ -197,6 +202,6 @@ def source_divergence(docs: DataFrame, cfg: DivergenceConfig | None = None, text
     pairs = sums.select("lang", "value", ends).select("lang", "value", "e.i", "e.j")
     named = pairs.join(numbered.select("lang", F.col("i").alias("j"), F.col("source").alias("item")), ["lang", "j"]).select("lang", "i", F.lit("pair").alias("part"), "item", "value")
     tops = found.filter("kind = 1").select("lang", "i", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
-    place = F.row_number().over(Window.partitionBy("lang", "i", "part").orderBy(F.desc("value"), "item"))
-    best = tops.withColumn("rank", place).filter(F.col("rank") <= cfg.top).unionByName(named.withColumn("rank", place))
+    rank = F.row_number().over(Window.partitionBy("lang", "i", "part").orderBy(F.desc("value"), "item"))
+    best = tops.withColumn("rank", rank).filter(F.col("rank") <= cfg.top).unionByName(named.withColumn("rank", rank))
     return best.join(numbered.select("lang", "i", "source"), ["lang", "i"]).select("lang", "source", "part", "item", "value", "rank")
