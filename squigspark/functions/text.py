@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,8 @@ def sam_line(ss: Column | str, rna: bool = False, row_prefix: str = "") -> Colum
     return F.concat_ws("\t", c("rid"), flag, c("tid"), (c("target_start") + 1).cast("string"), c("mapq").cast("string"), cigar, F.lit("*"), F.lit("0"), F.lit("0"), F.lit("*"), F.lit("*"), si, F.concat(F.lit("ss:Z:"), _col(ss)))
 
 
-def sam_header(references) -> list[str]:
-    """@SQ lines (the length is the number of k-mers) and @PG; references: collected (name, ref_len) rows."""
-    return [f"@SQ\tSN:{r['name']}\tLN:{r['ref_len']}" for r in references] + ["@PG\tID:squigspark\tPN:squigspark"]
+def sam_header(references: DataFrame) -> DataFrame:
+    """(part, place, line), to be ordered by part and place: an @SQ line for each (ref_idx, name, ref_len), whose length is the number of k-mers, then @PG."""
+    named = F.concat(F.lit("@SQ\tSN:"), F.col("name"), F.lit("\tLN:"), F.col("ref_len").cast("string"))
+    lines = references.select(F.lit(0).alias("part"), F.col("ref_idx").cast("int").alias("place"), named.alias("line"))
+    return lines.unionByName(references.sparkSession.createDataFrame([(1, 0, "@PG\tID:squigspark\tPN:squigspark")], "part int, place int, line string"))

@@ -75,11 +75,50 @@ def container_pruned(spark, d):
 
 
 def container_attributes(spark, d):
-    """Header attributes by read group."""
-    groups = container.read_groups(spark, _written(spark, d, **{"attr.run": "r1\tr2", "attr.kit": "k\t"}))
+    """Header attributes by read group: one group for each region, every other one without a kit."""
+    names = [r["r_name"] for r in table(spark, d, "region").orderBy("r_regionkey").collect()]
+    given = {"attr.run": "\t".join(names), "attr.kit": "\t".join(n if i % 2 == 0 else "" for i, n in enumerate(names))}
+    groups = container.read_groups(spark, _written(spark, d, **given))
     return groups.select("read_group", F.explode("attrs").alias("name", "value")).distinct()
 
 
+def container_columns(spark, d):
+    """Files with different columns in one folder: each file's columns are there, null where a file lacks them."""
+    container.register(spark)
+    path, reads = base._scratch(spark), base._reads(spark, d)
+    even, half = F.col("user") % 2 == 0, F.col("median_before").alias("half")
+    for kind, rows in (("text", reads.filter(even).select(*READ.names, "user")), ("binary", reads.filter(~even).select(*READ.names, half, "user")), ("binary", reads.filter(~even).select(*READ.names, F.concat(F.lit("n"), "user").alias("name")))):
+        rows.write.format("signal").mode("append").option("container", kind).save(path)
+    return container.read_signal(spark, path).select("read_id", "len_raw_signal", "user", "half", "name")
+
+
+def container_copied(spark, d):
+    """Records moved undecoded: a list of ids (the customers'), dealt to three files, packed by another codec."""
+    path, out = _written(spark, d), base._scratch(spark)
+    ids = table(spark, d, "customer").select(F.concat(F.lit("u"), F.col("c_custkey")).alias("read_id"))
+    container.copy_records(spark, path, out, ids=ids, files=3, record_press="zstd")
+    return _summed(spark.read.format("signal").load(out))
+
+
+def container_blocks(spark, d):
+    """A scan cut at the blocks that the writers' own index names."""
+    return _summed(spark.read.format("signal").option("split_bytes", str(1 << 27)).load(_written(spark, d, block_bytes="2000")))
+
+
+def container_lookup(spark, d):
+    """Records of some ids: files and blocks that can't hold them are not opened."""
+    path = _written(spark, d, block_bytes="2000")
+    return _summed(spark.read.format("signal").load(path).filter(F.col("read_id").isin("u1", "u17", "u33", "none")))
+
+
+def container_header(spark, d):
+    """Header attributes set, replaced and extended to more read groups while records are moved undecoded."""
+    names = [r["r_name"] for r in table(spark, d, "region").orderBy("r_regionkey").collect()]
+    out = base._scratch(spark)
+    container.copy_records(spark, _written(spark, d, **{"attr.run": "r1\tr2", "attr.kit": "k"}), out, kit="new", site="\t".join(names))
+    return container.read_groups(spark, out).select("read_group", F.explode("attrs").alias("name", "value")).distinct()
+
+
 _SCALARS = {"int8_t": "tinyint", "int16_t": "smallint", "int32_t": "int", "int64_t": "bigint", "uint8_t": "smallint", "uint16_t": "int", "uint32_t": "bigint", "uint64_t": "decimal(20,0)", "float": "float", "double": "double"}
 
 
@@ -114,9 +153,12 @@ def fasta_records(spark, d):
 
 
 def kmer_model_file(spark, d):
+    """A model file and its reading; a k-mer's level counts the parts that fall to its rank."""
     path = base._scratch(spark)
-    model = reference.model_from_rule(spark, base.K)
-    rows = model.select(F.concat_ws("\t", "kmer", F.format_string("%.2f", "level_mean"), F.format_string("%.2f", "level_stdv")).alias("value"), "rank")
+    parts = table(spark, d, "part").groupBy((F.col("p_partkey") % 4**base.K).cast("int").alias("rank")).agg(F.count("*").alias("n"))
+    model = reference.model_from_rule(spark, base.K).join(parts, "rank", "left")
+    level = F.col("level_mean").cast("double") + F.coalesce("n", F.lit(0)) * 0.25
+    rows = model.select(F.concat_ws("\t", "kmer", F.format_string("%.2f", level), F.format_string("%.2f", "level_stdv")).alias("value"), "rank")
     head = spark.createDataFrame([(f"#k\t{base.K}", -2), ("kmer\tlevel_mean\tlevel_stdv", -1)], "value string, rank int")
     head.unionByName(rows).repartition(1).sortWithinPartitions("rank").select("value").write.text(path)
     return read_kmer_model(spark, path).select("rank", "kmer", F.col("level_mean").cast("double").alias("level_mean"), F.col("level_stdv").cast("double").alias("level_stdv"))
@@ -131,9 +173,8 @@ def bed_regions(spark, d):
 
 
 def sam_header_lines(spark, d):
-    items = base.contigs(spark, d).filter("length(seq) >= 5").orderBy("ref_idx").select("name", (F.length("seq") + 1 - base.K).alias("ref_len"))
-    lines = text.sam_header(items.collect())
-    return spark.createDataFrame(list(enumerate(lines)), "place int, line string").filter("place < %d" % (len(lines) - 1))
+    items = base.contigs(spark, d).filter("length(seq) >= 5").select("ref_idx", "name", (F.length("seq") + 1 - base.K).alias("ref_len"))
+    return text.sam_header(items)
 
 
 def eval_report(spark, d):
@@ -151,10 +192,13 @@ def numbers_from_text(spark, d):
 # Functions
 
 def base_functions(spark, d):
-    first, third = F.substring("text", 1, 1), F.substring("text", 3, 1)
+    """Ranks of all letters of a text, summed; of its 6-letter stretches, end to end, the greatest; its letters replaced."""
+    letters = F.split("text", "")
+    ranks = F.aggregate(letters, F.lit(0).cast("long"), lambda a, c: a + bases.base_rank(c))
+    stretches = F.regexp_extract_all("text", F.lit("(?s)(.{6})"), F.lit(1))
     return table(spark, d, "documents").select(
-        "doc_id", bases.base_rank(first).alias("first"), bases.base_rank(third).alias("third"), F.length(bases.replace_char(F.substring("text", 1, 50), "e", "E")).alias("n"),
-        bases.replace_char(F.substring("text", 1, 50), "e", "E").alias("replaced"), bases.kmer_count((F.col("doc_id") % 12).cast("int")).alias("kmers"), bases.kmer_rank(F.substring("text", 1, 6)).alias("rank"),
+        "doc_id", ranks.alias("ranks"), F.array_max(F.transform(stretches, bases.kmer_rank)).alias("greatest"), F.length(bases.replace_char("text", "e", "E")).alias("n"),
+        bases.replace_char("text", "e", "E").alias("replaced"), bases.kmer_count((F.col("doc_id") % 12).cast("int")).alias("kmers"),
     )
 
 
@@ -247,7 +291,7 @@ def signal_strings(spark, d):
 
 
 FUNCTIONS = [
-    container_fetch, container_ids, container_split, container_convert, container_pruned, container_attributes, container_types, fasta_records, kmer_model_file, bed_regions, sam_header_lines, eval_report, numbers_from_text,
+    container_fetch, container_ids, container_split, container_convert, container_pruned, container_attributes, container_columns, container_copied, container_blocks, container_lookup, container_header, container_types, fasta_records, kmer_model_file, bed_regions, sam_header_lines, eval_report, numbers_from_text,
     base_functions, small_functions, experiment_kinds, ref_inverted, query_reversed, map_candidates, map_candidates_std, warp_paths, warp_paths_std, signal_strings,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
@@ -378,15 +422,25 @@ ORACLE = {
     "container_split": f"WITH {_READ_ROWS} SELECT * FROM summed",
     "container_convert": f"WITH {_READ_ROWS} SELECT * FROM summed",
     "container_pruned": f"WITH {_READ_ROWS} SELECT read_id, user FROM summed WHERE read_id = 'u1'",
-    "container_attributes": "SELECT CAST(g AS BIGINT) AS read_group, name, value FROM (VALUES (0, 'run', 'r1'), (1, 'run', 'r2'), (0, 'kit', 'k'), (1, 'kit', NULL)) AS t(g, name, value)",
+    "container_attributes": """SELECT CAST(r_regionkey AS BIGINT) AS read_group, 'run' AS name, r_name AS value FROM region
+        UNION ALL SELECT CAST(r_regionkey AS BIGINT), 'kit', CASE WHEN r_regionkey % 2 = 0 THEN r_name ELSE '' END FROM region""",
+    "container_columns": f"""WITH {_READ_ROWS} SELECT read_id, len_raw_signal, user, CASE WHEN user % 2 = 1 AND user % 3 > 0 THEN user * 0.5::DOUBLE END AS half, NULL::VARCHAR AS name FROM summed
+        UNION ALL SELECT read_id, len_raw_signal, NULL, NULL, 'n' || user FROM summed WHERE user % 2 = 1""",
+    "container_copied": f"WITH {_READ_ROWS} SELECT * FROM summed WHERE user IN (SELECT c_custkey FROM customer)",
+    "container_blocks": f"WITH {_READ_ROWS} SELECT * FROM summed",
+    "container_lookup": f"WITH {_READ_ROWS} SELECT * FROM summed WHERE read_id IN ('u1', 'u17', 'u33')",
+    "container_header": """SELECT CAST(r_regionkey AS BIGINT) AS read_group, 'site' AS name, r_name AS value FROM region
+        UNION ALL SELECT CAST(r_regionkey AS BIGINT), 'run', CASE r_regionkey WHEN 0 THEN 'r1' WHEN 1 THEN 'r2' ELSE '' END FROM region UNION ALL SELECT CAST(r_regionkey AS BIGINT), 'kit', CASE r_regionkey WHEN 0 THEN 'new' ELSE '' END FROM region""",
     "container_types": f"WITH {_READ_ROWS}, u AS (SELECT user, read_id, CASE WHEN user % 4 > 0 THEN (user % 100)::DOUBLE END AS v, (user % 50)::DOUBLE AS w FROM summed) SELECT user, "
     + ", ".join(f"v AS one_{k}, coalesce(v, 1000) + w AS all_{k}" for k in _SCALARS)
     + ", CASE WHEN user % 4 > 0 THEN substr(read_id, 2, 1) END AS one_char, CASE WHEN user % 4 > 0 THEN read_id END AS all_char, (['low', 'mid', 'high'])[user % 3 + 1] AS one_enum FROM u",
     "fasta_records": f"WITH {base.CONTIGS} SELECT name, 'of a document' AS comment, seq FROM contigs",
     "kmer_model_file": f"""SELECT CAST(r AS INT) AS rank, list_aggregate(list_transform(range(0, {base.K}), lambda j: substr('ACGT', CAST((r // CAST(4 ** ({base.K - 1} - j) AS BIGINT)) % 4 + 1 AS INT), 1)), 'string_agg', '') AS kmer,
-        (60 + (r * 37) % 101)::DOUBLE AS level_mean, 2::DOUBLE AS level_stdv FROM range(0, {4**base.K}) AS t(r)""",
+        (60 + (r * 37) % 101 + coalesce(n, 0) * 0.25)::DOUBLE AS level_mean, 2::DOUBLE AS level_stdv
+        FROM range(0, {4**base.K}) AS t(r) LEFT JOIN (SELECT p_partkey % {4**base.K} AS k, count(*) AS n FROM part GROUP BY k) ON k = r""",
     "bed_regions": """WITH b AS (SELECT 't' || l_suppkey AS ref, l_partkey + l_linenumber * 1000 AS beg, l_partkey + l_linenumber * 1000 + CAST(l_quantity AS INT) AS "end" FROM lineitem) SELECT *, ref || ':' || beg || '-' || "end" AS region FROM b""",
-    "sam_header_lines": f"WITH {base.CONTIGS} SELECT CAST(row_number() OVER (ORDER BY ref_idx) - 1 AS INT) AS place, '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || (length(seq) - {base.K - 1}) AS line FROM contigs WHERE length(seq) >= 5",
+    "sam_header_lines": f"""WITH {base.CONTIGS} SELECT 0 AS part, ref_idx AS place, '@SQ' || chr(9) || 'SN:' || name || chr(9) || 'LN:' || (length(seq) - {base.K - 1}) AS line FROM contigs WHERE length(seq) >= 5
+        UNION ALL SELECT 1, 0, '@PG' || chr(9) || 'ID:squigspark' || chr(9) || 'PN:squigspark'""",
     "eval_report": f"""WITH {base._classified(base._NEAR)}, sm AS ({base._SUMMARY}),
 h AS (SELECT mapq, count(*) FILTER (outcome = 'correct') AS c, count(*) FILTER (outcome = 'incorrect') AS w FROM outcome WHERE outcome <> 'only_in_test' GROUP BY mapq)
 SELECT 0 AS place, 'Number of records in truth set' || chr(9) || truth_rec AS value FROM sm UNION ALL SELECT 1, 'Reads mapped in truth set' || chr(9) || truth_mapped FROM sm
@@ -394,10 +448,10 @@ UNION ALL SELECT 2, printf('Mappings in test set%s%d%s%.2f%%', chr(9), test_mapp
 UNION ALL SELECT 4, printf('Incorrect%s%d%s%.2f%%', chr(9), incorrect, chr(9), incorrect_pct) FROM sm UNION ALL SELECT 5, 'Only in test set' || chr(9) || only_in_test FROM sm
 UNION ALL SELECT 6, concat_ws(chr(9), 'MAPQ', 'correct', 'incorrect') UNION ALL SELECT 160 - mapq, concat_ws(chr(9), mapq, c, w) FROM h""",
     "numbers_from_text": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey - 100 END AS whole, CASE WHEN o_orderkey % 7 <> 0 THEN printf('%.2f', o_totalprice)::DOUBLE END AS part FROM orders",
-    "base_functions": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS s, text FROM documents), r AS (SELECT *, upper(substr(s, 1, 6)) AS k FROM t)
-SELECT doc_id, CASE WHEN text IS NOT NULL THEN CAST(greatest(0, instr('ACGT', upper(substr(s, 1, 1))) - 1) * (substr(s, 1, 1) <> '')::INT AS INT) END AS first, CASE WHEN text IS NOT NULL THEN CAST(greatest(0, instr('ACGT', upper(substr(s, 3, 1))) - 1) * (substr(s, 3, 1) <> '')::INT AS INT) END AS third,
-       CASE WHEN text IS NOT NULL THEN CAST(length(substr(s, 1, 50)) AS INT) END AS n, CASE WHEN text IS NOT NULL THEN replace(substr(s, 1, 50), 'e', 'E') END AS replaced, CASE WHEN doc_id % 12 <= 9 THEN CAST(4 ** (doc_id % 12) AS BIGINT) END AS kmers,
-       CASE WHEN text IS NOT NULL AND length(k) > 0 THEN CAST(list_sum(list_transform(range(1, length(k) + 1), lambda j: greatest(0, instr('ACGT', substr(k, j, 1)) - 1) * CAST(4 ** (length(k) - j) AS BIGINT))) AS INT) END AS rank FROM r""",
+    "base_functions": """WITH t AS (SELECT doc_id, text, coalesce(text, '') AS s, doc_id % 12 AS k FROM documents),
+k AS (SELECT doc_id, list_transform(regexp_extract_all(upper(s), '(?s).{6}'), lambda x: list_sum(list_transform(range(1, 7), lambda j: greatest(0, instr('ACGT', substr(x, j, 1)) - 1) * CAST(4 ** (6 - j) AS BIGINT)))) AS r FROM t)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN length(regexp_replace(s, '[^cC]', '', 'g')) + 2 * length(regexp_replace(s, '[^gG]', '', 'g')) + 3 * length(regexp_replace(s, '[^tT]', '', 'g')) END AS ranks, CAST(list_max(r) AS INT) AS greatest,
+       CAST(length(text) AS INT) AS n, replace(text, 'e', 'E') AS replaced, CASE WHEN k <= 9 THEN CAST(4 ** k AS BIGINT) END AS kmers FROM t JOIN k USING (doc_id)""",
     "small_functions": """WITH o AS (SELECT o_orderkey, o_custkey, o_custkey % 97 AS a, o_orderkey % 89 AS b FROM orders)
 SELECT o_orderkey, abs(a - b) AS distance, (a - b) * (a - b) AS squared, least(a, b, o_custkey) AS least, abs(a - b * 97::DOUBLE / 89) <= 10 AS near, (a % 3) * 100 + (b % 5) * 10 + o_orderkey % 7 >= 123 AS recent, a % 2 = 0 AS named FROM o""",
     "experiment_kinds": "SELECT o_orderkey, o_orderkey % 4 = 0 AS rna, CASE o_custkey % 5 WHEN 1 THEN 'r10' WHEN 2 THEN 'rna004' ELSE 'r9' END AS pore FROM orders",

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import paf_line, sam_header, sam_line
 from ..operators.evaluate import EvalOptions, mapq_histogram, report_lines, summary
 from ..operators.mapping import map_reads
-from ..operators.reference import synthetic_references
+from ..operators.reference import rna_part, synthetic_references
 from ..options import MapOptions, is_rna, pore_of
-from ..sources.container import read_groups, register
+from ..sources.container import copy_records, list_files, open_headers, read_groups, read_signal, register
 from ..sources.tables import read_fasta, read_kmer_model, read_paf
 
 
@@ -32,17 +32,18 @@ def references(spark: SparkSession, fasta: str, model: str, opt: MapOptions) ->
 def map_job(spark: SparkSession, fasta: str, reads: str, model: str, out: str, opt: MapOptions) -> None:
     """Map a container's reads and write PAF or SAM text, one part file for each partition.
 
-    SAM parts have no header; it is written beside them as ``header``.
+    SAM parts have no header; it is written beside them as ``header``, in order over its own part files.
     """
     register(spark)
     refs = references(spark, fasta, model, opt)
-    rows = map_reads(spark.read.format("signal").load(reads), refs, opt)
+    rows = map_reads(read_signal(spark, reads), refs, opt)
     if not opt.sam:
         rows.select(paf_line().alias("value")).write.mode("overwrite").text(out)
         return
     rows.select(sam_line(F.coalesce("ss", F.lit("")), opt.rna).alias("value")).write.mode("overwrite").text(f"{out}/records")
-    names = refs.filter("strand = '+'").select("ref_idx", "name", "ref_len").orderBy("ref_idx").collect()
-    spark.createDataFrame([(x,) for x in sam_header(names)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/header")
+    kmers = F.length("seq") + 1 - opt.kmer_length
+    kept = rna_part(F.length("seq"), opt.kmer_length, opt.query, opt.from_end)[0] if opt.rna and not opt.full_ref else kmers
+    sam_header(read_fasta(spark, fasta).filter(kmers > 0).select("ref_idx", "name", kept.alias("ref_len"))).orderBy("part", "place").select("line").write.mode("overwrite").text(f"{out}/header")
 
 
 def eval_job(spark: SparkSession, truth: str, test: str, opt: EvalOptions = EvalOptions()) -> DataFrame:
@@ -52,12 +53,20 @@ def eval_job(spark: SparkSession, truth: str, test: str, opt: EvalOptions = Eval
 
 
 def convert_job(spark: SparkSession, source: str, out: str, kind: str = "binary", **options: str) -> None:
-    """Containers from one form or compression to another, records and header attributes alike."""
+    """Containers from one form or compression to another, records and header attributes alike.
+
+    Where only the records' codec changes, or nothing, their bytes are moved undecoded.
+    """
     register(spark)
-    groups = read_groups(spark, source).orderBy("read_group").collect()
+    files = [p for p, _ in list_files(source)]
+    headers = open_headers(files)
+    h = headers[0]
+    if all(x == h for x in headers) and set(options) <= {"record_press", "signal_press"} and h.binary == (kind == "binary") and (not h.binary or options.get("signal_press", "svb-zd") == h.signal_codec):
+        copy_records(spark, source, out, record_press=options.get("record_press", "zlib") if h.binary else None)
+        return
     attrs: dict[str, list[str]] = {}
-    for g in groups:
+    for g in read_groups(spark, source).orderBy("read_group").collect():
         for name, value in g["attrs"].items():
             attrs.setdefault(name, []).append(value)
     named = {f"attr.{name}": "\t".join(values) for name, values in attrs.items()}
-    spark.read.format("signal").load(source).write.format("signal").mode("append").options(container=kind, **options, **named).save(out)
+    read_signal(spark, source).write.format("signal").mode("append").options(container=kind, **options, **named).save(out)

@@ -14,6 +14,8 @@ def _row(**fields: str | T.DataType) -> T.StructType:
 
 #: A read: the fixed columns of the signal container; declared auxiliary columns follow them.
 READ = _row(read_id="string", read_group="long", digitisation="double", offset="double", range="double", sampling_rate="double", len_raw_signal="long", raw_signal=T.ArrayType(T.ShortType()))
+#: An undecoded record of a container: the stored bytes of a binary one, the line of a text one.
+RAW_RECORD = _row(read_id="string", record="binary")
 #: Header attributes, one row for each file and read group.
 READ_GROUP = _row(path="string", read_group="long", attrs=T.MapType(T.StringType(), T.StringType()))
 #: Where a record lies in a container.

@@ -18,7 +18,7 @@ def connect():
 
 def plain(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    text = lambda v: "" if v is None or isinstance(v, float) and math.isnan(v) else repr(v) if isinstance(v, float) else str(v)
+    text = lambda v: "\0null" if v is None else "\0nan" if isinstance(v, float) and math.isnan(v) else repr(v) if isinstance(v, float) else str(v)
     return sorted(tuple(text(r[i]) for i in order) for r in rows)
 
 
