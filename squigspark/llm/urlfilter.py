@@ -11,189 +11,62 @@ the regression's intercept decides.  Repeated rows get results of their own; ids
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: (verdict, rule); a rule is a host, with all its subdomains, and the start of a path.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
-#: The labelled table: addresses of public sites to keep, and made-up ones of kinds that a corpus should
-#: not hold (gambling, pornography, pharmacy spam, link farms, trackers, loans, pirated software).  Both are
-#: written from general knowledge of the web and owe nothing to any table that is judged.  Both have hosts
-#: under com, net and org alike, and more is kept than not, so an address that says nothing is allowed.
-KEEP = """
-https://en.wikipedia.org/wiki/Photosynthesis
-https://de.wikipedia.org/wiki/Eisenbahn
-https://fr.wikipedia.org/wiki/Cathedrale
-https://es.wikipedia.org/wiki/Cervantes?action=history
-https://www.gutenberg.org/ebooks/1342
-https://docs.python.org/3/library/functions.html
-https://spark.apache.org/docs/latest/sql-programming-guide.html
-https://developer.mozilla.org/en-US/docs/Web/HTML/Element/table
-https://www.kernel.org/doc/html/latest/admin-guide/index.html
-https://www.rfc-editor.org/rfc/rfc3986.html#section-3
-https://arxiv.org/abs/1706.03762
-https://www.nature.com/articles/171737a0
-https://pubmed.ncbi.nlm.nih.gov/13054692/
-https://www.who.int/news-room/fact-sheets/detail/malaria
-https://www.cdc.gov/handwashing/index.html
-https://www.nasa.gov/missions/voyager-1/
-https://www.noaa.gov/weather
-https://www.loc.gov/collections/maps/
-https://www.gov.uk/browse/driving
-https://www.europarl.europa.eu/portal/en
-https://www.un.org/en/about-us/history-of-the-un
-https://www.bbc.co.uk/news/science_and_environment
-https://www.theguardian.com/books/2019/jun/08/review
-https://www.lemonde.fr/planete/article/2020/01/14/climat.html
-https://www.spiegel.de/wissenschaft/natur/
-https://elpais.com/cultura/2018/05/21/actualidad.html
-https://www.nytimes.com/section/arts?page=4
-https://www.reuters.com/world/europe/
-http://www.mit.edu/~gil/courses/lecture-notes.pdf
-https://ocw.mit.edu/courses/mathematics/18-06-linear-algebra-spring-2010/
-https://www.stanford.edu/research/
-https://www.cam.ac.uk/study-at-cambridge
-https://www.ethz.ch/de/studium.html
-https://www.metmuseum.org/art/collection/search/436535
-https://www.britishmuseum.org/collection/egypt
-https://www.louvre.fr/en/explore/the-palace
-https://www.allrecipes.com/recipe/10813/best-chocolate-chip-cookies/
-https://www.seriouseats.com/perfect-mashed-potatoes
-https://stackoverflow.com/questions/11227809/why-is-processing-a-sorted-array-faster
-https://github.com/apache/spark/blob/master/README.md
-https://gitlab.gnome.org/GNOME/gimp/-/issues?sort=created_date
-https://www.postgresql.org/docs/current/indexes.html
-https://www.openstreetmap.org/about
-https://www.nps.gov/yell/planyourvisit/hours.htm
-https://www.birdlife.org/projects/
-https://www.rhs.org.uk/plants/articles/roses
-https://www.imdb.com/title/tt0043014/reference
-https://www.goodreads.com/book/show/7624.Lord_of_the_Flies
-https://www.chess.com/openings
-https://www.fifa.com/tournaments/mens/worldcup
-https://medium.com/topic/history?utm_source=newsletter
-https://blog.rust-lang.org/2015/05/15/Rust-1.0.html
-https://blog.mozilla.org/en/products/
-https://news.ycombinator.com/item?id=8863
-https://m.weather.gov/forecast
-https://forum.arduino.cc/t/blink-without-delay/
-https://library.leeds.ac.uk/special-collections
-https://shop.nationalgeographic.org/maps/wall
-https://www.ikea.com/de/de/cat/regale-10382/
-https://www.deutschebahn.com/de/konzern
-https://www.bahn.de/angebot/regio
-https://www.timeanddate.com/calendar/
-https://www.merriam-webster.com/dictionary/thesaurus
-https://www.thoughtco.com/the-thirty-years-war
-https://www.history.com/topics/ancient-greece
-https://www.gardening-notes.net/articles/soil
-https://riverside-library.net/opening-hours
-http://harbour-town.net/council/2021/minutes
-https://weatherdesk.net/stations/north
-https://recipes.homekitchen.net/bread
-https://www.town-orchestra.net/concerts
-https://sailing-log.net/2014/05/crossing
-http://birds.nature-watch.net/species.html
-https://village-archive.net/letters/1890
-https://poetry-reading-room.net/sonnets
-https://www.bicycle-repair.net/brakes.html
-https://biology.field-guide.net/plants/ferns
-https://www.farmers-market.net/produce
-https://island-station.net/wind
-https://theatre-company.net/season
-https://northern-trails.net/huts
-https://thermal-springs-society.org/baths
-https://www.statistics-office.net/tables/population
-https://station-timetable.net/lines/4
-https://tionesta-valley-historical.org/photos
-http://old.mountainclub.org/walks/ridge
-https://physics-lectures.org/waves/
-https://www.childrens-hospital.org/visit
-https://railway-times.org/timetable
-https://maths.school-help.org/fractions
-https://woodwork-shop.org/joints
-https://law.public-records.org/acts
-https://star-charts.org/summer
-https://cinema-review.org/classics/1954
-https://language-notes.org/verbs
-https://www.lighthouse-keepers.com/stories/storm
-https://thorntonbakery.com/sourdough
-https://blog.handloomweavers.com/natural-dyes
-https://m.citytransit.com/lines/red
-https://www.thatcherpottery.com/glazes
-https://choralmusic-library.com/scores/tallis
-https://northernlights-observatory.com/forecast
-https://kitchen-garden-diary.com/2016/beans
-https://www.stringquartet-scores.com/haydn
-https://harvesters-cooperative.com/about
-"""
-UNWANTED = """
-http://www.mega-casino-jackpots.net/register?bonus=500
-https://onlinecasino-freespins.org/de/slots
-https://casino.royal-vegas-777.com/en/roulette.html
-https://vip-poker-rooms.net/fr/tournois?aff=119
-https://sportsbet-tips-365.org/bets/today
-https://betting-odds-winner.com/es/apuestas
-https://free-spins-bets.net/claim
-http://lucky-slots-win-money.org/play
-https://bingo-bonus-betting.com/en/win#signup
-https://instant-win-lottery.net/prize/claim?id=3
-http://www.xxx-porn-videos.org/free/hd
-https://hot-porn-tube.com/en/categories
-https://adult-cam-chat.net/live/girls
-https://adultdating-hookup.org/de/login
-https://free-sex-movies.com/watch/1
-https://nude-webcam-adult.net/fr/xxx
-http://escorts-adult-services.org/city/berlin
-http://www.buy-viagra-online-cheap.com/en/order
-https://cheapmeds-pharmacy.net/cialis
-https://no-prescription-pills.org/de/kaufen
-https://weight-loss-pills-miracle.com/order.html
-https://cheap-steroids-pills.net/shop?ref=mail
-https://discount-pharma-rx.org/pills/generic
-http://seo-backlinks-spam.com/packages
-https://link-exchange-farm.net/en/directory/7
-https://article-spinner-spam.org/auto/90
-https://spam-guestbook-poster.com/download
-https://content-farm-network.net/p/81?utm_source=spam
-http://ads.click-tracker-network.org/redirect?u=12
-https://track.ad-server-pixel.com/ads/imp.gif
-https://adserver-popunder.net/ads/pop
-https://ads-tracking-pixel.org/en/c?id=9
-https://banner-ads-exchange.com/track/77
-http://payday-loans-instant-cash.net/apply
-https://quick-money-loan-approval.org/en/apply?ref=22
-https://earn-money-fast-home.com/es/dinero
-https://bitcoin-doubler-investment.net/invest
-https://crypto-giveaway-free-money.org/claim
-https://forex-robot-profits.com/de/gewinn
-http://cracked-software-keygen.net/download/full
-https://warez-torrents-free.org/en/serial.html
-https://free-movie-torrent-crack.com/watch
-https://activator-keygen-patch.net/windows
-http://replica-watches-outlet.org/rolex
-https://fake-designer-bags-cheap.com/fr/sacs
-https://secure-login-verify-account.net/bank/signin
-https://account-suspended-verify.org/login.php?session=1
-https://free-iphone-winner.com/survey/claim
-https://pc-virus-alert-cleaner.net/scan.exe
-https://www.miracle-hair-growth-cure.org/buy-now
-https://cheap-essay-writers-online.com/order
-https://buy-followers-likes-cheap.net/instagram
-https://hacked-accounts-free.org/generator
-http://get-rich-quick-win.com/money
-"""
+#: The labelled table is made by a rule from the words below: plain English nouns, some for each first letter, and
+#: words for what a corpus should not hold (gambling, pornography, pharmacy spam, link farms, trackers, loans, pirated
+#: software, fraud).  Every ordinary word stands in as many unwanted hosts as in each of four of the six kinds of kept ones, and
+#: both classes share subdomains, endings and paths, so the unwanted words carry the decision and no single row matters;
+#: more is kept than not, so an address that says nothing is allowed.
+ORDINARY = """acorn apple archive atlas bakery barn bicycle bridge cabin canal candle castle dairy dance desert drum eagle earth echo engine fabric falcon farm forest
+garden glass granite guitar harbor harvest hill history island ivory iron index jacket jazz jewel journal kettle kitchen kite knot ladder lake lantern library
+marble market meadow museum nation needle north notebook oak ocean orchard orchestra paper pepper planet poetry quartz quarry quilt quiet rain reading river road
+school science silver station table theatre thread tower umbrella union upland urban valley velvet village violin water weather winter wool
+xenon xylem yard yarn year yellow zebra zenith zinc zone""".split()
+UNWANTED = """casino poker roulette slots jackpot betting bets sportsbook lottery bingo gambling porn xxx sex nude escort adult hookup webcam viagra cialis pharmacy pills steroids
+spam backlinks seo linkfarm doorway clickbait ads adserver tracker popunder payday loans crypto doubler forex moneyfast warez torrent keygen crack hacked replica fakes phishing
+malware virus scam giveaway""".split()
+ENDINGS = "com net org info co.uk de eu".split()
+SITES = "house club online works land city times group lab center shop society".split()
+SUBDOMAINS = "www blog m docs forum news shop old".split()
+PATHS = ["", *"/ /about /index.html /news/2019/05/article /en/page /de/seite /fr/page /es/pagina /docs/guide.html /p/1234 /blog/post-title /contact /shop/item?id=7 /archive/1998/ /images/photo.jpg /search?q=word /wiki/Topic /en/index.html".split()]
+LURES = "/register /claim /order /win /free /bonus /buy-now /login-verify".split()
+
+
+def made_hosts(unwanted: bool) -> Iterator[str]:
+    """Four hosts for each ordinary word, with unwanted words or other ordinary ones; six that are kept."""
+    for i, word in enumerate(ORDINARY):
+        if unwanted:
+            other = [UNWANTED[(i + 17 * k) % len(UNWANTED)] for k in range(4)]
+        else:
+            other = [ORDINARY[(37 * i + 11 * k + 5) % len(ORDINARY)] for k in range(6)]
+        sub = [SUBDOMAINS[(i + k) % len(SUBDOMAINS)] for k in (0, 3, 5)]
+        yield from (f"{other[0]}-{word}", f"{sub[0]}.{word}-{other[1]}", f"{sub[1]}.{other[2]}{SITES[i % len(SITES)]}", f"www.{word}{other[3]}")
+        if not unwanted:
+            yield from (word, f"{sub[2]}.{other[4]}-{other[5]}")
+
+
+def made_urls(unwanted: bool) -> Iterator[str]:
+    """Hosts with endings and paths in turn; every fourth unwanted one has a path that lures."""
+    for k, host in enumerate(made_hosts(unwanted)):
+        path = LURES[k // 4 % len(LURES)] if unwanted and k % 4 == 0 else PATHS[7 * k % len(PATHS)]
+        yield f"http{'s' * (k % 2)}://{host}.{ENDINGS[3 * k % len(ENDINGS)]}{path}"
 
 
 @dataclass(frozen=True)
 class UrlModelConfig:
     buckets: int = 8192
     orders: tuple[int, ...] = (3, 4)
-    steps: int = 150
-    rate: float = 1.0
+    steps: int = 40
+    rate: float = 5.0
     l2: float = 0.002
 
 
@@ -230,36 +103,43 @@ def features(host: Column, path: Column, cfg: UrlModelConfig) -> Column:
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, y): y is 1 for urls that should be blocked."""
-    rows = [(u, y) for y, table in ((0, KEEP), (1, UNWANTED)) for u in table.split()]
+    rows = [(u, y) for y in (0, 1) for u in made_urls(y == 1)]
     values = ", ".join(f"('{u}', {y})" for u, y in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, y)")
 
 
 def fit_weights(labelled: DataFrame, cfg: UrlModelConfig = UrlModelConfig()) -> list[float]:
-    """Weights of all buckets, then the intercept.  ``labelled`` (url, y) is a small table (thousands of rows)."""
+    """Weights of all buckets, then the intercept.  ``labelled`` (url, y) is a small table (thousands of rows).
+
+    Buckets that occur are numbered, and only their weights are moved: those of the others stay 0.
+    """
     host, path = host_and_path(F.col("url"))
     rows = labelled.select(features(host, path, cfg).alias("f"), F.col("y").cast("double").alias("y"))
-    # Rows in a fixed order; each feature keeps the numbers of its rows.
+    # Rows in a fixed order; each feature keeps the numbers of its rows.  These tables are as small as the labelled one.
     held = rows.agg(F.array_sort(F.collect_list(F.struct("f", "y"))).alias("rows"))
     flat = held.select(F.posexplode("rows").alias("i", "r")).select("i", F.explode("r.f").alias("b"))
-    by_bucket = flat.groupBy("b").agg(F.array_sort(F.collect_list("i")).alias("at"))
-    none = F.array().cast("array<int>")
-    parts = held.select("rows", F.lit(None).cast("struct<b:int,at:array<int>>").alias("p")).unionByName(by_bucket.select(F.lit(None).alias("rows"), F.struct("b", "at").alias("p")))
-    both = parts.agg(F.first("rows", ignorenulls=True).alias("rows"), F.map_from_entries(F.collect_list("p")).alias("post"))
-    data = both.select("rows", F.transform(F.sequence(F.lit(0), F.lit(cfg.buckets - 1)), lambda b: F.coalesce(F.element_at("post", b), none)).alias("post"))
-    n = F.size("rows")
+    by_bucket = flat.groupBy("b").agg(F.array_sort(F.collect_list("i")).alias("at")).withColumn("j", F.row_number().over(Window.orderBy("b")) - 1)
+    of_rows = flat.join(by_bucket.select("b", "j"), "b").groupBy("i").agg(F.array_sort(F.collect_list("j")).alias("f"))
+    numbers = by_bucket.agg(F.array_sort(F.collect_list(F.struct("j", "b", "at"))).alias("p")).select(F.col("p.b").alias("known"), F.col("p.at").alias("post"))
+    dense = of_rows.agg(F.array_sort(F.collect_list(F.struct("i", "f"))).alias("dense"))
+    one = F.lit(1).alias("one")
+    data = held.select("rows", one).join(numbers.select("known", "post", one), "one").join(dense.select("dense", one), "one").select("known", "post", F.col("dense.f").alias("rows"), F.col("rows.y").alias("y"), F.size("dense").alias("n"))  # one row each
 
     def errors(w: Column) -> Column:
-        return F.transform("rows", lambda r: 1 / (1 + F.exp(-F.aggregate(r["f"], F.element_at(w, -1), lambda a, b: a + F.get(w, b)))) - r["y"])
+        return F.zip_with("rows", "y", lambda f, y: 1 / (1 + F.exp(-F.aggregate(f, F.element_at(w, -1), lambda a, b: a + F.get(w, b)))) - y)
 
     def moved(w: Column, e: Column) -> Column:
         grad = lambda at: F.aggregate(at, F.lit(0.0), lambda a, i: a + F.get(e, i))
-        own = F.zip_with(F.slice(w, 1, cfg.buckets), F.col("post"), lambda v, at: v - cfg.rate * (grad(at) / n + cfg.l2 * v))
-        return F.concat(own, F.array(F.element_at(w, -1) - cfg.rate * F.aggregate(e, F.lit(0.0), lambda a, x: a + x) / n))
+        own = F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.col("post"), lambda v, at: v - cfg.rate * (grad(at) / F.col("n") + cfg.l2 * v))
+        return F.concat(own, F.array(F.element_at(w, -1) - cfg.rate * F.aggregate(e, F.lit(0.0), lambda a, x: a + x) / F.col("n")))
 
-    start = F.array_repeat(F.lit(0.0), cfg.buckets + 1)
+    start = F.array_repeat(F.lit(0.0), F.size("known") + 1)
     step = lambda w, _: F.get(F.transform(F.array(errors(w)), lambda e: moved(w, e)), F.lit(0))
-    return data.select(F.aggregate(F.sequence(F.lit(1), F.lit(cfg.steps)), start, step).alias("w")).first()["w"]
+    found = data.select("known", F.aggregate(F.sequence(F.lit(1), F.lit(cfg.steps)), start, step).alias("w")).first()
+    weights = [0.0] * cfg.buckets + [found["w"][-1]]
+    for b, w in zip(found["known"], found["w"], strict=False):
+        weights[b] = w
+    return weights
 
 
 def judge(pages: DataFrame, weights: list[float], cfg: UrlModelConfig = UrlModelConfig(), rules: tuple[tuple[str, str], ...] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
