@@ -20,7 +20,7 @@ from .plans.jobs import convert_job
 from .queries import DIGITISATION, OFFSET, RANGE, table
 from .schemas import READ
 from .sources import container
-from .sources.tables import read_bed, read_fasta, read_kmer_model
+from .sources.tables import read_bed, read_fasta, read_fasta_parts, read_kmer_model
 
 
 def _total(column: str):
@@ -152,6 +152,17 @@ def fasta_records(spark, d):
     return read_fasta(spark, path).select("name", "comment", "seq")
 
 
+def fasta_parts(spark, d):
+    """Contigs read by byte ranges, in parts of 500 bases, put together by the places that the parts say they begin at."""
+    path = base._scratch(spark)
+    lines = F.array_join(F.regexp_extract_all("seq", F.lit("(.{1,60})"), F.lit(1)), "\n")
+    rows = base.contigs(spark, d).select(F.concat(F.lit(">"), F.col("name"), F.lit("\n"), lines).alias("value"))
+    rows.write.text(path)
+    parts = read_fasta_parts(spark, path, 500)
+    sizes = parts.groupBy("name").agg(F.sum(F.length("seq")).alias("bases"), F.sum(F.length(F.regexp_replace("seq", "[^G]", ""))).alias("g"), F.array_sort(F.collect_list(F.struct("start", "seq"))).alias("p"))
+    return sizes.select("name", "bases", "g", F.md5(F.concat_ws("", F.transform("p", lambda p: p["seq"]))).alias("digest"))
+
+
 def kmer_model_file(spark, d):
     """A model file and its reading; a k-mer's level counts the parts that fall to its rank."""
     path = base._scratch(spark)
@@ -291,7 +302,7 @@ def signal_strings(spark, d):
 
 
 FUNCTIONS = [
-    container_fetch, container_ids, container_split, container_convert, container_pruned, container_attributes, container_columns, container_copied, container_blocks, container_lookup, container_header, container_types, fasta_records, kmer_model_file, bed_regions, sam_header_lines, eval_report, numbers_from_text,
+    container_fetch, container_ids, container_split, container_convert, container_pruned, container_attributes, container_columns, container_copied, container_blocks, container_lookup, container_header, container_types, fasta_records, fasta_parts, kmer_model_file, bed_regions, sam_header_lines, eval_report, numbers_from_text,
     base_functions, small_functions, experiment_kinds, ref_inverted, query_reversed, map_candidates, map_candidates_std, warp_paths, warp_paths_std, signal_strings,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
@@ -435,6 +446,7 @@ ORACLE = {
     + ", ".join(f"v AS one_{k}, coalesce(v, 1000) + w AS all_{k}" for k in _SCALARS)
     + ", CASE WHEN user % 4 > 0 THEN substr(read_id, 2, 1) END AS one_char, CASE WHEN user % 4 > 0 THEN read_id END AS all_char, (['low', 'mid', 'high'])[user % 3 + 1] AS one_enum FROM u",
     "fasta_records": f"WITH {base.CONTIGS} SELECT name, 'of a document' AS comment, seq FROM contigs",
+    "fasta_parts": f"WITH {base.CONTIGS} SELECT name, length(seq) AS bases, length(regexp_replace(seq, '[^G]', '', 'g')) AS g, md5(seq) AS digest FROM contigs WHERE seq IS NOT NULL",
     "kmer_model_file": f"""SELECT CAST(r AS INT) AS rank, list_aggregate(list_transform(range(0, {base.K}), lambda j: substr('ACGT', CAST((r // CAST(4 ** ({base.K - 1} - j) AS BIGINT)) % 4 + 1 AS INT), 1)), 'string_agg', '') AS kmer,
         (60 + (r * 37) % 101 + coalesce(n, 0) * 0.25)::DOUBLE AS level_mean, 2::DOUBLE AS level_stdv
         FROM range(0, {4**base.K}) AS t(r) LEFT JOIN (SELECT p_partkey % {4**base.K} AS k, count(*) AS n FROM part GROUP BY k) ON k = r""",

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,33 +72,164 @@ def read_kmer_model(spark: SparkSession, path: str, default_k: int = 9) -> DataF
     return out.select((F.row_number().over(Window.orderBy("at")) - 1).cast("int").alias("rank"), "kmer", "level_mean", "level_stdv")
 
 
-def fasta_records(text: Column) -> Column:
-    """array of (name, comment, seq) of the FASTA or FASTQ records of one whole text."""
-    records = F.split(F.regexp_replace(text, "\r", ""), "(?m)^[>@](?=[^\n]*\n)")
+FASTQ = r"(?i)\.(fq|fastq)(\.gz)?$"
+PART_BASES = 1 << 20
 
-    def one(r: Column) -> Column:
-        head = F.substring_index(r, "\n", 1)
-        body = F.substring(r, F.length(head) + 2, F.length(r))
-        seq = F.regexp_replace(F.get(F.split(body, r"(?m)^\+"), F.lit(0)), r"\s", "")
-        comment = F.when(head.rlike(r"\s"), F.regexp_extract(head, r"^\S+\s+(.*)$", 1))
-        return F.struct(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), comment.alias("comment"), seq.alias("seq"))
 
-    return F.transform(F.filter(records, lambda r: F.trim(r) != ""), one)
+def _head(line: str) -> tuple[str, str | None]:
+    """Name and comment of a header line."""
+    words = line[1:].split(None, 1) if line[1:2].strip() else ["", *line[1:].split(None, 0)]
+    return words[0] if words else "", words[1].rstrip() if len(words) > 1 and words[1].strip() else None
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(ref_idx, name, comment, seq), plain or gzipped.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def _stitched(batches: Iterator[pa.RecordBatch], part_bases: int) -> Iterator[tuple]:
+    """(file, block, contig, part, start, name, comment, seq) of the lines of byte ranges, in their order.
 
-    A file is one row here, as references are files of some MB; ref_idx counts in the order of files
-    and records.
+    Contig 0 is what an earlier range has begun; its name is not known here.  Parts and starts count within the range.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), fasta_records(F.col("value")).alias("r"))
-    rows = files.select("file", F.posexplode("r").alias("at", "c")).select("file", "at", "c.*")
-    counts = {r["file"]: r["n"] for r in files.select("file", F.size("r").alias("n")).collect()}
-    before, total = {}, 0
-    for f in sorted(counts):
-        before[f] = total
-        total += counts[f]
-    start = F.element_at(F.create_map(*[x for f, n in before.items() for x in (F.lit(f), F.lit(n))]), F.col("file")) if before else F.lit(0)
-    return rows.select((start + F.col("at")).cast("int").alias("ref_idx"), "name", "comment", "seq")
+    key, contig, part, start, name, comment = None, 0, 0, 0, None, None
+    held: list[str] = []
+    size = 0
+
+    def flush() -> tuple:
+        nonlocal part, start, held, size
+        row = (*key, contig, part, start, name, comment, "".join(held))
+        part, start, held, size = part + 1, start + size, [], 0
+        return row
+
+    for batch in batches:
+        for line, file, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (file, block):
+                if key and (held or contig and not part):
+                    yield flush()
+                key, contig, part, start, name, comment, held, size = (file, block), 0, 0, 0, None, None, [], 0
+            if line.startswith(">"):
+                if held or contig and not part:
+                    yield flush()
+                name, comment = _head(line.rstrip("\r"))
+                contig, part, start = contig + 1, 0, 0
+                continue
+            if block == 0 and contig == 0 and line.startswith("@"):
+                raise ValueError(f"{file} has FASTQ records; such files are to be named .fq or .fastq")
+            letters = "".join(line.split())
+            held.append(letters)
+            size += len(letters)
+            if size >= part_bases:
+                yield flush()
+    if key and (held or contig and not part):
+        yield flush()
+
+
+def read_fasta_parts(spark: SparkSession, path: str, part_bases: int = PART_BASES) -> DataFrame:
+    """(ref_idx, name, comment, part, start, seq): contigs in parts of some ``part_bases`` bases; FASTA, plain or gzipped.
+
+    A file is read by byte ranges, by as many tasks as Spark cuts it for (gzip by one).  Of each range only the number of
+    contigs and the bases behind the last header are gathered; prefix sums over the ranges say which contig
+    a range goes on with and how far that has come.  No sequence is shuffled, and a contig may have any length.
+    ref_idx counts in the order of files and contigs.
+    """
+    lines = _lines(spark, path).filter(~F.col("file").rlike(FASTQ))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for row in _stitched(batches, part_bases):
+            out.append(row)
+            held += len(row[-1])
+            if held > 8 << 20 or len(out) == 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    names = ["file", "block", "contig", "at", "from", "own_name", "own_comment", "seq"]
+    kinds = [pa.string(), *[pa.int64()] * 4, *[pa.string()] * 3]
+    parts = lines.mapInArrow(rows, "file string, block long, contig long, at long, `from` long, own_name string, own_comment string, seq string")
+    sized = parts.withColumn("n", F.length("seq"))
+    last = F.struct("contig", "at")
+    blocks = sized.groupBy("file", "block").agg(F.max("contig").alias("heads"), F.sum("n").alias("bases"), F.count("*").alias("parts"), F.max_by(F.struct("own_name", "own_comment"), last).alias("named"), F.max_by(F.col("from") + F.col("n"), last).alias("tail"), (F.max_by("at", last) + 1).alias("tail_parts"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    sums = blocks.select("*", F.sum("bases").over(upto).alias("all_bases"), F.sum("parts").over(upto).alias("all_parts"))
+    began = lambda all_, tail: F.last(F.when(F.col("heads") > 0, F.col(all_) - F.col(tail)), ignorenulls=True).over(before)
+    carried = sums.select(
+        "file", "block", "heads", (F.col("all_bases") - F.col("bases") - began("all_bases", "tail")).alias("come"), (F.col("all_parts") - F.col("parts") - began("all_parts", "tail_parts")).alias("come_parts"),
+        F.last(F.when(F.col("heads") > 0, F.col("named")), ignorenulls=True).over(before).alias("open"),
+    )
+    # One row for each range of some 128 MB, in one ordered pass.
+    first = F.coalesce(F.sum("heads").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = carried.select("file", "block", "come", "come_parts", "open", first.alias("before"))
+    joined = parts.join(known, ["file", "block"])
+    goes_on = F.col("contig") == 0
+    return joined.filter(~goes_on | F.col("open").isNotNull()).select(
+        (F.col("before") + F.col("contig") - 1).cast("int").alias("ref_idx"), F.when(goes_on, F.col("open.own_name")).otherwise(F.col("own_name")).alias("name"), F.when(goes_on, F.col("open.own_comment")).otherwise(F.col("own_comment")).alias("comment"),
+        (F.col("at") + F.when(goes_on, F.col("come_parts")).otherwise(0)).alias("part"), (F.col("from") + F.when(goes_on, F.col("come")).otherwise(0)).alias("start"), "seq",
+    )
+
 
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, name, comment, seq) of the files named .fq or .fastq, plain or gzipped.
+
+    A record's quality has as many letters as its bases, so a line of it may begin with any letter.  A file is
+    streamed by one task, a record at a time.
+    """
+    lines = _lines(spark, path).filter(F.col("file").rlike(FASTQ)).withColumn("line", F.monotonically_increasing_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at, name, comment, bases, size, left = None, -1, None, None, [], 0, None
+        out, held = [], 0
+
+        def done() -> None:
+            nonlocal name, held
+            if name is not None:
+                out.append((own, at, name, comment, "".join(bases)))
+                held += size
+                name = None
+
+        for batch in batches:
+            for line, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if file != own:
+                    done()
+                    own, at, left = file, -1, None
+                line = line.rstrip("\r")
+                if left is not None and (left > 0 or not line):
+                    left -= len(line)
+                elif line[:1] in ("@", ">"):
+                    done()
+                    (name, comment), at, bases, size, left = _head(line), at + 1, [], 0, None
+                elif line.startswith("+") and name is not None:
+                    left = size
+                elif name is not None:
+                    letters = "".join(line.split())
+                    bases.append(letters)
+                    size += len(letters)
+                if held > 8 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                    out, held = [], 0
+        done()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    names, kinds = ["file", "at", "name", "comment", "seq"], [pa.string(), pa.int64(), *[pa.string()] * 3]
+    return lines.repartition("file").sortWithinPartitions("file", "block", "line").select("value", "file").mapInArrow(run, "file string, at long, name string, comment string, seq string")
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(ref_idx, name, comment, seq) of FASTA and FASTQ files, plain or gzipped.
+
+    Parts are joined to whole contigs here, so a contig has 2^31 bases at most; ``read_fasta_parts`` has no such limit.
+    ref_idx counts contigs in the order of files and records, then those of FASTQ files likewise.
+    """
+    pieces = F.array_sort(F.collect_list(F.struct("part", "seq")))
+    whole = read_fasta_parts(spark, path).groupBy("ref_idx").agg(F.max("name").alias("name"), F.max("comment").alias("comment"), F.concat_ws("", F.transform(pieces, lambda p: p["seq"])).alias("seq"))
+    files = [f for f in spark.read.text(path).inputFiles() if re.search(FASTQ.removeprefix("(?i)"), f, re.IGNORECASE)]
+    if not files:
+        return whole.select("ref_idx", "name", "comment", "seq")
+    reads = read_fastq(spark, path)
+    counts = reads.groupBy("file").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    contigs = whole.agg((F.coalesce(F.max("ref_idx"), F.lit(-1)) + 1).alias("contigs")).first()["contigs"]
+    placed = reads.join(counts.select("file", "first"), "file").select((F.lit(contigs) + F.col("first") + F.col("at")).cast("int").alias("ref_idx"), "name", "comment", "seq")
+    return whole.select("ref_idx", "name", "comment", "seq").unionByName(placed)
