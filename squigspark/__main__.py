@@ -12,7 +12,7 @@ from .functions.arrays import to_picoamps
 from .operators.evaluate import EvalOptions
 from .operators.events import DNA, RNA, with_events
 from .operators.segments import segment_text, with_segments
-from .options import parse_size, yes_or_no
+from .options import parse_size, size_text, yes_or_no
 from .plans.jobs import detect_options, eval_job, map_job
 from .sources.container import register
 
@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     m = sub.add_parser("map", help="map signals to references")
     m.add_argument("fasta")
     m.add_argument("reads")
-    m.add_argument("--kmer-model", required=True)
+    m.add_argument("--kmer-model", required=True, help="a model file, or a folder of models by pore and molecule")
     m.add_argument("-o", "--output", required=True)
     m.add_argument("--rna", action="store_const", const=True)
     m.add_argument("--pore", choices=["r9", "r10", "rna004"])
@@ -59,7 +59,9 @@ def main(argv: list[str] | None = None) -> int:
     register(spark)
     if args.command == "map":
         given = {k: getattr(args, k) for k in ("rna", "pore", "query", "prefix", "standard", "invert", "full_ref", "from_end", "sam", "reference_bytes")}
-        map_job(spark, args.fasta, args.reads, args.kmer_model, args.output, detect_options(spark, args.reads, **given))
+        seen = map_job(spark, args.fasta, args.reads, args.kmer_model, args.output, detect_options(spark, args.reads, **given))
+        logging.warning("reads: %(reads)d, prefix fail: %(prefix_fail)d, ignored: %(ignored)d, too short: %(too_short)d, no signal: %(no_signal)d", seen)
+        logging.warning("bytes: %s", size_text(seen["bytes"]))
         return 0
     reads = spark.read.format("signal").load(args.reads)
     if args.command == "events":

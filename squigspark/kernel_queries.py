@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from . import queries as base
 from .functions import arrays, bases, text
 from .operators import dtw, evaluate, mapping, reference, segments
-from .options import MapOptions, is_rna, pore_of
+from .options import MapOptions, is_rna, model_choice, pore_of
 from .plans.jobs import convert_job
 from .queries import DIGITISATION, OFFSET, RANGE, table
 from .schemas import READ
@@ -230,6 +230,14 @@ def experiment_kinds(spark, d):
     return table(spark, d, "orders").select("o_orderkey", is_rna(kinds).alias("rna"), pore_of(kits).alias("pore"))
 
 
+def model_choices(spark, d):
+    """The model table for every pair of kit and experiment type that headers would give; null where there is none."""
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("rna", "genomic_dna")]), (F.col("o_orderkey") % 2 + 1).cast("int"))
+    kits = F.element_at(F.array(*[F.lit(x) for x in ("sqk-lsk109", "SQK-LSK114", "sqk-rna004")]), (F.col("o_custkey") % 3 + 1).cast("int"))
+    rows = table(spark, d, "orders").select("o_orderkey", is_rna(kinds).alias("rna"), pore_of(kits).alias("pore"))
+    return rows.select("o_orderkey", "rna", "pore", model_choice("pore", "rna").alias("model"))
+
+
 # References and alignment
 
 def ref_inverted(spark, d):
@@ -268,6 +276,13 @@ def map_candidates(spark, d):
     return rows.select("vec_id", "place", F.col("c.score").cast("long").alias("score"), "c.ref_idx", "c.strand", "c.pos_end", "c.pos_st")
 
 
+def map_candidates_tiled(spark, d):
+    """The same with references cut into tiles, each of which is a pass of its own."""
+    found = mapping.with_candidates(_vectors(spark, d), _made_references(spark, ("+", "-")), MapOptions(tile_columns=47, reference_bytes=400))
+    rows = found.select("vec_id", F.posexplode("candidates").alias("place", "c"))
+    return rows.select("vec_id", "place", F.col("c.score").cast("long").alias("score"), "c.ref_idx", "c.strand", "c.pos_end", "c.pos_st")
+
+
 def map_candidates_std(spark, d):
     """The same by standard alignment: one candidate for each reference."""
     found = mapping.with_candidates(_vectors(spark, d), _made_references(spark, ("+",)), MapOptions(rna=True, standard=True))
@@ -303,7 +318,7 @@ def signal_strings(spark, d):
 
 FUNCTIONS = [
     container_fetch, container_ids, container_split, container_convert, container_pruned, container_attributes, container_columns, container_copied, container_blocks, container_lookup, container_header, container_types, fasta_records, fasta_parts, kmer_model_file, bed_regions, sam_header_lines, eval_report, numbers_from_text,
-    base_functions, small_functions, experiment_kinds, ref_inverted, query_reversed, map_candidates, map_candidates_std, warp_paths, warp_paths_std, signal_strings,
+    base_functions, small_functions, experiment_kinds, model_choices, ref_inverted, query_reversed, map_candidates, map_candidates_tiled, map_candidates_std, warp_paths, warp_paths_std, signal_strings,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -467,6 +482,8 @@ SELECT doc_id, CASE WHEN text IS NOT NULL THEN length(regexp_replace(s, '[^cC]',
     "small_functions": """WITH o AS (SELECT o_orderkey, o_custkey, o_custkey % 97 AS a, o_orderkey % 89 AS b FROM orders)
 SELECT o_orderkey, abs(a - b) AS distance, (a - b) * (a - b) AS squared, least(a, b, o_custkey) AS least, abs(a - b * 97::DOUBLE / 89) <= 10 AS near, (a % 3) * 100 + (b % 5) * 10 + o_orderkey % 7 >= 123 AS recent, a % 2 = 0 AS named FROM o""",
     "experiment_kinds": "SELECT o_orderkey, o_orderkey % 4 = 0 AS rna, CASE o_custkey % 5 WHEN 1 THEN 'r10' WHEN 2 THEN 'rna004' ELSE 'r9' END AS pore FROM orders",
+    "model_choices": """SELECT o_orderkey, o_orderkey % 2 = 0 AS rna, (['r9', 'r10', 'rna004'])[o_custkey % 3 + 1] AS pore,
+        CASE WHEN o_orderkey % 2 = 0 THEN (['rna_r9', NULL, 'rna_rna004'])[o_custkey % 3 + 1] ELSE (['dna_r9', 'dna_r10', 'dna_r10'])[o_custkey % 3 + 1] END AS model FROM orders""",
     "ref_inverted": base._KMERS + " SELECT ref_idx, CAST(ref_len - 1 - i AS INT) AS i, level FROM levels WHERE strand = '+'",
     "query_reversed": f"""WITH {base.SAMPLES}, c AS (SELECT *, count(*) OVER (PARTITION BY read) AS n FROM samples), w AS (SELECT * FROM c WHERE n >= 30 AND i >= 5 AND i < least(35, n))
 SELECT read, CAST(max(i) OVER p - i AS INT) AS i, CASE WHEN stddev_pop(raw) OVER p > 0 THEN round((raw - avg(raw) OVER p) / stddev_pop(raw) OVER p, 3) END AS z FROM w WINDOW p AS (PARTITION BY read)""",
@@ -487,6 +504,7 @@ gaps AS (SELECT *, j - lag(j) OVER w - 1 AS missing, a - lag(b) OVER w - 1 AS be
 SELECT vec_id, string_agg(CASE WHEN missing > 0 THEN missing || 'D' ELSE '' END || CASE WHEN between > 0 THEN between * 10 || 'I' ELSE '' END || (b - a + 1) * 10 || ',', '' ORDER BY j) AS ss FROM gaps GROUP BY vec_id""",
 }
 #: SQL of queries that ``queries`` holds.
+ORACLE["map_candidates_tiled"] = ORACLE["map_candidates"]
 base.ORACLE["events_detect"] = _EVENTS
 base.ORACLE["band_segments"] = _BAND
 base.ORACLE["adaptor_segments"] = _ADAPTOR

@@ -10,6 +10,7 @@ the costs do, so the mapper asks for it only where the best hit lies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+@dataclass
+class Border:
+    """A column of the cost matrices: (query rows, reads) of costs and of the columns that their paths begin in."""
+
+    costs: np.ndarray
+    starts: np.ndarray
+
+
 def last_row(queries: np.ndarray, y: np.ndarray, subsequence: bool = True, starts: bool = True, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Costs of each query's last matrix row, and the start column of each cell's path.
 
     queries: (reads, n), padded at the end where ``lengths`` says that they are shorter.
     """
+    return tile_row(queries, y, subsequence, starts, lengths)[:2]
+
+
+def tile_row(
+    queries: np.ndarray, y: np.ndarray, subsequence: bool = True, starts: bool = True, lengths: np.ndarray | None = None, left_border: Border | None = None, column: int = 0, keep_border: bool = False
+) -> tuple[np.ndarray, np.ndarray | None, Border | None]:
+    """``last_row`` for columns ``column`` and on of a reference, next to the border of the tile before them; and this tile's border.
+
+    Cells don't depend on how a reference is cut: a tile begins with the costs that the one before it ended with.
+    """
     queries = np.atleast_2d(queries).astype(np.float32)
     backwards = y.astype(np.float32)[::-1, None]
     r, n = queries.shape
@@ -36,8 +55,13 @@ def last_row(queries: np.ndarray, y: np.ndarray, subsequence: bool = True, start
     scratch = np.empty((n, r), np.float32)
     last_of = np.full(r, n - 1) if lengths is None else np.asarray(lengths) - 1
     each, mixed = np.arange(r), bool(r) and int(last_of.min()) < n - 1
+    right = Border(np.empty((n, r), np.float32), np.zeros((n, r), np.int32)) if keep_border else None
     for d in range(n + m - 1):
         lo, hi = max(0, d - m + 1), min(n - 1, d)
+        if left_border is not None and d < n:
+            last[d + 1] = left_border.costs[d]
+            if starts:
+                from_last[d + 1] = left_border.starts[d]
         diag, left, up = before[lo : hi + 1], last[lo + 1 : hi + 2], last[lo : hi + 1]
         total, cost = fresh[lo + 1 : hi + 2], scratch[: hi - lo + 1]
         np.subtract(x[lo : hi + 1], backwards[m - 1 - d + lo : m - d + hi], out=cost)
@@ -46,14 +70,18 @@ def last_row(queries: np.ndarray, y: np.ndarray, subsequence: bool = True, start
         np.minimum(total, up, out=total)
         if starts:
             came = np.where(diag == total, from_before[lo : hi + 1], np.where(left == total, from_last[lo + 1 : hi + 2], from_last[lo : hi + 1]))
-            if lo == 0:
-                came[0] = d if subsequence else 0
-            if hi == d:
+            if hi == d and left_border is None:
                 came[-1] = 0
+            if lo == 0:
+                came[0] = column + d if subsequence else 0
             from_fresh[lo + 1 : hi + 2] = came
         if lo == 0:  # the first query row: a free start, or sums along it
-            total[0] = 0 if subsequence or not d else left[0]
+            total[0] = 0 if subsequence or not d and left_border is None else left[0]
         np.add(total, cost, out=total)
+        if right is not None and d >= m - 1:
+            right.costs[lo] = total[0]
+            if starts:
+                right.starts[lo] = came[0]
         if mixed:
             ends = each[(last_of >= lo) & (last_of <= hi)]
             at = last_of[ends]
@@ -66,7 +94,7 @@ def last_row(queries: np.ndarray, y: np.ndarray, subsequence: bool = True, start
                 began[d - n + 1] = came[-1]
         before, last, fresh = last, fresh, before
         from_before, from_last, from_fresh = from_last, from_fresh, from_before
-    return out.T, None if began is None else began.T
+    return out.T, None if began is None else began.T, right
 
 
 def cost_matrix(x: np.ndarray, y: np.ndarray, subsequence: bool = True) -> np.ndarray:

@@ -2,8 +2,9 @@
 
 Reads stay where they were scanned: every step is a narrow projection or an Arrow-batched pass, and
 the references go to the tasks.  Samples end at the event detection, events where the query is taken from
-them.  References above ``reference_bytes`` are split into blocks, one pass over the queries for each, and
-the candidates of a read are merged as the passes go: no shuffle, and no broadcast above a checked size.
+them.  The references' levels are made once and stored as tiles.  Tiles above ``reference_bytes`` are split into blocks, one pass over the
+queries for each, and the candidates of a read are merged as the passes go: no shuffle, and no broadcast above a checked
+size.  A reference of several tiles is walked by carrying the border of its cost matrix along with the read.
 At most ``BLOCKS_HELD`` passes are chained before a checkpoint, so a task never holds more blocks, and the
 driver holds one at a time.
 """
@@ -14,13 +15,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import to_picoamps, zscore
 from ..functions.text import mapping_quality, residue_count
 from ..options import LEAST_EVENTS, MapOptions
+from ..scratch import scratch
 from . import dtw, segments
 from .events import DNA, RNA, with_events
 
@@ -83,33 +85,48 @@ def with_query(reads: DataFrame, opt: MapOptions) -> DataFrame:
     return framed.withColumn("query", F.when(usable, query))
 
 
-def reference_blocks(refs: DataFrame, most_bytes: int) -> Iterator[list[dict]]:
-    """The references in their order (contig, then strand), in blocks of at most ``most_bytes`` of levels.
+def stored_tiles(refs: DataFrame, opt: MapOptions) -> DataFrame:
+    """The references written to the shared folder once, in order, as tiles of ``tile_columns`` levels: (seq, column, its reference's columns, levels).
+
+    ``seq`` counts contigs and strands.  Whatever is asked later reads this table: sizes without levels, blocks by their range.
+    """
+    spark = refs.sparkSession
+    path = scratch(spark, "references")
+    seq = 2 * F.col("ref_idx").cast("long") + (F.col("strand") == "-").cast("long")
+    column = F.explode(F.sequence(F.lit(0), F.greatest(F.size("levels") - 1, F.lit(0)), F.lit(opt.tile_columns)))
+    rows = refs.select("*", seq.alias("seq")).select("*", column.alias("column"))
+    rows = rows.withColumn("levels", F.slice("levels", F.col("column") + 1, F.lit(opt.tile_columns))).withColumn("width", F.size("levels"))
+    rows.sortWithinPartitions("seq", "column").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def reference_blocks(tiles: DataFrame, most_bytes: int) -> Iterator[list[dict]]:
+    """The tiles in their order, in blocks of at most ``most_bytes`` of levels (one tile at least).
 
     Sizes are looked at before any levels are read; a block is fetched when it is asked for.
     """
-    sizes = refs.select("ref_idx", "ref_len").groupBy("ref_idx").agg(F.sum("ref_len").alias("n")).orderBy("ref_idx").collect()
-    bounds, held = [], 0
-    for r in sizes:
-        if not bounds or held + 4 * r["n"] > most_bytes:
-            bounds.append([r["ref_idx"], r["ref_idx"]])
+    bounds: list[list[tuple]] = []
+    held = 0
+    for r in tiles.select("seq", "column", "width").orderBy("seq", "column").toLocalIterator():
+        if not bounds or held + 4 * r["width"] > most_bytes:
+            bounds.append([(r["seq"], r["column"])] * 2)
             held = 0
-        bounds[-1][1] = r["ref_idx"]
-        held += 4 * r["n"]
-    for lo, hi in bounds:
-        rows = refs.filter(F.col("ref_idx").between(lo, hi)).toArrow().sort_by([("ref_idx", "ascending"), ("strand", "ascending")])
+        bounds[-1][1] = (r["seq"], r["column"])
+        held += 4 * r["width"]
+    for (first, first_column), (last, last_column) in bounds:
+        inside = F.col("seq").between(first, last) & ((F.col("seq") > first) | (F.col("column") >= first_column)) & ((F.col("seq") < last) | (F.col("column") <= last_column))
+        rows = tiles.filter(inside).toArrow().sort_by([("seq", "ascending"), ("column", "ascending")])
         levels = [np.asarray(x.values, dtype=np.float32) for x in rows["levels"]]
-        plain = rows.drop_columns(["levels"]).to_pylist()
-        yield [r | {"levels": x, "seq": 2 * r["ref_idx"] + (r["strand"] == "-")} for r, x in zip(plain, levels, strict=True)]
+        yield [r | {"levels": x} for r, x in zip(rows.drop_columns(["levels"]).to_pylist(), levels, strict=True)]
 
 
 #: Reference blocks whose passes are chained without a checkpoint.
 BLOCKS_HELD = 4
 
 
-def _passes(rows: DataFrame, refs: DataFrame, opt: MapOptions, one: Callable[[DataFrame, list[dict]], DataFrame]) -> DataFrame:
+def _passes(rows: DataFrame, tiles: DataFrame, opt: MapOptions, one: Callable[[DataFrame, list[dict]], DataFrame]) -> DataFrame:
     """``one`` pass over the rows for each block of the references."""
-    for number, block in enumerate(reference_blocks(refs, opt.reference_bytes)):
+    for number, block in enumerate(reference_blocks(tiles, opt.reference_bytes)):
         if number and number % BLOCKS_HELD == 0:
             if rows.isStreaming:
                 raise ValueError("streams are mapped to references of few blocks only: raise reference_bytes")
@@ -121,6 +138,52 @@ def _passes(rows: DataFrame, refs: DataFrame, opt: MapOptions, one: Callable[[Da
     return rows
 
 
+#: What a read carries from one tile of a reference to the next: the border of its matrix, and the best cell of the chunk that the border cuts.
+_CARRY = pa.struct([("costs", pa.binary()), ("starts", pa.binary()), ("chunk", pa.int64()), ("score", pa.float32()), ("pos_end", pa.int32()), ("pos_st", pa.int32())])
+CARRY = "struct<costs:binary,starts:binary,chunk:bigint,score:float,pos_end:int,pos_st:int>"
+
+
+def whole(tile: dict) -> bool:
+    return tile["column"] == 0 and tile["width"] == tile["ref_len"]
+
+
+def align_tile(queries: list[np.ndarray], carried: list[dict | None], tile: dict, opt: MapOptions) -> tuple[list[list[dict]], list[dict | None]]:
+    """Best candidates that end in a tile of a reference, each with its start, and what is carried to the next tile."""
+    out: list[list[dict]] = [[] for _ in queries]
+    carry: list[dict | None] = [None] * len(queries)
+    first, m = tile["column"], tile["width"]
+    last = first + m == tile["ref_len"]
+    usable = sorted((i for i, q in enumerate(queries) if len(q) and np.isfinite(q).all()), key=lambda i: len(queries[i]))
+    for part in _parts(usable, m):
+        table, lengths = _padded([queries[i] for i in part])
+        border = None
+        if first:
+            border = dtw.Border(np.full(table.shape[::-1], np.inf, np.float32), np.zeros(table.shape[::-1], np.int32))
+            for k, i in enumerate(part):
+                border.costs[: lengths[k], k] = np.frombuffer(carried[i]["costs"], np.float32)
+                border.starts[: lengths[k], k] = np.frombuffer(carried[i]["starts"], np.int32)
+        row, began, right = dtw.tile_row(table, tile["levels"], not opt.standard, True, lengths, border, first, not last)
+        for n in np.unique(lengths):
+            own = np.flatnonzero(lengths == n)
+            edges = np.unique([0, *range(-first % int(n), m, int(n)), m])  # of the chunks, as far as they lie in this tile
+            at = np.stack([a + row[own, a:b].argmin(axis=1) for a, b in zip(edges[:-1], edges[1:], strict=True)], axis=1)
+            score, start = np.take_along_axis(row[own], at, axis=1), np.take_along_axis(began[own], at, axis=1)
+            chunk = (first + edges[:-1]) // int(n)
+            for j, k in enumerate(own):
+                i = part[k]
+                cells = [(float(v), int(c), first + int(e), int(b)) for v, c, e, b in zip(score[j], chunk, at[j], start[j], strict=True)]
+                if first and first % int(n) and carried[i]["score"] <= cells[0][0]:  # of equals in a chunk the first
+                    cells[0] = (carried[i]["score"], carried[i]["chunk"], carried[i]["pos_end"], carried[i]["pos_st"])
+                open_chunk = cells.pop() if not last and (first + m) % int(n) else (float("inf"), -1, -1, -1)
+                if not last:
+                    carry[i] = {"costs": right.costs[: int(n), k].tobytes(), "starts": right.starts[: int(n), k].tobytes(), "score": open_chunk[0], "chunk": open_chunk[1], "pos_end": open_chunk[2], "pos_st": open_chunk[3]}
+                if opt.standard:
+                    cells = [(float(row[k, -1]), 0, first + m - 1, int(began[k, -1]))] if last else []
+                found = [{x: tile[x] for x in _OF_REFERENCE} | {"score": v, "seq": (tile["seq"] << 32) + c, "pos_end": e, "pos_st": b} for v, c, e, b in cells if np.isfinite(v)]
+                out[i] = best(found, opt.candidates)
+    return out, carry
+
+
 def align(queries: list[np.ndarray], refs: list[dict], opt: MapOptions) -> list[list[dict]]:
     """Best candidates of each query; many queries share the walk over a reference.
 
@@ -192,21 +255,39 @@ def best(candidates: list[dict], k: int) -> list[dict]:
     return sorted(candidates, key=lambda c: (c["score"], -c["seq"]))[:k]
 
 
-def with_candidates(queries: DataFrame, refs: DataFrame, opt: MapOptions) -> DataFrame:
-    """Reads with ``candidates``, best first."""
+def with_candidates(queries: DataFrame, refs: DataFrame, opt: MapOptions, tiles: DataFrame | None = None) -> DataFrame:
+    """Reads with ``candidates``, best first, of which the best has its start.
+
+    Blocks of whole references are walked by many queries at once.  A reference longer than a tile is walked tile by tile,
+    over as many passes as it takes; what lies at the border goes along with the read.
+    """
+    tiles = stored_tiles(refs, opt) if tiles is None else tiles
+
     def one(rows: DataFrame, block: list[dict]) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = align([_array(q, np.float32) for q in _column(batch, "query")], shared.value, opt)
-                at = batch.schema.get_field_index("candidates")
-                merged = [best((old or []) + new, opt.candidates) for old, new in zip(batch.column(at).to_pylist(), found, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(merged, pa.list_(_ITEM)) if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
+                asked = [_array(q, np.float32) for q in _column(batch, "query")]
+                names = batch.schema.names
+                found = [c or [] for c in _column(batch, "candidates").to_pylist()]
+                carried = _column(batch, "carry").to_pylist()
+                complete = [t for t in shared.value if whole(t)]
+                steps = [align(asked, complete, opt)] if complete else []
+                for tile in shared.value:
+                    if not whole(tile):
+                        new, carried = align_tile(asked, carried, tile, opt)
+                        steps.append(new)
+                for new in steps:
+                    found = [best(old + more, opt.candidates) for old, more in zip(found, new, strict=True)]
+                found = [[c if k == 0 else c | {"pos_st": None} for k, c in enumerate(cs)] for cs in found]
+                columns = {"candidates": pa.array(found, pa.list_(_ITEM)), "carry": pa.array(carried, _CARRY)}
+                yield pa.RecordBatch.from_arrays([columns.get(n, c) for n, c in zip(names, batch.columns, strict=True)], names)
 
         return rows.mapInArrow(run, rows.schema)
 
-    return _passes(queries.withColumn("candidates", F.array().cast(f"array<{CANDIDATE}>")), refs, opt, one)
+    begun = queries.withColumns({"candidates": F.array().cast(f"array<{CANDIDATE}>"), "carry": F.lit(None).cast(CARRY)})
+    return _passes(begun, tiles, opt, one).drop("carry")
 
 
 def with_span(queries: DataFrame) -> DataFrame:
@@ -237,43 +318,72 @@ def mapped_rows(found: DataFrame) -> DataFrame:
 PAF_COLUMNS = ["rid", "qlen", "query_start", "query_end", "strand", "tid", "tlen", "target_start", "target_end", "n_residue", "block_len", "mapq", "tp", "d1", "d2"]
 
 
-def with_signal_string(rows: DataFrame, refs: DataFrame, opt: MapOptions) -> DataFrame:
-    """Mapped rows with ``ss``: how the signal maps to the bases.  Only the winning pair's matrix is made."""
+def with_signal_string(rows: DataFrame, refs: DataFrame, opt: MapOptions, tiles: DataFrame | None = None) -> DataFrame:
+    """Mapped rows with ``ss``: how the signal maps to the bases.
+
+    Only the winning pair's matrix is made, of the columns from the hit's start to its end; those of several tiles
+    are gathered as the passes go.
+    """
+    tiles = stored_tiles(refs, opt) if tiles is None else tiles
+
     def one(rows: DataFrame, block: list[dict]) -> DataFrame:
-        shared = rows.sparkSession.sparkContext.broadcast({(r["ref_idx"], r["strand"]): r["levels"] for r in block})
+        held: dict[tuple, list[dict]] = {}
+        for t in block:
+            held.setdefault((t["ref_idx"], t["strand"]), []).append(t)
+        shared = rows.sparkSession.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch.schema.get_field_index("ss")
-                texts = batch.column(at).to_pylist()
+                names = batch.schema.names
+                texts, parts = _column(batch, "ss").to_pylist(), _column(batch, "part").to_pylist()
                 for i, (q, hit, q0) in enumerate(zip(_column(batch, "query"), _column(batch, "hit").to_pylist(), _column(batch, "q0").to_pylist(), strict=True)):
-                    levels = shared.value.get((hit["ref_idx"], hit["strand"]))
-                    if levels is None:
-                        continue
-                    events = _column(batch, "events")[i].values
-                    # The path stays within the columns up to the hit's end.
-                    cost = dtw.cost_matrix(_array(q, np.float32), levels[: hit["pos_end"] + 1], not opt.standard)
-                    bases = dtw.base_map(dtw.warp_path(cost, hit["pos_end"], not opt.standard))
-                    texts[i] = dtw.signal_string(bases, events.field("start").to_numpy(), events.field("length").to_numpy(), q0, opt.rna and not opt.invert)
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)], batch.schema.names)
+                    for tile in shared.value.get((hit["ref_idx"], hit["strand"]), []):
+                        first = tile["column"]
+                        if first > hit["pos_end"] or first + tile["width"] <= hit["pos_st"]:
+                            continue
+                        levels = np.concatenate([np.frombuffer(parts[i] or b"", np.float32), tile["levels"][max(0, hit["pos_st"] - first) : hit["pos_end"] + 1 - first]])
+                        parts[i] = levels.tobytes()
+                        if first + tile["width"] <= hit["pos_end"]:
+                            continue
+                        parts[i] = None
+                        events = _column(batch, "events")[i].values
+                        # The path begins at the hit's start, so no column before it matters.
+                        cost = dtw.cost_matrix(_array(q, np.float32), levels, not opt.standard)
+                        bases = dtw.base_map(dtw.warp_path(cost, len(levels) - 1, not opt.standard))
+                        texts[i] = dtw.signal_string(bases, events.field("start").to_numpy(), events.field("length").to_numpy(), q0, opt.rna and not opt.invert)
+                columns = {"ss": pa.array(texts, pa.string()), "part": pa.array(parts, pa.binary())}
+                yield pa.RecordBatch.from_arrays([columns.get(n, c) for n, c in zip(names, batch.columns, strict=True)], names)
 
         return rows.mapInArrow(run, rows.schema)
 
-    return _passes(rows.withColumn("ss", F.lit(None).cast("string")), refs, opt, one)
+    return _passes(rows.withColumns({"ss": F.lit(None).cast("string"), "part": F.lit(None).cast("binary")}), tiles, opt, one).drop("part")
+
+
+def counters() -> list[Column]:
+    """What a mapping counts of its reads as they pass: all, those that came to each status, and the bytes of their samples."""
+    of = lambda status: F.coalesce(F.sum((F.col("status") == status).cast("long")), F.lit(0)).alias(status)
+    return [F.count(F.lit(1)).alias("reads"), *map(of, ("prefix_fail", "ignored", "too_short", "no_signal")), F.coalesce(2 * F.sum("qlen"), F.lit(0)).alias("bytes")]
 
 
-def map_reads(reads: DataFrame, refs: DataFrame, opt: MapOptions = MapOptions()) -> DataFrame:
-    """PAF rows (and ``ss`` for SAM) of ``reads`` against synthetic references."""
+def map_reads(reads: DataFrame, refs: DataFrame, opt: MapOptions = MapOptions(), observation: Observation | None = None) -> DataFrame:
+    """PAF rows (and ``ss`` for SAM) of ``reads`` against synthetic references.
+
+    An ``observation`` gets the ``counters`` when the rows are first computed, without a pass of its own.
+    """
     fields = ["read_id", "digitisation", "offset", "range", "raw_signal"]
     detector, search = RNA if opt.rna else DNA, opt.prefix < 0
     signals = with_signal(reads.select(*fields)).withColumn("qlen", F.size("raw_signal"))
     staged = with_events(signals, opt=detector, drop=() if search else ("raw_signal", "pa"))
     if search:
         staged = with_found_start(staged, opt)
-    queries = with_span(with_query(staged, opt)).select("read_id", "qlen", "q0", "q1", "query", "query_start", "query_end", *["events"] * opt.sam)
-    rows = mapped_rows(with_candidates(queries, refs, opt))
+    framed = with_query(staged, opt)
+    if observation is not None:
+        framed = framed.observe(observation, *counters())
+    queries = with_span(framed).select("read_id", "qlen", "q0", "q1", "query", "query_start", "query_end", *["events"] * opt.sam)
+    tiles = stored_tiles(refs, opt)
+    rows = mapped_rows(with_candidates(queries, refs, opt, tiles))
     if opt.sam:
-        return with_signal_string(rows, refs, opt).select(*PAF_COLUMNS, "n_events", "ss")
+        return with_signal_string(rows, refs, opt, tiles).select(*PAF_COLUMNS, "n_events", "ss")
     return rows.select(*PAF_COLUMNS, "n_events")
 
 

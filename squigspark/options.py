@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: K-mer length of the pore's model by (pore, rna).
 KMER_LENGTHS = {("r9", False): 6, ("r9", True): 5, ("r10", False): 9, ("rna004", True): 9}
+#: The model table by (pore, rna).  There is no RNA on r10; DNA that is said to be of the RNA pore takes the r10 table.
+MODELS = {("r9", False): "dna_r9", ("r9", True): "rna_r9", ("r10", False): "dna_r10", ("rna004", False): "dna_r10", ("rna004", True): "rna_rna004"}
 LEAST_EVENTS = 25
 CANDIDATES = 5
 
@@ -27,7 +29,8 @@ class MapOptions:
     sam: bool = False
     rna_letters: bool = False
     candidates: int = CANDIDATES
-    reference_bytes: int = 1 << 28  # of levels that one broadcast may hold
+    reference_bytes: int = 1 << 28  # of levels that one broadcast may hold, if no tile is larger
+    tile_columns: int = 1 << 24  # of a reference that one row may hold; longer ones are cut
 
     def __post_init__(self) -> None:
         if self.pore not in ("r9", "r10", "rna004"):
@@ -38,6 +41,8 @@ class MapOptions:
             raise ValueError("there is no RNA model for this pore")
         if self.prefix < 0 and (not self.rna or self.invert or self.from_end):
             raise ValueError("a prefix can be looked for in RNA from the read's start only")
+        if self.tile_columns < 1:
+            raise ValueError("a tile needs at least one column")
         if self.query < 1:
             raise ValueError("the query needs at least one event")
 
@@ -46,6 +51,19 @@ class MapOptions:
         return KMER_LENGTHS.get((self.pore, self.rna), 9)
 
 
+def model_name(pore: str, rna: bool) -> str:
+    """The table of a registry (a folder of ``NAME.model`` files) that a pore and kind of molecule take."""
+    if (pore, rna) not in MODELS:
+        raise ValueError(f"there is no {'RNA' if rna else 'DNA'} model for {pore}")
+    return MODELS[pore, rna]
+
+
+def model_choice(pore: Column | str, rna: Column | str) -> Column:
+    """``model_name`` for columns; null where there is none."""
+    pairs = F.create_map(*[F.lit(x) for (p, r), name in MODELS.items() for x in (f"{p} {str(r).lower()}", name)])
+    return F.try_element_at(pairs, F.concat_ws(" ", pore, F.col(rna).cast("string") if isinstance(rna, str) else rna.cast("string")))
+
+
 def is_rna(experiment_type: Column | str) -> Column:
     """From the header's experiment type; DNA for anything but ``rna``."""
     c = F.col(experiment_type) if isinstance(experiment_type, str) else experiment_type

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import posixpath
+
+from pyarrow.fs import FileType
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import paf_line, sam_header, sam_line
 from ..operators.evaluate import EvalOptions, mapq_histogram, report_lines, summary
 from ..operators.mapping import map_reads
 from ..operators.reference import rna_part, synthetic_references
-from ..options import MapOptions, is_rna, pore_of
-from ..sources.container import copy_records, list_files, open_headers, read_groups, read_signal, register
+from ..options import MapOptions, is_rna, model_name, pore_of
+from ..sources.container import copy_records, list_files, open_headers, read_groups, read_signal, register, store_of
 from ..sources.tables import read_fasta, read_kmer_model, read_paf
 
 
@@ -29,21 +32,28 @@ def references(spark: SparkSession, fasta: str, model: str, opt: MapOptions) ->
     )
 
 
-def map_job(spark: SparkSession, fasta: str, reads: str, model: str, out: str, opt: MapOptions) -> None:
-    """Map a container's reads and write PAF or SAM text, one part file for each partition.
+def chosen_model(model: str, opt: MapOptions) -> str:
+    """A model file as it is; of a folder of models the one that the pore and the kind of molecule take."""
+    store, at = store_of(model)
+    return posixpath.join(model, f"{model_name(opt.pore, opt.rna)}.model") if store.get_file_info(at).type == FileType.Directory else model
+
+
+def map_job(spark: SparkSession, fasta: str, reads: str, model: str, out: str, opt: MapOptions) -> dict[str, int]:
+    """Map a container's reads and write PAF or SAM text, one part file for each partition; what the reads came to, counted on the way.
 
     SAM parts have no header; it is written beside them as ``header``, in order over its own part files.
     """
     register(spark)
-    refs = references(spark, fasta, model, opt)
-    rows = map_reads(read_signal(spark, reads), refs, opt)
+    refs, seen = references(spark, fasta, chosen_model(model, opt), opt), Observation("mapping")
+    rows = map_reads(read_signal(spark, reads), refs, opt, seen)
     if not opt.sam:
         rows.select(paf_line().alias("value")).write.mode("overwrite").text(out)
-        return
+        return seen.get
     rows.select(sam_line(F.coalesce("ss", F.lit("")), opt.rna).alias("value")).write.mode("overwrite").text(f"{out}/records")
     kmers = F.length("seq") + 1 - opt.kmer_length
     kept = rna_part(F.length("seq"), opt.kmer_length, opt.query, opt.from_end)[0] if opt.rna and not opt.full_ref else kmers
     sam_header(read_fasta(spark, fasta).filter(kmers > 0).select("ref_idx", "name", kept.alias("ref_len"))).orderBy("part", "place").select("line").write.mode("overwrite").text(f"{out}/header")
+    return seen.get
 
 
 def eval_job(spark: SparkSession, truth: str, test: str, opt: EvalOptions = EvalOptions()) -> DataFrame:

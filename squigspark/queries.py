@@ -7,10 +7,6 @@ lines and orders are true and tested mappings.
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +17,7 @@ from .functions import arrays, bases, text
 from .operators import dtw, evaluate, events, mapping, reference, segments, windows
 from .options import MapOptions
 from .schemas import READ
+from .scratch import scratch
 from .sources import codecs, container
 from .sources.tables import parse_paf
 
@@ -358,10 +355,7 @@ def codec_roundtrip(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return posixpath.join(shared or tempfile.mkdtemp(prefix="spark-signals-"), f"signals-{uuid.uuid4().hex}")
+    return scratch(spark, "signals")
 
 
 def _roundtrip(spark, d, kind: str) -> DataFrame:

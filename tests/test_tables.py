@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from squigspark.operators import evaluate, mapping, reference
-from squigspark.options import MapOptions
+from squigspark.options import MapOptions, model_name
 from squigspark.plans.jobs import detect_options, eval_job, map_job
 from squigspark.schemas import READ
 from squigspark.sources import codecs, container
@@ -267,6 +267,43 @@ def test_blocks_give_the_same(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("options", [{}, {"sam": True}, {"rna": True}, {"rna": True, "standard": True}])
+@pytest.mark.parametrize("width", [37, 100, 395])
+def test_tiles_give_the_same(spark, options, width):
+    """Whatever the tiles' width and the blocks, ties of chunks at borders included."""
+    reads_, refs, _ = planted(spark)
+    if options.get("rna"):
+        refs = refs.filter("strand = '+'")
+    made = [mapping.map_reads(reads_, refs, MapOptions(prefix=5, query=60, **options, **cut)).drop("n_events") for cut in ({}, {"tile_columns": width, "reference_bytes": 3000})]
+    a, b = (sorted(map(str, df.collect())) for df in made)
+    assert a == b and len(a) == 6
+
+
+def test_candidates_over_tiles_with_ties(spark):
+    rng = np.random.default_rng(6)
+    levels = [float(x) for x in rng.integers(0, 3, 90)]
+    refs = spark.createDataFrame([(i, f"c{i}", 90, 94, 0, s, levels[::-1] if s == "-" else levels) for i in range(2) for s in "+-"], "ref_idx int, name string, ref_len int, seq_len int, st_offset int, strand string, levels array<float>")
+    queries = spark.createDataFrame([(i, [float(x) for x in rng.integers(0, 3, int(n))]) for i, n in enumerate(rng.integers(1, 14, 40))] + [(99, None)], "id int, query array<float>")
+    for more in ({}, {"rna": True, "standard": True}):
+        got = [sorted(map(str, mapping.with_candidates(queries, refs, MapOptions(**more, **cut)).select("id", "candidates").collect())) for cut in ({}, {"tile_columns": 1, "reference_bytes": 200}, {"tile_columns": 13, "reference_bytes": 100}, {"tile_columns": 89})]
+        assert all(g == got[0] for g in got)
+
+
+def test_levels_are_made_once(spark, tmp_path):
+    """However many blocks there are, the references' own plan runs once."""
+    reads_, refs, _ = planted(spark)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    refs = refs.mapInArrow(counted, refs.schema)
+    assert mapping.map_reads(reads_, refs, MapOptions(prefix=5, query=60, reference_bytes=1)).count() == 6
+    assert made.value == 6
+
+
 def test_map_job_and_report(spark, tmp_path):
     container.register(spark)
     reads_, _, contigs = planted(spark)
@@ -274,8 +311,17 @@ def test_map_job_and_report(spark, tmp_path):
     (tmp_path / "ref.fa").write_text("".join(f">{r.name}\n{r.seq}\n" for r in contigs.orderBy("ref_idx").collect()))
     model = reference.model_from_rule(spark, 6).orderBy("rank").collect()
     (tmp_path / "model.txt").write_text("#k\t6\n" + "".join(f"{m.kmer}\t{m.level_mean}\t{m.level_stdv}\n" for m in model))
+    (tmp_path / "models").mkdir()
+    (tmp_path / "models" / "dna_r9.model").write_text((tmp_path / "model.txt").read_text())
     for sam in (False, True):
-        map_job(spark, str(tmp_path / "ref.fa"), str(tmp_path / "reads"), str(tmp_path / "model.txt"), str(tmp_path / f"out{sam}"), MapOptions(prefix=5, query=90, sam=sam))
+        opt = MapOptions(prefix=5, query=90, sam=sam, reference_bytes=3000 if sam else 1 << 28)
+        seen = map_job(spark, str(tmp_path / "ref.fa"), str(tmp_path / "reads"), str(tmp_path / ("models" if sam else "model.txt")), str(tmp_path / f"out{sam}"), opt)
+        staged = mapping.with_query(mapping.with_events(mapping.with_signal(spark.read.format("signal").load(str(tmp_path / "reads")))), opt)
+        counted = {r.status: (r.reads, 2 * r.samples) for r in mapping.status_counts(staged).collect()}
+        assert seen["reads"] == sum(n for n, _ in counted.values()) == 7 and seen["bytes"] == sum(b for _, b in counted.values())
+        assert all(seen[k] == counted.get(k, (0, 0))[0] for k in ("prefix_fail", "ignored", "too_short", "no_signal"))
+    with pytest.raises(ValueError, match="no RNA model"):
+        model_name("r10", True)
     paf = str(tmp_path / "outFalse")
     assert spark.read.text(paf).count() == 6
     sam = [r.value for r in spark.read.text(str(tmp_path / "outTrue" / "records")).collect()]
