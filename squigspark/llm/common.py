@@ -83,14 +83,17 @@ def sample_of_each(rows: DataFrame, label: str, keys: list[str], sizes: dict, mo
     """At most ``most`` rows of each label, chosen by the hash of ``keys``; rows that repeat all keys count once.
 
     ``sizes`` says how many rows each label has.  A share by hash comes first, so that only about twice
-    ``most`` rows are ranked.
+    ``most`` rows are ranked.  Only labels and hashes are ranked; the rows themselves are fetched by the chosen hashes,
+    of which there are ``most`` times the labels, and those that repeat are merged where they lie first.
     """
-    shares = F.create_map(*[F.lit(x) for v, n in sizes.items() for x in (v, min(1.0, 2.0 * most / n))])
-    name = F.xxhash64(F.lit(seed), *keys)
-    picked = rows.withColumn("__name", name).filter(F.pmod("__name", F.lit(1 << 40)) < (F.element_at(shares, F.col(label)) * (1 << 40)).cast("long"))
-    once = picked.dropDuplicates([label, "__name"])
-    ranked = once.withColumn("__rank", F.row_number().over(Window.partitionBy(label).orderBy("__name")))
-    return ranked.filter(F.col("__rank") <= most).drop("__name", "__rank")
+    spark = rows.sparkSession
+    kind = rows.select(label).schema
+    shares = spark.createDataFrame([(v, min(1.0, 2.0 * most / n)) for v, n in sizes.items()], kind.add("__share", "double"))
+    named = rows.withColumn("__name", F.xxhash64(F.lit(seed), *keys))
+    narrow = named.select(label, "__name").join(F.broadcast(shares), label)
+    near = narrow.filter(F.pmod("__name", F.lit(1 << 40)) < (F.col("__share") * (1 << 40)).cast("long")).select(label, "__name").distinct()
+    ranked = near.withColumn("__rank", F.row_number().over(Window.partitionBy(label).orderBy("__name"))).filter(F.col("__rank") <= most)
+    return named.join(F.broadcast(ranked.select(label, "__name")), [label, "__name"], "left_semi").dropDuplicates([label, "__name"]).drop("__name").select(*rows.columns)
 
 
 def id_bucket(doc_id: str | Column, buckets: int) -> Column:

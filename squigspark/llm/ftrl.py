@@ -52,7 +52,11 @@ def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, features:
             add = (np.sqrt(n[features] + g**2) - np.sqrt(n[features])) / cfg.alpha
             z[features] += g - add * b
             n[features] += g**2
-    return weights(np.arange(features)), bias()
+    out = np.empty((features, classes))
+    step = max(1, (1 << 20) // max(1, classes))  # rows at a time, as each takes some copies
+    for at in range(0, features, step):
+        out[at : at + step] = weights(np.arange(at, min(features, at + step)))
+    return out, bias()
 
 
 def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:

@@ -2,9 +2,9 @@
 
 Features are hashed character 1- to 3-grams of the lower-cased whole text.  Document frequencies
 cover every row that may be learned from; the regression itself is fitted with FTRL and an
-elastic-net penalty on a sample of at most ``per_class`` documents of each language, and a
+elastic-net penalty on a sample of at most ``per_class`` documents of each language and some ``sample`` of all, and a
 quarter of that sample is set aside for the temperature that calibrates the probabilities.  Every
-label that occurs is learned.  Only buckets that occur in the sample have weights while fitting, and
+label that occurs is learned; what the driver holds does not grow with their number, beyond four documents of each.  Only buckets that occur in the sample have weights while fitting, and
 the model keeps those that the penalty leaves: one row of weights for each bucket that has any.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.  If there is
@@ -34,6 +34,9 @@ UNDETERMINED = "und"
 class LangIdConfig:
     bits: int = 16
     per_class: int = 1000  # bound of the fitting sample: documents of each language
+    sample: int = 4000  # and of all languages together, but for four of each
+    sample_grams: int = 4096  # of a sampled document the most frequent so many n-grams count in the fit
+    cells: int = 1 << 24  # bound of the fitted matrix (n-grams x languages); with many languages the n-grams of most documents take part
     ftrl: FtrlConfig = field(default_factory=FtrlConfig)
 
 
@@ -87,6 +90,14 @@ def ngram_counts(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return at, count[at]
 
 
+def most_frequent(at: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` buckets that occur most often, in order; of equals the lower one."""
+    if len(at) <= most:
+        return at, count
+    kept = np.sort(np.argsort(-count, kind="stable")[:most])
+    return at[kept], count[kept]
+
+
 def tfidf(at: np.ndarray, count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = (1 + np.log(count)) * idf[at]
     return at, x / max(1e-12, float(np.sqrt(x @ x)))
@@ -121,12 +132,12 @@ def fit_langid(docs: DataFrame, learn: Column, cfg: LangIdConfig = LangIdConfig(
     rows, df = document_frequencies(known, text, cfg.bits)
     idf = np.log((1 + rows) / (1 + df)) + 1
 
-    chosen = sample_of_each(known.select(lang, text, key), lang, [key, text], {r[lang]: r["n"] for r in sizes}, cfg.per_class, "langid")
-    bits = cfg.bits
+    chosen = sample_of_each(known.select(lang, text, key), lang, [key, text], {r[lang]: r["n"] for r in sizes}, min(cfg.per_class, max(4, cfg.sample // len(languages))), "langid")
+    bits, most = cfg.bits, cfg.sample_grams
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            got = [ngram_counts(t, bits) for t in texts(batch, text)]
+            got = [most_frequent(*ngram_counts(t, bits), most) for t in texts(batch, text)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([a for a, _ in got], pa.list_(pa.int32())), pa.array([n for _, n in got], pa.list_(pa.int32())), batch.column(2)],
                 ["lang", "at", "count", "deal"],
@@ -143,6 +154,10 @@ def fit_langid(docs: DataFrame, learn: Column, cfg: LangIdConfig = LangIdConfig(
     aside = np.arange(len(x)) % 4 == 3
     fit = np.flatnonzero(~aside)
     used = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[a for a, _ in x]]))
+    wide = max(1, cfg.cells // len(languages))
+    if len(used) > wide:
+        used = np.sort(used[np.argsort(-df[used], kind="stable")[:wide]])
+        x = [(a[kept], v[kept]) for a, v in x for kept in [np.isin(a, used)]]
     x = [(np.searchsorted(used, a), v) for a, v in x]
     w, b = fit_ftrl([x[i] for i in fit], y[fit], len(used), len(languages), cfg.ftrl)
     held = np.flatnonzero(aside)

@@ -162,3 +162,79 @@ def test_regression_against_numpy(spark, weights):
 def test_unwanted_hosts_are_told(spark, weights):
     rows = spark.createDataFrame([(0, "http://casino-bonus-spin.org/en/win"), (1, "http://library.reading-town.org/en/books")], "page_id long, url string")
     assert [r.verdict for r in sorted(urlfilter.judge(rows, weights).collect(), key=lambda r: r.page_id)] == ["block", "allow"]
+
+
+def plain_ftrl(rows, y, classes, cfg):
+    """Follow the regularised leader, coordinate by coordinate; rows are dictionaries."""
+    z, n = {}, {}
+    get = lambda t, k: t.get(k, [0.0] * classes)
+
+    def weight(k, c, penalised=True):
+        zc, nc = get(z, k)[c], get(n, k)[c]
+        if penalised:
+            return 0.0 if abs(zc) <= cfg.l1 else -(np.sign(zc) * (abs(zc) - cfg.l1)) / ((cfg.beta + nc**0.5) / cfg.alpha + cfg.l2)
+        return -zc / ((cfg.beta + nc**0.5) / cfg.alpha)
+
+    rng = np.random.default_rng(cfg.seed)
+    for _ in range(cfg.epochs):
+        for i in rng.permutation(len(rows)):
+            scores = [sum(v * weight(k, c) for k, v in rows[i].items()) + weight("bias", c, False) for c in range(classes)]
+            e = [np.exp(s - max(scores)) for s in scores]
+            g = [x / sum(e) - (c == y[i]) for c, x in enumerate(e)]
+            for k, v in [*rows[i].items(), ("bias", 1.0)]:
+                zk, nk = list(get(z, k)), list(get(n, k))
+                old = [weight(k, c, k != "bias") for c in range(classes)]
+                for c in range(classes):
+                    grad = v * g[c]
+                    zk[c] += grad - ((nk[c] + grad**2) ** 0.5 - nk[c] ** 0.5) / cfg.alpha * old[c]
+                    nk[c] += grad**2
+                z[k], n[k] = zk, nk
+    return {k: [weight(k, c) for c in range(classes)] for k in z if k != "bias"}, [weight("bias", c, False) for c in range(classes)]
+
+
+def test_ftrl_against_plain():
+    rng = np.random.default_rng(3)
+    rows = [{int(k): float(v) for k, v in zip(rng.choice(15, 6, replace=False), rng.random(6), strict=True)} for _ in range(60)]
+    y = rng.integers(0, 3, 60)
+    cfg = ftrl.FtrlConfig(l1=0.1, epochs=2)
+    w, b = ftrl.fit_ftrl([(np.array(sorted(r)), np.array([r[k] for k in sorted(r)])) for r in rows], y, 15, 3, cfg)
+    plain_w, plain_b = plain_ftrl(rows, y, 3, cfg)
+    assert np.allclose(w, [plain_w.get(k, [0.0] * 3) for k in range(15)], atol=1e-9) and np.allclose(b, plain_b, atol=1e-9)
+
+
+def test_language_features_and_scores_against_plain(spark):
+    """Document frequencies, TF-IDF and the probabilities of a fitted model, n-gram by n-gram."""
+    rows = corpus(90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_langid(docs, F.lit(True))
+    df = {}
+    for _, t, _ in rows:
+        for k in {int(k) for k in langid.ngram_counts(t, 16)[0]}:
+            df[k] = df.get(k, 0) + 1
+    for k in range(0, 1 << 16, 7):
+        assert abs(model.idf[k] - (np.log((1 + len(rows)) / (1 + df.get(k, 0))) + 1)) < 1e-6
+    out = {r.doc_id: r for r in langid.with_language(docs, model).collect()}
+    for i, t, _ in rows:
+        x = {int(k): (1 + np.log(n)) * (np.log((1 + len(rows)) / (1 + df[int(k)])) + 1) for k, n in zip(*langid.ngram_counts(t, 16), strict=True)}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        scores = [(sum(v / norm * float(model.weights[model.rows[k]][c]) for k, v in x.items()) + model.bias[c]) / model.temperature for c in range(3)]
+        p = [float(np.exp(s - max(scores))) for s in scores]
+        best = int(np.argmax(p))
+        assert out[i].lang_pred == model.languages[best] and abs(out[i].score - p[best] / sum(p)) < 1e-5
+
+
+def test_many_languages(spark):
+    """200 labels: the sample, the n-grams of long documents and the fitted matrix keep their bounds."""
+    rows = [(200 * k + i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in ("ka", "lo", "mi") * (1 + k)), f"l{i:03d}") for i in range(200) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    cfg = langid.LangIdConfig(sample=1600, sample_grams=20, cells=200 * 500)
+    model = langid.fit_langid(docs, F.lit(True), cfg)
+    assert len(model.languages) == 200 and len(model.weights) <= 501
+    got = langid.with_language(docs, model).select((F.col("lang_pred") == F.col("lang")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert got > 0.8
+
+
+def test_most_frequent():
+    at, n = np.array([2, 5, 7, 9]), np.array([1, 3, 1, 3])
+    assert [x.tolist() for x in langid.most_frequent(at, n, 3)] == [[2, 5, 9], [1, 3, 3]]
+    assert [x.tolist() for x in langid.most_frequent(at, n, 4)] == [at.tolist(), n.tolist()]
