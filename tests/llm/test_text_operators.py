@@ -367,6 +367,40 @@ def test_rendering(page, want):
     assert htmltext.render(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div style="visibility:hidden">h<span style="visibility:visible">v</span></div>', "v"),
+        ("<style>.x{display:none} p.y, #z { visibility : hidden }</style><p class='a x'>no<p class=y>no<div class=y>yes</div><p id=z>no", "yes"),
+        ("<style>p{display:none} .seen{display:block} #never{display:none}</style><p>no<p class=seen>a<p class=seen id=never>no<p class=seen style='display:none'>no", "a"),
+        ("<style>@media print { p { display:none } } /* p{display:none} */ a b{display:none}</style><p>a", "a"),
+        ("<style media=print>p{display:none}</style><p>a", "a"),
+        ("<style>b{visibility:hidden}</style><p>a<b>no<i style='visibility:visible'>yes</i></b>", "ayes"),
+        ("<p hidden style='display:block'>a", "a"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td rowspan=3>a<td rowspan=2>b<td>c<tr><td>d<tr><td>e</table>", "a  b  c\n      d\n   e"),
+        ("<table><tr><td colspan=2>wide<td>x<tr><td>aa<td>b<td>y</table>", "wide   x\naa  b  y"),
+        ("<table><tr><td>a<td style='visibility:hidden'>b<td>c<tr><td>1<td>22<td>3</table>", "a      c\n1  22  3"),
+        ("<ol><li value=5>a<li>b</ol>", "5. a\n6. b"),
+        ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"),
+        ("<ol reversed start=9><li>a<li value=3>b<li>c</ol>", "9. a\n3. b\n2. c"),
+        ('<div style="white-space:pre">a  b\n c<p style="white-space:normal">d  e</p></div>', "a  b\n c\n\nd e"),
+        ('<div style="white-space: pre-line">a  b\n c</div>', "a b\nc"),
+        ("<details><summary>s</summary>no<p>no</details><details open><summary>t</summary>yes</details>", "s\nt\nyes"),
+    ],
+)
+def test_style_spans_and_lists(page, want):
+    assert htmltext.render(page) == want
+
+
+def test_deep_tables_and_wide_spans_are_quick():
+    began = time.process_time()
+    assert htmltext.render("<table><tr><td>a<td>" * 66 + "x " * 400_000).count("x") == 400_000
+    assert htmltext.render("<table><tr>" + "<td colspan=1000 rowspan=60000>a" * 3 + "<tr><td>b" * 50_000).count("b") == 50_000
+    assert htmltext.render("<style>" + ".a{display:none}" * 50_000 + "</style>" + "<p class='b c d'>x" * 20_000).count("x") == 20_000
+    assert time.process_time() - began < 10
+
+
 def test_all_visible_words_stay():
     """Against the words of a plain tag stripper, on markup without hidden parts."""
     rng = np.random.default_rng(0)
