@@ -107,7 +107,8 @@ def test_base_findings(parts):
         ("token_count = 123456789012", []),
         ("The secret: everybody knows that plain words are fine", []),
         ('name = "Xk29fPq8Lm2z"', []),
-        ('# secret_key = "a8F3kP0zQ1xW"', []),
+        # Lines after # are read like other comments: .env and YAML files keep their old values there.
+        ('# secret_key = "a8F3kP0zQ1xW"', ["a8F3kP0zQ1xW"]),
         ("", []),
     ],
 )
@@ -134,7 +135,39 @@ def test_urls_paths_and_comments(text, want):
     assert [text[f.start : f.end] for f in secrets.find_secrets(text) if f.kind == "literal"] == want
 
 
+SECRET = "Xk29sdfQ8812zz"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'cfg["db_pwd"] = "{SECRET}"', f"os.environ['AUTH_KEY'] = '{SECRET}'", f'cfg["a"]["db_pwd"] = "{SECRET}"', f'auth_key: str = "{SECRET}"', f'let authKey: &str = "{SECRET}";', f'auth_key = """{SECRET}"""', f"auth_key = r'{SECRET}'",
+        f'K = "{SECRET}"\nauth_key = f"{{K}}"', f'const K="{SECRET}"; const authKey = `${{K}}`', f"DB_PWD ?= {SECRET}", f'{{"auth": {{"key": "{SECRET}"}}}}', f"auth:\n  key: {SECRET}\n  user: bob\nother: x1x2x3x4x5", f"<private_key>{SECRET}</private_key>",
+        f"define('AUTH_KEY', '{SECRET}')", f'os.putenv("AUTH_KEY", "{SECRET}")', f'set_auth_key("{SECRET}")', f'client.setAuthKey("{SECRET}");', f'auth_key = \\\n  "{SECRET}"', f'auth_key = (\n  "{SECRET}"\n)', f'# auth_key = "{SECRET}"', f"#  AUTH_KEY={SECRET}", f'x = 1  # auth_key = "{SECRET}"',
+    ],
+)
+def test_forms_of_assignment(text):
+    assert [text[f.start : f.end] for f in secrets.find_secrets(text) if f.kind == "literal"] == [SECRET]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'colour["tint"] = "{SECRET}"', f'names: str = "{SECRET}"', f'print("auth", "{SECRET}")', f'show_auth_key("{SECRET}")', f'{{"auth": {{"user": "{SECRET}"}}}}', f"auth:\n  user: {SECRET}\nkey: {SECRET}", f"<name>{SECRET}</name>", f"<private_key>{SECRET}</other>",
+        '# The token: a word in prose', "# auth_key = changeme", 'f"{K}"', f'K = "{SECRET}"\nname = f"{{K}}"', '"""auth_key = """', "auth_key = (", 'auth_key = [\n"abc"', f'"session": {{"id": "{SECRET}"}}',
+    ],
+)
+def test_what_is_no_secret(text):
+    assert [f for f in secrets.find_secrets(text) if f.kind == "literal"] == []
+
+
+def test_parts_of_a_formatted_literal():
+    text = 'HEAD = "Xk29sdfQ"\nauth_key = f"{HEAD}-8812zzPq"\nother_pwd = ("Ab12Cd34"\n    "Ef56Gh78")'
+    assert [(text[f.start : f.end], f.name) for f in secrets.find_secrets(text)] == [("Xk29sdfQ", "auth_key"), ("-8812zzPq", "auth_key"), ("Ab12Cd34", "other_pwd"), ("Ef56Gh78", "other_pwd")]
+
+
 HOSTILE_SOURCE = {
+    "triples": "secret " + '"""' * 333_333, "braces": "secret " + "a:{" * 300_000, "indents": "secret\n" + "".join(" " * (i % 50) + f"k{i}:\n" for i in range(30_000)), "tags": "secret </" + "<a>aaaaaaa" * 90_000, "calls": "secret " + 'set("a","b"' * 90_000, "formats": 'secret = "Ab12Cd34"\n' + 'token = f"{secret}{token}"\n' * 30_000,
     "escaped": "secret " + '\\"' * 500_000, "opened": "secret " + '"' + '\\"' * 500_000, "comments": "secret " + "/*" * 500_000, "quotes": "secret " + '"' * 500_001 + "'" * 500_001,
     "commented": "secret " + '/* a */ x="aaaaaaaa1"\n' * 40_000, "doubled": 'token0 = "abcdefgh12"\n' + "".join(f"token{i + 1} = token{i} + token{i}\n" for i in range(20_000)), "grown": 'token = "abcdefgh12"\n' + 'token = token + "a1B2c3d4"\n' * 30_000,
     "segments": "secret " + "a/b" * 300_000, "blanks": "password" + " " * 900_000,
