@@ -240,6 +240,12 @@ def model_choices(spark, d):
 
 # References and alignment
 
+def ref_zscore_global(spark, d):
+    """Levels scored over all contigs and strands together."""
+    levels = base._levels(spark, d, normalise="global").select("ref_idx", "strand", F.posexplode("levels").alias("i", "z"))
+    return levels.withColumn("z", F.round(F.col("z").cast("double"), 3))
+
+
 def ref_inverted(spark, d):
     levels = base._levels(spark, d, rna=True, full=True, invert=True, normalise="none")
     return levels.select("ref_idx", F.posexplode("levels").alias("i", "level")).withColumn("level", F.col("level").cast("int"))
@@ -318,7 +324,7 @@ def signal_strings(spark, d):
 
 FUNCTIONS = [
     container_fetch, container_ids, container_split, container_convert, container_pruned, container_attributes, container_columns, container_copied, container_blocks, container_lookup, container_header, container_types, fasta_records, fasta_parts, kmer_model_file, bed_regions, sam_header_lines, eval_report, numbers_from_text,
-    base_functions, small_functions, experiment_kinds, model_choices, ref_inverted, query_reversed, map_candidates, map_candidates_tiled, map_candidates_std, warp_paths, warp_paths_std, signal_strings,
+    base_functions, small_functions, experiment_kinds, model_choices, ref_zscore_global, ref_inverted, query_reversed, map_candidates, map_candidates_tiled, map_candidates_std, warp_paths, warp_paths_std, signal_strings,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -484,6 +490,7 @@ SELECT o_orderkey, abs(a - b) AS distance, (a - b) * (a - b) AS squared, least(a
     "experiment_kinds": "SELECT o_orderkey, o_orderkey % 4 = 0 AS rna, CASE o_custkey % 5 WHEN 1 THEN 'r10' WHEN 2 THEN 'rna004' ELSE 'r9' END AS pore FROM orders",
     "model_choices": """SELECT o_orderkey, o_orderkey % 2 = 0 AS rna, (['r9', 'r10', 'rna004'])[o_custkey % 3 + 1] AS pore,
         CASE WHEN o_orderkey % 2 = 0 THEN (['rna_r9', NULL, 'rna_rna004'])[o_custkey % 3 + 1] ELSE (['dna_r9', 'dna_r10', 'dna_r10'])[o_custkey % 3 + 1] END AS model FROM orders""",
+    "ref_zscore_global": base._KMERS + " SELECT ref_idx, strand, i, round((level - avg(level) OVER ()) / stddev_pop(level) OVER (), 3) AS z FROM levels",
     "ref_inverted": base._KMERS + " SELECT ref_idx, CAST(ref_len - 1 - i AS INT) AS i, level FROM levels WHERE strand = '+'",
     "query_reversed": f"""WITH {base.SAMPLES}, c AS (SELECT *, count(*) OVER (PARTITION BY read) AS n FROM samples), w AS (SELECT * FROM c WHERE n >= 30 AND i >= 5 AND i < least(35, n))
 SELECT read, CAST(max(i) OVER p - i AS INT) AS i, CASE WHEN stddev_pop(raw) OVER p > 0 THEN round((raw - avg(raw) OVER p) / stddev_pop(raw) OVER p, 3) END AS z FROM w WINDOW p AS (PARTITION BY read)""",

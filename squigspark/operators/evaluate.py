@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,12 +31,48 @@ def _near(truth: DataFrame, keys: list[str], position: str, width: int) -> DataF
     return spread.groupBy(*keys, "at").agg(F.bool_or("here").alias("here"), F.max("before").alias("before"), F.min("after").alias("after"))
 
 
+#: Truth rows of a read up to which they are gathered beside it, and reads beyond that which are set apart.
+GATHERED, MOST_SET_APART = 64, 10_000
+
+
 def classify(truth: DataFrame, test: DataFrame, opt: EvalOptions = EvalOptions()) -> DataFrame:
     """Every test row with ``outcome``: correct, incorrect or only_in_test.  Repeated rows count each.
 
+    The truth rows of a read are gathered and joined to its test rows by one key, which takes a shuffle of each side.  Reads with
+    more than ``GATHERED`` of them, or all if very many reads are such, are looked up by stretches of positions instead.
+    A null read id, target, strand or position matches nothing.
+    """
+    crowded = truth.filter("rid is not null").groupBy("rid").agg(F.count("*").alias("n")).filter(F.col("n") > GATHERED).select("rid").limit(MOST_SET_APART + 1).collect()
+    if not crowded:
+        return _by_read(truth, test, opt)
+    if len(crowded) > MOST_SET_APART:
+        return _by_stretches(truth, test, opt)
+    apart = truth.sparkSession.createDataFrame([(r["rid"],) for r in crowded], "__apart string")
+    split = lambda df, how: df.join(F.broadcast(apart), F.col("rid") == F.col("__apart"), how)
+    return _by_read(split(truth, "left_anti"), split(test, "left_anti"), opt).unionByName(_by_stretches(split(truth, "left_semi"), split(test, "left_semi"), opt))
+
+
+def _by_read(truth: DataFrame, test: DataFrame, opt: EvalOptions) -> DataFrame:
+    """``classify`` for reads whose truth rows fit beside them."""
+    row = F.struct("tid", "strand", *([] if opt.secondary else ["tp"]), *([] if opt.tid_only else ["target_start", "target_end"]))
+    gathered = truth.filter("rid is not null").groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(row).alias("__truth"))
+    near = lambda t, position: F.abs(F.col(position) - t[position]) < opt.threshold
+
+    def fits(t: Column) -> Column:
+        same = (t["tid"] == F.col("tid")) & (t["strand"] == F.col("strand"))
+        same = same if opt.secondary else same & (t["tp"] == F.col("tp"))
+        placed = same if opt.tid_only else same & (F.coalesce(near(t, "target_start"), F.lit(False)) | F.coalesce(near(t, "target_end"), F.lit(False)))
+        return F.coalesce(placed, F.lit(False))
+
+    outcome = F.when(F.col("__truth").isNull(), "only_in_test").when(F.exists("__truth", fits), "correct").otherwise("incorrect")
+    return test.join(gathered, F.col("rid") == F.col("__rid"), "left").withColumn("outcome", outcome).drop("__rid", "__truth")
+
+
+def _by_stretches(truth: DataFrame, test: DataFrame, opt: EvalOptions) -> DataFrame:
+    """``classify`` whatever the number of truth rows that a read has.
+
     Truth is aggregated to unique keys before each join, so no join multiplies test rows, and a read
-    that very many rows share is neither gathered nor paired with itself.  A null read id, target,
-    strand or position matches nothing.
+    that very many rows share is neither gathered nor paired with itself.
     """
     keys = ["rid", "tid", "strand"] + ([] if opt.secondary else ["tp"])
     known = truth.filter("rid is not null").select(F.col("rid").alias("__rid")).distinct().withColumn("__known", F.lit(True))

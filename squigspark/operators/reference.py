@@ -56,7 +56,7 @@ def synthetic_references(
 ) -> DataFrame:
     """One row for each contig (and strand, for DNA) with its z-scored levels; contigs shorter than k go.
 
-    ``normalise``: "strand" scores each row on its own, "none" keeps the model's levels.
+    ``normalise``: "strand" scores each row on its own, "global" all levels of all rows together, "none" keeps the model's levels.
     """
     seq = u_to_t("seq") if rna_letters else F.col("seq")
     known = contigs.select("ref_idx", "name", F.length("seq").alias("seq_len"), seq.alias("seq")).filter(F.col("seq_len") >= k)
@@ -68,9 +68,33 @@ def synthetic_references(
     out = with_levels(rows, model, k).drop("part", "letters")
     if invert:
         out = out.withColumn("levels", F.reverse("levels"))
+    if normalise == "global":
+        return with_global_score(out)
     return out.withColumn("levels", zscore("levels")) if normalise == "strand" else out
 
 
+def moments(x: str) -> Column:
+    """(n, m, m2) of an array: its length, mean and sum of squared deviations, in double precision."""
+    n = F.size(x).cast("double")
+    mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")) / F.when(n > 0, n)
+    squares = lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v.cast("double") - m) * (v.cast("double") - m))
+    return F.get(F.transform(F.array(mean), lambda m: F.struct(n.alias("n"), m.alias("m"), squares(m).alias("m2"))), F.lit(0))
+
+
+def with_global_score(refs: DataFrame) -> DataFrame:
+    """References scored by the mean and the population deviation of all their levels; null levels where that is 0.
+
+    Each row's moments are merged in one aggregate, whose single row goes back to all rows.
+    """
+    own = refs.select(moments("levels").alias("p")).select("p.n", "p.m", "p.m2")
+    sums = own.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("nm"), F.sum("m2").alias("m2"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nmm"))
+    mean = F.col("nm") / F.col("n")
+    merged = sums.select(mean.alias("__mean"), F.sqrt(F.greatest((F.col("m2") + F.col("nmm") - F.col("n") * mean * mean) / F.col("n"), F.lit(0.0))).alias("__deviation"), F.lit(1).alias("__one"))
+    scored = F.transform("levels", lambda v: F.when(F.col("__deviation") > 0, ((v.cast("double") - F.col("__mean")) / F.col("__deviation")).cast("float")))
+    joined = refs.withColumn("__one", F.lit(1)).join(F.broadcast(merged), "__one", "left")  # one row
+    return joined.withColumn("levels", scored).select(*refs.columns)
+
+
 def model_from_rule(spark, k: int) -> DataFrame:
     """A stand-in model: levels from a rule, where no measured one is at hand."""
     rank = F.col("id")

@@ -196,7 +196,11 @@ def test_evaluation(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_evaluation_against_pairs(spark, seed):
+@pytest.mark.parametrize("limits", [(64, 10_000), (0, 10_000), (0, 0), (40, 10_000)])
+def test_evaluation_against_pairs(spark, seed, limits, monkeypatch):
+    """Reads gathered, looked up by stretches, and both."""
+    monkeypatch.setattr(evaluate, "GATHERED", limits[0])
+    monkeypatch.setattr(evaluate, "MOST_SET_APART", limits[1])
     rng = np.random.default_rng(seed)
     row = lambda n: [(f"r{rng.integers(3)}", f"t{rng.integers(2)}", "+-"[rng.integers(2)], int(a), int(a + rng.integers(50, 400)), "PS"[rng.integers(2)], i) for i, a in enumerate(rng.integers(-300, 5000, n))]
     kind = "rid string, tid string, strand string, target_start int, target_end int, tp string, n int"
