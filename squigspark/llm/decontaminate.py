@@ -6,7 +6,7 @@ is the weighted share of the item that the passage holds, and one threshold fits
 are ordered by id and stand in blocks; each term keeps its largest contribution for every block.
 
 Query: every whole document is cut into half-overlapping passages, twice as long as the longest
-item, so an item's words lie within one passage.  The block maxima of a passage's terms bound the
+item (or ``least_passage``), so an item's words lie within one passage.  The block maxima of a passage's terms bound the
 score of all items of a block.  Only where a bound reaches the threshold does a block-max WAND
 traversal of the block's postings follow: it aligns cursors at the pivot, the first item whose
 terms' maxima could reach the threshold, and scores what remains.  Every item at or above the
@@ -59,6 +59,8 @@ class DecontaminationConfig:
     b: float = 0.75
     block_items: int = 4  # at least; larger where a shard would have more than most_blocks
     most_blocks: int = 256
+    least_passage: int = 16  # words of half a passage at least, however short the items are
+    bounded_passages: int = 1 << 14  # whose bounds are held at once
     shard_chars: int = 1 << 20
     shards_held: int = 8
 
@@ -189,7 +191,7 @@ class Matcher:
 
     def match(self, column: pa.Array) -> list[list[tuple[int, float, float, float, int]]]:
         """For each text: (item's place, score, question overlap, answer overlap, first word of the passage)."""
-        index, step = self.index, self.index.longest
+        index, step = self.index, max(self.index.longest, self.index.cfg.least_passage)
         out: list[list[tuple[int, float, float, float, int]]] = [[] for _ in range(len(column))]
         if not index.ids:
             return out
@@ -213,11 +215,8 @@ class Matcher:
         hit = np.flatnonzero(term >= 0)
         pair = np.unique(slot[hit] * len(index.terms) + term[hit])
         at, t = pair // len(index.terms), pair % len(index.terms)
-        bounds = np.zeros((int(base[-1]) + 1, index.block_max.shape[1]), dtype=np.float32)
-        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        bounds[at[starts]] = np.add.reduceat(index.block_max[t], starts, axis=0)
-        reach = (bounds[:-1] + bounds[1:]).max(axis=1) >= index.cfg.threshold - 1e-4
-        for s in np.flatnonzero(reach).tolist():
+        best: list[dict[int, tuple]] = [{} for _ in range(len(column))]
+        for s in self.reaching(at, t, int(base[-1])):
             lo, hi = np.searchsorted(at, [s, s + 2])
             found = index.search(np.unique(t[lo:hi]).tolist())
             if not found:
@@ -225,22 +224,38 @@ class Matcher:
             d = int(np.searchsorted(base, s, side="right")) - 1
             begin = int(first[d]) + (s - int(base[d])) * step
             end = min(begin + 2 * step, int(np.searchsorted(doc, d, side="right")))
-            passage = distinct.take(pa.array(chunk[word[begin:end]])).to_pylist()
+            passage: list[str] = []
+            known_best = best[d]
             for item, score in found:
+                old, score = known_best.get(item), round(score, 9)
+                # Of an item the best passage counts, the first of equals: most others needn't be verified.
+                if old is not None and (score < old[1] or score == old[1] and old[2] == old[3] == 1.0):
+                    continue
+                passage = passage or distinct.take(pa.array(chunk[word[begin:end]])).to_pylist()
                 q = held_share(index.question[item], passage, index.cfg.shingle)
                 a = held_share(index.answer[item], passage, index.cfg.shingle)
-                if q >= index.cfg.overlap and a >= index.cfg.overlap:
-                    out[d].append((item, round(score, 9), q, a, begin - int(first[d])))
-        return [best_of(m) for m in out]
-
-
-def best_of(matches: list[tuple[int, float, float, float, int]]) -> list[tuple[int, float, float, float, int]]:
-    """For each item its best passage, the first of equals."""
-    best: dict[int, tuple[int, float, float, float, int]] = {}
-    for m in matches:
-        if m[0] not in best or m[1:4] > best[m[0]][1:4]:
-            best[m[0]] = m
-    return [best[i] for i in sorted(best)]
+                if q >= index.cfg.overlap and a >= index.cfg.overlap and (old is None or (score, q, a) > old[1:4]):
+                    known_best[item] = (item, score, q, a, begin - int(first[d]))
+        return [[m[i] for i in sorted(m)] for m in best]
+
+    def reaching(self, at: np.ndarray, t: np.ndarray, slots: int) -> Iterator[int]:
+        """First halves of the passages that some block's bound lets reach the threshold, a bounded number of passages at a time."""
+        index = self.index
+        for begin in range(0, slots, index.cfg.bounded_passages):
+            n = min(index.cfg.bounded_passages, slots - begin)
+            lo, hi = np.searchsorted(at, [begin, begin + n + 1])
+            if lo == hi:
+                continue
+            own = at[lo:hi] - begin
+            bounds = np.zeros((n + 1, index.block_max.shape[1]), dtype=np.float32)
+            starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            # Terms of many passages are looked up in parts, too.
+            for k in range(0, len(starts), 1 << 12):
+                part = starts[k : k + (1 << 12)]
+                end = starts[k + (1 << 12)] if k + (1 << 12) < len(starts) else len(own)
+                bounds[own[part]] = np.add.reduceat(index.block_max[t[lo + part[0] : lo + end]], part - part[0], axis=0)
+            reach = (bounds[:-1] + bounds[1:]).max(axis=1) >= index.cfg.threshold - 1e-4
+            yield from (begin + np.flatnonzero(reach)).tolist()
 
 
 def with_terms(rows: DataFrame) -> DataFrame:

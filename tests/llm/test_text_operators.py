@@ -135,6 +135,20 @@ def test_urls_paths_and_comments(text, want):
     assert [text[f.start : f.end] for f in secrets.find_secrets(text) if f.kind == "literal"] == want
 
 
+def test_one_word_items_and_a_long_text():
+    """Passages have a least length, bounds are held for some passages at a time, and items are verified where they may get better."""
+    rng = np.random.default_rng(2)
+    items = [(i, f"w{i}x") for i in range(1200)]
+    index = decontaminate.Index(items, decontaminate.DecontaminationConfig(bounded_passages=700))
+    words = rng.integers(0, 1300, 100_000)
+    began = time.process_time()
+    (found,) = decontaminate.Matcher(index).match(pa.array([" ".join(f"w{i}x" for i in words)]))
+    assert time.process_time() - began < 10
+    assert [m[0] for m in found] == list(range(1200)) and all(m[1:4] == (1.0, 1.0, 1.0) for m in found)
+    first = {int(w): k for k, w in reversed(list(enumerate(words)))}
+    assert all(m[4] <= first[int(index.ids[m[0]])] < m[4] + 32 for m in found)
+
+
 SECRET = "Xk29sdfQ8812zz"
 
 
