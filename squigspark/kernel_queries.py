@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from . import queries as base
 from .functions import arrays, bases, text
-from .operators import dtw, evaluate, mapping, reference, segments
+from .operators import dtw, evaluate, events, mapping, reference, segments
 from .options import MapOptions, is_rna, model_choice, pore_of
 from .plans.jobs import convert_job
 from .queries import DIGITISATION, OFFSET, RANGE, table
@@ -270,7 +270,7 @@ def _made_references(spark, strands: tuple[str, ...]) -> DataFrame:
     rows = []
     for ref, (times, add) in enumerate([(37, 250), (53, 240)]):
         levels = [float((j * times) % 101 * 5 - add) for j in range(MAP_COLUMNS)]
-        rows += [(ref, f"c{ref}", MAP_COLUMNS, MAP_COLUMNS + 4, 0, s, levels if s == "+" else levels[::-1]) for s in strands]
+        rows += [(ref, f"c{ref}", MAP_COLUMNS, MAP_COLUMNS + 4, 7 * ref, s, levels if s == "+" else levels[::-1]) for s in strands]
     kind = T.StructType.fromDDL("ref_idx int, name string, ref_len int, seq_len int, st_offset int, strand string, levels array<float>")
     return spark.createDataFrame(rows, kind)
 
@@ -296,6 +296,15 @@ def map_candidates_std(spark, d):
     return rows.select("vec_id", "place", F.col("c.score").cast("long").alias("score"), "c.ref_idx")
 
 
+def map_rows(spark, d):
+    """Candidates to mapping rows: strands lifted over, offsets, quality from the two best, residues; and their lines."""
+    found = mapping.with_candidates(_vectors(spark, d), _made_references(spark, ("+", "-")), MapOptions())
+    begin = (F.col("vec_id") % 50).cast("int")
+    spans = found.withColumns({"read_id": F.concat(F.lit("v"), F.col("vec_id")), "qlen": F.lit(900), "q0": F.lit(0), "q1": F.size("query"), "query_start": begin, "query_end": begin + 640})
+    rows = mapping.mapped_rows(spans).select(*mapping.PAF_COLUMNS)
+    return rows.select(*[F.col(c).cast("double").alias(c) if c in ("d1", "d2") else F.col(c) for c in mapping.PAF_COLUMNS], text.paf_line().alias("line"))
+
+
 def warp_paths(spark, d):
     return dtw.with_path(_vectors(spark, d), "query", base.DTW_LEVELS).select("vec_id", F.explode("path").alias("p")).select("vec_id", "p.i", "p.j")
 
@@ -304,7 +313,7 @@ def warp_paths_std(spark, d):
     return dtw.with_path(_vectors(spark, d), "query", base.DTW_LEVELS, subsequence=False).select("vec_id", F.explode("path").alias("p")).select("vec_id", "p.i", "p.j")
 
 
-def signal_strings(spark, d):
+def signal_strings(spark, d, rna: bool = False):
     """How the samples of a query map to the reference's bases; every event is ten samples long."""
 
     def run(batches):
@@ -315,16 +324,27 @@ def signal_strings(spark, d):
             for path in batch.column(1).to_pylist():
                 spans = dtw.base_map([(p["i"], p["j"]) for p in path])
                 n = path[-1]["i"] + 1
-                lines.append(dtw.signal_string(spans, np.arange(n) * 10, np.full(n, 10), 0))
+                lines.append(dtw.signal_string(spans, np.arange(n) * 10, np.full(n, 10), 0, rna))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, pa.string())], ["vec_id", "ss"])
 
     paths = dtw.with_path(_vectors(spark, d), "query", base.DTW_LEVELS).select("vec_id", "path")
     return paths.mapInArrow(run, "vec_id long, ss string")
 
 
+def signal_strings_rna(spark, d):
+    """The same for RNA, whose queries are reversed: samples and bases are described from the read's start."""
+    return signal_strings(spark, d, rna=True)
+
+
+def events_detect_rna(spark, d):
+    """Events by the detectors' settings for RNA."""
+    e = events.with_events(mapping.with_signal(base._reads(spark, d)), opt=events.RNA).select("read_id", F.explode("events").alias("e"))
+    return e.select("read_id", "e.start", *[F.col(f"e.{c}").cast("double").alias(c) for c in ("length", "mean", "stdv")])
+
+
 FUNCTIONS = [
     container_fetch, container_ids, container_split, container_convert, container_pruned, container_attributes, container_columns, container_copied, container_blocks, container_lookup, container_header, container_types, fasta_records, fasta_parts, kmer_model_file, bed_regions, sam_header_lines, eval_report, numbers_from_text,
-    base_functions, small_functions, experiment_kinds, model_choices, ref_zscore_global, ref_inverted, query_reversed, map_candidates, map_candidates_tiled, map_candidates_std, warp_paths, warp_paths_std, signal_strings,
+    base_functions, small_functions, experiment_kinds, model_choices, ref_zscore_global, ref_inverted, query_reversed, map_candidates, map_candidates_tiled, map_candidates_std, map_rows, warp_paths, warp_paths_std, signal_strings, signal_strings_rna, events_detect_rna,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -345,38 +365,39 @@ def _window(width: int) -> str:
                FROM sums p JOIN sums a ON a.read = p.read AND a.i = p.i - {width} JOIN sums b ON b.read = p.read AND b.i = p.i + {width})"""
 
 
-def _step(v: str, top: str, peak: str, good: str, level: float, width: int, at: str = "i") -> dict[str, str]:
+def _step(v: str, top: str, peak: str, good: str, level: float, width: int, rise: float, at: str = "i") -> dict[str, str]:
     """One sample of one detector: the next top, peak and goodness, and whether a boundary leaves."""
     seek = f"{top} < 0"
     new_peak = f"greatest({peak}, {v})"
     new_top = f"CASE WHEN {v} > {peak} THEN {at} ELSE {top} END"
-    now_good = f"({good} OR ({new_peak} - {v} > 0.2::FLOAT AND {new_peak} > {level}::FLOAT))"
+    now_good = f"({good} OR ({new_peak} - {v} > {rise}::FLOAT AND {new_peak} > {level}::FLOAT))"
     out = f"(NOT ({seek}) AND {now_good} AND {at} - ({new_top}) > {width // 2})"
     return {
         "out": f"CASE WHEN {out} THEN {new_top} END",
-        "top": f"CASE WHEN {seek} THEN CASE WHEN {v} >= {peak} AND {v} - {peak} > 0.2::FLOAT THEN {at} ELSE {top} END WHEN {out} THEN -1 ELSE {new_top} END",
-        "peak": f"CASE WHEN {seek} THEN CASE WHEN {v} < {peak} OR {v} - {peak} > 0.2::FLOAT THEN {v} ELSE {peak} END WHEN {out} THEN {v} ELSE {new_peak} END",
+        "top": f"CASE WHEN {seek} THEN CASE WHEN {v} >= {peak} AND {v} - {peak} > {rise}::FLOAT THEN {at} ELSE {top} END WHEN {out} THEN -1 ELSE {new_top} END",
+        "peak": f"CASE WHEN {seek} THEN CASE WHEN {v} < {peak} OR {v} - {peak} > {rise}::FLOAT THEN {v} ELSE {peak} END WHEN {out} THEN {v} ELSE {new_peak} END",
         "good": f"CASE WHEN {seek} OR {out} THEN false ELSE {now_good} END",
         "silent": f"(NOT ({seek}) AND {new_peak} > {level}::FLOAT)",
         "new_top": new_top,
     }
 
 
-#: The two detectors, sample by sample.  ``k``: the short one's state, ``m``: the long one's.
-_S = _step("s3", "ktop", "kpeak", "kgood", 1.4, 3)
-_L = _step("s6", "mtop2", "mpeak2", "mgood2", 9.0, 6)
-_EVENTS = f"""WITH RECURSIVE {base.SAMPLES},
+def _events_sql(o: events.DetectorOptions) -> str:
+    """The two detectors, sample by sample.  ``k``: the short one's state, ``m``: the long one's."""
+    w1, w2 = o.short_width, o.long_width
+    _S, _L = _step("s3", "ktop", "kpeak", "kgood", o.short_threshold, w1, o.peak_height), _step("s6", "mtop2", "mpeak2", "mgood2", o.long_threshold, w2, o.peak_height)
+    return f"""WITH RECURSIVE {base.SAMPLES},
 x AS (SELECT read, i, {_PA} AS v, count(*) OVER (PARTITION BY read) AS n FROM samples),
 sums AS (SELECT read, 0::BIGINT AS i, 0::DOUBLE AS t, 0::DOUBLE AS q FROM x WHERE i = 0
          UNION ALL SELECT s.read, s.i + 1, s.t + x.v::DOUBLE, s.q + (x.v * x.v)::DOUBLE FROM sums s JOIN x ON x.read = s.read AND x.i = s.i),
-w3 AS {_window(3)}, w6 AS {_window(6)},
-st AS (SELECT x.read, x.i, x.n, CASE WHEN n >= 6 THEN coalesce(w3.s, 0::FLOAT) ELSE 0::FLOAT END AS s3, CASE WHEN n >= 12 THEN coalesce(w6.s, 0::FLOAT) ELSE 0::FLOAT END AS s6
+w3 AS {_window(w1)}, w6 AS {_window(w2)},
+st AS (SELECT x.read, x.i, x.n, CASE WHEN n >= {2 * w1} THEN coalesce(w3.s, 0::FLOAT) ELSE 0::FLOAT END AS s3, CASE WHEN n >= {2 * w2} THEN coalesce(w6.s, 0::FLOAT) ELSE 0::FLOAT END AS s6
        FROM x LEFT JOIN w3 ON w3.read = x.read AND w3.i = x.i LEFT JOIN w6 ON w6.read = x.read AND w6.i = x.i),
 run AS (SELECT read, 0::BIGINT AS i, -1::BIGINT AS ktop, 'infinity'::FLOAT AS kpeak, false AS kgood, -1::BIGINT AS mtop, 'infinity'::FLOAT AS mpeak, false AS mgood, 0::BIGINT AS blocked, NULL::BIGINT AS cut1, NULL::BIGINT AS cut2 FROM x WHERE i = 0
         UNION ALL
         SELECT read, i, ktop2, kpeak2, kgood2, CASE WHEN i <= blocked2 THEN mtop2 ELSE {_L['top']} END, CASE WHEN i <= blocked2 THEN mpeak2 ELSE {_L['peak']} END,
                CASE WHEN i <= blocked2 THEN mgood2 ELSE {_L['good']} END, blocked2, cut1, CASE WHEN i > blocked2 THEN {_L['out']} END
-        FROM (SELECT read, i, s6, {_S['top']} AS ktop2, {_S['peak']} AS kpeak2, {_S['good']} AS kgood2, {_S['out']} AS cut1, CASE WHEN {_S['silent']} THEN {_S['new_top']} + 3 ELSE blocked END AS blocked2,
+        FROM (SELECT read, i, s6, {_S['top']} AS ktop2, {_S['peak']} AS kpeak2, {_S['good']} AS kgood2, {_S['out']} AS cut1, CASE WHEN {_S['silent']} THEN {_S['new_top']} + {w1} ELSE blocked END AS blocked2,
                      CASE WHEN {_S['silent']} THEN -1 ELSE mtop END AS mtop2, CASE WHEN {_S['silent']} THEN 'infinity'::FLOAT ELSE mpeak END AS mpeak2, CASE WHEN {_S['silent']} THEN false ELSE mgood END AS mgood2
               FROM (SELECT r.read, r.i + 1 AS i, st.s3, st.s6, r.ktop, r.kpeak, r.kgood, r.mtop, r.mpeak, r.mgood, r.blocked FROM run r JOIN st ON st.read = r.read AND st.i = r.i + 1))),
 edges AS (SELECT read, 0::BIGINT AS place FROM x WHERE i = 0 UNION SELECT read, n FROM x UNION SELECT read, cut1 FROM run WHERE cut1 > 0 UNION SELECT read, cut2 FROM run WHERE cut2 > 0),
@@ -385,6 +406,7 @@ e AS (SELECT a.read, s.place AS start, (s.upto - s.place)::FLOAT AS length, (b.t
       FROM spans s JOIN sums a ON a.read = s.read AND a.i = s.place JOIN sums b ON b.read = s.read AND b.i = s.upto)
 SELECT 'u' || read AS read_id, start, length::DOUBLE AS length, mean::DOUBLE AS mean, (sqrt(greatest(sq - mean * mean, 0::FLOAT))::FLOAT)::DOUBLE AS stdv FROM e"""
 
+
 _BAND = f"""WITH RECURSIVE {base.SAMPLES}, x AS (SELECT read, i, greatest(0, least(1200, raw % 1000)) AS v FROM samples),
 run AS (SELECT read, -1::BIGINT AS i, -1::BIGINT AS start, 0 AS length, 0 AS spent, 0 AS trail, 5 AS width, []::BIGINT[] AS xs, []::BIGINT[] AS ys FROM x WHERE i = 0
         UNION ALL
@@ -448,6 +470,12 @@ r AS (SELECT vec_id, ref, strand, x, y, 1 AS i, list_transform(range(0, {MAP_COL
 last AS (SELECT vec_id, ref, strand, len(x) AS n, row FROM r WHERE i = len(x))"""
 
 
+_SPANS = """, steps AS (SELECT vec_id, i, j, lag(i) OVER w AS before FROM path WINDOW w AS (PARTITION BY vec_id ORDER BY i, j)),
+spans AS (SELECT vec_id, j, min(i) FILTER (before IS NULL OR before <> i) AS a, max(i) FILTER (before IS NULL OR before <> i) AS b, bool_or(before = i) AS stays FROM steps GROUP BY vec_id, j),
+-- A base that is entered without a new event has none, unless events follow at it.
+held AS (SELECT vec_id, j, a, b, row_number() OVER (PARTITION BY vec_id ORDER BY j) AS k FROM spans WHERE a IS NOT NULL),
+gaps AS (SELECT *, j - lag(j) OVER w - 1 AS missing, a - lag(b) OVER w - 1 AS between FROM held WINDOW w AS (PARTITION BY vec_id ORDER BY j))"""
+
 ORACLE = {
     "container_fetch": f"WITH {_READ_ROWS} SELECT * FROM summed WHERE user IN (SELECT c_custkey FROM customer)",
     "container_ids": f"WITH {_READ_ROWS} SELECT read_id, 1::BIGINT AS records FROM summed",
@@ -499,19 +527,27 @@ SELECT read, CAST(max(i) OVER p - i AS INT) AS i, CASE WHEN stddev_pop(raw) OVER
 chunks AS (SELECT vec_id, ref, strand, j // n AS chunk, min(c) AS score, arg_min(j, c * 1000 + j) AS pos_end, arg_min(b, c * 1000 + j) AS pos_st FROM cells GROUP BY vec_id, ref, strand, j // n),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY score, ref DESC, strand DESC, chunk DESC) - 1 AS INT) AS place FROM chunks)
 SELECT vec_id, place, score, CAST(ref AS INT) AS ref_idx, strand, CAST(pos_end AS INT) AS pos_end, CASE WHEN place = 0 THEN CAST(pos_st AS INT) END AS pos_st FROM ranked WHERE place < 5""",
+    "map_rows": _candidates_sql(True)
+    + f""", cells AS (SELECT vec_id, ref, strand, n, CAST(j AS INT) AS j, row[j + 1].c AS c, row[j + 1].b AS b FROM (SELECT *, unnest(range(0, {MAP_COLUMNS})) AS j FROM last)),
+chunks AS (SELECT vec_id, ref, strand, n, j // n AS chunk, min(c) AS score, arg_min(j, c * 1000 + j) AS pe, arg_min(b, c * 1000 + j) AS ps FROM cells GROUP BY vec_id, ref, strand, n, j // n),
+ranked AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS second FROM chunks WINDOW w AS (PARTITION BY vec_id ORDER BY score, ref DESC, strand DESC, chunk DESC)),
+lifted AS (SELECT *, CAST(CASE strand WHEN '-' THEN {MAP_COLUMNS} - pe ELSE ps END + 7 * ref AS INT) AS st, CAST(CASE strand WHEN '-' THEN {MAP_COLUMNS} - ps ELSE pe END + 7 * ref AS INT) AS en FROM ranked WHERE place = 1),
+hits AS (SELECT 'v' || vec_id AS rid, 900 AS qlen, CAST(vec_id % 50 AS INT) AS query_start, CAST(vec_id % 50 + 640 AS INT) AS query_end, strand, 'c' || ref AS tid, {MAP_COLUMNS + 4} AS tlen, st AS target_start, en AS target_end,
+                CAST(round((en - st) - score::DOUBLE * (en - st) / (n - 1)) AS INT) AS n_residue, en - st AS block_len,
+                CAST(CASE WHEN second IS NULL OR score = 0 AND second > 0 THEN 60 WHEN score = 0 THEN 0 ELSE least(60, round(500.0::DOUBLE * (second - score) / score)) END AS INT) AS mapq, 'P' AS tp, score::DOUBLE AS d1, second::DOUBLE AS d2 FROM lifted)
+SELECT *, concat_ws(chr(9), rid, qlen, query_start, query_end, strand, tid, tlen, target_start, target_end, n_residue, block_len, mapq, 'tp:A:P', printf('d1:f:%.2f', d1), printf('d2:f:%.2f', d2)) AS line FROM hits""",
     "map_candidates_std": _candidates_sql(False) + f" SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY row[{MAP_COLUMNS}].c, ref DESC) - 1 AS INT) AS place, row[{MAP_COLUMNS}].c AS score, CAST(ref AS INT) AS ref_idx FROM last",
     "warp_paths": _paths_sql(True) + " SELECT vec_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM path",
     "warp_paths_std": _paths_sql(False) + " SELECT vec_id, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM path",
-    "signal_strings": _paths_sql(True)
-    + """, steps AS (SELECT vec_id, i, j, lag(i) OVER w AS before FROM path WINDOW w AS (PARTITION BY vec_id ORDER BY i, j)),
-spans AS (SELECT vec_id, j, min(i) FILTER (before IS NULL OR before <> i) AS a, max(i) FILTER (before IS NULL OR before <> i) AS b, bool_or(before = i) AS stays FROM steps GROUP BY vec_id, j),
--- A base that is entered without a new event has none, unless events follow at it.
-held AS (SELECT vec_id, j, a, b, row_number() OVER (PARTITION BY vec_id ORDER BY j) AS k FROM spans WHERE a IS NOT NULL),
-gaps AS (SELECT *, j - lag(j) OVER w - 1 AS missing, a - lag(b) OVER w - 1 AS between FROM held WINDOW w AS (PARTITION BY vec_id ORDER BY j))
+    "signal_strings": _paths_sql(True) + _SPANS + """
 SELECT vec_id, string_agg(CASE WHEN missing > 0 THEN missing || 'D' ELSE '' END || CASE WHEN between > 0 THEN between * 10 || 'I' ELSE '' END || (b - a + 1) * 10 || ',', '' ORDER BY j) AS ss FROM gaps GROUP BY vec_id""",
+    # What follows a base in the reversed query stands before it in the read.
+    "signal_strings_rna": _paths_sql(True) + _SPANS + """
+SELECT vec_id, string_agg((b - a + 1) * 10 || ',' || CASE WHEN missing > 0 THEN missing || 'D' ELSE '' END || CASE WHEN between > 0 THEN between * 10 || 'I' ELSE '' END, '' ORDER BY j DESC) AS ss FROM gaps GROUP BY vec_id""",
 }
 #: SQL of queries that ``queries`` holds.
 ORACLE["map_candidates_tiled"] = ORACLE["map_candidates"]
-base.ORACLE["events_detect"] = _EVENTS
+ORACLE["events_detect_rna"] = _events_sql(events.RNA)
+base.ORACLE["events_detect"] = _events_sql(events.DNA)
 base.ORACLE["band_segments"] = _BAND
 base.ORACLE["adaptor_segments"] = _ADAPTOR
