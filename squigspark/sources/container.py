@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 from ..schemas import RAW_RECORD, READ, READ_GROUP, RECORD_INDEX
-from .codecs import RECORD_CODECS, SIGNAL_CODECS, codec_number, compress, decompress
+from .codecs import RECORD_CODECS, SIGNAL_CODECS, codec_number, compress, decompress, pack_signals, unpack_signals
 
 #: Fixed values of the format.
 TEXT_FILE, BINARY_FILE = ".slow5", ".blow5"
@@ -253,10 +253,10 @@ def decode_text(line: str, h: Header, columns: frozenset[str] | None = None) ->
     return tuple(row)
 
 
-def decode_binary(data: bytes, h: Header, wanted: set[str] | None = None, columns: frozenset[str] | None = None) -> tuple | None:
+def decode_binary(data: bytes, h: Header, wanted: set[str] | None = None, columns: frozenset[str] | None = None, packed: bool = False) -> tuple | None:
     """The row of a record; None if its id isn't wanted (then nothing but the id is decoded).
 
-    Columns that aren't asked for are stepped over and left null.
+    Columns that aren't asked for are stepped over and left null.  With ``packed`` a compressed signal stays as it is.
     """
     data = decompress(data, h.record_codec)
     (n,) = struct.unpack_from("<H", data)
@@ -270,7 +270,7 @@ def decode_binary(data: bytes, h: Header, wanted: set[str] | None = None, column
         signal = np.frombuffer(data, "<i2", int(size), at)
         at += 2 * size
     else:
-        signal = None if skipped else np.frombuffer(decompress(data[at : at + size], h.signal_codec), "<i2")
+        signal = None if skipped else data[at : at + size] if packed else np.frombuffer(decompress(data[at : at + size], h.signal_codec), "<i2")
         at += size
     row = [read_id, group, *cal, None if signal is None else len(signal), signal]
     for a in h.aux:
@@ -346,10 +346,12 @@ def encode_text(row: tuple, h: Header) -> bytes:
     return ("\t".join(out) + "\n").encode()
 
 
-def encode_binary(row: tuple, h: Header) -> bytes:
+def encode_binary(row: tuple, h: Header, packed: bytes | None = None) -> bytes:
+    """A record; ``packed``: its signal, if that is compressed already."""
     read_id = row[0].encode()
-    signal = np.ascontiguousarray(row[7], dtype="<i2").tobytes()
-    packed = signal if h.signal_codec == "none" else compress(signal, h.signal_codec)
+    if packed is None:
+        signal = np.ascontiguousarray(row[7], dtype="<i2").tobytes()
+        packed = signal if h.signal_codec == "none" else compress(signal, h.signal_codec)
     out = [struct.pack("<H", len(read_id)), read_id, struct.pack("<IddddQ", row[1], *row[2:6], len(row[7]) if h.signal_codec == "none" else len(packed)), packed]
     for a, v in zip(h.aux, row[8:], strict=True):
         _, code, missing = AUX[a.kind]
@@ -637,6 +639,7 @@ class SignalReader(DataSourceReader):
 
     def rows(self, part: Range) -> Iterator[tuple]:
         places, binary = None, part.path.endswith(BINARY_FILE)
+        waiting, held = [], 0
         for h, data in self.records(part):
             if self.raw:
                 read_id = None
@@ -649,11 +652,20 @@ class SignalReader(DataSourceReader):
                 have = {n: i for i, n in enumerate([*READ.names, *[a.name for a in h.aux]])}
                 places = [have.get(n, -1) for n in self.names]
             if binary:
-                row = decode_binary(data, h, self.wanted, self.columns)
+                row = decode_binary(data, h, self.wanted, self.columns, h.signal_codec == "svb-zd")
             else:
                 row = decode_text(data.decode(), h, self.columns) if self.wanted is None or data.split(b"\t", 1)[0].decode() in self.wanted else None
-            if row is not None:
-                yield tuple(row[p] if p >= 0 else None for p in places)
+            if row is None:
+                continue
+            if binary and isinstance(row[7], bytes):
+                waiting.append(row)
+                held += len(row[7])
+                if held > 1 << 20 or len(waiting) == 4096:
+                    yield from unpacked(waiting, places)
+                    waiting, held = [], 0
+                continue
+            yield tuple(row[p] if p >= 0 else None for p in places)
+        yield from unpacked(waiting, places)
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -673,6 +685,13 @@ class SignalReader(DataSourceReader):
             yield rows_batch(rows, kind)
 
 
+def unpacked(rows: list[tuple], places: list[int] | None) -> Iterator[tuple]:
+    """Rows with packed signals, which are unpacked together."""
+    for row, signal in zip(rows, unpack_signals([r[7] for r in rows]), strict=True):
+        full = (*row[:6], len(signal), signal, *row[8:])
+        yield tuple(full[p] if p >= 0 else None for p in places)
+
+
 def rows_batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
     """Signals are joined as arrays, so no sample becomes a Python number."""
 
@@ -768,6 +787,12 @@ class SignalWriter(DataSourceArrowWriter):
             return
         signal = READ.names.index("raw_signal")
         columns = [signal_slices(c) if i == signal else c.to_pylist() for i, c in enumerate(batch.columns)]
+        if self.binary and self.header.signal_codec == "svb-zd":
+            for at in range(0, batch.num_rows, 4096):
+                rows = [without_nulls(r) for r in zip(*(c[at : at + 4096] for c in columns), strict=True)]
+                for row, packed in zip(rows, pack_signals([np.asarray(r[7], np.int16) for r in rows]), strict=True):
+                    yield row[0], encode_binary(row, self.header, packed)
+            return
         encode = encode_binary if self.binary else encode_text
         for row in map(without_nulls, zip(*columns, strict=True)):
             yield row[0], encode(row, self.header)

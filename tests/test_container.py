@@ -7,7 +7,7 @@ from pyspark.sql.datasource import EqualTo, In
 
 from squigspark.plans.jobs import convert_job
 from squigspark.schemas import RAW_RECORD, READ
-from squigspark.sources import container
+from squigspark.sources import codecs, container
 
 
 def reads(spark, ids, **columns):
@@ -150,3 +150,14 @@ def test_record_ids_from_the_head_of_a_record():
         h.record_codec = codec
         row = ("an id", 0, 1.0, 2.0, 3.0, 4.0, 50_000, np.arange(50_000, dtype=np.int16))
         assert container.record_id(container.encode_binary(row, h)[8:], codec) == "an id"
+
+
+def test_many_signals_are_packed_as_one_is():
+    rng = np.random.default_rng(2)
+    signals = [rng.integers(-(2**15), 2**15, int(n)).astype(np.int16) if k % 3 else np.cumsum(rng.integers(-3, 4, int(n))).astype(np.int16) for k, n in enumerate(rng.integers(0, 40, 200))]
+    for some in (signals, [], [np.zeros(0, np.int16)] * 3, signals[:1]):
+        packed = codecs.pack_signals(some)
+        assert packed == [codecs.pack_signal(x) for x in some]
+        assert all(np.array_equal(a, b) for a, b in zip(codecs.unpack_signals(packed), some, strict=True))
+    with pytest.raises(ValueError, match="controls"):
+        codecs.unpack_signals([codecs.pack_signal(signals[1]), codecs.pack_signal(signals[2])[:-1]])
