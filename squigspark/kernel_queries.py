@@ -19,6 +19,7 @@ from .options import MapOptions, is_rna, model_choice, pore_of
 from .plans.jobs import convert_job
 from .queries import DIGITISATION, OFFSET, RANGE, table
 from .schemas import READ
+from .scratch import spread
 from .sources import container
 from .sources.tables import read_bed, read_fasta, read_fasta_parts, read_kmer_model
 
@@ -246,6 +247,16 @@ def ref_zscore_global(spark, d):
     return levels.withColumn("z", F.round(F.col("z").cast("double"), 3))
 
 
+def ref_tiles(spark, d):
+    """Levels made from contigs in parts of 40 letters, both strands, at their columns."""
+    whole = base.contigs(spark, d)
+    cuts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(40)))
+    parts = whole.filter("seq is not null").select("ref_idx", "name", "seq", cuts.alias("start")).select("ref_idx", "name", (F.col("start") / 40).cast("int").alias("part"), "start", F.substring("seq", F.col("start") + 1, F.lit(40)).alias("seq"))
+    tiles = reference.tiles_of_parts(parts, reference.model_from_rule(spark, base.K), base.K, normalise="none")
+    rows = tiles.select("ref_idx", "strand", "ref_len", "seq_len", "column", F.posexplode("levels").alias("at", "level"))
+    return rows.select("ref_idx", "strand", "ref_len", "seq_len", (F.col("column") + F.col("at")).alias("i"), F.col("level").cast("int").alias("level"))
+
+
 def ref_inverted(spark, d):
     levels = base._levels(spark, d, rna=True, full=True, invert=True, normalise="none")
     return levels.select("ref_idx", F.posexplode("levels").alias("i", "level")).withColumn("level", F.col("level").cast("int"))
@@ -259,7 +270,7 @@ def query_reversed(spark, d):
 
 def _vectors(spark, d) -> DataFrame:
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("float"))
-    return table(spark, d, "embeddings").select("vec_id", x.alias("query")).repartition(spark.sparkContext.defaultParallelism)
+    return spread(table(spark, d, "embeddings").select("vec_id", x.alias("query")))
 
 
 MAP_COLUMNS = 150
@@ -344,7 +355,7 @@ def events_detect_rna(spark, d):
 
 FUNCTIONS = [
     container_fetch, container_ids, container_split, container_convert, container_pruned, container_attributes, container_columns, container_copied, container_blocks, container_lookup, container_header, container_types, fasta_records, fasta_parts, kmer_model_file, bed_regions, sam_header_lines, eval_report, numbers_from_text,
-    base_functions, small_functions, experiment_kinds, model_choices, ref_zscore_global, ref_inverted, query_reversed, map_candidates, map_candidates_tiled, map_candidates_std, map_rows, warp_paths, warp_paths_std, signal_strings, signal_strings_rna, events_detect_rna,
+    base_functions, small_functions, experiment_kinds, model_choices, ref_zscore_global, ref_tiles, ref_inverted, query_reversed, map_candidates, map_candidates_tiled, map_candidates_std, map_rows, warp_paths, warp_paths_std, signal_strings, signal_strings_rna, events_detect_rna,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 
@@ -547,6 +558,7 @@ SELECT vec_id, string_agg((b - a + 1) * 10 || ',' || CASE WHEN missing > 0 THEN
 }
 #: SQL of queries that ``queries`` holds.
 ORACLE["map_candidates_tiled"] = ORACLE["map_candidates"]
+ORACLE["ref_tiles"] = base.ORACLE["ref_levels"]
 ORACLE["events_detect_rna"] = _events_sql(events.RNA)
 base.ORACLE["events_detect"] = _events_sql(events.DNA)
 base.ORACLE["band_segments"] = _BAND

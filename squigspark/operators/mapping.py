@@ -255,7 +255,7 @@ def best(candidates: list[dict], k: int) -> list[dict]:
     return sorted(candidates, key=lambda c: (c["score"], -c["seq"]))[:k]
 
 
-def with_candidates(queries: DataFrame, refs: DataFrame, opt: MapOptions, tiles: DataFrame | None = None) -> DataFrame:
+def with_candidates(queries: DataFrame, refs: DataFrame | None, opt: MapOptions, tiles: DataFrame | None = None) -> DataFrame:
     """Reads with ``candidates``, best first, of which the best has its start.
 
     Blocks of whole references are walked by many queries at once.  A reference longer than a tile is walked tile by tile,
@@ -318,7 +318,7 @@ def mapped_rows(found: DataFrame) -> DataFrame:
 PAF_COLUMNS = ["rid", "qlen", "query_start", "query_end", "strand", "tid", "tlen", "target_start", "target_end", "n_residue", "block_len", "mapq", "tp", "d1", "d2"]
 
 
-def with_signal_string(rows: DataFrame, refs: DataFrame, opt: MapOptions, tiles: DataFrame | None = None) -> DataFrame:
+def with_signal_string(rows: DataFrame, refs: DataFrame | None, opt: MapOptions, tiles: DataFrame | None = None) -> DataFrame:
     """Mapped rows with ``ss``: how the signal maps to the bases.
 
     Only the winning pair's matrix is made, of the columns from the hit's start to its end; those of several tiles
@@ -365,8 +365,8 @@ def counters() -> list[Column]:
     return [F.count(F.lit(1)).alias("reads"), *map(of, ("prefix_fail", "ignored", "too_short", "no_signal")), F.coalesce(2 * F.sum("qlen"), F.lit(0)).alias("bytes")]
 
 
-def map_reads(reads: DataFrame, refs: DataFrame, opt: MapOptions = MapOptions(), observation: Observation | None = None) -> DataFrame:
-    """PAF rows (and ``ss`` for SAM) of ``reads`` against synthetic references.
+def map_reads(reads: DataFrame, refs: DataFrame | None, opt: MapOptions = MapOptions(), observation: Observation | None = None, tiles: DataFrame | None = None) -> DataFrame:
+    """PAF rows (and ``ss`` for SAM) of ``reads`` against synthetic references, whole ones or stored ``tiles``.
 
     An ``observation`` gets the ``counters`` when the rows are first computed, without a pass of its own.
     """
@@ -380,7 +380,7 @@ def map_reads(reads: DataFrame, refs: DataFrame, opt: MapOptions = MapOptions(),
     if observation is not None:
         framed = framed.observe(observation, *counters())
     queries = with_span(framed).select("read_id", "qlen", "q0", "q1", "query", "query_start", "query_end", *["events"] * opt.sam)
-    tiles = stored_tiles(refs, opt)
+    tiles = stored_tiles(refs, opt) if tiles is None else tiles
     rows = mapped_rows(with_candidates(queries, refs, opt, tiles))
     if opt.sam:
         return with_signal_string(rows, refs, opt, tiles).select(*PAF_COLUMNS, "n_events", "ss")

@@ -10,12 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.arrays import zscore
 from ..functions.bases import MOST_KMERS, rank_lists, reverse_complement, u_to_t
+from ..scratch import scratch
 
 
 def model_levels(model: DataFrame) -> np.ndarray:
@@ -87,12 +89,60 @@ def with_global_score(refs: DataFrame) -> DataFrame:
     Each row's moments are merged in one aggregate, whose single row goes back to all rows.
     """
     own = refs.select(moments("levels").alias("p")).select("p.n", "p.m", "p.m2")
+    joined = refs.withColumn("__one", F.lit(1)).join(F.broadcast(merged_moments(own.groupBy()).withColumn("__one", F.lit(1))), "__one", "left")  # one row
+    return joined.withColumn("levels", scored_levels()).select(*refs.columns)
+
+
+def merged_moments(own: GroupedData) -> DataFrame:
+    """``__mean`` and ``__deviation`` of each group of rows (n, m, m2)."""
     sums = own.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("nm"), F.sum("m2").alias("m2"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("nmm"))
     mean = F.col("nm") / F.col("n")
-    merged = sums.select(mean.alias("__mean"), F.sqrt(F.greatest((F.col("m2") + F.col("nmm") - F.col("n") * mean * mean) / F.col("n"), F.lit(0.0))).alias("__deviation"), F.lit(1).alias("__one"))
-    scored = F.transform("levels", lambda v: F.when(F.col("__deviation") > 0, ((v.cast("double") - F.col("__mean")) / F.col("__deviation")).cast("float")))
-    joined = refs.withColumn("__one", F.lit(1)).join(F.broadcast(merged), "__one", "left")  # one row
-    return joined.withColumn("levels", scored).select(*refs.columns)
+    deviation = F.sqrt(F.greatest((F.col("m2") + F.col("nmm") - F.col("n") * mean * mean) / F.col("n"), F.lit(0.0)))
+    return sums.withColumns({"__mean": mean, "__deviation": deviation}).drop("n", "nm", "m2", "nmm")
+
+
+def scored_levels() -> Column:
+    return F.transform("levels", lambda v: F.when(F.col("__deviation") > 0, ((v.cast("double") - F.col("__mean")) / F.col("__deviation")).cast("float")))
+
+
+#: Moments of so many contigs and strands are broadcast; those of more are joined.
+MOST_BROADCAST = 200_000
+
+
+def tiles_of_parts(parts: DataFrame, model: DataFrame, k: int, both_strands: bool = True, invert: bool = False, normalise: str = "strand", rna_letters: bool = False) -> DataFrame:
+    """Contigs in parts (ref_idx, name, part, start, seq) as tiles of levels, stored once: (seq, ref_idx, strand, name, ref_len, seq_len, st_offset, column, width, levels).
+
+    A part's k-mers reach k - 1 letters into those after it; only these letters and lengths pass a window by contig.
+    Levels are made part by part, and scored by moments in double precision that are merged over a contig's (or all) tiles
+    as tiles are read, so no task holds a contig.
+    """
+    spark = parts.sparkSession
+    seq = u_to_t("seq") if rna_letters else F.col("seq")
+    known = parts.select("ref_idx", "name", "part", "start", seq.alias("seq"))
+    narrow = known.select("ref_idx", "part", F.substring("seq", 1, k - 1).alias("head"), F.length("seq").alias("n"))
+    after, all_of = Window.partitionBy("ref_idx").orderBy("part"), Window.partitionBy("ref_idx")
+    heads = [F.coalesce(F.lead("head", i).over(after), F.lit("")) for i in range(1, k)]
+    tails = narrow.select("ref_idx", "part", F.substring(F.concat(F.lit(""), *heads), 1, k - 1).alias("tail"), F.sum("n").over(all_of).alias("bases"))
+    rows = known.join(tails, ["ref_idx", "part"]).withColumn("letters", F.concat("seq", "tail")).withColumn("width", (F.length("letters") - (k - 1)).cast("int")).filter("width > 0")
+    ref_len = F.col("bases") - (k - 1)
+    mirrored = ref_len - F.col("start") - F.col("width")
+    strand = lambda s, x, column: F.struct(F.lit(s).alias("strand"), x.alias("letters"), column.alias("column"))
+    strands = [strand("+", F.col("letters"), mirrored if invert else F.col("start"))] + ([strand("-", reverse_complement("letters"), mirrored)] if both_strands else [])
+    fixed = [F.col("ref_idx").cast("int").alias("ref_idx"), "name", ref_len.cast("int").alias("ref_len"), F.col("bases").cast("int").alias("seq_len"), F.lit(0).alias("st_offset"), "width"]
+    placed = rows.select(*fixed, F.explode(F.array(*strands)).alias("s")).select("*", "s.strand", "s.letters", F.col("s.column").cast("int").alias("column")).drop("s")
+    leveled = with_levels(placed, model, k).drop("letters").withColumn("seq", 2 * F.col("ref_idx").cast("long") + (F.col("strand") == "-").cast("long"))
+    leveled = leveled.withColumn("levels", F.reverse("levels")) if invert else leveled
+    path = scratch(spark, "tiles")
+    leveled.sortWithinPartitions("seq", "column").write.parquet(path)
+    tiles = spark.read.parquet(path)
+    if normalise == "none":
+        return tiles
+    by = ["seq"] if normalise == "strand" else []
+    own = tiles.select("seq", moments("levels").alias("p")).select("seq", "p.n", "p.m", "p.m2")
+    scale = merged_moments(own.groupBy(*by)).withColumn("__one", F.lit(1))
+    scale = F.broadcast(scale) if scale.count() <= MOST_BROADCAST else scale
+    joined = tiles.withColumn("__one", F.lit(1)).join(scale, [*by, "__one"], "left")
+    return joined.withColumn("levels", scored_levels()).select(*tiles.columns)
 
 
 def model_from_rule(spark, k: int) -> DataFrame:

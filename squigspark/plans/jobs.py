@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.text import paf_line, sam_header, sam_line
 from ..operators.evaluate import EvalOptions, mapq_histogram, report_lines, summary
 from ..operators.mapping import map_reads
-from ..operators.reference import rna_part, synthetic_references
+from ..operators.reference import rna_part, synthetic_references, tiles_of_parts
 from ..options import MapOptions, is_rna, model_name, pore_of
 from ..sources.container import copy_records, list_files, open_headers, read_groups, read_signal, register, store_of
-from ..sources.tables import read_fasta, read_kmer_model, read_paf
+from ..sources.tables import PART_BASES, read_fasta, read_fasta_parts, read_kmer_model, read_paf
 
 
 def detect_options(spark: SparkSession, reads_path: str, **given) -> MapOptions:
@@ -44,8 +44,13 @@ def map_job(spark: SparkSession, fasta: str, reads: str, model: str, out: str, o
     SAM parts have no header; it is written beside them as ``header``, in order over its own part files.
     """
     register(spark)
-    refs, seen = references(spark, fasta, chosen_model(model, opt), opt), Observation("mapping")
-    rows = map_reads(read_signal(spark, reads), refs, opt, seen)
+    model, seen = chosen_model(model, opt), Observation("mapping")
+    if opt.rna and not opt.full_ref:  # short stretches of transcripts
+        rows = map_reads(read_signal(spark, reads), references(spark, fasta, model, opt), opt, seen)
+    else:
+        kmers = read_kmer_model(spark, model, opt.kmer_length)
+        tiles = tiles_of_parts(read_fasta_parts(spark, fasta, min(PART_BASES, opt.tile_columns)), kmers, opt.kmer_length, not opt.rna, opt.invert, rna_letters=opt.rna_letters)
+        rows = map_reads(read_signal(spark, reads), None, opt, seen, tiles)
     if not opt.sam:
         rows.select(paf_line().alias("value")).write.mode("overwrite").text(out)
         return seen.get

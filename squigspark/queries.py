@@ -17,7 +17,7 @@ from .functions import arrays, bases, text
 from .operators import dtw, evaluate, events, mapping, reference, segments, windows
 from .options import MapOptions
 from .schemas import READ
-from .scratch import scratch
+from .scratch import scratch, spread
 from .sources import codecs, container
 from .sources.tables import parse_paf
 
@@ -267,7 +267,8 @@ DTW_LEVELS = [(j * 37) % 101 * 5 - 250 for j in range(DTW_COLUMNS)]
 
 def _dtw(spark, d, subsequence: bool) -> DataFrame:
     x = F.transform("embedding", lambda v: F.floor(v.cast("double") * 1000).cast("long"))
-    vectors = table(spark, d, "embeddings").select("vec_id", x.alias("x")).repartition(spark.sparkContext.defaultParallelism)  # few rows, much work for each
+    vectors = table(spark, d, "embeddings").select("vec_id", x.alias("x"))
+    vectors = spread(vectors)  # few rows, much work for each
     rows = dtw.with_last_row(vectors, "x", DTW_LEVELS, subsequence)
     return rows.select("vec_id", F.transform("row", lambda c: c.cast("long")).alias("row"))  # whole numbers below 2^24: exact
 
@@ -381,7 +382,7 @@ def map_paf(spark, d):
     model = reference.model_from_rule(spark, K)
     items = table(spark, d, "benchmark").select(F.col("item_id").cast("int").alias("ref_idx"), F.concat(F.lit("b"), F.col("item_id")).alias("name"), letters("text").alias("seq"))
     refs = reference.synthetic_references(items, model, K)
-    docs = table(spark, d, "documents").select(F.col("doc_id"), letters("text").alias("seq")).repartition(spark.sparkContext.defaultParallelism)
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id"), letters("text").alias("seq")))
     levels = reference.with_levels(docs, model, K, "seq", "l").filter(F.size("l") > 0)
     steady = F.flatten(F.transform("l", lambda p: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (p * 5 + (j * 7) % 5 - 2).cast("smallint"))))
     reads = levels.select(F.concat(F.lit("d"), F.col("doc_id")).alias("read_id"), F.lit(1.0).alias("digitisation"), F.lit(0.0).alias("offset"), F.lit(0.2).alias("range"), steady.alias("raw_signal"))

@@ -283,6 +283,30 @@ def test_tiles_give_the_same(spark, options, width):
     assert a == b and len(a) == 6
 
 
+@pytest.mark.parametrize("size", [3, 50, 1000])
+def test_tiles_from_parts_of_contigs(spark, size):
+    """Levels of parts, shorter ones than a k-mer too, are those of whole contigs; reads map alike."""
+    reads_, refs, contigs = planted(spark)
+    rows = [(r.ref_idx, r.name, k, at, r.seq[at : at + size]) for r in contigs.collect() for k, at in enumerate(range(0, 400, size))] + [(7, "short", 0, 0, "ACG"), (8, "none", 0, 0, ""), (9, "flat", 0, 0, "AAAAA"), (9, "flat", 1, 5, "A")]
+    parts = spark.createDataFrame(rows, "ref_idx int, name string, part long, start long, seq string")
+    model = reference.model_from_rule(spark, 5)
+    for normalise in ("strand", "global", "none"):
+        tiles = reference.tiles_of_parts(parts, model, 5, normalise=normalise).collect()
+        whole = {(r.ref_idx, r.strand): r.levels for r in reference.synthetic_references(contigs.unionByName(spark.createDataFrame([(9, "flat", "AAAAAA")], "ref_idx int, name string, seq string")), model, 5, normalise=normalise).collect()}
+        for key, levels in whole.items():
+            own = sorted((t.column, t.levels) for t in tiles if (t.ref_idx, t.strand) == key)
+            assert [c for c, _ in own] == [sum(len(x) for _, x in own[:i]) for i in range(len(own))]
+            got = [v for _, x in own for v in x]
+            assert [v is None for v in got] == [v is None for v in levels] and np.allclose([v or 0 for v in got], [v or 0 for v in levels], atol=1e-5)
+        assert {t.ref_idx for t in tiles} == {0, 1, 2, 9}
+    opt = MapOptions(prefix=5, query=60, reference_bytes=2000)
+    near = ["rid", "strand", "tid", "target_start", "target_end", "query_start", "query_end"]
+    if size > 3:
+        tiles = reference.tiles_of_parts(parts.filter("ref_idx < 3"), model, 5)
+        a, b = (sorted(map(tuple, df.select(*near).collect())) for df in (mapping.map_reads(reads_, refs, opt), mapping.map_reads(reads_, None, opt, tiles=tiles)))
+        assert a == b
+
+
 def test_candidates_over_tiles_with_ties(spark):
     rng = np.random.default_rng(6)
     levels = [float(x) for x in rng.integers(0, 3, 90)]
