@@ -16,7 +16,7 @@ from . import queries as base
 from .functions import arrays, bases, text
 from .operators import dtw, evaluate, events, mapping, reference, segments
 from .options import MapOptions, is_rna, model_choice, pore_of
-from .plans.jobs import convert_job
+from .plans.jobs import convert_job, detect_options, map_job
 from .queries import DIGITISATION, OFFSET, RANGE, table
 from .schemas import READ
 from .scratch import spread
@@ -316,6 +316,27 @@ def map_rows(spark, d):
     return rows.select(*[F.col(c).cast("double").alias(c) if c in ("d1", "d2") else F.col(c) for c in mapping.PAF_COLUMNS], text.paf_line().alias("line"))
 
 
+def map_job_lines(spark, d):
+    """The whole job from files to files: documents as reads of a container, items as a FASTA file, a model file; mapping lines and what was counted."""
+    folder, k = base._scratch(spark), 6
+    letters = lambda c: F.regexp_replace(F.upper(c), "[^ACGT]", "")
+    items = table(spark, d, "benchmark").select(F.concat(F.lit(">b"), F.col("item_id"), F.lit("\n"), letters("text")).alias("value"))
+    items.write.text(f"{folder}/contigs")
+    model = reference.model_from_rule(spark, k)
+    lines = model.select(F.concat_ws("\t", "kmer", F.format_string("%.2f", "level_mean"), F.format_string("%.2f", "level_stdv")).alias("value"), "rank")
+    head = spark.createDataFrame([(f"#k\t{k}", -1)], "value string, rank int")
+    head.unionByName(lines).repartition(1).sortWithinPartitions("rank").select("value").write.text(f"{folder}/model")
+    docs = spread(table(spark, d, "documents").select("doc_id", letters("text").alias("seq")))
+    levels = reference.with_levels(docs, model, k, "seq", "l").filter(F.size("l") > 0)
+    steady = F.flatten(F.transform("l", lambda p: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (p * 5 + (j * 7) % 5 - 2).cast("smallint"))))
+    fixed = {"read_id": F.concat(F.lit("d"), F.col("doc_id")), "read_group": F.lit(0).cast("long"), "digitisation": F.lit(1.0), "offset": F.lit(0.0), "range": F.lit(0.2), "sampling_rate": F.lit(4000.0), "len_raw_signal": F.size(steady).cast("long"), "raw_signal": steady}
+    container.register(spark)
+    levels.select(*[c.alias(n) for n, c in fixed.items()]).write.format("signal").mode("append").option("attr.experiment_type", "genomic_dna").save(f"{folder}/reads")
+    opt = detect_options(spark, f"{folder}/reads", prefix=0, query=60)
+    seen = map_job(spark, f"{folder}/contigs", f"{folder}/reads", f"{folder}/model", f"{folder}/out", opt)
+    return spark.read.text(f"{folder}/out").select("value", F.lit(seen["reads"]).alias("reads"), F.lit(seen["ignored"]).alias("ignored"))
+
+
 def warp_paths(spark, d):
     return dtw.with_path(_vectors(spark, d), "query", base.DTW_LEVELS).select("vec_id", F.explode("path").alias("p")).select("vec_id", "p.i", "p.j")
 
@@ -355,7 +376,7 @@ def events_detect_rna(spark, d):
 
 FUNCTIONS = [
     container_fetch, container_ids, container_split, container_convert, container_pruned, container_attributes, container_columns, container_copied, container_blocks, container_lookup, container_header, container_types, fasta_records, fasta_parts, kmer_model_file, bed_regions, sam_header_lines, eval_report, numbers_from_text,
-    base_functions, small_functions, experiment_kinds, model_choices, ref_zscore_global, ref_tiles, ref_inverted, query_reversed, map_candidates, map_candidates_tiled, map_candidates_std, map_rows, warp_paths, warp_paths_std, signal_strings, signal_strings_rna, events_detect_rna,
+    base_functions, small_functions, experiment_kinds, model_choices, ref_zscore_global, ref_tiles, ref_inverted, query_reversed, map_candidates, map_candidates_tiled, map_candidates_std, map_rows, map_job_lines, warp_paths, warp_paths_std, signal_strings, signal_strings_rna, events_detect_rna,
 ]
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 

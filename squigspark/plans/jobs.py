@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyarrow.fs import FileType
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +33,10 @@ def references(spark: SparkSession, fasta: str, model: str, opt: MapOptions) ->
 
 
 def chosen_model(model: str, opt: MapOptions) -> str:
-    """A model file as it is; of a folder of models the one that the pore and the kind of molecule take."""
+    """A model file, or a folder of its parts, as it is; of a folder of ``NAME.model`` files the one that the pore and the kind of molecule take."""
     store, at = store_of(model)
-    return posixpath.join(model, f"{model_name(opt.pore, opt.rna)}.model") if store.get_file_info(at).type == FileType.Directory else model
+    held = store.get_file_info(FileSelector(at)) if store.get_file_info(at).type == FileType.Directory else []
+    return posixpath.join(model, f"{model_name(opt.pore, opt.rna)}.model") if any(f.path.endswith(".model") for f in held) else model
 
 
 def map_job(spark: SparkSession, fasta: str, reads: str, model: str, out: str, opt: MapOptions) -> dict[str, int]:
