@@ -15,7 +15,7 @@ row that stays costs 5 more, blank rows and duplicates must go.  Roles count by
 3. For repaired turns and their digests the texts are streamed once more, behind their conversation's audit.
 
 A conversation is met in one task, as its audit and digest are single values, but only its codes, distances and
-audit are held (some 40 bytes a row), never its texts.
+audit are held (four distances of eight bytes a row, and what the search's buckets hold), never its texts.
 
 Defined results: null role and text are one space.  Rows with a null conversation are one conversation.  Gaps count
 missing turns between the least and the greatest, nulls aside.  An empty table gives an empty result.
