@@ -53,6 +53,7 @@ class ChunkTokenizer:
     #: Letters that lower-case to one letter of their own wherever they stand, then plain punctuation.
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\w\s'<|>\u0080-\U0010ffff]*)")
     GATHERED = 1 << 18  # chunks whose ids are copied at once
+    ENCODED = 1 << 12  # chunks that the tokenizer is given at once
 
     def __init__(self, path: str, remembered: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -98,12 +99,15 @@ class ChunkTokenizer:
         return np.where(at < 0, np.int32(-1), self.code[at])
 
     def _encode(self, chunks: list[str]) -> np.ndarray:
-        found = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        # The tokenizer's own records of a chunk take far more than its ids, so they are made some at a time.
+        parts = (chunks[at : at + self.ENCODED] for at in range(0, len(chunks), self.ENCODED))
+        found = [np.array(e.ids, dtype="<u4") for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         return self._store(np.concatenate(found), np.array([len(x) for x in found]))
 
     def _encode_words(self, words: list[str]) -> np.ndarray:
         # A word's last token closes it, so the ids of a joined list of words can be told apart.
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        parts = (" ".join(words[at : at + self.ENCODED]) for at in range(0, len(words), self.ENCODED))
+        ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids, dtype="<u4") for part in parts])
         ends = np.flatnonzero(self.closes[ids]) + 1
         return self._store(ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._encode(words)
 
@@ -178,7 +182,7 @@ def document_pieces(docs: DataFrame, cfg: PackingConfig, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = _tokenizer(cfg.tokenizer_path, cfg.remembered), np.array([cfg.end_id], dtype="<u4")
-        for batch in slices(batches, text, 8 << 20):
+        for batch in slices(batches, text):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), tokenizer.encode_many(batch.column(1)), strict=True):
                 ids = np.concatenate([ids, end])

@@ -52,6 +52,22 @@ def test_best_fit(lengths):
         windows[at[i]] += n
 
 
+def test_the_tokenizer_gets_few_chunks_at_once():
+    mine = packing.ChunkTokenizer(PATH, 1 << 20)
+    inner, sizes = mine.tokenizer, []
+
+    class Counting:
+        def encode_batch_fast(self, parts, **options):
+            sizes.append(max(len(parts), max(p.count(" ") + 1 for p in parts)))
+            return inner.encode_batch_fast(parts, **options)
+
+    mine.tokenizer = Counting()
+    words = [f"{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260 % 26)}{chr(97 + i // 6760)}" for i in range(10_000)]
+    text = " ".join([*words, *(f"{i}x" for i in range(10_000))])
+    (ids,) = mine.encode_many(pa.array([text]))
+    assert ids.tolist() == inner.encode(text, add_special_tokens=False).ids and max(sizes) <= 1 << 12
+
+
 def test_packing(spark, tokenizer):
     texts = [(1, "some words here"), (2, None), (3, ""), (4, "long text " * 5000), (5, "short"), (5, "short"), (None, "no id"), *[(10 + i, "w " * (i * 37)) for i in range(40)]]
     docs = spark.createDataFrame([(*t, 0, 1) for t in texts], "doc_id long, text string, offset int, start int")
