@@ -1,13 +1,16 @@
-"""Near-duplicates by the exact Jaccard similarity of sets of word shingles.
+"""Near-duplicates by SimHash and the exact Jaccard similarity of sets of word shingles.
 
 Shingles: A-Z lower-cased, words between ASCII white space, every run of ``words`` words (all words
 of a shorter text), as XXH64 values.  Two texts are linked if their sets' similarity is at least
 ``threshold``; one document of each connected group is kept.
 
-Candidates: ``rows`` MinHash values make a key and every set has ``bands`` keys.  A pair at the
-threshold shares none with probability (1 - threshold^rows)^bands, 5e-7 by default; nearer pairs are
-missed far more seldom still.  Sets that share a key are joined to the key's least set, which costs
-one row for each set and key however many meet, and the components of these edges are clusters.
+Candidates: SimHash fingerprints of the same shingles, repeats included, that differ in two bits at
+most, by the covering masks of ``simhash``.  A pair at the threshold may differ in more bits than a
+cover can reach; for these, ``rows`` MinHash values make a key and every set has ``bands`` keys.  A
+pair at the threshold shares none with probability (1 - threshold^rows)^bands, 5e-7 by default; nearer
+pairs are missed far more seldom still.  Sets that share a fingerprint or a key are joined to its least
+set, which costs one row for each set and key however many meet, and the components of these edges and
+of the fingerprints' links are clusters.
 
 Verification: each set goes once to its cluster, where all pairs are counted exactly over an
 inverted index.  Clusters of over ``block`` shingles or ``block_sets`` sets are cut into blocks, and
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, join_skewed, slices, texts
 from .components import connected_components
 from .embeddings import spanning
-from .simhash import SEED, signed
+from .simhash import SEED, fingerprint_links, fingerprint_of, shingle_hashes, signed
 
 
 @dataclass(frozen=True)
@@ -50,11 +53,7 @@ class JaccardConfig:
 
 def shingle_set(text: str, words: int) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
-    w = text.encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.zeros(0, dtype=np.uint64)
-    runs = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), dtype=np.uint64, count=max(1, len(w) - words + 1)))
+    return np.unique(shingle_hashes(text, words))
 
 
 def minhash_keys(s: np.ndarray, factors: np.ndarray, rows: int) -> np.ndarray:
@@ -87,18 +86,20 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], threshold: fl
 
 
 def with_sets(docs: DataFrame, cfg: JaccardConfig, key: str, text: str) -> DataFrame:
-    """(doc_id, row, node, n, keys): ``row`` names id and text, ``node`` the set of ``n`` shingles."""
+    """(doc_id, row, node, n, fp, keys): ``row`` names id and text, ``node`` the set of ``n`` shingles, ``fp`` is the text's fingerprint."""
     factors = np.random.default_rng(cfg.seed).integers(0, 1 << 31, cfg.bands * cfg.rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            sets = [shingle_set(t, cfg.words) for t in texts(batch, text)]
+            hashes = [shingle_hashes(t, cfg.words) for t in texts(batch, text)]
+            fp = [signed(fingerprint_of(h)) for h in hashes]
+            sets = [np.unique(h) for h in hashes]
             node = [signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets]
             keys = [minhash_keys(s, factors, cfg.rows) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "text_hash", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "text_hash", "node", "n", "fp", "keys"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), row_name(key, text).alias("row"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias(text))
-    return rows.mapInArrow(run, "doc_id long, row long, text_hash long, node long, n long, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, row long, text_hash long, node long, n long, fp long, keys array<long>")
 
 
 def row_name(key: str, text: str):
@@ -127,17 +128,34 @@ def components(edges: DataFrame, cfg: JaccardConfig) -> DataFrame:
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:
-    """(node, row, n, keys, best): one row for each set, however many documents have it; ``best`` is the one to keep."""
+    """(node, row, n, fps, keys, best): one row for each set, however many documents have it; ``best`` is the one to keep.
+
+    Texts of one set may repeat its shingles differently, so ``fps`` holds the least and the greatest of their fingerprints.
+    """
     best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row")).alias("best")
-    return rows.groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.any_value("keys").alias("keys"), best)
+    return rows.groupBy("node").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.array_distinct(F.array(F.min("fp"), F.max("fp"))).alias("fps"), F.any_value("keys").alias("keys"), best)
+
+
+def simhash_edges(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets whose fingerprints are equal or linked.
+
+    Equal fingerprints are joined to their least set; links are between such sets.
+    """
+    marked = cut(sets.select("node", F.explode("fps").alias("fp")))
+    hubs = cut(marked.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("sharing")))
+    equal = join_skewed(marked, hubs.filter("sharing > 1"), "fp", "sharing", "node").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    links = fingerprint_links(hubs.select("fp"))
+    ends = [hubs.select(F.col("fp").alias(side), F.col("hub").alias(f"{side}_hub")) for side in ("a", "b")]
+    near = links.join(ends[0], "a").join(ends[1], "b").select(F.col("a_hub").alias("a"), F.col("b_hub").alias("b"))
+    return equal.unionByName(near)
 
 
 def clusters(sets: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """(node, root) of the sets that share a key with another one."""
+    """(node, root) of the sets that SimHash links or that share a MinHash key with another one."""
     slim = sets.select("node", F.explode("keys").alias("k"))
     shared = slim.groupBy("k").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count("*").alias("sharing")).filter("hub < last")
     edges = join_skewed(slim, cut(shared.drop("last")), "k", "sharing", "node").filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    return components(edges, cfg)
+    return components(simhash_edges(sets).unionByName(edges), cfg)
 
 
 def similar_links(docs: DataFrame, distinct: DataFrame, cfg: JaccardConfig, key: str, text: str) -> DataFrame:

@@ -45,19 +45,28 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of a whole text."""
+def shingle_hashes(text: str, words: int = 3) -> np.ndarray:
+    """XXH64 values of a text's shingles, repeats included; none for a text without words."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, dtype="<u8")
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=max(1, len(w) - words + 1))
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8", count=max(1, len(w) - words + 1))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint of shingles' hashes."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words: int = 3) -> int:
+    """Unsigned 64-bit fingerprint of a whole text."""
+    return fingerprint_of(shingle_hashes(text, words))
+
+
 def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """(key, text_hash, fp): one row for each of ``docs``; fp is the fingerprint as a signed long."""
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from squigspark.llm import jaccard
+from squigspark.llm import jaccard, simhash
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -69,3 +69,17 @@ def test_the_stage_has_no_similar_documents_left(spark):
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == kept_ids(rows)
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_simhash_proposes_pairs_by_itself(spark):
+    """Without any MinHash key, texts whose fingerprints are equal or two bits apart are still compared, and only similar ones merged."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 300)) for _ in range(40)]
+    far = lambda a, b: (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count()
+    near = next((t, f"{t} end") for t in texts if 0 < far(t, f"{t} end") <= 2)
+    twice = f"{texts[0]} {texts[0]}"  # nearly the same set, each shingle twice
+    rows = [(1, near[0]), (2, near[1]), (3, texts[0]), (4, twice), *[(10 + i, t) for i, t in enumerate(texts[1:]) if t != near[0]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in jaccard.deduplicate(docs, jaccard.JaccardConfig(bands=0)).collect()}
+    linked = {(3, 4)} if far(texts[0], twice) <= 2 else set()
+    assert got == {i for i, _ in rows} - {2} - {b for _, b in linked}
