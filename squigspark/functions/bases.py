@@ -38,6 +38,20 @@ def kmer_rank(kmer: Column | str) -> Column:
     return F.conv(rank_digits(kmer), 4, 10).cast("int")
 
 
+def rank_sum(seq: Column | str) -> Column:
+    """``base_rank`` of every letter, summed: each rank times the letters that have it, without a visit to any single letter."""
+    of = lambda i: F.length(F.regexp_replace(_col(seq), f"[^{BASES[i]}{BASES[i].lower()}]", ""))
+    return sum((of(i) * i for i in range(2, len(BASES))), of(1)).cast("long")
+
+
+def greatest_kmer_rank(seq: Column | str, k: int) -> Column:
+    """Greatest ``kmer_rank`` of a sequence's k-letter stretches, end to end; null if it is shorter than k or null.
+
+    Digits of one length are ordered like their numbers, so only the greatest stretch is made a number.
+    """
+    return F.conv(F.array_max(F.regexp_extract_all(rank_digits(seq), F.lit(f"([0-3]{{{k}}})"), F.lit(1))), 4, 10).cast("int")
+
+
 def kmer_ranks(seq: Column | str, k: int) -> Column:
     """Ranks of all k-mers of a sequence, as an expression; empty for sequences shorter than k.
 

@@ -205,11 +205,8 @@ def numbers_from_text(spark, d):
 
 def base_functions(spark, d):
     """Ranks of all letters of a text, summed; of its 6-letter stretches, end to end, the greatest; its letters replaced."""
-    letters = F.split("text", "")
-    ranks = F.aggregate(letters, F.lit(0).cast("long"), lambda a, c: a + bases.base_rank(c))
-    stretches = F.regexp_extract_all("text", F.lit("(?s)(.{6})"), F.lit(1))
     return table(spark, d, "documents").select(
-        "doc_id", ranks.alias("ranks"), F.array_max(F.transform(stretches, bases.kmer_rank)).alias("greatest"), F.length(bases.replace_char("text", "e", "E")).alias("n"),
+        "doc_id", bases.rank_sum("text").alias("ranks"), bases.greatest_kmer_rank("text", 6).alias("greatest"), F.length(bases.replace_char("text", "e", "E")).alias("n"),
         bases.replace_char("text", "e", "E").alias("replaced"), bases.kmer_count((F.col("doc_id") % 12).cast("int")).alias("kmers"),
     )
 

@@ -87,3 +87,16 @@ def test_options(spark):
         with pytest.raises(ValueError):
             MapOptions(**bad)
     assert MapOptions(rna=True, prefix=-1).kmer_length == 5
+
+
+def test_sums_and_greatest_ranks_of_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    from squigspark.functions import bases
+
+    texts = [None, "", "acgt", "ACGTAC", "tttttt", "xx\nGGTTAA99cc\U0001f600tgca", "0123gattaca" * 7, "ſé ctg\tTG" * 5]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    ranks = F.aggregate(F.split("t", ""), F.lit(0).cast("long"), lambda a, c: a + bases.base_rank(c))
+    greatest = F.array_max(F.transform(F.regexp_extract_all("t", F.lit("(?s)(.{6})"), F.lit(1)), bases.kmer_rank))
+    for r in df.select("i", ranks.alias("a"), bases.rank_sum("t").alias("b"), greatest.alias("c"), bases.greatest_kmer_rank("t", 6).alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d)
