@@ -552,6 +552,10 @@ class Range(InputPartition):
     blocks: list[int] | None = None
 
 
+#: Ranges that a scan is cut into, about: where ``split_bytes`` would give more, ranges are longer, as a task for a few records is mostly overhead.
+MOST_RANGES = 2048
+
+
 class SignalReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType):
         self.path = options["path"]
@@ -574,13 +578,15 @@ class SignalReader(DataSourceReader):
         out = []
         ids = sorted(i for i in self.wanted if i is not None) if self.wanted is not None else None
         places = bloom_places(ids) if ids else None
-        for path, size in list_files(self.path):
+        files = list(list_files(self.path))
+        split = max(self.split, -(-sum(size for _, size in files) // MOST_RANGES))
+        for path, size in files:
             if not path.endswith(BINARY_FILE):
-                out += [Range(path, at, min(size, at + self.split)) for at in range(0, size, self.split)]
+                out += [Range(path, at, min(size, at + split)) for at in range(0, size, split)]
                 continue
             blocks = read_blocks(path) if ids is not None else None
             if blocks is None:
-                out += [Range(path, *r) for r in binary_ranges(path, size, self.split)]
+                out += [Range(path, *r) for r in binary_ranges(path, size, split)]
             elif ids and (found := [b.number for b in blocks if b.may_hold(ids, places)]):
                 out.append(Range(path, 0, size, found))
         return out

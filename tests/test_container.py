@@ -161,3 +161,14 @@ def test_many_signals_are_packed_as_one_is():
         assert all(np.array_equal(a, b) for a, b in zip(codecs.unpack_signals(packed), some, strict=True))
     with pytest.raises(ValueError, match="controls"):
         codecs.unpack_signals([codecs.pack_signal(signals[1]), codecs.pack_signal(signals[2])[:-1]])
+
+
+def test_fine_cuts_give_a_bounded_number_of_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(container, "MOST_RANGES", 5)
+    save(reads(spark, [f"r{i}" for i in range(400)]).coalesce(2), tmp_path / "d", block_bytes="500")
+    container.write_index_files(spark, str(tmp_path / "d")).count()
+    df = spark.read.format("signal").option("split_bytes", "600").load(str(tmp_path / "d"))
+    reader = container.SignalReader({"path": str(tmp_path / "d"), "split_bytes": "600"}, df.schema)
+    parts = reader.partitions()
+    assert 4 <= len(parts) <= 8
+    assert sorted(row[0] for p in parts for row in reader.rows(p)) == sorted(f"r{i}" for i in range(400))
