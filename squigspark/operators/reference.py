@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,12 +31,27 @@ def model_levels(model: DataFrame) -> np.ndarray:
     return rows["level"].to_numpy()
 
 
+#: Letters whose levels are made at once; their ranks take eight bytes each, several times over.
+LETTERS_HELD = 1 << 18
+
+
+def few_letters(batches: Iterator[pa.RecordBatch], letters: str) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of some ``LETTERS_HELD`` letters, or of one longer sequence."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(letters))), 0).to_numpy()
+        total, at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), 0
+        while at < batch.num_rows:
+            upto = max(at + 1, int(np.searchsorted(total, total[at] + LETTERS_HELD, side="right")) - 1)
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def with_levels(rows: DataFrame, model: DataFrame, k: int, letters: str = "letters", out: str = "levels") -> DataFrame:
     """``rows`` with the model's level of every k-mer of a sequence.  Narrow: the model, 4^9 numbers at most, goes to the tasks."""
     shared = rows.sparkSession.sparkContext.broadcast(model_levels(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_letters(batches, letters):
             at, ranks = rank_lists(batch.column(batch.schema.get_field_index(letters)), k)
             levels = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(shared.value[ranks], pa.float32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, levels], [*batch.schema.names, out])
