@@ -19,9 +19,13 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def picoamp_scale(digitisation: Column | str, range_: Column | str) -> Column:
+    return _col(range_).cast("float") / _col(digitisation).cast("float")
+
+
 def to_picoamps(raw: Column | str, digitisation: Column | str, offset: Column | str, range_: Column | str) -> Column:
     """Current in picoamperes of raw samples, in single precision."""
-    scale = _col(range_).cast("float") / _col(digitisation).cast("float")
+    scale = picoamp_scale(digitisation, range_)
     return F.transform(_col(raw), lambda x: ((x.cast("float") + _col(offset).cast("float")) * scale.cast("float")).cast("float"))
 
 

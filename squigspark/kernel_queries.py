@@ -325,10 +325,10 @@ def map_job_lines(spark, d):
     head.unionByName(lines).repartition(1).sortWithinPartitions("rank").select("value").write.text(f"{folder}/model")
     docs = spread(table(spark, d, "documents").select("doc_id", letters("text").alias("seq")))
     levels = reference.with_levels(docs, model, k, "seq", "l").filter(F.size("l") > 0)
-    steady = F.flatten(F.transform("l", lambda p: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (p * 5 + (j * 7) % 5 - 2).cast("smallint"))))
-    fixed = {"read_id": F.concat(F.lit("d"), F.col("doc_id")), "read_group": F.lit(0).cast("long"), "digitisation": F.lit(1.0), "offset": F.lit(0.0), "range": F.lit(0.2), "sampling_rate": F.lit(4000.0), "len_raw_signal": F.size(steady).cast("long"), "raw_signal": steady}
+    steady = base.with_steady_signal(levels.select("doc_id", "l"), "l", "raw_signal")
+    fixed = {"read_id": F.concat(F.lit("d"), F.col("doc_id")), "read_group": F.lit(0).cast("long"), "digitisation": F.lit(1.0), "offset": F.lit(0.0), "range": F.lit(0.2), "sampling_rate": F.lit(4000.0), "len_raw_signal": F.size("raw_signal").cast("long"), "raw_signal": F.col("raw_signal")}
     container.register(spark)
-    levels.select(*[c.alias(n) for n, c in fixed.items()]).write.format("signal").mode("append").option("attr.experiment_type", "genomic_dna").save(f"{folder}/reads")
+    steady.select(*[c.alias(n) for n, c in fixed.items()]).write.format("signal").mode("append").option("attr.experiment_type", "genomic_dna").save(f"{folder}/reads")
     opt = detect_options(spark, f"{folder}/reads", prefix=0, query=60)
     seen = map_job(spark, f"{folder}/contigs", f"{folder}/reads", f"{folder}/model", f"{folder}/out", opt)
     return spark.read.text(f"{folder}/out").select("value", F.lit(seen["reads"]).alias("reads"), F.lit(seen["ignored"]).alias("ignored"))

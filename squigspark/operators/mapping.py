@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.arrays import to_picoamps, zscore
+from ..functions.arrays import picoamp_scale, to_picoamps, zscore
 from ..functions.text import mapping_quality, residue_count
 from ..options import LEAST_EVENTS, MapOptions
 from ..scratch import scratch
@@ -193,10 +193,11 @@ def align(queries: list[np.ndarray], refs: list[dict], opt: MapOptions) -> list[
     by_number = {ref["seq"]: ref for ref in refs}
     usable = [i for i, q in enumerate(queries) if len(q) and np.isfinite(q).all()]
     usable.sort(key=lambda i: len(queries[i]))  # little padding
-    longest = max((len(ref["levels"]) for ref in refs), default=1)
+    walks = _joined(refs, opt)
+    longest = max((len(y) for y, _ in walks), default=1)
     winners: dict[int, list[int]] = {}
     for part in _parts(usable, longest):
-        for i, hits in zip(part, _best_chunks(*_padded([queries[i] for i in part]), refs, opt), strict=True):
+        for i, hits in zip(part, _best_chunks(*_padded([queries[i] for i in part]), walks, opt), strict=True):
             out[i] = [{k: by_number[s >> 32][k] for k in _OF_REFERENCE} | {"score": score, "seq": s, "pos_st": None, "pos_end": e} for score, s, e in hits]
             if hits:
                 winners.setdefault(hits[0][1] >> 32, []).append(i)
@@ -218,7 +219,36 @@ def _padded(queries: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return table, lengths
 
 
-def _best_chunks(queries: np.ndarray, lengths: np.ndarray, refs: list[dict], opt: MapOptions) -> list[list[tuple[float, int, int]]]:
+#: Columns of short references that are walked as one.
+JOINED = 1 << 12
+
+
+def _joined(refs: list[dict], opt: MapOptions) -> list[tuple[np.ndarray, list[tuple[int, int, int]]]]:
+    """References in their order, short ones end to end: levels, and (number, first column, width) of each reference in them.
+
+    An infinite level stands between two of them.  No path crosses it, so every cell is what it is for a reference by itself.
+    """
+    groups: list[list[dict]] = []
+    held = 0
+    for ref in refs:
+        n = len(ref["levels"]) + 1
+        alone = opt.standard or not np.isfinite(ref["levels"]).all()
+        if not groups or alone or held + n > JOINED:
+            groups.append([])
+            held = 0
+        groups[-1].append(ref)
+        held = JOINED if alone else held + n
+    out = []
+    for group in groups:
+        firsts = np.cumsum([0, *(len(ref["levels"]) + 1 for ref in group)]).tolist()
+        levels = np.full(firsts[-1] - 1, np.inf, np.float32)
+        for ref, at in zip(group, firsts, strict=False):
+            levels[at : at + len(ref["levels"])] = ref["levels"]
+        out.append((levels, [(ref["seq"], at, len(ref["levels"])) for ref, at in zip(group, firsts, strict=False)]))
+    return out
+
+
+def _best_chunks(queries: np.ndarray, lengths: np.ndarray, walks: list[tuple[np.ndarray, list[tuple[int, int, int]]]], opt: MapOptions) -> list[list[tuple[float, int, int]]]:
     """(score, number, end) of each query's best candidates: least score first, of equals the later one.
 
     A chunk is as wide as the query is long.
@@ -226,16 +256,23 @@ def _best_chunks(queries: np.ndarray, lengths: np.ndarray, refs: list[dict], opt
     k = opt.candidates
     score, number, end = (np.full((len(queries), k), v, t) for v, t in ((np.inf, np.float32), (-1, np.int64), (-1, np.int64)))
     groups = [(int(n), np.flatnonzero(lengths == n)) for n in np.unique(lengths)]
-    for ref in refs:
-        rows, _ = dtw.last_row(queries, ref["levels"], not opt.standard, starts=False, lengths=lengths)
+    for levels, held in walks:
+        rows, _ = dtw.last_row(queries, levels, not opt.standard, starts=False, lengths=lengths)
+        rows = np.ascontiguousarray(rows)
         for n, own in groups:
-            if opt.standard:
-                least, at = rows[own, -1:], np.full((len(own), 1), rows.shape[1] - 1)
+            if opt.standard:  # one reference; its last cell
+                begin, chunk, first = (np.array([x]) for x in (len(levels) - 1, held[0][0] << 32, 0))
             else:
-                least, at = dtw.chunk_minima(rows[own], n)
+                begin = np.concatenate([at + np.arange(0, m, n) for _, at, m in held])
+                chunk = np.concatenate([(seq << 32) + np.arange(-(-m // n), dtype=np.int64) for seq, _, m in held])
+                first = np.repeat([at for _, at, _ in held], [-(-m // n) for _, _, m in held])
+            # A reference's last chunk may have the infinite cell after it, which is never the least.
+            least = np.minimum.reduceat(rows[own], begin, axis=1)
             # References and chunks come in order, so what is later stands first and the sort keeps that.
-            chunk = np.broadcast_to((ref["seq"] << 32) + np.arange(least.shape[1], dtype=np.int64), least.shape)
-            both = [np.concatenate([new[:, ::-1], old[own]], axis=1) for new, old in ((least, score), (chunk, number), (at, end))]
+            best_of = len(begin) - 1 - np.argsort(least[:, ::-1], axis=1, kind="stable")[:, :k]
+            upto = np.append(begin[1:], len(levels))
+            at = np.array([[begin[c] - first[c] + rows[i, begin[c] : upto[c]].argmin() for c in row] for i, row in zip(own, best_of, strict=True)], np.int64)
+            both = [np.concatenate([new, old[own]], axis=1) for new, old in ((np.take_along_axis(least, best_of, axis=1), score), (chunk[best_of], number), (at, end))]
             order = np.argsort(both[0], axis=1, kind="stable")[:, :k]
             score[own], number[own], end[own] = (np.take_along_axis(x, order, axis=1) for x in both)
     return [[(s, c, e) for s, c, e in zip(*row, strict=True) if np.isfinite(s)] for row in zip(score.tolist(), number.tolist(), end.tolist(), strict=True)]
@@ -255,6 +292,14 @@ def best(candidates: list[dict], k: int) -> list[dict]:
     return sorted(candidates, key=lambda c: (c["score"], -c["seq"]))[:k]
 
 
+#: Reads whose candidates are Python objects at once.
+READS_HELD = 1024
+
+
+def few_reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, READS_HELD) for batch in batches for at in range(0, batch.num_rows, READS_HELD))
+
+
 def with_candidates(queries: DataFrame, refs: DataFrame | None, opt: MapOptions, tiles: DataFrame | None = None) -> DataFrame:
     """Reads with ``candidates``, best first, of which the best has its start.
 
@@ -267,7 +312,7 @@ def with_candidates(queries: DataFrame, refs: DataFrame | None, opt: MapOptions,
         shared = rows.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in few_reads(batches):
                 asked = [_array(q, np.float32) for q in _column(batch, "query")]
                 names = batch.schema.names
                 found = [c or [] for c in _column(batch, "candidates").to_pylist()]
@@ -371,11 +416,14 @@ def map_reads(reads: DataFrame, refs: DataFrame | None, opt: MapOptions = MapOpt
     An ``observation`` gets the ``counters`` when the rows are first computed, without a pass of its own.
     """
     fields = ["read_id", "digitisation", "offset", "range", "raw_signal"]
-    detector, search = RNA if opt.rna else DNA, opt.prefix < 0
-    signals = with_signal(reads.select(*fields)).withColumn("qlen", F.size("raw_signal"))
-    staged = with_events(signals, opt=detector, drop=() if search else ("raw_signal", "pa"))
-    if search:
-        staged = with_found_start(staged, opt)
+    detector, sized = RNA if opt.rna else DNA, reads.select(*fields).withColumn("qlen", F.size("raw_signal"))
+    if opt.prefix < 0:
+        staged = with_found_start(with_events(with_signal(sized), opt=detector), opt)
+    else:
+        # From the read's start on, no event beyond the query matters; from its end all do.
+        most = None if opt.from_end else opt.prefix + max(opt.query, LEAST_EVENTS)
+        scaled = sized.withColumn("scale", picoamp_scale("digitisation", "range"))
+        staged = with_events(scaled, "raw_signal", opt=detector, drop=("raw_signal", "scale"), most=most, scaled_by=("offset", "scale"))
     framed = with_query(staged, opt)
     if observation is not None:
         framed = framed.observe(observation, *counters())

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .functions import arrays, bases, text
@@ -376,6 +377,24 @@ def container_text(spark, d):
     return _roundtrip(spark, d, "text")
 
 
+def with_steady_signal(rows: DataFrame, levels: str, out: str) -> DataFrame:
+    """``rows`` with eight samples for each level, a little above and below it, in place of the levels."""
+    around = (np.arange(8, dtype=np.float32) * 7) % 5 - 2
+    kept = [f for f in rows.schema.fields if f.name != levels]
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                column = batch.column(batch.schema.get_field_index(levels))
+                raw = (column.flatten().to_numpy(zero_copy_only=False)[:, None] * np.float32(5) + around).astype(np.int16).ravel()
+                ends = (column.offsets.to_numpy() - column.offsets[0].as_py()) * 8
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(raw))
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(f.name)) for f in kept), lists], [*(f.name for f in kept), out])
+
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.ArrayType(T.ShortType()))]))
+
+
 def map_paf(spark, d):
     """Documents as reads, mapped to the benchmark's items as contigs: the whole chain."""
     letters = lambda c: F.regexp_replace(F.upper(c), "[^ACGT]", "")
@@ -384,8 +403,8 @@ def map_paf(spark, d):
     refs = reference.synthetic_references(items, model, K)
     docs = spread(table(spark, d, "documents").select(F.col("doc_id"), letters("text").alias("seq")))
     levels = reference.with_levels(docs, model, K, "seq", "l").filter(F.size("l") > 0)
-    steady = F.flatten(F.transform("l", lambda p: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: (p * 5 + (j * 7) % 5 - 2).cast("smallint"))))
-    reads = levels.select(F.concat(F.lit("d"), F.col("doc_id")).alias("read_id"), F.lit(1.0).alias("digitisation"), F.lit(0.0).alias("offset"), F.lit(0.2).alias("range"), steady.alias("raw_signal"))
+    steady = with_steady_signal(levels.select("doc_id", "l"), "l", "raw_signal")
+    reads = steady.select(F.concat(F.lit("d"), F.col("doc_id")).alias("read_id"), F.lit(1.0).alias("digitisation"), F.lit(0.0).alias("offset"), F.lit(0.2).alias("range"), "raw_signal")
     return mapping.map_reads(reads, refs, MapOptions(prefix=0, query=60)).drop("n_events")
 
 

@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from squigspark.operators import dtw, events, mapping, segments
+from squigspark.operators import dtw, events, mapping, reference, segments
 from squigspark.options import MapOptions
 
 
@@ -213,3 +214,40 @@ def test_best_candidates_against_sorting(queries, refs):
         assert [(h["score"], -h["seq"], h["pos_end"]) for h in got] == want
         cost = sequential(x, made[got[0]["ref_idx"]]["levels"], True)
         assert got[0]["pos_st"] == dtw.warp_path(cost, got[0]["pos_end"])[0][1]
+
+
+def test_first_events_follow_from_a_first_part():
+    rng = np.random.default_rng(11)
+    for opt in (events.DNA, events.RNA):
+        for noise in (0.0, 0.3, 4.0):
+            x = np.repeat(rng.normal(90, 15, 900), rng.integers(1, 30, 900)).astype(np.float32)
+            x += rng.normal(0, noise, len(x)).astype(np.float32)
+            whole = events.detect(x, opt)
+            for most in (1, 25, 310, 10_000):
+                assert all(np.array_equal(whole[c][:most], v) for c, v in events.detect(x, opt, most).items())
+
+
+def test_joined_references_give_what_each_gives():
+    rng = np.random.default_rng(12)
+    refs = [{"seq": i, "ref_idx": i, "strand": "+", "name": f"n{i}", "ref_len": n, "seq_len": n + 4, "st_offset": 0, "levels": rng.integers(-3, 4, n).astype(np.float32)} for i, n in enumerate([1, 5, 40, 3, 200, 7, 64])]
+    refs[3]["levels"][:] = np.nan
+    queries = [rng.integers(-3, 4, n).astype(np.float32) for n in (6, 30, 30, 1, 45)]
+    found, widths = mapping.align(queries, refs, mapping.MapOptions()), [len(y) for y, _ in mapping._joined(refs, mapping.MapOptions())]
+    assert widths == [48, 3, 273]  # end to end, but for the one that isn't finite
+    for q, got in zip(queries, found, strict=True):
+        want = []
+        for ref in refs:
+            row = dtw.cost_matrix(q, ref["levels"])[-1]
+            least, at = dtw.chunk_minima(row[None], len(q))
+            want += [(float(v), (ref["seq"] << 32) + c, int(e)) for c, (v, e) in enumerate(zip(least[0], at[0], strict=True)) if np.isfinite(v)]
+        assert [(c["score"], c["seq"], c["pos_end"]) for c in got] == sorted(want, key=lambda w: (w[0], -w[1]))[:5]
+
+
+def test_reads_and_letters_are_held_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(reference, "LETTERS_HELD", 10)
+    texts = ["ACGT", None, "", "A" * 25, "CC", "GGGGGGGG", "T"]
+    parts = list(reference.few_letters(iter([pa.record_batch({"letters": texts})]), "letters"))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(0).to_pylist()) <= 10 for p in parts)
+    rows = [p.num_rows for p in mapping.few_reads(iter([pa.record_batch({"i": list(range(2500))})]))]
+    assert rows == [1024, 1024, 452]
