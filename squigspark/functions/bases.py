@@ -79,14 +79,21 @@ def rank_lists(seq: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
     A letter that is no base counts 0, and one place, whatever its bytes.
     """
-    offsets, ranks = [0], []
-    for s in seq.to_pylist():
-        d = _DIGIT[np.frombuffer((s or "").encode("ascii", "replace"), dtype=np.uint8)]
-        n = max(0, len(d) - k + 1)
-        if n:
-            ranks.append(sum(d[j : j + n] << 2 * (k - 1 - j) for j in range(k)))
-        offsets.append(offsets[-1] + n)
-    return np.array(offsets), np.concatenate([np.zeros(0, dtype=np.int64), *ranks])
+    texts = [s or "" for s in seq.to_pylist()]
+    size = np.array([len(s) for s in texts], dtype=np.int64)
+    d = _DIGIT[np.frombuffer("".join(texts).encode("ascii", "replace"), dtype=np.uint8)]
+    offsets = np.concatenate([[0], np.cumsum(np.maximum(0, size - k + 1))])
+    n = max(0, len(d) - k + 1)
+    if not n:
+        return offsets, np.zeros(0, dtype=np.int64)
+    ranks = sum(d[j : j + n] << 2 * (k - 1 - j) for j in range(k))
+    if np.count_nonzero(size) < 2:
+        return offsets, ranks
+    # Sequences lie end to end: what begins in the last k - 1 letters of one reaches into the next.
+    ends, own = np.cumsum(size), np.ones(len(d), dtype=bool)
+    for j in range(1, k):
+        own[ends[size >= j] - j] = False
+    return offsets, ranks[own[:n]]
 
 
 def with_kmer_ranks(rows: DataFrame, seq: str, k: int, out: str = "ranks") -> DataFrame:

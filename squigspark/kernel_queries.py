@@ -246,9 +246,8 @@ def ref_zscore_global(spark, d):
 
 def ref_tiles(spark, d):
     """Levels made from contigs in parts of 40 letters, both strands, at their columns."""
-    whole = base.contigs(spark, d)
-    cuts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(40)))
-    parts = whole.filter("seq is not null").select("ref_idx", "name", "seq", cuts.alias("start")).select("ref_idx", "name", (F.col("start") / 40).cast("int").alias("part"), "start", F.substring("seq", F.col("start") + 1, F.lit(40)).alias("seq"))
+    cut = F.posexplode(F.regexp_extract_all("seq", F.lit("(.{1,40})"), F.lit(1))).alias("part", "letters")
+    parts = base.contigs(spark, d).select("ref_idx", "name", cut).select("ref_idx", "name", "part", (F.col("part") * 40).alias("start"), F.col("letters").alias("seq"))
     tiles = reference.tiles_of_parts(parts, reference.model_from_rule(spark, base.K), base.K, normalise="none")
     rows = tiles.select("ref_idx", "strand", "ref_len", "seq_len", "column", F.posexplode("levels").alias("at", "level"))
     return rows.select("ref_idx", "strand", "ref_len", "seq_len", (F.col("column") + F.col("at")).alias("i"), F.col("level").cast("int").alias("level"))

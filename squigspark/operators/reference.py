@@ -123,23 +123,34 @@ def scored_levels() -> Column:
 
 #: Moments of so many contigs and strands are broadcast; those of more are joined.
 MOST_BROADCAST = 200_000
+#: Letters of a contig whose parts pass one window group.
+BLOCK_LETTERS = 1 << 20
 
 
 def tiles_of_parts(parts: DataFrame, model: DataFrame, k: int, both_strands: bool = True, invert: bool = False, normalise: str = "strand", rna_letters: bool = False) -> DataFrame:
     """Contigs in parts (ref_idx, name, part, start, seq) as tiles of levels, stored once: (seq, ref_idx, strand, name, ref_len, seq_len, st_offset, column, width, levels).
 
-    A part's k-mers reach k - 1 letters into those after it; only these letters and lengths pass a window by contig.
+    The parts are stored first, so that they are made once.  A part's k-mers reach k - 1 letters into those after it.  Parts
+    are shuffled once, by contig and block of ``BLOCK_LETTERS``, to where their last letter is followed; the first letters of a
+    part go to the blocks before it too, where these differ, and the contig's length to all its blocks.
     Levels are made part by part, and scored by moments in double precision that are merged over a contig's (or all) tiles
     as tiles are read, so no task holds a contig.
     """
     spark = parts.sparkSession
     seq = u_to_t("seq") if rna_letters else F.col("seq")
-    known = parts.select("ref_idx", "name", "part", "start", seq.alias("seq"))
-    narrow = known.select("ref_idx", "part", F.substring("seq", 1, k - 1).alias("head"), F.length("seq").alias("n"))
-    after, all_of = Window.partitionBy("ref_idx").orderBy("part"), Window.partitionBy("ref_idx")
-    heads = [F.coalesce(F.lead("head", i).over(after), F.lit("")) for i in range(1, k)]
-    tails = narrow.select("ref_idx", "part", F.substring(F.concat(F.lit(""), *heads), 1, k - 1).alias("tail"), F.sum("n").over(all_of).alias("bases"))
-    rows = known.join(tails, ["ref_idx", "part"]).withColumn("letters", F.concat("seq", "tail")).withColumn("width", (F.length("letters") - (k - 1)).cast("int")).filter("width > 0")
+    stored = scratch(spark, "parts")
+    parts.filter("seq != ''").select("ref_idx", "name", F.col("start").cast("long").alias("start"), seq.alias("seq")).write.parquet(stored)
+    known = spark.read.parquet(stored)
+    block = lambda at: F.floor(at / BLOCK_LETTERS)
+    places = [F.col("start") + F.length("seq"), F.col("start"), F.greatest(F.col("start") - (k - 1), F.lit(0))]
+    placed = known.select("*", F.posexplode(F.array_distinct(F.array(*map(block, places)))).alias("copy", "block"))
+    placed = placed.withColumn("seq", F.when(F.col("copy") == 0, F.col("seq")).otherwise(F.substring("seq", 1, k - 1)))
+    sizes = known.groupBy("ref_idx").agg(F.sum(F.length("seq")).alias("bases"))
+    sizes = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), block(F.col("bases")))).alias("block"))
+    after = Window.partitionBy("ref_idx", "block").orderBy("start")
+    heads = [F.coalesce(F.lead(F.substring("seq", 1, k - 1), i).over(after), F.lit("")) for i in range(1, k)]
+    rows = placed.join(sizes, ["ref_idx", "block"]).withColumn("tail", F.substring(F.concat(F.lit(""), *heads), 1, k - 1)).filter("copy = 0")
+    rows = rows.withColumn("letters", F.concat("seq", "tail")).withColumn("width", (F.length("letters") - (k - 1)).cast("int")).filter("width > 0")
     ref_len = F.col("bases") - (k - 1)
     mirrored = ref_len - F.col("start") - F.col("width")
     strand = lambda s, x, column: F.struct(F.lit(s).alias("strand"), x.alias("letters"), column.alias("column"))

@@ -51,7 +51,7 @@ K = 5
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    seq = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
+    seq = F.regexp_replace(F.upper("text"), "[^ACGT]+", "")
     return d.select(F.col("doc_id").cast("int").alias("ref_idx"), F.concat(F.lit("c"), F.col("doc_id")).alias("name"), seq.alias("seq"))
 
 

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from squigspark.functions import bases
 from squigspark.operators import dtw, events, mapping, reference, segments
 from squigspark.options import MapOptions
 
@@ -251,3 +252,13 @@ def test_reads_and_letters_are_held_some_at_a_time(monkeypatch):
     assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(0).to_pylist()) <= 10 for p in parts)
     rows = [p.num_rows for p in mapping.few_reads(iter([pa.record_batch({"i": list(range(2500))})]))]
     assert rows == [1024, 1024, 452]
+
+
+@given(st.lists(st.none() | st.text("ACGTacgtNé😀", max_size=12), max_size=8), st.integers(1, 9))
+@settings(deadline=None)
+def test_ranks_of_many_sequences_at_once(texts, k):
+    """As one by one: no k-mer reaches into the next sequence."""
+    rank = lambda s: sum(max(0, "ACGT".find(c.upper())) * 4 ** (k - 1 - j) for j, c in enumerate(s))
+    want = [[rank(s[i : i + k]) for i in range(len(s) - k + 1)] for s in (t or "" for t in texts)]
+    offsets, ranks = bases.rank_lists(pa.array(texts, pa.string()), k)
+    assert [ranks[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == want and offsets[-1] == len(ranks)

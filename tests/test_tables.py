@@ -307,6 +307,38 @@ def test_tiles_from_parts_of_contigs(spark, size):
         assert a == b
 
 
+@pytest.mark.parametrize("block,size", [(4, 3), (8, 3), (8, 50), (64, 7), (64, 64), (1 << 20, 7)])
+def test_tiles_where_parts_pass_blocks(spark, monkeypatch, block, size):
+    """A part's last k-mers reach into the next ones, in whatever blocks these lie; empty parts between count nothing."""
+    monkeypatch.setattr(reference, "BLOCK_LETTERS", block)
+    _, _, contigs = planted(spark)
+    rows = [(r.ref_idx, r.name, 2 * k, at, r.seq[at : at + size]) for r in contigs.collect() for k, at in enumerate(range(0, 400, size))]
+    rows += [(r[0], r[1], r[2] + 1, r[3] + len(r[4]), "") for r in rows] + [(9, "none", 0, 0, None)]
+    model = reference.model_from_rule(spark, 5)
+    tiles = reference.tiles_of_parts(spark.createDataFrame(rows, "ref_idx int, name string, part long, start long, seq string"), model, 5, normalise="none").collect()
+    whole = reference.synthetic_references(contigs, model, 5, normalise="none").collect()
+    for r in whole:
+        own = sorted((t.column, t.width, t.levels) for t in tiles if (t.ref_idx, t.strand, t.ref_len, t.seq_len) == (r.ref_idx, r.strand, r.ref_len, r.seq_len))
+        assert [v for _, _, x in own for v in x] == r.levels
+        assert [(c, w) for c, w, _ in own] == [(sum(len(x) for _, _, x in own[:i]), len(own[i][2])) for i in range(len(own))]
+    assert len(tiles) == sum(len({t.column for t in tiles if (t.ref_idx, t.strand) == (r.ref_idx, r.strand)}) for r in whole)
+
+
+def test_parts_are_made_once(spark):
+    _, _, contigs = planted(spark)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    parts = contigs.select("ref_idx", "name", F.posexplode(F.regexp_extract_all("seq", F.lit("(.{1,40})"), F.lit(1))).alias("part", "seq")).withColumn("start", F.col("part") * 40)
+    parts = parts.mapInArrow(counted, parts.schema)
+    assert reference.tiles_of_parts(parts, reference.model_from_rule(spark, 5), 5).count() == 60
+    assert made.value == 30
+
+
 def test_candidates_over_tiles_with_ties(spark):
     rng = np.random.default_rng(6)
     levels = [float(x) for x in rng.integers(0, 3, 90)]
