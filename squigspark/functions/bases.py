@@ -110,7 +110,7 @@ def with_kmer_ranks(rows: DataFrame, seq: str, k: int, out: str = "ranks") -> Da
 
 def complement(seq: Column | str) -> Column:
     """Upper-case complement; every letter but A, C, G and T gives T."""
-    return F.translate(F.regexp_replace(F.translate(_col(seq), "acgt", BASES), "[^ACGT]", "A"), BASES, "TGCA")
+    return F.translate(F.regexp_replace(_col(seq), "[^ACGTacgt]", "A"), BASES + BASES.lower(), "TGCATGCA")
 
 
 def reverse_complement(seq: Column | str) -> Column:
