@@ -47,7 +47,7 @@ class JaccardConfig:
     block: int = 1 << 20  # shingles
     block_sets: int = 4096
     most_broadcast: int = 1 << 16  # narrow rows; larger tables are joined by shuffles
-    most_collected: int = 1 << 19  # edges whose components are found on the driver; more are found by Spark
+    most_collected: int = 1 << 19  # edges whose components are found on the driver; more are contracted by Spark first
     seed: int = 20240301
 
 
@@ -111,20 +111,8 @@ def small(df: DataFrame, cfg: JaccardConfig) -> DataFrame:
 
 
 def components(edges: DataFrame, cfg: JaccardConfig) -> DataFrame:
-    """(node, root) of every node of an edge, whichever way they are found."""
-    edges = cut(edges.filter("a <> b").distinct())
-    if not 0 < edges.count() <= cfg.most_collected:
-        return connected_components(edges)
-    found = edges.toArrow()
-    node, ends = np.unique(np.concatenate([found["a"].to_numpy(), found["b"].to_numpy()]), return_inverse=True)
-    a, b = ends.reshape(2, -1)
-    root = np.arange(len(node))
-    while (root[a] != root[b]).any():
-        # The greater root goes below the least one that an edge joins it with; then paths are halved to the end.
-        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
-        while (root[root] != root).any():
-            root = root[root]
-    return edges.sparkSession.createDataFrame(pa.table({"node": node, "root": node[root]}))
+    """(node, root) of every node of an edge, wherever they are found."""
+    return connected_components(edges, most_collected=cfg.most_collected)
 
 
 def distinct_sets(rows: DataFrame) -> DataFrame:

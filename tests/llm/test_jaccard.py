@@ -83,3 +83,22 @@ def test_simhash_proposes_pairs_by_itself(spark):
     got = {r.doc_id for r in jaccard.deduplicate(docs, jaccard.JaccardConfig(bands=0)).collect()}
     linked = {(3, 4)} if far(texts[0], twice) <= 2 else set()
     assert got == {i for i, _ in rows} - {2} - {b for _, b in linked}
+
+
+def test_few_rounds_before_the_driver_ends_them(spark, monkeypatch):
+    """Edges beyond what the driver may hold are contracted only until it can hold them, not to the last one."""
+    from squigspark.llm import components
+
+    rounds = []
+    monkeypatch.setattr(components, "cut", lambda df: rounds.append(1) or df.localCheckpoint())
+    path = [(i, i + 1) for i in range(400)]
+    stars = [(1000 * k, 1000 * k + i) for k in range(1, 9) for i in range(1, 30)]
+    edges = spark.createDataFrame(path + stars, "a long, b long")
+    got = {r.node: r.root for r in jaccard.components(edges, jaccard.JaccardConfig(most_collected=400)).collect()}
+    assert len(got) == 401 + 8 * 30
+    groups = {}
+    for node, root in got.items():
+        groups.setdefault(root, set()).add(node)
+    assert sorted(map(sorted, groups.values())) == sorted([list(range(401)), *[list(range(1000 * k, 1000 * k + 30)) for k in range(1, 9)]])
+    assert all(root in members for root, members in groups.items())
+    assert 3 <= len(rounds) <= 7
