@@ -10,7 +10,8 @@ Matches never cross documents; strings are judged on the input, so what is remov
 3. Runs of neighbouring windows whose shared anchors have one leader are regions.  All windows of an anchor
    go to the leader's shard, so equal windows meet, and a passage of any length is sent about once.  A
    chunk sends equal regions once.  Windows of an anchor that is too common for one shard (``crowded``)
-   go to shards of their own bytes instead, one by one.
+   go to shards of their own bytes instead, one by one; as most of them hold a common line's neighbours and stand
+   nowhere else, hashes of them all are compared first, and only those that two documents share are sent.
 4. A shard's distinct regions are indexed: suffixes are sorted, the Burrows-Wheeler transform is kept as
    runs with the suffix of each run's first and last row, and for rows that agree in ``window`` bytes the
    least document id, run by run.  All regions are streamed against it backwards, in step: a letter
@@ -53,6 +54,7 @@ class PassageConfig:
     leader_bytes: int = 2048
     region_windows: int = 512  # longer regions are cut; the parts overlap by a window less one byte
     crowded: int = 65_536  # occurrences, counted up to 255 in a chunk
+    groups: int = 1024  # shards beyond this number are sent several together, 16 at most
 
     def __post_init__(self) -> None:
         if not 8 <= self.gram <= min(24, self.window):
@@ -354,10 +356,11 @@ def _rows(names: list[str], rows: list[tuple], kinds: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def shared_anchors(chunks: DataFrame, cfg: PassageConfig, tables: int) -> DataFrame:
-    """(chunk, part, places, leaders): of a chunk's distinct anchors those that two documents hold, by table.
+def shared_anchors(chunks: DataFrame, cfg: PassageConfig, tables: int, shards: int) -> DataFrame:
+    """(chunk, part, shared, shards, crowded): which of a chunk's distinct anchors two documents hold, by table.
 
-    ``places`` count among the chunk's anchors in that table, in order; leader -1 marks a crowded anchor.
+    ``shared`` has a bit for each of the chunk's anchors in that table, in order, and ``shards`` their leaders' shards;
+    -1 marks a crowded anchor.  ``crowded`` has the keys of such anchors, in one row of each table.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,22 +395,25 @@ def shared_anchors(chunks: DataFrame, cfg: PassageConfig, tables: int) -> DataFr
         held = np.diff(np.r_[head, len(by)])
         shared = (held > 1) | (np.maximum.reduceat(several[by], head) > 0)
         leader = chunk[row[by[head]]] * 1_000_003 + block[by[head]]
-        leader = np.where(np.add.reduceat(counts[by], head) > cfg.crowded, -1, leader & 0x7FFFFFFFFFFFFFFF)
+        crowded = shared & (np.add.reduceat(counts[by], head) > cfg.crowded)
+        shard = np.where(crowded, -1, spread_number(leader & 0x7FFFFFFFFFFFFFFF, shards)).astype("<i4")
+        part = int(table["part"][0].as_py())
+        named = (part << 32 | gram[by[head[crowded]]].astype(np.int64)).astype("<i8").tobytes() if crowded.any() else None
         of = np.empty(len(by), np.int64)
         of[by] = np.repeat(np.arange(len(head)), held)
         at = np.cumsum(sizes) - sizes
         rows = []
         for i in range(len(grams)):
             own = of[at[i] : at[i] + sizes[i]]
-            places = np.flatnonzero(shared[own])
-            if len(places):
-                rows.append((int(chunk[i]), int(table["part"][0].as_py()), places.astype("<u4").tobytes(), leader[own[places]].astype("<i8").tobytes()))
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            if shared[own].any():
+                rows.append((int(chunk[i]), part, np.packbits(shared[own]).tobytes(), shard[own[shared[own]]].tobytes(), named))
+                named = None
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3]
         return pa.Table.from_batches([_rows(names, rows, kinds)] if rows else [], pa.schema(list(zip(names, kinds, strict=True))))
 
-    names = ["chunk", "part", "places", "leaders"]
+    names = ["chunk", "part", "shared", "shards", "crowded"]
     sent = chunks.mapInArrow(send, "part int, chunk long, grams binary, counts binary, several binary, blocks binary")
-    return sent.groupBy("part").applyInArrow(answer, "chunk long, part int, places binary, leaders binary")
+    return sent.groupBy("part").applyInArrow(answer, "chunk long, part int, shared binary, shards binary, crowded binary")
 
 
 def spread_number(x: np.ndarray, shards: int) -> np.ndarray:
@@ -415,8 +421,69 @@ def spread_number(x: np.ndarray, shards: int) -> np.ndarray:
     return ((h ^ h >> np.uint64(29)) * MIX[1] >> np.uint64(33)).astype(np.int64) % shards
 
 
-def shared_regions(chunks: DataFrame, shared: DataFrame, cfg: PassageConfig, tables: int, shards: int) -> DataFrame:
-    """(shard, chunk, sizes, texts, counts, owners, places): a chunk's distinct regions for a shard, each with its occurrences."""
+def crowded_windows(data: bytes, first: np.ndarray, end: np.ndarray, document: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, document) of each window in stretches of windows."""
+    n = end - first
+    places = np.arange(int(n.sum())) + np.repeat(first - np.cumsum(n) + n, n)
+    words, h = words_at_bytes(data) if len(data) >= 8 else np.zeros(0, "<u8"), np.zeros(len(places), np.uint64)
+    for step in [*range(0, window - 8, 8), window - 8]:
+        h = (h ^ words[places + step]) * MIX[step // 8 % 3]
+        h ^= h >> np.uint64(29)
+    return places, h, np.repeat(document, n)
+
+
+def window_tables(hashes: np.ndarray, tables: int) -> np.ndarray:
+    """Tables of windows' hashes, in the hashes' order."""
+    return ((hashes >> np.uint64(32)) * np.uint64(tables) >> np.uint64(32)).astype(np.int64)
+
+
+def table_cuts(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each table with the stretch that is its own."""
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=False):
+        yield int(part[a]), slice(a, b)
+
+
+def shared_windows(chunks: DataFrame, crowded: np.ndarray, cfg: PassageConfig, tables: int) -> DataFrame:
+    """(chunk, part, shared): which of a chunk's distinct windows with a crowded anchor two documents hold, by table.
+
+    ``crowded``: sorted keys of the crowded anchors.  Windows are told apart by hashes; clashes only send more text.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, _ in chunk_rows(batches):
+            first, end, hashes, document = anchored(chunk, cfg)
+            keep = np.isin(anchor_keys(hashes, tables).view(np.int64), crowded)
+            _, h, document = crowded_windows(chunk.data, first[keep], end[keep], document[keep], cfg.window)
+            known, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+            owner = chunk.owners[document]
+            several = np.zeros(len(known), bool)
+            several[inverse[owner != owner[at][inverse]]] = True
+            rows = [(part, chunk.number, known[s].tobytes(), np.packbits(several[s]).tobytes()) for part, s in table_cuts(window_tables(known, tables))]
+            if rows:
+                yield _rows(["part", "chunk", "hashes", "several"], rows, [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
+
+    def answer(table: pa.Table) -> pa.Table:
+        hashes = [np.frombuffer(x, "<u8") for x in table["hashes"].to_pylist()]
+        sizes = np.array(list(map(len, hashes)))
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table["several"].to_pylist(), sizes, strict=True)])
+        _, of, held = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        shared = ((held > 1) | (np.bincount(of, several) > 0))[of]
+        rows = [(c, p, np.packbits(x).tobytes()) for c, p, x in zip(table["chunk"].to_pylist(), table["part"].to_pylist(), np.split(shared, np.cumsum(sizes)[:-1]), strict=True) if x.any()]
+        kinds = [pa.int64(), pa.int32(), pa.binary()]
+        return pa.Table.from_batches([_rows(names, rows, kinds)] if rows else [], pa.schema(list(zip(names, kinds, strict=True))))
+
+    names = ["chunk", "part", "shared"]
+    sent = chunks.mapInArrow(send, "part int, chunk long, hashes binary, several binary")
+    return sent.groupBy("part").applyInArrow(answer, "chunk long, part int, shared binary")
+
+
+def shared_regions(chunks: DataFrame, shared: DataFrame, windows: DataFrame | None, cfg: PassageConfig, tables: int, shards: int) -> DataFrame:
+    """(group, chunk, shards, texts_in, sizes, texts, counts, owners, places): a chunk's distinct regions for a group of shards, each with its occurrences.
+
+    ``texts_in`` says how many of the regions are for each of the ``shards``.
+    """
+    groups = min(shards, max(cfg.groups, -(-shards // 16)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, more in chunk_rows(batches):
@@ -425,49 +492,90 @@ def shared_regions(chunks: DataFrame, shared: DataFrame, cfg: PassageConfig, tab
     def regions(chunk: Chunk, found: list[dict]) -> Iterator[pa.RecordBatch]:
         first, end, hashes, document = anchored(chunk, cfg)
         keys, inverse = np.unique(anchor_keys(hashes, tables), return_inverse=True)
-        part = (keys >> np.uint64(32)).astype(np.int64)
-        leaders = np.full(len(keys), -2, np.int64)
+        shard_of = np.full(len(keys), -2, np.int32)
+        cuts = dict(table_cuts((keys >> np.uint64(32)).astype(np.int64)))
         for f in found:
-            leaders[np.searchsorted(part, f["part"]) + np.frombuffer(f["places"], "<u4")] = np.frombuffer(f["leaders"], "<i8")
-        leader = leaders[inverse]
-        keep = np.flatnonzero(leader > -2)
-        first, end, document, leader = first[keep], end[keep], document[keep], leader[keep]
-        shard = np.where(leader < 0, -1, spread_number(leader, shards))
-        joins = (first[1:] == end[:-1]) & (document[1:] == document[:-1]) & (shard[1:] == shard[:-1])
-        head = np.flatnonzero(np.r_[True, ~joins]) if len(first) else np.zeros(0, np.int64)
+            if f["shards"] is not None:
+                own = shard_of[cuts[f["part"]]]
+                own[np.unpackbits(np.frombuffer(f["shared"], np.uint8), count=len(own)).astype(bool)] = np.frombuffer(f["shards"], "<i4")
+        shard = shard_of[inverse]
         owners = chunk.owners
         known: dict[int, dict[bytes, list]] = {}
+        crowded = shard == -1
+        if crowded.any():
+            places, h, own = crowded_windows(chunk.data, first[crowded], end[crowded], document[crowded], cfg.window)
+            unique, which = np.unique(h, return_inverse=True)
+            twice = np.zeros(len(unique), bool)
+            cuts = dict(table_cuts(window_tables(unique, tables)))
+            for f in found:
+                if f["shards"] is None:
+                    part = twice[cuts[f["part"]]]
+                    part[:] = np.unpackbits(np.frombuffer(f["shared"], np.uint8), count=len(part))
+            keep = twice[which]
+            for at, to, d in zip(places[keep].tolist(), spread_number(h[keep], shards).tolist(), own[keep].tolist(), strict=True):
+                known.setdefault(to, {}).setdefault(chunk.data[at : at + cfg.window], []).append((int(owners[d]), at))
+        keep = np.flatnonzero(shard >= 0)
+        first, end, document, shard = first[keep], end[keep], document[keep], shard[keep]
+        joins = (first[1:] == end[:-1]) & (document[1:] == document[:-1]) & (shard[1:] == shard[:-1])
+        head = np.flatnonzero(np.r_[True, ~joins]) if len(first) else np.zeros(0, np.int64)
         width = cfg.window - 1
         for a, b, s, d in zip(first[head].tolist(), end[np.r_[head[1:] - 1, len(end) - 1]].tolist() if len(head) else [], shard[head].tolist(), document[head].tolist(), strict=True):
-            step = 1 if s < 0 else cfg.region_windows
-            for at in range(a, b, step):
-                t = chunk.data[at : min(at + step, b) + width]
-                to = s if s >= 0 else int(spread_number(gram_hashes(t, 0, 1, cfg.gram) ^ gram_hashes(t, len(t) - cfg.gram, len(t) - cfg.gram + 1, cfg.gram), shards)[0])
-                known.setdefault(to, {}).setdefault(t, []).append((int(owners[d]), at))
+            for at in range(a, b, cfg.region_windows):
+                known.setdefault(s, {}).setdefault(chunk.data[at : min(at + cfg.region_windows, b) + width], []).append((int(owners[d]), at))
+        together: dict[int, list[int]] = {}
+        for to in known:
+            together.setdefault(to % groups, []).append(to)
         rows = []
-        for to, texts in known.items():
-            pairs = [p for ps in texts.values() for p in ps]
-            rows.append((to, chunk.number, *(np.array(x, k).tobytes() for x, k in (([*map(len, texts)], "<i4"),)), b"".join(texts), *(np.array(x, k).tobytes() for x, k in (([*map(len, texts.values())], "<i4"), ([p[0] for p in pairs], "<i8"), ([p[1] for p in pairs], "<i4")))))
+        for group, own in together.items():
+            texts = [t for to in own for t in known[to]]
+            held = [ps for to in own for ps in known[to].values()]
+            pairs = [p for ps in held for p in ps]
+            numbers = ((own, "<i4"), ([len(known[to]) for to in own], "<i4"), ([*map(len, texts)], "<i4"), ([*map(len, held)], "<i4"), ([p[0] for p in pairs], "<i8"), ([p[1] for p in pairs], "<i4"))
+            to, texts_in, sizes, *rest = (np.array(x, k).tobytes() for x, k in numbers)
+            rows.append((group, chunk.number, to, texts_in, sizes, b"".join(texts), *rest))
         for i in range(0, len(rows), 10_000):
-            yield _rows(["shard", "chunk", "sizes", "texts", "counts", "owners", "places"], rows[i : i + 10_000], [pa.int32(), pa.int64(), *[pa.binary()] * 5])
+            yield _rows(names, rows[i : i + 10_000], [pa.int32(), pa.int64(), *[pa.binary()] * 7])
 
-    asked = shared.groupBy("chunk").agg(F.collect_list(F.struct("part", "places", "leaders")).alias("found"))
+    names = ["group", "chunk", "shards", "texts_in", "sizes", "texts", "counts", "owners", "places"]
+    marks = shared.select("chunk", "part", "shared", "shards")
+    if windows is not None:
+        marks = marks.unionByName(windows.withColumn("shards", F.lit(None).cast("binary")))
+    asked = marks.groupBy("chunk").agg(F.collect_list(F.struct("part", "shared", "shards")).alias("found"))
     rows = chunks.join(asked, "chunk").select("chunk", "ids", "sizes", "blob", "found")
-    return rows.mapInArrow(send, "shard int, chunk long, sizes binary, texts binary, counts binary, owners binary, places binary")
+    return rows.mapInArrow(send, "group int, chunk long, shards binary, texts_in binary, sizes binary, texts binary, counts binary, owners binary, places binary")
 
 
 def covered(regions: DataFrame, cfg: PassageConfig) -> DataFrame:
     """(chunk, spans): byte ranges of chunks that stand in earlier documents; pairs of 32-bit numbers."""
 
     def answer(table: pa.Table) -> pa.Table:
+        #: Of each shard: row of the table, sizes of its regions, their bytes, their numbers of occurrences, and owners and places of these.
+        parts: dict[int, list[tuple]] = {}
+        for row, (to, texts_in, sizes, texts, counts, owners, places) in enumerate(zip(*(table[n].to_pylist() for n in ("shards", "texts_in", "sizes", "texts", "counts", "owners", "places")), strict=True)):
+            sizes, counts = np.frombuffer(sizes, "<i4").astype(np.int64), np.frombuffer(counts, "<i4").astype(np.int64)
+            owners, places = np.frombuffer(owners, "<i8"), np.frombuffer(places, "<i4").astype(np.int64)
+            edge = np.cumsum(np.r_[0, np.frombuffer(texts_in, "<i4")]).tolist()
+            byte, occurrence = np.cumsum(np.r_[0, sizes]).tolist(), np.cumsum(np.r_[0, counts]).tolist()
+            for s, a, b in zip(np.frombuffer(to, "<i4").tolist(), edge[:-1], edge[1:], strict=True):
+                o = slice(occurrence[a], occurrence[b])
+                parts.setdefault(s, []).append((row, sizes[a:b], texts[byte[a] : byte[b]], counts[a:b], owners[o], places[o]))
+        spans: dict[int, list[np.ndarray]] = {}
+        for pieces in parts.values():
+            for row, found in of_shard(pieces):
+                spans.setdefault(row, []).extend(found)
+        chunk = table["chunk"].to_pylist()
+        rows = [(chunk[row], np.concatenate(found).astype("<i4").tobytes()) for row, found in spans.items()]
+        kinds = [pa.int64(), pa.binary()]
+        return pa.Table.from_batches([_rows(["chunk", "spans"], rows, kinds)] if rows else [], pa.schema([("chunk", kinds[0]), ("spans", kinds[1])]))
+
+    def of_shard(pieces: list[tuple]) -> Iterator[tuple[int, list[np.ndarray]]]:
         known: dict[bytes, int] = {}
         least: list[int] = []
         held = []
-        for sizes, texts, counts, owners, places in zip(*(table[n].to_pylist() for n in ("sizes", "texts", "counts", "owners", "places")), strict=True):
-            counts, owners = np.frombuffer(counts, "<i4"), np.frombuffer(owners, "<i8")
+        for _, sizes, texts, counts, owners, _ in pieces:
             own = np.minimum.reduceat(owners, np.cumsum(counts) - counts).tolist()
             at, numbers = 0, []
-            for n, o in zip(np.frombuffer(sizes, "<i4").tolist(), own, strict=True):
+            for n, o in zip(sizes.tolist(), own, strict=True):
                 k = known.setdefault(texts[at : at + n], len(known))
                 at += n
                 if k == len(least):
@@ -475,25 +583,21 @@ def covered(regions: DataFrame, cfg: PassageConfig) -> DataFrame:
                 else:
                     least[k] = min(least[k], o)
                 numbers.append(k)
-            held.append((np.repeat(numbers, counts), owners, np.frombuffer(places, "<i4").astype(np.int64)))
+            held.append(np.repeat(numbers, counts))
         first, all_texts = np.array(least, np.int64), list(known)
         windows = earlier_windows(all_texts, first, cfg.window)
-        sizes = np.array([*map(len, all_texts)])
-        rows = []
-        for chunk, (which, owners, places) in zip(table["chunk"].to_pylist(), held, strict=True):
+        length = np.array([*map(len, all_texts)])
+        for (row, _, _, _, owners, places), which in zip(pieces, held, strict=True):
             later = owners > first[which]
-            spans = [np.stack([places[later], places[later] + sizes[which[later]]], 1)]
+            spans = [np.stack([places[later], places[later] + length[which[later]]], 1)]
             for k, place in zip(which[~later].tolist(), places[~later].tolist(), strict=True):
                 if windows[k].any():
                     edge = np.flatnonzero(np.diff(np.r_[False, windows[k], False]))
                     spans.append(np.stack([edge[::2], edge[1::2] + cfg.window - 1], 1) + place)
-            spans_of = np.concatenate(spans)
-            if len(spans_of):
-                rows.append((chunk, spans_of.astype("<i4").tobytes()))
-        kinds = [pa.int64(), pa.binary()]
-        return pa.Table.from_batches([_rows(["chunk", "spans"], rows, kinds)] if rows else [], pa.schema([("chunk", kinds[0]), ("spans", kinds[1])]))
+            if sum(map(len, spans)):
+                yield row, spans
 
-    return regions.groupBy("shard").applyInArrow(answer, "chunk long, spans binary")
+    return regions.groupBy("group").applyInArrow(answer, "chunk long, spans binary")
 
 
 def without_repeats(docs: DataFrame, cfg: PassageConfig | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -506,8 +610,12 @@ def without_repeats(docs: DataFrame, cfg: PassageConfig | None = None, key: str
     path = posixpath.join(shared_dir(spark), f"chunks-{uuid.uuid4().hex}")
     write_chunks(docs, cfg, key, text, path)
     chunks = spark.read.schema("chunk long, ids array<long>, sizes array<long>, blob binary").parquet(path)
-    shared = shared_anchors(chunks, cfg, tables)
-    marks = covered(shared_regions(chunks, shared, cfg, tables, shards), cfg)
+    shared_anchors(chunks, cfg, tables, shards).write.parquet(f"{path}-anchors")
+    shared = spark.read.schema("chunk long, part int, shared binary, shards binary, crowded binary").parquet(f"{path}-anchors")
+    # One key for each ``crowded`` occurrences at least.
+    crowded = np.sort(np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r.crowded, "<i8") for r in shared.select("crowded").filter("crowded is not null").collect()]]))
+    windows = shared_windows(chunks, crowded, cfg, tables) if len(crowded) else None
+    marks = covered(shared_regions(chunks, shared, windows, cfg, tables, shards), cfg)
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

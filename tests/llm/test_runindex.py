@@ -90,6 +90,34 @@ def test_same_as_brute_force(spark, changed):
         assert len(r.kept) == r.n_bytes - sum(s.end - s.start for s in r.spans) and all(a.end < b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
 
 
+def sent_regions(spark, monkeypatch, rows, cfg):
+    """Rows and bytes of text that chunks send to shards; the result is held against brute force."""
+    seen, covered = [], runindex.covered
+    monkeypatch.setattr(runindex, "covered", lambda regions, cfg: seen.append(regions.cache()) or covered(seen[0], cfg))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in runindex.digests(runindex.without_repeats(docs, cfg)).collect())
+    assert got == expected([(i, t.encode()) for i, t in rows], cfg.window)
+    return seen[0].selectExpr("count(*)", "sum(length(texts))", "count(distinct chunk)").first()
+
+
+def test_neighbours_of_a_crowded_line_are_not_sent(spark, monkeypatch):
+    """Windows that hold a part of a common line and what stands beside it in one document only."""
+    rnd = random.Random(4)
+    say = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    line = say(76)
+    rows = [(i, say(300) + line + say(300)) for i in range(200)]
+    _, sent, _ = sent_regions(spark, monkeypatch, rows, PassageConfig(crowded=50, chunk_bytes=20_000))
+    # Anchors at the line's edges win in some documents only, and are not crowded.
+    assert 27 * 50 <= sent < 200 * 6 * 50
+
+
+def test_many_shards_are_sent_in_groups(spark, monkeypatch):
+    """A chunk's rows grow with the groups, not with the shards, whose number grows with the input."""
+    rows = [(i, t) for i, t in enumerate(t for _, t in corpus() if t)]
+    n, _, chunks = sent_regions(spark, monkeypatch, rows, PassageConfig(shard_bytes=900, chunk_bytes=4000, groups=2))
+    assert 0 < n <= 8 * chunks
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert runindex.digests(runindex.without_repeats(docs)).collect() == []
